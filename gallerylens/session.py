@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "gallerylens", cpus: int | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -18,3 +23,30 @@ def session(app: str = "gallerylens", cpus: int | None = None, partitions: int |
         "spark.sql.shuffle.partitions": str(partitions or cpus), "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
     }
     return builder.config(map=own | conf).getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once, so that they can import it wherever they start."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query, with this package sent first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
