@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from .ranks import ranked
 
 BLOCKED = ("BULLET::::", "Section::::", "<templatestyles")
 
@@ -54,12 +55,11 @@ def within_budget(packed: DataFrame, budget: float) -> DataFrame:
 
 def shards(rows: DataFrame, order: str, n: int) -> DataFrame:
     """(shard, size, start) of n contiguous shards whose sizes differ by one at most."""
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    total = rows.count()
+    total, place = rows.count(), F.col("_place")
     big, small = total % n, total // n
     edge = big * (small + 1)
     shard = F.when(place < edge, F.floor(place / F.lit(small + 1))).otherwise(big + F.floor((place - edge) / F.lit(max(small, 1))))
-    sizes = rows.withColumn("shard", shard.cast("long")).groupBy("shard").agg(F.count("*").alias("size"))
+    sizes = ranked(rows, [order], name="_place").withColumn("shard", shard.cast("long")).groupBy("shard").agg(F.count("*").alias("size"))
     return sizes.withColumn("start", F.coalesce(F.sum("size").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 

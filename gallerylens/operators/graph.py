@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vector as V
+from .ranks import ranked
 from .scratch import stored
 
 
@@ -92,7 +93,7 @@ def apply_props(nodes: DataFrame, changes: DataFrame) -> DataFrame:
 
 def entity_mapping(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """wanted (id) with the position of each among the sorted distinct known (id), null and missing where unknown."""
-    order = known.select("id").distinct().withColumn("position", F.row_number().over(Window.orderBy("id")) - 1)
+    order = ranked(known.select("id").distinct(), ["id"], name="position")
     return wanted.select("id").distinct().join(order, "id", "left").select("id", "position", F.col("position").isNull().alias("missing"))
 
 

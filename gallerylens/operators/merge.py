@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .ranks import ranked
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key by order."""
@@ -40,7 +42,6 @@ def coverage(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 def zip_rows(left: DataFrame, right: DataFrame, order: str, checked: str) -> DataFrame:
     """Rows of two tables by position; raises where the checked column differs."""
-    w = Window.orderBy(order)
-    a = left.withColumn("pos", F.row_number().over(w) - 1)
-    b = right.withColumn("pos", F.row_number().over(w) - 1).withColumnRenamed(checked, "_r").drop(order)
+    a = ranked(left, [order], name="pos")
+    b = ranked(right, [order], name="pos").withColumnRenamed(checked, "_r").drop(order)
     return a.join(b, "pos").where(F.assert_true(F.col(checked) == F.col("_r"), F.lit("rows differ")).isNull()).drop("_r")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vector as V
+from .ranks import small
 
 BLOCK_VALUES = 4 << 20  # doubles of queries that are broadcast at once
 
@@ -75,13 +76,13 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True
 
 def knn_expr(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """knn by expressions alone; the same result, for small sets."""
-    scored = corpus.crossJoin(F.broadcast(queries)).where("id != qid").select("qid", "id", V.cosine(F.col("q"), F.col("v")).alias("score"))
+    scored = corpus.crossJoin(small(queries)).where("id != qid").select("qid", "id", V.cosine(F.col("q"), F.col("v")).alias("score"))
     return rank(scored, "qid", "score", "id", k)
 
 
 def maxsim(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(qid, id, score): over a query's tokens (qid, qtok, q), the sum of the largest dot product with a token of document (id, v)."""
-    best = corpus.join(F.broadcast(queries)).select("qid", "qtok", "id", V.dot(F.col("q"), F.col("v")).alias("s")).groupBy("qid", "id", "qtok").agg(F.max("s").alias("s"))
+    best = corpus.crossJoin(small(queries)).select("qid", "qtok", "id", V.dot(F.col("q"), F.col("v")).alias("s")).groupBy("qid", "id", "qtok").agg(F.max("s").alias("s"))
     return best.groupBy("qid", "id").agg(F.sum("s").alias("score"))
 
 
@@ -116,7 +117,7 @@ def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 def binary_topk(queries: DataFrame, corpus: DataFrame, k: int, oversample: float = 2.0) -> DataFrame:
     """Candidates by agreement of signs, oversampled, then rescored by cosine: (qid, id, score, rank)."""
-    few = F.broadcast(queries.withColumn("qb", V.sign_bits(F.col("q"))))
+    few = small(queries.withColumn("qb", V.sign_bits(F.col("q"))))
     coarse = corpus.withColumn("b", V.sign_bits(F.col("v"))).join(few, F.col("id") != F.col("qid")).select("qid", "id", "q", "v", V.bit_score(F.col("qb"), F.col("b")).alias("bits"))
     chosen = rank(coarse, "qid", "bits", "id", int(np.ceil(k * oversample))).drop("rank")
     return rank(chosen.select("qid", "id", V.cosine(F.col("q"), F.col("v")).alias("score")), "qid", "score", "id", k)
@@ -130,7 +131,7 @@ def two_stage(queries: DataFrame, tokens: DataFrame, prefetch: int, k: int) -> D
     """
     means = centroids(tokens, "id", "v").select("id", V.sign_bits(F.col("v")).alias("b"))
     asked = centroids(queries, "qid", "q").select("qid", V.sign_bits(F.col("q")).alias("qb"))
-    coarse = means.crossJoin(F.broadcast(asked)).select("qid", "id", V.bit_score(F.col("qb"), F.col("b")).alias("bits"))
+    coarse = means.crossJoin(small(asked)).select("qid", "id", V.bit_score(F.col("qb"), F.col("b")).alias("bits"))
     chosen = rank(coarse, "qid", "bits", "id", prefetch).select("qid", "id")
     pairs = tokens.join(chosen, "id").join(queries, "qid").select("qid", "id", "qtok", V.dot(F.col("q"), F.col("v")).alias("s"))
     scored = pairs.groupBy("qid", "id", "qtok").agg(F.max("s").alias("s")).groupBy("qid", "id").agg(F.sum("s").alias("score"))

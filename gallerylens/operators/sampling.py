@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import ranked, small
+
 
 def bucket(c: Column, n: int) -> Column:
     """A number below n by the md5 of a string."""
@@ -16,19 +18,19 @@ def seeded(c: Column, seed: int) -> Column:
 
 def shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """df with its place in a shuffled order."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(seeded(F.col(id_col), seed), id_col)))
+    out = ranked(df, [seeded(F.col(id_col), seed), id_col], name="place")
+    return out.withColumn("place", F.col("place") + 1)
 
 
 def stratified_split(df: DataFrame, stratum: str, id_col: str, shares: list[tuple[str, float]], seed: int = 42) -> DataFrame:
     """df with a split: each stratum is shuffled and cut at the running shares of its size."""
-    w = Window.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(seeded(F.col(id_col), seed), id_col))
-    at, split, total = F.col("_rank") / F.col("_n"), None, 0.0
+    at, split, total = (F.col("_rank") + 1) / F.col("_n"), None, 0.0
     for name, share in shares[:-1]:
         total += share
         split = (F.when if split is None else split.when)(at <= round(total, 9), name)
-    ranked = df.withColumn("_rank", rank).withColumn("_n", F.count("*").over(w))
-    return ranked.withColumn("split", split.otherwise(shares[-1][0])).drop("_rank", "_n")
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
+    placed = ranked(df, [seeded(F.col(id_col), seed), id_col], [stratum], "_rank").join(small(sizes), stratum)
+    return placed.select(*df.columns, split.otherwise(shares[-1][0]).alias("split"))
 
 
 def sample_sizes(df: DataFrame, stratum: str, n: int) -> DataFrame:
@@ -43,8 +45,8 @@ def sample_sizes(df: DataFrame, stratum: str, n: int) -> DataFrame:
 
 def stratified_sample(df: DataFrame, stratum: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, each stratum in proportion."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(F.col(id_col), seed), id_col))
-    return df.withColumn("_rank", rank).join(F.broadcast(sample_sizes(df, stratum, n)), stratum).where("_rank <= take").drop("_rank", "take")
+    placed = ranked(df, [seeded(F.col(id_col), seed), id_col], [stratum], "_rank")
+    return placed.join(small(sample_sizes(df, stratum, n)), stratum).where("_rank < take").select(*df.columns)
 
 
 def half_half(df: DataFrame, size: str, least: int, id_col: str, n: int, seed: int = 42) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H, text as X
 from ..operators import fragments, merge
+from ..operators.ranks import ranked, small
 from .registry import Registry
 from .views import Tables
 
@@ -198,7 +199,7 @@ def contains_or_all(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents")
 def row_index(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("idx"))
+    return ranked(t.documents.select("doc_id"), ["doc_id"], name="idx")
 
 
 @query("SELECT min(doc_id) AS first_id FROM documents WHERE n_chars > 10000")
@@ -209,7 +210,7 @@ def first_match(t: Tables) -> DataFrame:
 @query("WITH b AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS q FROM benchmark) SELECT item_id, min(doc_id) AS doc_id FROM b LEFT JOIN documents d ON contains(d.text, q) GROUP BY item_id")
 def doc_lookup_top1(t: Tables) -> DataFrame:
     asked = t.benchmark.select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("q"))
-    found = t.documents.select("doc_id", "text").join(F.broadcast(asked), F.col("text").contains(F.col("q"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    found = t.documents.select("doc_id", "text").join(small(asked), F.col("text").contains(F.col("q"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
     return asked.select("item_id").join(found, "item_id", "left")
 
 
@@ -259,8 +260,8 @@ query()(wrap_lines)
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def dedup_keep_first(t: Tables) -> DataFrame:
-    """The lowest doc_id of each text; its copies are counted before the texts are compared."""
-    return t.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    """The lowest doc_id of each text; texts are shuffled as their SHA-256."""
+    return t.documents.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id >= (SELECT max(doc_id) // 2 FROM documents)")
