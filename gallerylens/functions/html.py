@@ -38,7 +38,7 @@ def last_segment(url: Column) -> Column:
 
 def curid(url: Column) -> Column:
     """The page id at the end of a URL; null without one."""
-    return F.expr("try_cast(x as int)") if url is None else F.nullif(F.regexp_extract(url, r".*curid=(\d+)$", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(url, r".*curid=(\d+)$", 1), F.lit("")).try_cast("int")
 
 
 def strip_modifier(url: Column) -> Column:
