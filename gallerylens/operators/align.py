@@ -27,6 +27,6 @@ def override(rows: DataFrame, aliases: DataFrame, overrides: DataFrame) -> DataF
 
 
 def best_candidate(queries: DataFrame, candidates: DataFrame, on: str) -> DataFrame:
-    """For each query (id, on, v) the candidate (cid, on, c) of the largest cosine above 0, ties to the smallest cid."""
-    scored = queries.join(candidates, on).select("id", "cid", V.cosine(F.col("v"), F.col("c")).alias("score")).where("score > 0")
+    """For each query (id, on, v) the candidate (cid, on, c) of the largest cosine above 0, ties to the smallest cid; itself is none."""
+    scored = queries.join(candidates, on).where("id != cid").select("id", "cid", V.cosine(F.col("v"), F.col("c")).alias("score")).where("score > 0")
     return scored.groupBy("id").agg(F.max_by(F.struct("cid", "score"), F.struct("score", (-F.col("cid")).alias("t"))).alias("b")).select("id", F.col("b.cid").alias("best"), F.col("b.score").alias("score"))

@@ -116,12 +116,9 @@ def url_curid(t: Tables) -> DataFrame:
     return t.rows("url string", ("https://x.example.com/?curid=12&curid=34",), ("https://x.example.com/page",)).select("url", H.curid(F.col("url")).alias("curid"))
 
 
-_HEAD = "substr(text, 1, 200)"
-
-
-@query(f"SELECT doc_id, regexp_replace(lower(replace(strip_accents({_HEAD}), 'ß', 'ss')), '[^a-z0-9_]+', '', 'g') AS title_key FROM documents")
+@query(f"SELECT doc_id, regexp_replace(lower(replace(strip_accents(text), 'ß', 'ss')), '[^a-z0-9_]+', '', 'g') AS title_key FROM documents")
 def txt_clear_title(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.clear_title(F.substring("text", 1, 200)).alias("title_key"))
+    return t.documents.select("doc_id", X.clear_title(F.col("text")).alias("title_key"))
 
 
 @query("SELECT s_suppkey, replace(lower(strip_accents(s_name)), ' ', '-') AS artist_key FROM supplier")
@@ -134,9 +131,9 @@ def txt_squeeze(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.squeeze(F.col("text")).alias("text"))
 
 
-@query(f"SELECT doc_id, regexp_replace(strip_accents({_HEAD}), '[^\\x00-\\x7F]+', '', 'g') AS text FROM documents")
+@query(f"SELECT doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]+', '', 'g') AS text FROM documents")
 def txt_strip_accents(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.strip_accents(F.substring("text", 1, 200)).alias("text"))
+    return t.documents.select("doc_id", X.strip_accents(F.col("text")).alias("text"))
 
 
 _STYLES = ["realism (art movement)", "Symbolism (arts)", "abstract EXPRESSIONISM", "pop art (1950s) (uk)"]
@@ -264,18 +261,14 @@ def dedup_keep_first(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id >= (SELECT max(doc_id) // 2 FROM documents)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_anti(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id")
-    half = docs.agg(F.expr("max(doc_id) div 2").alias("h"))  # one row
-    done = docs.crossJoin(F.broadcast(half)).where("doc_id < h").select("doc_id")
-    return merge.resume(docs, done, "doc_id")
+    return merge.resume(t.documents.select("doc_id"), t.labels, "doc_id")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id > (SELECT coalesce(max(doc_id), 0) FROM documents WHERE doc_id % 7 = 0 AND doc_id < 500)")
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id > (SELECT coalesce(max(doc_id), 0) FROM labels WHERE toxic = 1)")
 def resume_watermark(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "n_chars")
-    return merge.above_watermark(docs, docs.where("doc_id % 7 = 0 and doc_id < 500"), "doc_id")
+    return merge.above_watermark(t.documents.select("doc_id", "n_chars"), t.labels.where("toxic = 1"), "doc_id")
 
 
 @query("SELECT count(*) AS total, count(l.doc_id) AS matched, count(*) - count(l.doc_id) AS missing FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")

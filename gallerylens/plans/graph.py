@@ -134,10 +134,10 @@ def kge_accuracy(t: Tables) -> DataFrame:
     return joined.groupBy("label").agg(F.round(F.avg((F.col("best") == F.col("label")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query("SELECT vec_id AS id, vec_id < 100 AS pinned, round(v[1] * CASE WHEN vec_id < 100 THEN 3 ELSE 1 / greatest(sqrt(list_inner_product(v, v)), 1e-12) END, 6) AS x0, round(v[64] * CASE WHEN vec_id < 100 THEN 3 ELSE 1 / greatest(sqrt(list_inner_product(v, v)), 1e-12) END, 6) AS x63 FROM vec", "vec")
+@query("SELECT vec_id AS id, label = 0 AS pinned, round(v[1] * CASE WHEN label = 0 THEN 3 ELSE 1 / greatest(sqrt(list_inner_product(v, v)), 1e-12) END, 6) AS x0, round(v[64] * CASE WHEN label = 0 THEN 3 ELSE 1 / greatest(sqrt(list_inner_product(v, v)), 1e-12) END, 6) AS x63 FROM vec", "vec")
 def kge_constrain(t: Tables) -> DataFrame:
-    v = t.vec().select(F.col("vec_id").alias("id"), "v")
-    pinned = v.where("id < 100").select("id", F.transform("v", lambda x: x * 3).alias("p"))
+    v = t.vec().select(F.col("vec_id").alias("id"), "v", "label")
+    pinned = v.where("label = 0").select("id", F.transform("v", lambda x: x * 3).alias("p"))
     return graph.constrain(v, pinned).select("id", "pinned", F.round(F.col("v")[0], 6).alias("x0"), F.round(F.col("v")[63], 6).alias("x63"))
 
 
@@ -158,12 +158,13 @@ def category_pages(t: Tables) -> DataFrame:
     return merge.keep_first(named.where(~X.contains_any(F.col("name"), ["00013"])), ["id"], ["name"])
 
 
-_COPY = "WITH l AS (SELECT p_partkey AS lid, regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9_]+', '', 'g') AS title_key, replace(lower(strip_accents(p_brand)), ' ', '-') AS artist_key FROM part), r AS (SELECT p_partkey AS rid, regexp_replace(lower(strip_accents(upper(p_name))), '[^a-z0-9_]+', '', 'g') AS title_key, replace(lower(CASE WHEN p_partkey % 7 = 0 THEN 'Nobody' ELSE p_brand END), ' ', '-') AS artist_key FROM part WHERE p_partkey % 3 = 0)"
+_COPY = "WITH l AS (SELECT p_partkey AS lid, regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9_]+', '', 'g') AS title_key, replace(lower(strip_accents(p_brand)), ' ', '-') AS artist_key FROM part), r AS (SELECT p_partkey AS rid, regexp_replace(lower(strip_accents(upper(p_name) || CASE WHEN p_size > 25 THEN ' of ' || p_brand ELSE '' END)), '[^a-z0-9_]+', '', 'g') AS title_key, replace(lower(CASE WHEN p_size < 10 THEN 'Nobody' ELSE p_brand END), ' ', '-') AS artist_key FROM part)"
 
 
 def _aligned(t: Tables) -> tuple[DataFrame, DataFrame]:
     left = t.part.select(F.col("p_partkey").alias("lid"), X.clear_title(F.col("p_name")).alias("title_key"), X.clear_artist(F.col("p_brand")).alias("artist_key"))
-    copy = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("rid"), X.clear_title(F.upper("p_name")).alias("title_key"), X.clear_artist(F.when(F.col("p_partkey") % 7 == 0, "Nobody").otherwise(F.col("p_brand"))).alias("artist_key"))
+    title = F.concat(F.upper("p_name"), F.when(F.col("p_size") > 25, F.concat(F.lit(" of "), "p_brand")).otherwise(""))
+    copy = t.part.select(F.col("p_partkey").alias("rid"), X.clear_title(title).alias("title_key"), X.clear_artist(F.when(F.col("p_size") < 10, "Nobody").otherwise(F.col("p_brand"))).alias("artist_key"))
     return left, copy
 
 
@@ -185,10 +186,10 @@ def align_alias_override(t: Tables) -> DataFrame:
     return align.override(t.supplier.select(F.col("s_suppkey").alias("title"), F.col("s_name").alias("artist")), aliases, overrides).select("title", "artist", "resolved")
 
 
-@query("SELECT id, best, round(score, 6) AS score FROM (SELECT a.vec_id AS id, b.vec_id AS best, list_cosine_similarity(a.v, b.v) AS score FROM vec a JOIN vec b ON a.label = b.label WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, best) = 1", "vec")
+@query("SELECT id, best, round(score, 6) AS score FROM (SELECT a.vec_id AS id, b.vec_id AS best, list_cosine_similarity(a.v, b.v) AS score FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, best) = 1", "vec")
 def align_best_candidate(t: Tables) -> DataFrame:
     v = t.vec()
-    found = align.best_candidate(v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), "label", "v"), v.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("cid"), "label", F.col("v").alias("c")), "label")
+    found = align.best_candidate(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "label", "v"), v.select(F.col("vec_id").alias("cid"), "label", F.col("v").alias("c")), "label")
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -40,16 +40,20 @@ def half_half_sample(t: Tables) -> DataFrame:
     return sampling.half_half(sizes, "n", 3, "l_orderkey", 100)
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey <= 1000 THEN c_name ELSE upper(c_name) || ' NEW' END AS c_name FROM customer")
+def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Customers with a balance, and customers of some nations under new names; many are both."""
+    old = t.customer.where("c_acctbal > 0").select("c_custkey", "c_name")
+    return old, t.customer.where("c_nationkey < 15").select("c_custkey", F.concat(F.upper("c_name"), F.lit(" NEW")).alias("c_name"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE upper(c_name) || ' NEW' END AS c_name FROM customer WHERE c_acctbal > 0 OR c_nationkey < 15")
 def merge_keep_first(t: Tables) -> DataFrame:
-    c = t.customer.select("c_custkey", "c_name")
-    return merge.merge(c.where("c_custkey <= 1000"), c.where("c_custkey > 500").withColumn("c_name", F.concat(F.upper("c_name"), F.lit(" NEW"))), ["c_custkey"], new_wins=False)
+    return merge.merge(*_halves(t), ["c_custkey"], new_wins=False)
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey <= 500 THEN c_name ELSE upper(c_name) || ' NEW' END AS c_name FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_nationkey >= 15 THEN c_name ELSE upper(c_name) || ' NEW' END AS c_name FROM customer WHERE c_acctbal > 0 OR c_nationkey < 15")
 def merge_last_wins(t: Tables) -> DataFrame:
-    c = t.customer.select("c_custkey", "c_name")
-    return merge.merge(c.where("c_custkey <= 1000"), c.where("c_custkey > 500").withColumn("c_name", F.concat(F.upper("c_name"), F.lit(" NEW"))), ["c_custkey"], new_wins=True)
+    return merge.merge(*_halves(t), ["c_custkey"], new_wins=True)
 
 
 @query("SELECT o_orderkey, CASE raw WHEN 'training' THEN 'train' WHEN 'testing' THEN 'test' WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' ELSE raw END AS split FROM (SELECT o_orderkey, ['training', 'testing', 'valid', 'test'][1 + o_orderkey % 4] AS raw FROM orders)")

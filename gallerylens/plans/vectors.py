@@ -1,4 +1,7 @@
-"""Queries on embeddings: retrieval, pooling, label scores and their metrics."""
+"""Queries on embeddings: retrieval, pooling, label scores and their metrics.
+
+Searches ask for every row whose id is divisible by 20, against all rows.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import vector as V
 from ..operators import classify, graph, retrieval, sampling
+from ..operators.ranks import ranked
 from .registry import Registry
 from .views import Tables
 
@@ -17,22 +21,22 @@ def _ids(t: Tables) -> DataFrame:
     return t.vec().select(F.col("vec_id").alias("id"), "v", "label")
 
 
-_KNN = "SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM vec q JOIN vec d ON q.vec_id <> d.vec_id WHERE q.vec_id < 10"
+_KNN = "SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM vec q JOIN vec d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0"
 
 
 @query(f"SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ({_KNN}) QUALIFY rank <= 5", "vec")
 def knn_cosine_topk(t: Tables) -> DataFrame:
-    queries = _ids(t).where("id < 10").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    queries = _ids(t).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
     return retrieval.knn(queries, _ids(t), 5).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
-_PAIRS = "SELECT q.doc_id AS qid, q.tok AS qtok, d.doc_id AS id, max(list_inner_product(q.v, d.v)) AS s FROM mv q CROSS JOIN mv d WHERE q.doc_id < 10 GROUP BY ALL"
+_PAIRS = "SELECT q.doc_id AS qid, q.tok AS qtok, d.doc_id AS id, max(list_inner_product(q.v, d.v)) AS s FROM mv q CROSS JOIN mv d WHERE q.doc_id % 20 = 0 GROUP BY ALL"
 _SIGNS = "SELECT doc_id, list(m ORDER BY i) AS m FROM (SELECT doc_id, i, avg(x) AS m FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM mv) GROUP BY ALL) GROUP BY doc_id"
 
 
 def _mv(t: Tables, least_tok: int = 0) -> tuple[DataFrame, DataFrame]:
     mv = t.mv()
-    asked = mv.where((F.col("doc_id") < 10) & (F.col("tok") >= least_tok))
+    asked = mv.where((F.col("doc_id") % 20 == 0) & (F.col("tok") >= least_tok))
     return asked.select(F.col("doc_id").alias("qid"), F.col("tok").alias("qtok"), F.col("v").alias("q")), mv.select(F.col("doc_id").alias("id"), "v")
 
 
@@ -46,15 +50,15 @@ def _hamming(a: str, b: str) -> str:
     return f"len(list_filter(list_zip({a}, {b}), lambda z: (z[1] > 0) <> (z[2] > 0)))"
 
 
-@query(f"WITH c AS (SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM vec q JOIN vec d ON q.vec_id <> d.vec_id WHERE q.vec_id < 10 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_hamming('q.v', 'd.v')}, id) <= 10) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 5", "vec")
+@query(f"WITH c AS (SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM vec q JOIN vec d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_hamming('q.v', 'd.v')}, id) <= 10) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 5", "vec")
 def binary_quant_topk(t: Tables) -> DataFrame:
-    queries = _ids(t).where("id < 10").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    queries = _ids(t).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
     return retrieval.binary_topk(queries, _ids(t).select("id", "v"), 5).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _two_stage_sql(least_tok: int) -> str:
     return (
-        f"WITH asked AS (SELECT * FROM mv WHERE doc_id < 10 AND tok >= {least_tok}), means AS ({_SIGNS}), qmeans AS ({_SIGNS.replace('FROM mv', 'FROM asked')}), "
+        f"WITH asked AS (SELECT * FROM mv WHERE doc_id % 20 = 0 AND tok >= {least_tok}), means AS ({_SIGNS}), qmeans AS ({_SIGNS.replace('FROM mv', 'FROM asked')}), "
         f"chosen AS (SELECT q.doc_id AS qid, d.doc_id AS id FROM qmeans q CROSS JOIN means d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_hamming('q.m', 'd.m')}, id) <= 20), "
         "s AS (SELECT qid, q.tok, id, max(list_inner_product(q.v, d.v)) AS s FROM chosen JOIN asked q ON q.doc_id = qid JOIN mv d ON d.doc_id = id GROUP BY ALL), "
         "hits AS (SELECT qid, id, sum(s) AS score, row_number() OVER (PARTITION BY qid ORDER BY sum(s) DESC, id) AS rank FROM s GROUP BY qid, id QUALIFY rank <= 5)"
@@ -71,11 +75,11 @@ def _metrics(t: Tables, half: bool) -> DataFrame:
     queries, corpus = _mv(t, 1)
     gold = queries.select("qid").distinct().withColumn("gold", F.col("qid"))
     if half:
-        gold = gold.where("qid < 5")
+        gold = ranked(gold, ["qid"], name="n").where(F.col("n") < gold.count() / 2).drop("n")
     return retrieval.ranking_metrics(retrieval.two_stage(queries, corpus, 20, 5), gold)
 
 
-_METRICS = "SELECT count(*) AS n, round(avg(coalesce(1 / log2(1 + r), 0)), 6) AS ndcg, round(avg((coalesce(r, 0) = 1)::INT), 6) AS recall1 FROM (SELECT a.doc_id, min(rank) FILTER (id = qid) AS r FROM (SELECT DISTINCT doc_id FROM asked{}) a LEFT JOIN hits ON qid = a.doc_id GROUP BY a.doc_id)"
+_METRICS = "SELECT count(*) AS n, round(avg(coalesce(1 / log2(1 + r), 0)), 6) AS ndcg, round(avg((coalesce(r, 0) = 1)::INT), 6) AS recall1 FROM (SELECT a.doc_id, min(rank) FILTER (id = qid) AS r FROM (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM asked){}) a LEFT JOIN hits ON qid = a.doc_id GROUP BY a.doc_id)"
 
 
 @query(f"{_two_stage_sql(1)} {_METRICS.format('')}", "mv")
@@ -83,12 +87,12 @@ def retrieval_metrics(t: Tables) -> DataFrame:
     return _metrics(t, False)
 
 
-@query(f"{_two_stage_sql(1)} {_METRICS.format(' WHERE doc_id < 5')}", "mv")
+@query(f"{_two_stage_sql(1)} {_METRICS.format(' QUALIFY row_number() OVER (ORDER BY doc_id) - 1 < count(*) OVER () / 2')}", "mv")
 def retrieval_metrics_half(t: Tables) -> DataFrame:
     return _metrics(t, True)
 
 
-_TEXT = "'## Document ' || rank || ': ' || string_split(text, chr(10))[1] || chr(10) || 'Score: ' || printf('%.2f', round(score, 2)) || chr(10) || substr(text, 1, 80)"
+_TEXT = "'## Document ' || rank || ': ' || string_split(text, chr(10))[1] || chr(10) || 'Score: ' || printf('%.2f', round(score, 2)) || chr(10) || text"
 
 
 @query(f"{_two_stage_sql(0)} SELECT qid, rank, id, n_chars FROM hits JOIN documents ON doc_id = id", "mv")
@@ -105,15 +109,15 @@ def two_stage_retrieval_hits(t: Tables) -> DataFrame:
 @query(f"{_two_stage_sql(0)} SELECT qid, string_agg({_TEXT}, chr(10) ORDER BY rank) AS context FROM hits JOIN documents ON doc_id = id GROUP BY qid", "mv")
 def rag_context(t: Tables) -> DataFrame:
     docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    part = F.concat(F.lit("## Document "), F.col("rank").cast("string"), F.lit(": "), F.split("text", "\n")[0], F.lit("\nScore: "), F.format_string("%.2f", F.round("score", 2)), F.lit("\n"), F.substring("text", 1, 80))
+    part = F.concat(F.lit("## Document "), F.col("rank").cast("string"), F.lit(": "), F.split("text", "\n")[0], F.lit("\nScore: "), F.format_string("%.2f", F.round("score", 2)), F.lit("\n"), F.col("text"))
     joined = two_stage_retrieval_hits(t).join(docs, "id").select("qid", "rank", part.alias("part"))
     return joined.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "part"))), lambda s: s["part"]), "\n").alias("context"))
 
 
-@query("WITH s AS (SELECT a.doc_id AS pair, a.tok AS i, b.tok AS j, list_cosine_similarity(a.v, b.v) AS s FROM mv a JOIN mv b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id < 50), p AS (SELECT pair, avg(s) AS p FROM (SELECT pair, i, max(s) AS s FROM s GROUP BY ALL) GROUP BY pair), r AS (SELECT pair, avg(s) AS r FROM (SELECT pair, j, max(s) AS s FROM s GROUP BY ALL) GROUP BY pair) SELECT pair, round(p, 6) AS p, round(r, 6) AS r, round(2 * p * r / (p + r), 6) AS f1 FROM p JOIN r USING (pair)", "mv")
+@query("WITH s AS (SELECT a.doc_id AS pair, a.tok AS i, b.tok AS j, list_cosine_similarity(a.v, b.v) AS s FROM mv a JOIN mv b ON b.doc_id = a.doc_id + 1), p AS (SELECT pair, avg(s) AS p FROM (SELECT pair, i, max(s) AS s FROM s GROUP BY ALL) GROUP BY pair), r AS (SELECT pair, avg(s) AS r FROM (SELECT pair, j, max(s) AS s FROM s GROUP BY ALL) GROUP BY pair) SELECT pair, round(p, 6) AS p, round(r, 6) AS r, round(2 * p * r / (p + r), 6) AS f1 FROM p JOIN r USING (pair)", "mv")
 def greedy_match_f1(t: Tables) -> DataFrame:
     mv = t.mv()
-    a = mv.where("doc_id < 50").select(F.col("doc_id").alias("pair"), "tok", "v")
+    a = mv.select(F.col("doc_id").alias("pair"), "tok", "v")
     b = mv.select((F.col("doc_id") - 1).alias("pair"), "tok", "v")
     return retrieval.greedy_f1(a, b).select("pair", *(F.round(c, 6).alias(c) for c in ("p", "r", "f1")))
 
@@ -153,42 +157,40 @@ def emb_pad_mask(t: Tables) -> DataFrame:
 
 
 def emb_cluster_pool(t: Tables) -> DataFrame:
-    """Each label's first 40 vectors stand for a document's tokens."""
-    ranked = t.vec().withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 40")
-    pooled = retrieval.cluster_pool(ranked.select("label", "vec_id", "v"), "label", "vec_id", "v", 8)
+    """Each label's vectors stand for a document's tokens."""
+    pooled = retrieval.cluster_pool(t.vec().select("label", "vec_id", "v"), "label", "vec_id", "v", 8)
     return pooled.select("label", "cluster", "n", F.round(F.col("v")[0], 6).alias("x0"))
 
 
 query()(emb_cluster_pool)
 
 
-@query("SELECT l.doc_id, quality, toxic, n_chars IS NULL AS absent, n_chars FROM labels l LEFT JOIN (SELECT doc_id, n_chars FROM documents WHERE doc_id % 2 = 0) USING (doc_id)")
+@query("SELECT doc_id, n_chars, quality IS NULL AS absent, quality FROM documents LEFT JOIN labels USING (doc_id)")
 def emb_precomputed_left_join(t: Tables) -> DataFrame:
-    some = t.documents.where("doc_id % 2 = 0").select("doc_id", "n_chars")
-    return t.labels.join(some, "doc_id", "left").select("doc_id", "quality", "toxic", F.col("n_chars").isNull().alias("absent"), "n_chars")
+    return t.documents.select("doc_id", "n_chars").join(t.labels, "doc_id", "left").select("doc_id", "n_chars", F.col("quality").isNull().alias("absent"), "quality")
 
 
-_SIM = "SELECT v.vec_id, p.vec_id AS pid, list_cosine_similarity(v.v, p.v) AS s FROM vec v JOIN vec p ON p.vec_id < {} WHERE v.vec_id >= {}"
+_SIM = "SELECT v.vec_id, p.vec_id AS pid, list_cosine_similarity(v.v, p.v) AS s FROM vec v JOIN vec p ON p.vec_id < {}"
 
 
 def _prompts(t: Tables, n: int) -> DataFrame:
     v = t.vec()
     prompts = F.broadcast(v.where(F.col("vec_id") < n).select(F.col("vec_id").alias("pid"), F.col("v").alias("p")))  # n rows
-    return v.where(F.col("vec_id") >= n).crossJoin(prompts).select("vec_id", "pid", V.cosine(F.col("v"), F.col("p")).alias("s"))
+    return v.crossJoin(prompts).select("vec_id", "pid", V.cosine(F.col("v"), F.col("p")).alias("s"))
 
 
-@query(f"SELECT vec_id, pid AS best, round(s, 6) AS score FROM ({_SIM.format(8, 8)}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, pid) = 1", "vec")
+@query(f"SELECT vec_id, pid AS best, round(s, 6) AS score FROM ({_SIM.format(8)}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, pid) = 1", "vec")
 def sim_best_pair(t: Tables) -> DataFrame:
     best = _prompts(t, 8).groupBy("vec_id").agg(F.max_by(F.struct("pid", "s"), F.struct("s", (-F.col("pid")).alias("t"))).alias("b"))
     return best.select("vec_id", F.col("b.pid").alias("best"), F.round("b.s", 6).alias("score"))
 
 
-@query(f"SELECT vec_id, round(max(s), 6) AS score FROM ({_SIM.format(8, 8)}) GROUP BY vec_id HAVING max(s) <= 0.25", "vec")
+@query(f"SELECT vec_id, round(max(s), 6) AS score FROM ({_SIM.format(8)}) GROUP BY vec_id HAVING max(s) <= 0.25", "vec")
 def sim_prompt_filter(t: Tables) -> DataFrame:
     return _prompts(t, 8).groupBy("vec_id").agg(F.max("s").alias("m")).where("m <= 0.25").select("vec_id", F.round("m", 6).alias("score"))
 
 
-@query(f"SELECT vec_id, pid AS best FROM (SELECT vec_id, pid FROM ({_SIM.format(12, 12)}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, pid) = 1) WHERE pid <> 0", "vec")
+@query(f"SELECT vec_id, pid AS best FROM (SELECT vec_id, pid FROM ({_SIM.format(12)}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, pid) = 1) WHERE pid <> 0", "vec")
 def sim_argmax_filter(t: Tables) -> DataFrame:
     best = _prompts(t, 12).groupBy("vec_id").agg(F.max_by("pid", F.struct("s", (-F.col("pid")).alias("t"))).alias("best"))
     return best.where("best != 0")
