@@ -195,9 +195,9 @@ class Codec:
             cls._HELD[path, pattern] = cls(path, pattern)
         return cls._HELD[path, pattern]
 
-    def _encode(self, new: list[str]) -> list[list[int]]:
+    def _encode(self, new: list[str]) -> list[bytes]:
         encode, find = self.machine.encode, self.pattern.findall
-        return [[i for m in find(p) for i in encode(m.encode())] for p in new]
+        return [array("I", [i for m in find(p) for i in encode(m.encode())]).tobytes() for p in new]
 
     def encode(self, found: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

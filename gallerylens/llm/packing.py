@@ -34,9 +34,28 @@ def encoder(path: str) -> Remembered:
         made = Tokenizer.from_file(path)
         special = [t.content for t in made.get_added_tokens_decoder().values()]
 
-        def encode(new: list[str]) -> list[list[int]]:
+        opens = np.zeros(made.get_vocab_size(), bool)  # ids of tokens that begin with a space, in the vocabulary's spelling of bytes
+        opens[[i for t, i in made.get_vocab().items() if t[0] == "\u0120"]] = True
+
+        def alone(new: list[str]) -> list[list[int]]:
             return [e.ids for e in made.encode_batch_fast(new, add_special_tokens=False)]
 
+        def encode(new: list[str]) -> list[bytes]:
+            # parts with one space, at their front, are encoded as one text: a token that begins with a space begins a part
+            out: list[bytes | None] = [None] * len(new)
+            easy = [i for i, p in enumerate(new) if p[:1] == " " and p.count(" ") == 1]
+            if easy:
+                ids = np.array(alone(["".join([new[i] for i in easy])])[0], "<u4")
+                at = np.flatnonzero(opens[ids])
+                if len(at) == len(easy):
+                    whole, edges = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                    for i, a, b in zip(easy, edges, edges[1:], strict=False):
+                        out[i] = whole[a:b]
+            rest = [i for i, own in enumerate(out) if own is None]
+            for i, own in zip(rest, alone([new[i] for i in rest]), strict=True):
+                out[i] = array("I", own).tobytes()
+            return out
+
         _ENCODERS[path] = Remembered(encode)
         _ENCODERS[path].special = special
         _ENCODERS[path].whole = lambda text: array("I", made.encode(text, add_special_tokens=False).ids).tobytes()

@@ -7,47 +7,50 @@ parts from one such space to the next encode independently of each other.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Callable
 
-#: A space with white space beside it, by either library's notion, or at an end of the text.
-_ODD = re.compile(r"\s\s|^\s|\s$")
+#: White space other than space and line feed, by any library's notion.
+_RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def parts(text: str) -> list[str]:
     """The parts, in order, each but the first without the space before it; joined by spaces they are the text."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text)
+    return _CUT.split(text) if odd else text.split(" ")
 
 
 class Remembered:
-    """encode(list of new parts) -> their ids.
+    """encode(list of new parts) -> the ids of each as little-endian unsigned 32-bit integers.
 
     Parts are remembered in two generations of at most limit each: when the young one is full it becomes the
     old one, and what is met again comes back, so that frequent parts stay while memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000) -> None:
         self.encode, self.limit = encode, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, keys: set[str], spelled: Callable[[str], str]) -> None:
-        if len(self.young) + len(keys) > self.limit:
-            self.old, self.young = self.young, {}
-        new = []
-        for k in keys:
-            if (ids := self.old.get(k)) is not None:
-                self.young[k] = ids
-            else:
+    def _learn(self, keys: set[str]) -> None:
+        missing = keys.difference(self.young)
+        if not missing:
+            return
+        if len(self.young) + len(missing) > self.limit:
+            self.old, self.young, missing = self.young, {}, keys
+        young, new = self.young, []
+        for k in missing:
+            ids = self.old.get(k)
+            if ids is None:
                 new.append(k)
+            else:
+                young[k] = ids
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            for k, ids in zip(some, self.encode([spelled(k) for k in some]), strict=True):
-                self.young[k] = array("I", ids).tobytes()
+            young.update(zip(some, self.encode([k[1:] if k[:1] == " " else " " + k for k in some]), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers.
+        """Each text's ids.
 
         Parts are keyed without the space before them, and none of these begins with a space; a text's first
         part, which has none before it, is keyed with one.
@@ -57,19 +60,12 @@ class Remembered:
             own = parts(t)
             own[0] = " " + own[0]
             cut.append(own)
-        out, missing = [list(map(self.young.get, own)) for own in cut], set()
-        for own, found in zip(cut, out, strict=True):
-            if None in found:
-                missing.update(k for k, v in zip(own, found, strict=True) if v is None)
-        if missing:
-            self._learn(missing, lambda k: k[1:] if k[0] == " " else " " + k)
-            for own, found in zip(cut, out, strict=True):
-                if None in found:
-                    found[:] = [self.young.get(k) if v is None else v for k, v in zip(own, found, strict=True)]
-        return [b"".join(found) for found in out]
+        self._learn(set().union(*cut))
+        known = self.young.__getitem__
+        return [b"".join(map(known, own)) for own in cut]
 
 
-def in_groups(texts: list[str], most: int = 1 << 20):
+def in_groups(texts: list[str], most: int = 4 << 20):
     """Runs of texts of at most so many characters, or a single text."""
     held, size = [], 0
     for t in texts:
