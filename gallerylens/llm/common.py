@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,6 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of shuffle files whose results were stored: Spark removes them when the driver's JVM collects their plan."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns (doc_id long, text string) alone, null texts as empty; other columns cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
@@ -40,6 +47,30 @@ def raw(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What make gives, kept by a Python worker between tasks; another operator's key takes its place, so that a worker holds one operator's tables at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def groups(found: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most so many bytes together, or of a single text."""
+    at, size = 0, 0
+    for k, text in enumerate(found):
+        if k > at and size + len(text) > most:
+            yield at, k
+            at, size = k, 0
+        size += len(text)
+    if at < len(found):
+        yield at, len(found)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The rows of the named columns, one batch in memory at a time."""
     for batch in batches:

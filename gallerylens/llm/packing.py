@@ -18,16 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import batched, stored, texts
+from .common import batched, kept, stored, texts
 from .pieces import Remembered, in_groups
 
 SIZE, END = 2048, 0
-_ENCODERS: dict[str, Remembered] = {}
 
 
 def encoder(path: str) -> Remembered:
     """One per worker and file, kept between tasks."""
-    if path not in _ENCODERS:
+
+    def build() -> Remembered:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,10 +56,12 @@ def encoder(path: str) -> Remembered:
                 out[i] = array("I", own).tobytes()
             return out
 
-        _ENCODERS[path] = Remembered(encode)
-        _ENCODERS[path].special = special
-        _ENCODERS[path].whole = lambda text: array("I", made.encode(text, add_special_tokens=False).ids).tobytes()
-    return _ENCODERS[path]
+        own = Remembered(encode)
+        own.special = special
+        own.whole = lambda text: array("I", made.encode(text, add_special_tokens=False).ids).tobytes()
+        return own
+
+    return kept(("packing", path), build)
 
 
 def encoded(found: list[str], path: str) -> list[bytes]:
