@@ -2,11 +2,15 @@
 
 Over a run of bytes the last token of each prefix's encoding is unique: of the tokens that end there it is the
 one that stays apart from the last token before it when both are encoded together.  That makes BPE a
-transducer: a state holds the token sent last and the bytes still undecided, a step reads a byte.  A boundary
-is sent once the encodings of all prefixes that a later token may still start from run through it, which is
-after at most the longest token.  States and steps are compiled from the merges when first met.
+transducer: a state holds the bytes still undecided, a step reads a byte.  A boundary is sent once the
+encodings of all prefixes that a later token may still start from run through it, which is after at most the
+longest token.  States and steps are compiled from the merges when first met.
 
-Decoding walks a second machine: states of UTF-8 between characters or inside one, steps by whole token.
+Tokens of which each stays apart from the next are the encoding.  A state takes no notice of the token sent
+before its bytes, which keeps states few; where a token sent turns out not to stay apart from the one before,
+the match is read again by a second machine whose states hold the token sent last.
+
+Decoding walks a machine of its own: states of UTF-8 between characters or inside one, steps by whole token.
 """
 
 from __future__ import annotations
@@ -14,12 +18,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import kept, texts
 from .pieces import Remembered, in_groups
 
 
@@ -33,14 +38,15 @@ class Transducer:
     """encode(bytes of one match) -> ids, as merging the adjacent pair of lowest rank again and again would give.
 
     At most limit states are held; past that they are compiled anew.  A byte without a rank cannot be encoded
-    and raises KeyError.
+    and raises KeyError.  strict: states hold the token sent last.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000) -> None:
-        self.ranks, self.limit = ranks, limit
+    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000, strict: bool = False) -> None:
+        self.ranks, self.limit, self.strict = ranks, limit, None if strict else Transducer(ranks, limit, True)
         self.tokens = {r: t for t, r in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.apart: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple | None] = {}
         self._restart()
 
     def _restart(self) -> None:
@@ -54,32 +60,63 @@ class Transducer:
         if len(self.states) > self.limit:
             self._restart()
         out: list[int] = []
-        steps, state = self.steps, 0
+        steps, state, apart = self.steps, 0, self.apart
         for b in match:
             step = steps[state].get(b) or self._step(state, b)
-            if step[0]:
-                out += step[0]
+            if ids := step[0]:
+                if out and self.strict and not (apart[pair] if (pair := (out[-1], ids[0])) in apart else self._stay_apart(*pair)):
+                    return self.strict.encode(match)
+                out += ids
             state = step[1]
-        out += self.ends[state]
+        if ids := self.ends[state]:
+            if out and self.strict and not self._stay_apart(out[-1], ids[0]):
+                return self.strict.encode(match)
+            out += ids
         return out
 
     def _stay_apart(self, left: int, right: int) -> bool:
-        """Whether the bytes of both tokens together encode to just these two; left -1: to right alone."""
-        if (known := self.apart.get((left, right))) is None:
+        """Whether the bytes of both tokens together encode to just these two; left -1: to right alone.
+
+        Merges are undone from the latest backwards on either side of the boundary: if ever the two parts
+        that touch it would have merged before the merge undone last, the boundary does not stand.
+        """
+        known = self.apart.get((left, right))
+        if known is None:
             if len(self.apart) > 1_000_000:
                 self.apart.clear()
-            own = self.tokens[right] if left < 0 else self.tokens[left] + self.tokens[right]
-            known = self.apart[left, right] = self._merge(own) == ([right] if left < 0 else [left, right])
+            known = self.apart[left, right] = self._halves(right) is not None if left < 0 else self._boundary(left, right)
         return known
 
-    def _merge(self, text: bytes) -> list[int]:
-        ranks, own = self.ranks, [text[i : i + 1] for i in range(len(text))]
-        while len(own) > 1:
-            low, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(own, own[1:], strict=False)))
-            if low == 1 << 60:
-                break
-            own[at : at + 2] = [own[at] + own[at + 1]]
-        return [ranks[x] for x in own]
+    def _boundary(self, left: int, right: int) -> bool:
+        if self._halves(left) is None or self._halves(right) is None:
+            return False
+        ranks, tokens, before = self.ranks, self.tokens, 1 << 60
+        while True:
+            if ranks.get(tokens[left] + tokens[right], before) < before:
+                return False
+            l, r = self._halves(left), self._halves(right)
+            if l and (not r or left > right):
+                before, left = left, l[1]
+            elif r:
+                before, right = right + 1, r[0]  # of merges of one rank the left one is first
+            else:
+                return True
+
+    def _halves(self, token: int) -> tuple | None:
+        """The two tokens that the token's last merge joins; () for a byte; None if its bytes encode otherwise."""
+        if token not in self.halves:
+            ranks, own = self.ranks, [self.tokens[token][i : i + 1] for i in range(len(self.tokens[token]))]
+            found: tuple | None = ()
+            while len(own) > 1:
+                low, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(own, own[1:], strict=False)))
+                if low == 1 << 60:
+                    found = None
+                    break
+                if len(own) == 2:
+                    found = ranks[own[0]], ranks[own[1]]
+                own[at : at + 2] = [own[at] + own[at + 1]]
+            self.halves[token] = found
+        return self.halves[token]
 
     def _step(self, state: int, b: int) -> tuple[tuple[int, ...], int]:
         sent, pending, lasts, starts = self.states[state]
@@ -103,7 +140,7 @@ class Transducer:
         while at:
             ids.append(lasts[at - 1])
             at -= len(tokens[ids[-1]])
-        key = (ids[0] if ids else sent, text[cut:])
+        key = (-1 if self.strict else ids[0] if ids else sent, text[cut:])
         if (to := self.index.get(key)) is None:
             to = self.index[key] = len(self.states)
             self.states.append((*key, lasts[cut:], (*(at - cut for at in starts), n - cut)))
@@ -125,14 +162,19 @@ class Utf8Stream:
     """Decodes ids as they come: whole characters go out, the bytes of an unfinished one wait.
 
     A state is (bytes that must follow, lowest and highest next byte); between characters it is (0, 0, 0).
-    Steps are by token, compiled when first met: the next state and how many trailing bytes stay unfinished.
-    Ill-formed bytes go out unchanged in the bytes and as U+FFFD in the text.
+    Steps are by token: the next state and how many trailing bytes stay unfinished.  Those from between
+    characters are compiled at first, the others when first met; a run of tokens that all lead back between
+    characters is one chunk.  Ill-formed bytes go out unchanged in the bytes and as U+FFFD in the text.
     """
 
     REST = (0, 0, 0)
 
     def __init__(self, tokens: dict[int, bytes]) -> None:
         self.tokens, self.steps = tokens, {}
+        self.whole = np.zeros(max(tokens, default=-1) + 1, bool)
+        for i in tokens:
+            self.steps[self.REST, i] = step = self._step(self.REST, i)
+            self.whole[i] = step[0] is self.REST
 
     def _step(self, state: tuple[int, int, int], token: int) -> tuple[tuple[int, int, int], int]:
         open_bytes = 0  # of the unfinished character, in this token
@@ -144,34 +186,33 @@ class Utf8Stream:
                 continue
             follow = next((x for x in _LEADS if x[0] <= b <= x[1]), None)
             state, open_bytes = ((follow[2], follow[3], follow[4]), 1) if follow else (self.REST, 0)
-        if len(self.steps) > 500_000:
-            self.steps.clear()
         return state, open_bytes
 
-    def chunks(self, ids: Iterable[int]) -> Iterator[bytes]:
-        """Bytes up to the last whole character of each step, without empty chunks; at the end what is left."""
-        state, held, steps, tokens = self.REST, b"", self.steps, self.tokens
-        for i in ids:
-            step = steps.get((state, i)) if state is not self.REST else steps.get(i)
+    def chunks(self, ids: Sequence[int]) -> Iterator[bytes]:
+        """Bytes up to the last whole character of each run of tokens, without empty chunks; at the end what is left."""
+        state, held, tokens, at, ids = self.REST, b"", self.tokens.__getitem__, 0, list(ids)
+        inside = [*np.flatnonzero(~self.whole[np.asarray(ids, np.int64)]).tolist(), len(ids)]
+        upcoming = iter(inside)
+        stop = next(upcoming)
+        while at < len(ids):
+            while stop < at:
+                stop = next(upcoming)
+            if state is self.REST and stop > at:
+                yield b"".join(map(tokens, ids[at:stop]))
+                at = stop
+                continue
+            step = self.steps.get((state, ids[at]))
             if step is None:
-                step = self._step(state, i)
-                steps[i if state is self.REST else (state, i)] = step
-            text = tokens[i]
-            if step[0] is self.REST and not held:
-                yield text
-            elif step[0] is self.REST:
-                yield held + text
-                held = b""
-            elif step[1] == len(text):
-                held += text
-            else:  # a character ends within this token and another begins
-                yield held + text[: len(text) - step[1]]
-                held = text[len(text) - step[1] :]
-            state = step[0]
+                step = self.steps[state, ids[at]] = self._step(state, ids[at])
+            token = tokens(ids[at])
+            held, at, state = held + token, at + 1, step[0]
+            if state is self.REST or step[1] < len(token):  # a character ends in this token
+                yield held[: len(held) - step[1]]
+                held = held[len(held) - step[1] :]
         if held:
             yield held
 
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
+    def text(self, ids: Sequence[int]) -> Iterator[str]:
         for chunk in self.chunks(ids):
             yield chunk.decode("utf-8", "replace")
 
@@ -179,8 +220,6 @@ class Utf8Stream:
 class Codec:
     """A rank file and the pattern that cuts texts into matches."""
 
-    _HELD: dict[tuple[str, str], Codec] = {}
-
     def __init__(self, path: str, pattern: str) -> None:
         import regex
 
@@ -191,9 +230,7 @@ class Codec:
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
         """One per worker, kept between tasks."""
-        if (path, pattern) not in cls._HELD:
-            cls._HELD[path, pattern] = cls(path, pattern)
-        return cls._HELD[path, pattern]
+        return kept(("bpe", path, pattern), lambda: cls(path, pattern))
 
     def _encode(self, new: list[str]) -> list[bytes]:
         encode, find = self.machine.encode, self.pattern.findall
