@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import raw, stored, texts
+from .common import raw, released, stored, texts
 
 LENGTH, GRAM = 50, 20
-CHUNK, GATHER, SHARD, MERGE, HOT = 4 << 20, 32 << 20, 1 << 20, 4 << 20, 20_000
+CHUNK, GATHER, SHARD, MERGE, HOT, REGION = 4 << 20, 32 << 20, 1 << 20, 4 << 20, 5_000, 512
 _LOW = np.uint64((1 << 23) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -125,13 +125,14 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([doc[at], start[at], (reach - base)[np.append(at[1:] - 1, len(doc) - 1)]])
 
 
-def _covered_rows(found: np.ndarray, rng_key: bool) -> np.ndarray:
-    """Rows (key, context, doc, start, end, kind 0) of merged intervals; their key spreads them evenly."""
-    key = _mix((found[0] * np.int64(1_000_003) + found[1]).view(np.uint64)).view(np.int64) if rng_key else np.zeros(found.shape[1], np.int64)
-    return np.stack([key, np.zeros_like(key), found[0], found[1], found[2], np.zeros_like(key)])
+#: Rows as they are shuffled: place is start << 8 | windows << 2 | kind. Kind 0 is a covered interval, whose end stands for the context.
+_FIELDS = ["key", "context", "doc_id", "place"]
 
 
-_FIELDS = ["key", "context", "doc_id", "start", "n", "kind"]
+def _covered_rows(found: np.ndarray) -> np.ndarray:
+    """Merged intervals (doc, start, end) as rows of kind 0; their key spreads them evenly."""
+    key = _mix((found[0] * np.int64(1_000_003) + found[1]).view(np.uint64)).view(np.int64)
+    return np.stack([key, found[2], found[0], found[1] << 8])
 
 
 def _batches(rows: np.ndarray, names: list[str], size: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -140,25 +141,28 @@ def _batches(rows: np.ndarray, names: list[str], size: int = 200_000) -> Iterato
 
 
 def _first_of_context(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """rows (key, context, doc, start, n) sorted by key, context, doc, and whether each is of a context's smallest document."""
-    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
-    new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]) if rows.shape[1] else np.zeros(0, bool)
-    lowest = rows[2][np.flatnonzero(new)][np.cumsum(new) - 1] if rows.shape[1] else rows[2]
+    """rows (key, context, doc, ...) with those of a key and context together, and whether each is of the smallest document of these.
+
+    They are brought together by one hash of both and told apart by both, so that rows whose hashes collide
+    are at worst left for later.
+    """
+    if not rows.shape[1]:
+        return rows, np.zeros(0, bool)
+    rows = rows[:, np.argsort(_mix(rows[0].view(np.uint64) * _ODD[2] + rows[1].view(np.uint64)))]
+    new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
+    lowest = np.minimum.reduceat(rows[2], np.flatnonzero(new))[np.cumsum(new) - 1]
     return rows, rows[2] == lowest
 
 
 def _local(batches) -> Iterator[pa.RecordBatch]:
-    """kind 1: anchors of the smallest document of each context among these texts; kind 0: what is covered already."""
+    """Kind 1: anchors of the smallest document of each context among these texts; kind 0: what is covered already."""
 
     def flush(docs):
         rows, own = _first_of_context(anchors(docs))
         rest = rows[:, ~own]
-        yield from _batches(_covered_rows(_merged(rest[2], rest[3], rest[3] + rest[4] + LENGTH - 1), True), _FIELDS)
-        # one row for a document that holds a context more than once
+        yield from _batches(_covered_rows(_merged(rest[2], rest[3], rest[3] + rest[4] + LENGTH - 1)), _FIELDS)
         rows = rows[:, own]
-        again = np.concatenate([[False], (rows[:3, 1:] == rows[:3, :-1]).all(axis=0)]) if rows.shape[1] else np.zeros(0, bool)
-        # every place of it may be covered from elsewhere, so all places go on; one of them may serve as source
-        rows = np.concatenate([rows, np.where(again, 3, 1)[None]])
+        rows = np.stack([*rows[:3], rows[3] << 8 | rows[4] << 2 | 1])
         yield from _batches(rows, _FIELDS)
 
     docs, size = [], 0
@@ -190,20 +194,25 @@ def _resolve(batches) -> Iterator[pa.RecordBatch]:
             rows = held
         if not rows.shape[1]:
             continue
-        yield from _batches(rows[[0, 2, 3, 4, 5]][:, rows[5] == 0], ["key", "doc_id", "start", "n", "kind"])
-        rows, own = _first_of_context(rows[:5, rows[5] != 0])
+        done, rows = rows[:, rows[3] & 3 == 0], rows[:, rows[3] & 3 != 0]
+        yield from _batches(np.stack([done[0], done[2], done[3] >> 8, done[1], np.zeros_like(done[0])]), ["key", "doc_id", "start", "n", "kind"])
+        rows, own = _first_of_context(np.stack([*rows[:3], rows[3] >> 8, rows[3] >> 2 & 63]))
         rest = _merged(rows[2][~own], rows[3][~own], (rows[3] + rows[4] + LENGTH - 1)[~own])
         yield from _batches(np.stack([np.zeros_like(rest[0]), rest[0], rest[1], rest[2], np.zeros_like(rest[0])]), ["key", "doc_id", "start", "n", "kind"])
         rows = rows[:, own]
         if not rows.shape[1]:
             continue
-        key = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
-        at, of = np.flatnonzero(key), np.cumsum(key) - 1
-        contexts = np.add.reduceat(np.concatenate([[1], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]).astype(np.int64), at)
-        several = np.minimum.reduceat(rows[2], at) != np.maximum.reduceat(rows[2], at)
-        use = (several & (contexts > 1))[of]
-        kind = np.where(contexts > HOT, 2, 1)[of]
-        yield from _batches(np.stack([rows[0], rows[2], rows[3], rows[4], kind])[:, use], ["key", "doc_id", "start", "n", "kind"])
+        rows = rows[:, np.lexsort((rows[1], rows[3], rows[2], rows[0]))]  # the smallest document of each key first
+        at = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+        of = np.repeat(np.arange(len(at)), np.diff(np.append(at, rows.shape[1])))
+        several = rows[2][at] != rows[2][np.append(at[1:], rows.shape[1]) - 1]
+        differ = np.bincount(of, weights=rows[1] != rows[1][at][of]) > 0
+        many = np.diff(np.append(at, rows.shape[1])) > HOT
+        # keys that lie near each other in their smallest document are compared together, so that their contexts overlap in one part
+        near = _mix(rows[2][at].view(np.uint64) * _ODD[3] + (rows[3][at] // REGION).view(np.uint64)).view(np.int64)
+        use = (several & differ)[of]
+        kind = np.where(many, 2, 1)[of]
+        yield from _batches(np.stack([near[of], rows[2], rows[3], rows[4], kind])[:, use], ["key", "doc_id", "start", "n", "kind"])
 
 
 def _ended(batches):
@@ -216,19 +225,26 @@ def _gram_key(text: bytes) -> int:
 
 
 def _contexts(batches) -> Iterator[pa.RecordBatch]:
-    """Each place to compare with its bytes. Of a hot key every window goes alone, keyed by itself: only equal windows meet."""
+    """Each document's places to compare with their bytes; runs of windows that touch and have one key are one part.
+    Of a hot key every window goes alone, keyed by itself: only equal windows meet."""
     for batch in batches:
         out = []
         for text, places in zip(raw(batch.column("text")), batch.column("places").to_pylist(), strict=True):
-            for p in places:
-                part = text[p["start"] : p["start"] + p["n"] + LENGTH - 1]
-                if len(part) < LENGTH:
-                    continue  # of another row with this doc_id
+            runs: dict[int, list[list[int]]] = {}
+            for p in sorted(places, key=lambda p: p["start"]):
+                start, end = p["start"], min(p["start"] + p["n"], len(text) - LENGTH + 1)  # another row with this doc_id may be shorter
+                if start >= end:
+                    continue
                 if p["kind"] == 2:
-                    windows = ((i, part[i : i + LENGTH]) for i in range(len(part) - LENGTH + 1))
-                    out += [(_gram_key(w), p["doc_id"], p["start"] + i, w) for i, w in windows]
+                    out += [(_gram_key(text[i : i + LENGTH]), p["doc_id"], i, text[i : i + LENGTH]) for i in range(start, end)]
+                    continue
+                own = runs.setdefault(p["key"], [])
+                if own and start <= own[-1][1]:
+                    own[-1][1] = max(own[-1][1], end)
                 else:
-                    out.append((p["key"], p["doc_id"], p["start"], part))
+                    own.append([start, end])
+            doc = places[0]["doc_id"]
+            out += [(key, doc, a, text[a : b + LENGTH - 1]) for key, own in runs.items() for a, b in own]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "start", "part"])
 
@@ -349,8 +365,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty result.
     """
     df = texts(docs, id_col, text_col)
-    local = df.mapInArrow(_local, "key long, context long, doc_id long, start long, n long, kind long")
+    local = df.mapInArrow(_local, "key long, context long, doc_id long, place long")
     found = stored(local.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve, "key long, doc_id long, start long, n long, kind long"), "anchors")
+    del local
+    released(docs.sparkSession)
     places = found.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("key", "doc_id", "start", "n", "kind")).alias("places"))
     parts = df.join(places, "doc_id").select("text", "places").mapInArrow(_contexts, "key long, doc_id long, start long, part binary")
     compared = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc_id long, start long, end long")
