@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -6,7 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from gallerylens.llm import components, exact, simhash
+import corpus_pipeline
+from gallerylens.llm import components, exact, shingles, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,6 +73,51 @@ def test_trie_pairs_finds_every_pair():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
 
 
+def brute_shingles(text):
+    w = WORD.findall(lower(text))
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+
+
+@pytest.fixture(scope="session")
+def edited():
+    """Texts with a few words replaced, some pairs above and some below 0.8, and a passage that many texts share."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    shared, rows = [rng.choice(vocabulary) for _ in range(25)], []
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(20, 200))] + shared
+        rows.append(base)
+        for _ in range(4):
+            other = list(rows[-1])
+            for _ in range(rng.randint(0, len(base) // 25)):
+                other[rng.randrange(len(other))] = rng.choice(vocabulary)
+            rows.append(other[rng.randint(0, 4) :])
+    return list(enumerate([" ".join(r) for r in rows] + ["a b", "A  b", "a c", "", None]))
+
+
+def similar_roots(rows):
+    ids, sets = sorted({i for i, _ in rows}), {i: brute_shingles(t) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(ids, 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    return roots(links, ids)
+
+
+@pytest.mark.parametrize("common", [2, 10**9])
+def test_similar_documents_brute_force(spark, docs, rows, edited, monkeypatch, common):
+    """Every pair of a Jaccard similarity of 0.8 or more is linked and no other, in whichever order shingles are."""
+    monkeypatch.setattr(shingles, "COMMON", common)
+    for df, of in ((docs, rows), (spark.createDataFrame(edited, "doc_id long, text string"), edited)):
+        got = [(r.doc_id, r.component_id) for r in shingles.similar_documents(df).collect()]
+        want = similar_roots(of)
+        assert sorted(got) == sorted((i, want[i]) for i, _ in of)
+
+
+def test_near_stage_keeps_one_of_each_group(spark, edited):
+    df = spark.createDataFrame(edited, "doc_id long, text string")
+    want = similar_roots(edited)
+    assert len(set(want.values())) < len(want) - 10
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, df, "").collect()) == sorted(set(want.values()))
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (500, 500), (200, 201), (201, 200)] + [(300, rng.randint(301, 330)) for _ in range(40)]
@@ -110,4 +157,5 @@ def test_open_table_tells_equal_hashes_apart():
 
 def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
+    assert shingles.similar_documents(empty).count() == 0
     assert exact.exact_dedup(empty).count() == 0
