@@ -75,6 +75,42 @@ def test_shares_add_up(spark, corpus):
     assert np.allclose(model.unigram.sum(axis=1), 1, atol=1e-6) and (model.unigram > 0).all()
 
 
+def counted(spark, monkeypatch, rows, words=None):
+    if words is not None:
+        monkeypatch.setattr(toxicity, "BROADCAST_WORDS", words)
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    return toxicity.fit(df, df)
+
+
+def test_words_do_not_share_counts(spark, monkeypatch):
+    """More types than any fixed number of bins of 2^18 keeps apart: each has its own counts."""
+    rows = [(" ".join(f"w{k}" for k in range(a, a + 5000)), a // 5000 % 2) for a in range(0, 300_000, 5000)]
+    model = counted(spark, monkeypatch, rows)
+    assert len(model.words.keys) == 300_000 and model.unigram.shape == (2, 300_001)
+
+
+def test_rare_words_have_counts_and_contexts(spark, monkeypatch):
+    rows = [("ka lo rotter", 1), ("mi lo", 0), ("nu lo", 0), ("ka mi nu", 0)]
+    model = counted(spark, monkeypatch, rows)
+    at = {w: int(np.flatnonzero(model.words.keys == toxicity.word_hash(w.encode()))[0]) for w in ("rotter", "lo", "mi", "ka")}
+    assert model.words.ratio[at["rotter"]] > model.words.ratio[at["lo"]] > model.words.ratio[at["mi"]]
+    # by hand: 5 types, contexts lo 3, rotter 1, mi 1, nu 1; toxic: 3 words and 3 * 0.75 freed
+    shared = lambda n: (n + 1) / (6 + 5 + 1)
+    assert np.isclose(model.unigram[1][at["rotter"]], (0.25 + 3.25 * shared(1)) / 4) and np.isclose(model.unigram[1][at["lo"]], (0.25 + 3.25 * shared(3)) / 4)
+
+
+def test_words_that_are_not_broadcast(spark, corpus, monkeypatch):
+    docs, labels = spark.read.parquet(f"{corpus}/documents.parquet"), spark.read.parquet(f"{corpus}/labels.parquet")
+    whole = toxicity.train(docs, labels)
+    want = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, whole).collect()}
+    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", 20)
+    model = toxicity.train(docs, labels)
+    assert len(model.words.keys) == 20 and model.rest.count() == len(whole.words.keys) - 20
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
+    assert {r.doc_id for r in toxicity.keep_ordinary(docs, model).collect()} == {r.doc_id for r in toxicity.keep_ordinary(docs, whole).collect()}
+
+
 def test_cascade_is_exact():
     rng = random.Random(1)
     universe = {f"h{rng.random()}" for _ in range(3000)}
