@@ -31,15 +31,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets go of shuffle files whose results were stored: Spark removes them when the driver's JVM collects their plan."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns (doc_id long, text string) alone, null texts as empty; other columns cannot clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    """The columns (doc_id long, text string) alone, null texts as empty; other columns cannot clash. A row whose id is null or no number stays, with a null doc_id."""
+    return docs.select(F.expr(f"try_cast(`{id_col}` AS bigint)").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -2,33 +2,47 @@
 
 A byte goes when a string of 50 bytes that covers it also starts in a document with a smaller id.
 
-Every 50-byte window has one anchor, the smallest hash among its 20-byte strings, so equal windows have equal
-anchors; the windows of one anchor are one run, its context.  Anchors are dealt out by their hash:
-
-* In a task's texts, and again in a bucket, only the smallest document of equal contexts goes on; the others
-  are covered whole.  A passage that a third of all documents share so leaves each task once.
-* Anchors with one context, or in one document, need nothing more.
-* Where contexts differ, their bytes are gathered.  Each shard of contexts gets its Burrows-Wheeler transform;
-  the shards' transforms are merged by refining their interleaving, one symbol of all suffixes in a round: a
-  stable pass by the preceding symbols moves each suffix to its place and splits the blocks of suffixes that
-  agree so far.  After 50 rounds a block is an interval of common prefix 50 or more, and the smallest document
-  in it decides for all others.  No suffix of the merged text is sorted anew.
+Which windows of 50 bytes are repeated is decided by merged transforms alone, symbol by symbol.  Anchors only
+tell which bytes have to meet: a window's anchor is the smallest hash among its 20-byte strings, so equal
+windows have equal anchors, and a window whose anchor occurs in one document only is not repeated.  Two anchors
+that have one hash by chance bring together bytes that the transforms then find unlike.
+
+* A task takes its texts some MB at a time.  Runs of windows whose anchors occur in several of these texts are
+  cut into shards; each shard gets its Burrows-Wheeler transform, and the transforms are merged.  What also
+  starts in a smaller document is covered, and anchors of nothing else go no further: a passage that a third of
+  all documents share leaves these texts once.
+* The other anchors are dealt out by their hash, packed into one block for each bucket.  Those of several
+  documents send their runs of windows to the place of the anchor in its smallest document, by regions of 512
+  bytes, where runs overlap and become one part.  An anchor of so many runs that they are over GROUP bytes is
+  dealt to several places, each window to the one that its bytes name.
+* At each place the transforms of shards are merged again.  If more meet there than MERGE bytes, they are taken
+  in order of documents, and only the windows that no smaller document has wait for the next ones.
+
+Merging refines the interleaving of the shards: a stable pass by the symbols before the suffixes moves each
+suffix to its place among those that share one symbol more, and splits the blocks of suffixes that agree so far.
+After 50 symbols a block is an interval of common prefix 50 or more, and the smallest document in it decides for
+all others.  No suffix of the merged text is sorted anew.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import raw, released, stored, texts
+from .common import raw, stored, texts
 
 LENGTH, GRAM = 50, 20
-CHUNK, GATHER, SHARD, MERGE, HOT, REGION = 4 << 20, 32 << 20, 1 << 20, 4 << 20, 5_000, 512
-_LOW = np.uint64((1 << 23) - 1)
+#: Bytes that are hashed at a time, that a task looks at together, of a shard, of a merge, of an anchor's runs in one place, of a region.
+CHUNK, BLOCK, SHARD, MERGE, GROUP, REGION = 256 << 10, 4 << 20, 128 << 10, 1 << 20, 256 << 10, 512
+#: Anchors that are resolved at a time; bytes of a key that are sent.
+RESOLVE, KEY_BYTES = 300_000, 6
+_LOW = np.uint64((1 << 19) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
@@ -45,306 +59,435 @@ def _ahead(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def gram_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 16 and of the GRAM = 16 + 4 bytes from each place."""
+def gram_hashes(buffer: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM = 16 + 4 bytes from each place."""
     h = _mix((buffer.astype(np.uint64) + np.uint64(1)) * _ODD[0])
-    four = None
+    four = h
     for level, n in enumerate((1, 2, 4, 8)):
         h = _mix(h * _ODD[level] + _ahead(h, n))
         four = h if n == 2 else four
-    return h, _mix(h * _ODD[5] + _ahead(four, 16))
+    return _mix(h * _ODD[5] + _ahead(four, 16))
 
 
-def _range_hash(h16: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes start..end, of 50 to 80 bytes: overlapping strings of 16 cover them."""
-    out = _mix((end - start).astype(np.uint64) + np.uint64(7))
-    for at in (start, start + 16, start + 32, end - 32, end - 16):
-        out = _mix(out * _ODD[1] + h16[at])
-    return out
-
-
-def anchors(docs: list[tuple[int, bytes]]) -> np.ndarray:
-    """Rows (key, context, doc, first window, windows) as int64 columns, one for each anchor of each text."""
-    out = []
-    for group in _chunks(docs):
-        buffer = np.frombuffer(b"".join(t for _, _, t in group), np.uint8)
-        sizes = np.array([len(t) for _, _, t in group])
-        begin = np.cumsum(sizes) - sizes
-        h16, gram = gram_hashes(buffer)
-        low = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
-        width = LENGTH - GRAM + 1
-        span = 1
-        while 2 * span <= width:
-            low = np.minimum(low, np.concatenate([low[span:], np.full(min(span, len(low)), low.max(), np.uint64)])[: len(low)])
-            span *= 2
-        low = np.minimum(low, np.concatenate([low[width - span :], np.full(min(width - span, len(low)), low.max(), np.uint64)])[: len(low)])
-        owner = (low & _LOW).astype(np.int64)
-        which = np.repeat(np.arange(len(group)), np.maximum(sizes - LENGTH + 1, 0))
-        windows = np.maximum(sizes - LENGTH + 1, 0)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[which]
-        if not len(at):
-            continue
-        own = owner[at]
-        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (which[1:] != which[:-1])]))
-        n = np.diff(np.append(first, len(at)))
-        start, doc = at[first], which[first]
-        ids, offsets = np.array([d for d, _, _ in group], np.int64), np.array([o for _, o, _ in group], np.int64)
-        context = _range_hash(h16, start, start + n + LENGTH - 1)
-        out.append(np.stack([gram[own[first]].view(np.int64), context.view(np.int64), ids[doc], start - begin[doc] + offsets[doc], n]))
-    return np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
-
-
-def _chunks(docs: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Groups of (doc, offset, bytes) of about CHUNK bytes; a longer text is cut, the windows across a cut in the earlier part."""
+def _chunks(found: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of (text, offset, bytes) of about CHUNK bytes; a longer text is cut, the windows across a cut in the earlier part."""
     held, size = [], 0
-    for doc, text in docs:
+    for k, text in enumerate(found):
         for offset in range(0, max(1, len(text) - LENGTH + 1), CHUNK):
             part = text[offset : offset + CHUNK + LENGTH - 1]
             if held and size + len(part) > CHUNK:
                 yield held
                 held, size = [], 0
-            held.append((doc, offset, part))
+            held.append((k, offset, part))
             size += len(part)
     if held:
         yield held
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Columns doc, start, end of the unions of intervals that overlap or touch."""
-    if not len(doc):
-        return np.zeros((3, 0), np.int64)
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    fresh = np.concatenate([[True], doc[1:] != doc[:-1]])
-    # the running largest end within a document, on a scale where documents do not overlap
-    step = max(int(end.max()), int(start.max())) + 2
-    base = (np.cumsum(fresh) - 1) * step
-    reach = np.maximum.accumulate(end + base)
-    new = fresh | np.concatenate([[True], (start + base)[1:] > reach[:-1]])
-    at = np.flatnonzero(new)
-    return np.stack([doc[at], start[at], (reach - base)[np.append(at[1:] - 1, len(doc) - 1)]])
-
-
-#: Rows as they are shuffled: place is start << 8 | windows << 2 | kind. Kind 0 is a covered interval, whose end stands for the context.
-_FIELDS = ["key", "context", "doc_id", "place"]
-
-
-def _covered_rows(found: np.ndarray) -> np.ndarray:
-    """Merged intervals (doc, start, end) as rows of kind 0; their key spreads them evenly."""
-    key = _mix((found[0] * np.int64(1_000_003) + found[1]).view(np.uint64)).view(np.int64)
-    return np.stack([key, found[2], found[0], found[1] << 8])
-
-
-def _batches(rows: np.ndarray, names: list[str], size: int = 200_000) -> Iterator[pa.RecordBatch]:
-    for k in range(0, rows.shape[1], size):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in rows], names)
-
+def anchors(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each anchor, and rows (text, first window, windows), in order; neighbouring windows of one anchor are one run."""
+    keys, out = [np.zeros(0, np.uint64)], [np.zeros((3, 0), np.int64)]
+    for group in _chunks(found):
+        buffer = np.frombuffer(b"".join(t for _, _, t in group), np.uint8)
+        sizes = np.array([len(t) for _, _, t in group])
+        windows = np.maximum(sizes - LENGTH + 1, 0)
+        if not windows.any():
+            continue
+        begin = np.cumsum(sizes) - sizes
+        gram = gram_hashes(buffer)
+        low = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)  # the first of equals, wherever the window lies
+        width, span = LENGTH - GRAM + 1, 1
+        while 2 * span <= width:
+            low[:-span] = np.minimum(low[:-span], low[span:])
+            span *= 2
+        low[: len(low) - width + span] = np.minimum(low[: len(low) - width + span], low[width - span :])
+        which = np.repeat(np.arange(len(group)), windows)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[which]
+        own = (low[at] & _LOW).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (which[1:] != which[:-1])]))
+        of = which[first]
+        text, offset = np.array([k for k, _, _ in group]), np.array([o for _, o, _ in group])
+        keys.append(gram[own[first]])
+        out.append(np.stack([text[of], at[first] - begin[of] + offset[of], np.diff(np.append(first, len(at)))]))
+    return np.concatenate(keys), np.concatenate(out, axis=1)
 
-def _first_of_context(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """rows (key, context, doc, ...) with those of a key and context together, and whether each is of the smallest document of these.
 
-    They are brought together by one hash of both and told apart by both, so that rows whose hashes collide
-    are at worst left for later.
-    """
-    if not rows.shape[1]:
-        return rows, np.zeros(0, bool)
-    rows = rows[:, np.argsort(_mix(rows[0].view(np.uint64) * _ODD[2] + rows[1].view(np.uint64)))]
-    new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
-    lowest = np.minimum.reduceat(rows[2], np.flatnonzero(new))[np.cumsum(new) - 1]
-    return rows, rows[2] == lowest
-
-
-def _local(batches) -> Iterator[pa.RecordBatch]:
-    """Kind 1: anchors of the smallest document of each context among these texts; kind 0: what is covered already."""
-
-    def flush(docs):
-        rows, own = _first_of_context(anchors(docs))
-        rest = rows[:, ~own]
-        yield from _batches(_covered_rows(_merged(rest[2], rest[3], rest[3] + rest[4] + LENGTH - 1)), _FIELDS)
-        rows = rows[:, own]
-        rows = np.stack([*rows[:3], rows[3] << 8 | rows[4] << 2 | 1])
-        yield from _batches(rows, _FIELDS)
-
-    docs, size = [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), strict=True):
-            docs.append((doc, text))
-            size += len(text)
-            if size >= GATHER:
-                yield from flush(docs)
-                docs, size = [], 0
-    if docs:
-        yield from flush(docs)
-
-
-def _resolve(batches) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, not divided within one: kind 0 covered (doc, start, end), kind 1 or 2 (hot key) contexts to compare."""
-    held = None
-    for batch in _ended(batches):
-        if batch is not None:
-            new = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in _FIELDS])
-            held = new if held is None else np.concatenate([held, new], axis=1)
-            if not held.shape[1]:
-                continue
-            cut = int(np.flatnonzero(np.concatenate([[True], held[0, 1:] != held[0, :-1]]))[-1])
-            rows, held = held[:, :cut], held[:, cut:]
-        elif held is None:
-            return
-        else:
-            rows = held
-        if not rows.shape[1]:
-            continue
-        done, rows = rows[:, rows[3] & 3 == 0], rows[:, rows[3] & 3 != 0]
-        yield from _batches(np.stack([done[0], done[2], done[3] >> 8, done[1], np.zeros_like(done[0])]), ["key", "doc_id", "start", "n", "kind"])
-        rows, own = _first_of_context(np.stack([*rows[:3], rows[3] >> 8, rows[3] >> 2 & 63]))
-        rest = _merged(rows[2][~own], rows[3][~own], (rows[3] + rows[4] + LENGTH - 1)[~own])
-        yield from _batches(np.stack([np.zeros_like(rest[0]), rest[0], rest[1], rest[2], np.zeros_like(rest[0])]), ["key", "doc_id", "start", "n", "kind"])
-        rows = rows[:, own]
-        if not rows.shape[1]:
-            continue
-        rows = rows[:, np.lexsort((rows[1], rows[3], rows[2], rows[0]))]  # the smallest document of each key first
-        at = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
-        of = np.repeat(np.arange(len(at)), np.diff(np.append(at, rows.shape[1])))
-        several = rows[2][at] != rows[2][np.append(at[1:], rows.shape[1]) - 1]
-        differ = np.bincount(of, weights=rows[1] != rows[1][at][of]) > 0
-        many = np.diff(np.append(at, rows.shape[1])) > HOT
-        # keys that lie near each other in their smallest document are compared together, so that their contexts overlap in one part
-        near = _mix(rows[2][at].view(np.uint64) * _ODD[3] + (rows[3][at] // REGION).view(np.uint64)).view(np.int64)
-        use = (several & differ)[of]
-        kind = np.where(many, 2, 1)[of]
-        yield from _batches(np.stack([near[of], rows[2], rows[3], rows[4], kind])[:, use], ["key", "doc_id", "start", "n", "kind"])
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.zeros(0, np.int64)
 
 
-def _ended(batches):
-    yield from batches
-    yield None
+def _spread(at: np.ndarray, n: int) -> np.ndarray:
+    """The sizes of groups that start at `at` among n rows."""
+    return np.diff(np.append(at, n))
 
 
-def _gram_key(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether each row's key occurs with another document too."""
+    out = np.zeros(len(keys), bool)
+    order = np.argsort(keys)
+    own = docs[order]
+    at = _starts(keys[order])
+    if len(at):
+        out[order] = np.repeat(np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at), _spread(at, len(keys)))
+    return out
 
 
-def _contexts(batches) -> Iterator[pa.RecordBatch]:
-    """Each document's places to compare with their bytes; runs of windows that touch and have one key are one part.
-    Of a hot key every window goes alone, keyed by itself: only equal windows meet."""
-    for batch in batches:
-        out = []
-        for text, places in zip(raw(batch.column("text")), batch.column("places").to_pylist(), strict=True):
-            runs: dict[int, list[list[int]]] = {}
-            for p in sorted(places, key=lambda p: p["start"]):
-                start, end = p["start"], min(p["start"] + p["n"], len(text) - LENGTH + 1)  # another row with this doc_id may be shorter
-                if start >= end:
-                    continue
-                if p["kind"] == 2:
-                    out += [(_gram_key(text[i : i + LENGTH]), p["doc_id"], i, text[i : i + LENGTH]) for i in range(start, end)]
-                    continue
-                own = runs.setdefault(p["key"], [])
-                if own and start <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], end)
-                else:
-                    own.append([start, end])
-            doc = places[0]["doc_id"]
-            out += [(key, doc, a, text[a : b + LENGTH - 1]) for key, own in runs.items() for a, b in own]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "start", "part"])
-
-
-def shard_transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, Burrows-Wheeler transform) of strings that each end with symbol 0, sorted by 64 symbols."""
-    n, rank, width = len(symbols), symbols.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while width < 64:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:] + 1 if width < n else 0
-        key = rank * np.int64(n + 600) + after
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+def _merged(key: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a row of each union, start, end) of the unions of intervals of one key that overlap or touch."""
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((start, *key))
+    start, end = start[order], end[order]
+    fresh = np.zeros(len(start), bool)
+    fresh[_starts(*(k[order] for k in key))] = True
+    # the running largest end within a key, on a scale where keys do not overlap
+    base = (np.cumsum(fresh) - 1) * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(end + base)
+    at = np.flatnonzero(fresh | np.concatenate([[True], (start + base)[1:] > reach[:-1]]))
+    last = np.append(at[1:] - 1, len(start) - 1)
+    return order[at], start[at], (reach - base)[last]
+
+
+def _packed(symbols: np.ndarray) -> np.ndarray:
+    """The eight symbols from each place as one number."""
+    k = symbols.astype(np.uint64)
+    for n in (1, 2, 4):
+        k = k << np.uint64(8 * n) | _ahead(k, n)
+    return k
+
+
+def shard_transform(symbols: np.ndarray, head: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, Burrows-Wheeler transform) of strings that each end with symbol 0, sorted by 64 symbols; head: their first eight."""
+    n, width = len(symbols), 1 if head is None else 8
+    key = symbols.astype(np.uint64) if head is None else head
+    while True:
+        order = np.argsort(key)
+        sorted_key = key[order]
+        number = np.cumsum(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]), dtype=np.uint32)
+        if width >= 64 or number[-1] == n:
+            return order, symbols[order - 1]
+        rank = np.empty(n, np.uint64)
+        rank[order] = number
+        key = rank << np.uint64(32) | _ahead(rank, width)
         width *= 2
-    return order, symbols[order - 1]
 
 
-def merge_transforms(transforms: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each suffix, block of each suffix) in merged order: suffixes of a block share their first depth symbols."""
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    block, every = np.zeros(len(shard), np.int64), np.concatenate(transforms)
-    by_shard = np.argsort(shard, kind="stable")
-    for _ in range(depth):
-        before = np.empty(len(shard), np.uint16)
-        before[by_shard] = every
+def merge_transforms(transforms: list[np.ndarray], heads: list[np.ndarray] | None = None, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(shard of each suffix, block of each suffix) in merged order: suffixes of a block share their first depth symbols.
+
+    heads: for each shard the first eight symbols of its sorted suffixes, by which the interleaving begins.
+    """
+    shard = np.repeat(np.arange(len(transforms)).astype(np.min_scalar_type(len(transforms))), [len(t) for t in transforms])
+    every, block = np.concatenate(transforms), np.zeros(len(shard), np.int32)
+    if heads is not None:
+        head = np.concatenate(heads)
+        order = np.argsort(head, kind="stable")
+        shard, head = shard[order], head[order]
+        block = np.cumsum(np.concatenate([[False], head[1:] != head[:-1]]), dtype=np.int32)
+    before = np.empty_like(every)
+    for _ in range(depth if heads is None else depth - 8):
+        before[np.argsort(shard, kind="stable")] = every
         order = np.argsort(before, kind="stable")
-        moved, symbol = block[order], before[order]
-        shard = shard[order]
-        block = np.cumsum(np.concatenate([[0], (moved[1:] != moved[:-1]) | (symbol[1:] != symbol[:-1])]))
-        by_shard = np.argsort(shard, kind="stable")
+        block, shard, symbol = block[order], shard[order], before[order]
+        block = np.cumsum(np.concatenate([[False], (block[1:] != block[:-1]) | (symbol[1:] != symbol[:-1])]), dtype=np.int32)
     return shard, block
 
 
-def repeated(parts: list[bytes], docs: np.ndarray, starts: np.ndarray, shard_bytes: int = SHARD) -> np.ndarray:
-    """Merged intervals (doc, start, end) of the parts' windows that also start in a part of a smaller document."""
-    transforms, places, k, base = [], [], 0, 0
+def repeated(parts: list[bytes], docs: np.ndarray, shard_bytes: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """(part, offset) of each window of 50 bytes that also starts in a part of a smaller document."""
     lengths = np.array([len(p) for p in parts])
     ends = np.cumsum(lengths + 1)
-    while k < len(parts):
-        size, end = 0, k
-        while end < len(parts) and (size == 0 or size + len(parts[end]) + 1 <= shard_bytes):
-            size, end = size + len(parts[end]) + 1, end + 1
-        joined = np.zeros(size, np.uint16)
-        use = np.ones(size, bool)
-        use[ends[k:end] - base - 1] = False
-        joined[use] = np.frombuffer(b"".join(parts[k:end]), np.uint8).astype(np.uint16) + 1
-        order, transform = shard_transform(joined)
+    joined = np.frombuffer(b"\0".join([*parts, b""]), np.uint8)
+    used = np.zeros(256, bool)
+    use = np.ones(len(joined), bool)
+    use[ends - 1] = False
+    used[joined[use]] = True
+    kind = np.uint8 if used.sum() < 256 else np.uint16
+    symbols = np.where(use, np.cumsum(used).astype(kind)[joined], kind(0))
+    cuts = [0]
+    for k, end in enumerate(ends.tolist()):
+        if k + 1 < len(ends) and ends[k + 1] - cuts[-1] > shard_bytes and end > cuts[-1]:
+            cuts.append(end)
+    transforms, places, heads = [], [], []
+    for a, b in zip(cuts, [*cuts[1:], len(symbols)], strict=True):
+        head = _packed(symbols[a:b]) if kind == np.uint8 else None
+        order, transform = shard_transform(symbols[a:b], head)
         transforms.append(transform)
-        places.append(order + base)
-        k, base = end, base + size
-    shard, block = merge_transforms(transforms)
+        places.append(order + a)
+        heads.append(None if head is None else head[order])
+    shard, block = merge_transforms(transforms, heads if kind == np.uint8 else None)
     place = np.empty(len(shard), np.int64)
     place[np.argsort(shard, kind="stable")] = np.concatenate(places)
-    part = np.searchsorted(ends, place, side="right")
+    part = np.repeat(np.arange(len(parts)), lengths + 1)[place]
     whole = place + LENGTH < ends[part]  # the window ends before the part's terminator
     place, part, block = place[whole], part[whole], block[whole]
-    if not len(place):
-        return np.zeros((3, 0), np.int64)
-    at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    lowest = np.repeat(np.minimum.reduceat(docs[part], at), np.diff(np.append(at, len(block))))
-    late = docs[part] > lowest
-    place, part = place[late], part[late]
-    start = starts[part] + place - (ends[part] - 1 - lengths[part])
-    return _merged(docs[part], start, start + LENGTH)
+    at = _starts(block)
+    if not len(at):
+        return part, place
+    own = docs[part]
+    late = own > np.repeat(np.minimum.reduceat(own, at), _spread(at, len(block)))
+    return part[late], place[late] - (ends[part[late]] - 1 - lengths[part[late]])
+
+
+class Merge:
+    """Parts (doc, mark, start, bytes) that meet, MERGE bytes at a time; parts of one key come in order of documents."""
+
+    def __init__(self, limit: int = MERGE) -> None:
+        self.limit, self.parts, self.size, self.waited = limit, [], 0, 0
+
+    def add(self, doc: int, mark: int, start: int, part: bytes) -> None:
+        self.parts.append((doc, mark, start, part))
+        self.size += len(part) + 1
+
+    @property
+    def full(self) -> bool:
+        return self.size >= max(self.limit, 2 * self.waited)
+
+    def settled(self, keep_from: int | None = None) -> np.ndarray:
+        """Covered intervals (doc, mark, start, end) of the parts; of those from keep_from on, the windows that no smaller document has stay for the next merge."""
+        if not self.parts:
+            return np.zeros((4, 0), np.int64)
+        docs, marks, starts, parts = zip(*self.parts, strict=True)
+        docs, marks, starts = (np.array(c, np.int64) for c in (docs, marks, starts))
+        part, offset = repeated(list(parts), docs)
+        stay = []
+        if keep_from is not None:
+            begin = np.cumsum([0, *map(len, parts)])
+            new = np.ones(begin[-1] + 1, bool)
+            for k in range(len(parts)):  # the last 49 places of a part begin no window
+                new[max(begin[k], begin[k + 1] - LENGTH + 1) : begin[k + 1]] = False
+            new[begin[part] + offset] = False
+            new[-1] = False
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], new]).astype(np.int8)))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                k = int(np.searchsorted(begin, a, side="right")) - 1
+                if k >= keep_from:
+                    stay.append((int(docs[k]), int(marks[k]), int(starts[k]) + a - int(begin[k]), parts[k][a - begin[k] : b - begin[k] + LENGTH - 1]))
+        self.parts, self.size = stay, sum(len(p[3]) + 1 for p in stay)
+        self.waited = self.size
+        first, start, end = _merged([marks[part], docs[part]], starts[part] + offset, starts[part] + offset + LENGTH)
+        return np.stack([docs[part][first], marks[part][first], start, end])
+
+
+def text_mark(text: bytes) -> int:
+    """Tells rows that share a doc_id apart, as a signed long."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _planes(x: np.ndarray, n: int = 8) -> bytes:
+    """The lowest n bytes of 64-bit numbers, one plane after another: planes of zeros compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
-def _compare(batches) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, not divided within one, to covered intervals; whole keys are compared together."""
-    held: list[tuple] = []
-    size, last = 0, None
+def _unplaned(data: bytes, n: int, rows: int) -> np.ndarray:
+    out = np.zeros((rows, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(n, rows).T
+    return out.reshape(-1).view(np.uint64)
 
-    def done():
-        keys, docs, starts, parts = zip(*held, strict=True)
-        yield from _batches(repeated(list(parts), np.array(docs, np.int64), np.array(starts, np.int64)), ["doc_id", "start", "end"])
 
+def pack_block(keys: np.ndarray, docs: np.ndarray, place: np.ndarray) -> bytes:
+    """Anchors as bytes: keys (KEY_BYTES of them), documents by difference, places."""
+    return len(keys).to_bytes(4, "little") + _planes(keys, KEY_BYTES) + _planes(np.diff(docs, prepend=0).view(np.uint64)) + _planes(place.view(np.uint64))
+
+
+def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    a, b = 4 + KEY_BYTES * n, 4 + (KEY_BYTES + 8) * n
+    return _unplaned(data[4:a], KEY_BYTES, n), np.cumsum(_unplaned(data[a:b], 8, n).view(np.int64)), _unplaned(data[b:], 8, n).view(np.int64)
+
+
+_LOCAL = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("block", pa.binary())])
+_FOUND = pa.schema([("splits", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+
+
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def settle(found: list[bytes], docs: np.ndarray, keys: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Covered intervals (text, start, end) by smaller documents of these texts, and which anchors hold a window that none of these is seen to have.
+
+    Runs are merged MERGE bytes at a time: what a text of another merge has is found where anchors meet.
+    """
+    several = np.flatnonzero(in_several(keys, docs[runs[0]]))
+    if not len(several):
+        return np.zeros((3, 0), np.int64), np.ones(len(keys), bool)
+    text, start, n = runs[:, several]
+    first, start, end = _merged([text], start, start + n)
+    pieces = -(-(end - start) // SHARD)
+    of = np.repeat(np.arange(len(first)), pieces)
+    piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    text, start, end = text[first][of], start[of] + piece * SHARD, np.minimum(end[of], start[of] + (piece + 1) * SHARD)
+    order = np.argsort(docs[text], kind="stable")
+    text, start, end = text[order], start[order], end[order]
+    base = np.cumsum([0, *map(len, found)])
+    late = np.zeros(base[-1], np.int32)
+    begun = np.cumsum(end - start + LENGTH) // MERGE
+    for at, stop in itertools.pairwise([*_starts(begun).tolist(), len(text)]):
+        own = slice(at, stop)
+        part, offset = repeated([found[k][a : b + LENGTH - 1] for k, a, b in zip(text[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True)], docs[text[own]])
+        late[base[text[own][part]] + start[own][part] + offset] = 1
+    where = np.flatnonzero(late)
+    of = np.searchsorted(base, where, side="right") - 1
+    first, a, b = _merged([of], where - base[of], where - base[of] + LENGTH)
+    total = np.concatenate([[0], np.cumsum(late)])
+    begin = base[runs[0]] + runs[1]
+    return np.stack([of[first], a, b]), total[begin + runs[2]] - total[begin] < runs[2]
+
+
+def _local(buckets: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        """Covered intervals, and by bucket the packed anchors that are left."""
+
+        def flush(held: list[tuple[int, int, bytes, bytes]]):
+            docs, offset = np.array([d for d, *_ in held], np.int64), np.array([o for _, o, *_ in held], np.int64)
+            found = [x for _, _, x, _ in held]
+            keys, runs = anchors(found)
+            (text, start, end), left = settle(found, docs, keys, runs)
+            if len(text):
+                marks = {k: text_mark(held[k][3]) for k in np.unique(text).tolist()}
+                bucket = (_mix((docs[text] + start).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                yield _batch(_LOCAL, bucket, docs[text], [marks[k] for k in text.tolist()], start + offset[text], end + offset[text], [None] * len(text))
+            keys, (text, start, n) = keys[left] & np.uint64((1 << 8 * KEY_BYTES) - 1), runs[:, left]
+            if not len(keys):
+                return
+            bucket = (keys % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            keys, bucket, own, place = keys[order], bucket[order], docs[text[order]], (start + offset[text])[order] << 5 | n[order]
+            at = _starts(bucket)
+            none = [None] * len(at)
+            yield _batch(_LOCAL, bucket[at], none, none, none, none, [pack_block(keys[a:b], own[a:b], place[a:b]) for a, b in itertools.pairwise([*at.tolist(), len(keys)])])
+
+        held, size = [], 0
+        for batch in batches:
+            for doc, whole in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), strict=True):
+                for offset in range(0, max(1, len(whole) - LENGTH + 1), BLOCK):
+                    held.append((doc, offset, whole[offset : offset + BLOCK + LENGTH - 1], whole))
+                    size += len(held[-1][2])
+                    if size >= BLOCK:
+                        yield from flush(held)
+                        held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def _resolved(keys: np.ndarray, docs: np.ndarray, place: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
+    """The places of anchors of several documents: splits, key of the place where they meet, document, start, windows."""
+    several = in_several(keys, docs)
+    keys, docs, place = keys[several], docs[several], place[several]
+    order = np.lexsort((place, docs, keys))
+    keys, docs, place = keys[order], docs[order], place[order]
+    at = _starts(keys)
+    if not len(at):
+        return
+    size = _spread(at, len(keys))
+    splits = -(-size * (2 * LENGTH) // group)
+    near = _mix(docs[at].view(np.uint64) * _ODD[3] + (place[at] // (REGION << 5)).view(np.uint64)).view(np.int64)
+    near = np.where(splits > 1, keys[at].view(np.int64), near)
+    yield from _rows(np.repeat(splits, size), np.repeat(near, size), docs, place >> 5, place & 31)
+
+
+def _rows(splits, near, docs, start, n, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(docs), most):
+        own = slice(k, k + most)
+        yield _batch(_FOUND, splits[own].astype(np.int32), near[own], docs[own], np.zeros_like(docs[own]), start[own], n[own])
+
+
+def _resolve(group: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        """Rows by bucket: covered intervals pass (splits 0, n their end); of anchors those of several documents."""
+        held: list[tuple] = []
+        size, last = 0, None
+        for batch in batches:
+            done = batch.filter(batch.column("block").is_null())
+            if done.num_rows:
+                zero = np.zeros(done.num_rows, np.int32)
+                yield _batch(_FOUND, zero, zero.astype(np.int64), *(done.column(c) for c in ("doc_id", "mark", "start", "end")))
+            rest = batch.filter(batch.column("block").is_valid())
+            for bucket, block in zip(rest.column("bucket").to_pylist(), rest.column("block").to_pylist(), strict=True):
+                if size >= RESOLVE and bucket != last:
+                    yield from _resolved(*(np.concatenate(c) for c in zip(*held, strict=True)), group)
+                    held, size = [], 0
+                held.append(unpack_block(block))
+                size, last = size + len(held[-1][0]), bucket
+        if held:
+            yield from _resolved(*(np.concatenate(c) for c in zip(*held, strict=True)), group)
+
+    return run
+
+
+_PARTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("part", pa.binary())])
+
+
+def _contexts(batches) -> Iterator[pa.RecordBatch]:
+    """Each text's runs of windows that meet others, with their bytes; runs that touch and meet in one place are one part.
+
+    A row may get the places of another row with its doc_id: these bring bytes that turn out unlike.
+    """
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("key", "doc_id", "start", "part")), strict=True):
-            if size >= MERGE and row[0] != last:
-                yield from done()
-                held, size = [], 0
-            held.append(row)
-            size, last = size + len(row[3]) + 1, row[0]
-    if held:
-        yield from done()
+        found, docs, places = raw(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("places")
+        row = np.repeat(np.arange(len(found)), np.diff(places.offsets.to_numpy()))
+        splits, key, start, n = (places.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("splits", "key", "start", "n"))
+        end = np.minimum(start + n, np.array([len(t) for t in found], np.int64)[row] - LENGTH + 1)
+        use = start < end
+        row, splits, key, start, end = row[use], splits[use], key[use], start[use], end[use]
+        one = splits == 1
+        first, a, b = _merged([key[one], row[one]], start[one], end[one])
+        out = list(zip(key[one][first].tolist(), row[one][first].tolist(), a.tolist(), b.tolist(), strict=True))
+        for r, s, k, a, b in zip(*(c[~one].tolist() for c in (row, splits, key, start, end)), strict=True):
+            text = found[r]
+            where = [xxhash.xxh3_64_intdigest(text[i : i + LENGTH], k & (1 << 64) - 1) % s for i in range(a, b)]
+            for split, own in itertools.groupby(range(a, b), lambda i: where[i - a]):
+                own = list(own)
+                out.append((xxhash.xxh3_64_intdigest(split.to_bytes(8, "little"), k & (1 << 64) - 1) - (1 << 63), r, own[0], own[-1] + 1))
+        marks = {r: text_mark(found[r]) for _, r, *_ in out}
+        for k in range(0, len(out), 8192):
+            own = out[k : k + 8192]
+            yield _batch(_PARTS, [x[0] for x in own], [docs[x[1]] for x in own], [marks[x[1]] for x in own], [x[2] for x in own], [found[r][a : b + LENGTH - 1] for _, r, a, b in own])
+
+
+_SPANS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def _compare(limit: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key, then document, no key divided, to covered intervals."""
+        merge, last, since = Merge(limit), None, 0
+
+        def settled(keep_from=None):
+            found = merge.settled(keep_from)
+            if found.shape[1]:
+                yield _batch(_SPANS, *found)
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(n).to_pylist() for n in _PARTS.names), strict=True):
+                if merge.full:
+                    yield from settled(since if key == last else None)
+                    since = 0
+                if key != last:
+                    last, since = key, len(merge.parts)
+                merge.add(*row)
+        yield from settled()
+
+    return run
 
 
 def _removed(batches) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     for batch in batches:
         out = []
-        for doc, text, spans in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+        spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
+        for doc, text, own in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), spans, strict=True):
             runs: list[list[int]] = []
-            for s in sorted((x["start"], min(x["end"], len(text))) for x in spans or ()):
-                if s[0] >= s[1]:
-                    continue
-                if runs and s[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], s[1])
+            mark = text_mark(text) if own else None
+            for a, b in sorted((x["start"], x["end"]) for x in own or () if x["mark"] == mark):
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], b)
                 else:
-                    runs.append([*s])
+                    runs.append([a, b])
             kept, at = [], 0
             for a, b in runs:
                 kept.append(text[at:a])
@@ -353,26 +496,29 @@ def _removed(batches) -> Iterator[pa.RecordBatch]:
             whole = b"".join(kept)
             out.append((doc, len(text), len(text) - len(whole), len(runs), hashlib.sha256(whole).hexdigest(), [{"start": a, "end": b} for a, b in runs]))
         if out:
-            types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP, merge_bytes: int = MERGE) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end of removed runs, in bytes).
 
-    A null or empty text, or one under 50 bytes, loses nothing.  Rows that repeat a doc_id are one document:
-    they take nothing from each other, and each loses what is covered in any of them.  An empty table gives
-    an empty result.
+    A null or empty text, or one under 50 bytes, loses nothing.  Rows that repeat a doc_id take nothing from each
+    other; each is told by its own text and loses what smaller documents have of it.  A null doc_id is neither
+    smaller nor larger than another: such rows lose nothing and take nothing.  An empty table gives an empty result.
+
+    group_bytes and merge_bytes bound what one place and one merge hold; they change no result.
     """
+    spark = docs.sparkSession
     df = texts(docs, id_col, text_col)
-    local = df.mapInArrow(_local, "key long, context long, doc_id long, place long")
-    found = stored(local.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve, "key long, doc_id long, start long, n long, kind long"), "anchors")
-    del local
-    released(docs.sparkSession)
-    places = found.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("key", "doc_id", "start", "n", "kind")).alias("places"))
-    parts = df.join(places, "doc_id").select("text", "places").mapInArrow(_contexts, "key long, doc_id long, start long, part binary")
-    compared = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc_id long, start long, end long")
-    covered = found.where("kind = 0").select("doc_id", "start", F.col("n").alias("end")).unionAll(compared)
-    spans = covered.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    own = df.where("doc_id is not null")
+    buckets = 16 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    local = own.mapInArrow(_local(buckets), "bucket int, doc_id long, mark long, start long, end long, block binary")
+    found = stored(local.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(group_bytes), "splits int, key long, doc_id long, mark long, start long, n long"), "anchors")
+    places = found.where("splits > 0").groupBy("doc_id").agg(F.collect_list(F.struct("splits", "key", "start", "n")).alias("places"))
+    parts = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts, "key long, doc_id long, mark long, start long, part binary")
+    compared = parts.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_compare(merge_bytes), "doc_id long, mark long, start long, end long")
+    covered = found.where("splits = 0").select("doc_id", "mark", "start", F.col("n").alias("end")).unionAll(compared)
+    spans = covered.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "start", "end")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return df.join(spans, "doc_id", "left").mapInArrow(_removed, schema)
+    # both joins deal the texts out alike: their shuffle is written once
+    return own.join(spans, "doc_id", "left").mapInArrow(_removed, schema).unionAll(df.where("doc_id is null").mapInArrow(_removed, schema))

@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from gallerylens.llm import bpe, licenses, packing, pieces, quality, queries, secret_scan, suffix
+from gallerylens.llm import bpe, licenses, packing, pieces, quality, queries, secret_scan
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,79 +180,12 @@ def test_rule_table():
     assert 200 < len(found) < 500 and [r.priority for r in found] == sorted((r.priority for r in found), reverse=True)
 
 
-def brute_repeats(rows):
-    first: dict[bytes, int] = {}
-    for i, t in rows:
-        for k in range(len(t) - 49):
-            w = t[k : k + 50]
-            first[w] = min(first.get(w, i), i)
-    out = {}
-    for i, t in rows:
-        mask = np.zeros(len(t), bool)
-        for k in range(len(t) - 49):
-            if first[t[k : k + 50]] < i:
-                mask[k : k + 50] = True
-        out[i] = mask
-    return out
-
-
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeats_brute_force(docs, rows, hot, monkeypatch):
-    """hot 1 takes every key for a hot one. Workers get the value with the functions, which are pickled by value here."""
-    raw = [(i, (t or "").encode()) for i, t in rows]
-    masks = brute_repeats(raw)
-    import pyspark.cloudpickle as pickler
-
-    if hot == 1:
-        monkeypatch.setattr(suffix, "HOT", 1)
-        pickler.register_pickle_by_value(suffix)
-    try:
-        got = suffix.remove_repeats(docs).collect()
-    finally:
-        if hot == 1:
-            pickler.unregister_pickle_by_value(suffix)
-    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
-    text = dict(raw)
-    for r in got:
-        t, m = text[r.doc_id], masks[r.doc_id]
-        kept = np.frombuffer(t, np.uint8)[~m].tobytes()
-        runs = int((np.diff(np.concatenate([[0], m.astype(int), [0]])) == 1).sum())
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(m.sum()), runs, hashlib.sha256(kept).hexdigest()), r.doc_id
-
-
-def test_merged_transforms_give_the_sorted_suffixes():
-    rng = np.random.default_rng(4)
-    shards = [np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 60)), 0) for _ in range(5)]).astype(np.uint16) for _ in range(3)]
-    made = [suffix.shard_transform(s) for s in shards]
-    shard, block = suffix.merge_transforms([t for _, t in made], 50)
-    seen, at = [], [0, 0, 0]
-    for s in shard:
-        place = int(made[s][0][at[s]])
-        at[s] += 1
-        tail = shards[s][place : place + 50].tolist()
-        seen.append(tail[: tail.index(0) + 1] if 0 in tail else tail)
-    assert [x[:1] for x in seen] == sorted(x[:1] for x in seen)
-    for a, b, same in zip(seen, seen[1:], block[1:] == block[:-1], strict=False):
-        if 0 not in a and 0 not in b:
-            assert a <= b and (a == b) == same
-
-
-def test_long_text_is_cut_without_loss(monkeypatch):
-    monkeypatch.setattr(suffix, "CHUNK", 300)
-    rng = np.random.default_rng(5)
-    text = bytes(rng.integers(97, 123, 2000).astype(np.uint8))
-    rows = suffix.anchors([(1, text), (2, b"short"), (3, text[100:400])])
-    windows = sorted((d, s + k) for d, s, n in rows[2:].T.tolist() for k in range(n))
-    assert windows == [(1, k) for k in range(1951)] + [(3, k) for k in range(251)]
-
-
 def test_empty(empty):
     assert packing.pack_documents(empty, JSON).count() == 0
     assert bpe.encode_documents(empty, RANKS, P.PATTERN).count() == 0
     assert quality.quality_rules(empty).count() == 0
     assert secret_scan.scan_secrets(empty).count() == 0
     assert licenses.scan_licenses(empty).count() == 0
-    assert suffix.remove_repeats(empty).count() == 0
 
 
 def test_names():
