@@ -11,10 +11,12 @@ that have one hash by chance bring together bytes that the transforms then find
   cut into shards; each shard gets its Burrows-Wheeler transform, and the transforms are merged.  What also
   starts in a smaller document is covered, and anchors of nothing else go no further: a passage that a third of
   all documents share leaves these texts once.
-* The other anchors are dealt out by their hash, packed into one block for each bucket.  Those of several
-  documents send their runs of windows to the place of the anchor in its smallest document, by regions of 512
-  bytes, where runs overlap and become one part.  An anchor of so many runs that they are over GROUP bytes is
-  dealt to several places, each window to the one that its bytes name.
+* The other anchors are dealt out by their hash, packed into one block for each bucket.  A window also holds the
+  15 bytes after its anchor or the 16 before it; windows for which several documents have the anchor and a hash of
+  that side go to the place of the first of them in the smallest document, by regions of 512 bytes, where runs of
+  windows overlap and become one part.  Where one anchor and side have over GROUP bytes of runs, these are dealt
+  to many places: windows that begin within 4 bytes of each other (with 16 times as much, every window) go to the
+  one that the bytes they share name, so that only what agrees in 47 (50) bytes meets.
 * At each place the transforms of shards are merged again.  If more meet there than MERGE bytes, they are taken
   in order of documents, and only the windows that no smaller document has wait for the next ones.
 
@@ -38,8 +40,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import raw, stored, texts
 
 LENGTH, GRAM = 50, 20
+#: Windows that begin up to HALF places before their anchor hold what follows it up to place LENGTH - HALF; the others what is before it.
+HALF = 15
 #: Bytes that are hashed at a time, that a task looks at together, of a shard, of a merge, of an anchor's runs in one place, of a region.
-CHUNK, BLOCK, SHARD, MERGE, GROUP, REGION = 256 << 10, 4 << 20, 128 << 10, 1 << 20, 256 << 10, 512
+CHUNK, BLOCK, SHARD, MERGE, GROUP, REGION = 256 << 10, 4 << 20, 128 << 10, 512 << 10, 512 << 10, 512
 #: Anchors that are resolved at a time; bytes of a key that are sent.
 RESOLVE, KEY_BYTES = 300_000, 6
 _LOW = np.uint64((1 << 19) - 1)
@@ -59,14 +63,14 @@ def _ahead(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def gram_hashes(buffer: np.ndarray) -> np.ndarray:
-    """Hashes of the GRAM = 16 + 4 bytes from each place."""
+def gram_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 16 and of the GRAM = 16 + 4 bytes from each place."""
     h = _mix((buffer.astype(np.uint64) + np.uint64(1)) * _ODD[0])
     four = h
     for level, n in enumerate((1, 2, 4, 8)):
         h = _mix(h * _ODD[level] + _ahead(h, n))
         four = h if n == 2 else four
-    return _mix(h * _ODD[5] + _ahead(four, 16))
+    return h, _mix(h * _ODD[5] + _ahead(four, 16))
 
 
 def _chunks(found: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -85,8 +89,11 @@ def _chunks(found: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 def anchors(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each anchor, and rows (text, first window, windows), in order; neighbouring windows of one anchor are one run."""
-    keys, out = [np.zeros(0, np.uint64)], [np.zeros((3, 0), np.int64)]
+    """Hash of each anchor, and rows (text, first window, windows, how far before the anchor the first begins, sides), in order.
+
+    Neighbouring windows of one anchor are one run.  The sides are 8 bits of a hash of what follows the anchor, and of what is before it.
+    """
+    keys, out = [np.zeros(0, np.uint64)], [np.zeros((5, 0), np.int64)]
     for group in _chunks(found):
         buffer = np.frombuffer(b"".join(t for _, _, t in group), np.uint8)
         sizes = np.array([len(t) for _, _, t in group])
@@ -94,7 +101,7 @@ def anchors(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not windows.any():
             continue
         begin = np.cumsum(sizes) - sizes
-        gram = gram_hashes(buffer)
+        h16, gram = gram_hashes(buffer)
         low = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)  # the first of equals, wherever the window lies
         width, span = LENGTH - GRAM + 1, 1
         while 2 * span <= width:
@@ -107,8 +114,11 @@ def anchors(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (which[1:] != which[:-1])]))
         of = which[first]
         text, offset = np.array([k for k, _, _ in group]), np.array([o for _, o, _ in group])
-        keys.append(gram[own[first]])
-        out.append(np.stack([text[of], at[first] - begin[of] + offset[of], np.diff(np.append(first, len(at)))]))
+        place = own[first]
+        after, ahead = h16[np.minimum(place + LENGTH - HALF - 16, len(h16) - 1)], h16[np.maximum(place - HALF - 1, 0)]
+        sides = (after >> np.uint64(56) << np.uint64(8) | ahead >> np.uint64(56)).astype(np.int64)
+        keys.append(gram[place])
+        out.append(np.stack([text[of], at[first] - begin[of] + offset[of], np.diff(np.append(first, len(at))), place - at[first], sides]))
     return np.concatenate(keys), np.concatenate(out, axis=1)
 
 
@@ -133,6 +143,15 @@ def in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def halves(keys: np.ndarray, start: np.ndarray, n: np.ndarray, lead: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor, key, first window, windows, how far before the anchor the first begins) of the windows that hold what follows an anchor, then of those that hold what is before it; equal windows have equal keys."""
+    turn = np.clip(lead - HALF, 0, n)  # so many of the first windows hold what is before it
+    after, ahead = np.flatnonzero(turn < n), np.flatnonzero(turn > 0)
+    of = np.concatenate([after, ahead])
+    side = np.concatenate([sides[after] >> 8 | 256, sides[ahead] & 255]).astype(np.uint64)
+    return of, _mix(keys[of] + side * _ODD[0]), np.concatenate([(start + turn)[after], start[ahead]]), np.concatenate([(n - turn)[after], turn[ahead]]), np.concatenate([(lead - turn)[after], lead[ahead]])
+
+
 def _merged(key: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a row of each union, start, end) of the unions of intervals of one key that overlap or touch."""
     if not len(start):
@@ -158,7 +177,10 @@ def _packed(symbols: np.ndarray) -> np.ndarray:
 
 
 def shard_transform(symbols: np.ndarray, head: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, Burrows-Wheeler transform) of strings that each end with symbol 0, sorted by 64 symbols; head: their first eight."""
+    """(suffix array, Burrows-Wheeler transform) of strings that each end with symbol 0, sorted by 64 symbols.
+
+    head: the first eight symbols of each suffix; with it the transform holds the two symbols before each, as one.
+    """
     n, width = len(symbols), 1 if head is None else 8
     key = symbols.astype(np.uint64) if head is None else head
     while True:
@@ -166,7 +188,7 @@ def shard_transform(symbols: np.ndarray, head: np.ndarray | None) -> tuple[np.nd
         sorted_key = key[order]
         number = np.cumsum(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]), dtype=np.uint32)
         if width >= 64 or number[-1] == n:
-            return order, symbols[order - 1]
+            return order, symbols[order - 1] if head is None else symbols[order - 2].astype(np.uint16) << 8 | symbols[order - 1]
         rank = np.empty(n, np.uint64)
         rank[order] = number
         key = rank << np.uint64(32) | _ahead(rank, width)
@@ -176,7 +198,8 @@ def shard_transform(symbols: np.ndarray, head: np.ndarray | None) -> tuple[np.nd
 def merge_transforms(transforms: list[np.ndarray], heads: list[np.ndarray] | None = None, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(shard of each suffix, block of each suffix) in merged order: suffixes of a block share their first depth symbols.
 
-    heads: for each shard the first eight symbols of its sorted suffixes, by which the interleaving begins.
+    heads: for each shard the first eight symbols of its sorted suffixes, by which the interleaving begins; the
+    transforms then are of two symbols, and each pass refines by two.
     """
     shard = np.repeat(np.arange(len(transforms)).astype(np.min_scalar_type(len(transforms))), [len(t) for t in transforms])
     every, block = np.concatenate(transforms), np.zeros(len(shard), np.int32)
@@ -186,7 +209,7 @@ def merge_transforms(transforms: list[np.ndarray], heads: list[np.ndarray] | Non
         shard, head = shard[order], head[order]
         block = np.cumsum(np.concatenate([[False], head[1:] != head[:-1]]), dtype=np.int32)
     before = np.empty_like(every)
-    for _ in range(depth if heads is None else depth - 8):
+    for _ in range(depth if heads is None else (depth - 8) // 2):
         before[np.argsort(shard, kind="stable")] = every
         order = np.argsort(before, kind="stable")
         block, shard, symbol = block[order], shard[order], before[order]
@@ -298,7 +321,7 @@ def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _LOCAL = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("block", pa.binary())])
-_FOUND = pa.schema([("splits", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+_FOUND = pa.schema([("width", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -310,10 +333,11 @@ def settle(found: list[bytes], docs: np.ndarray, keys: np.ndarray, runs: np.ndar
 
     Runs are merged MERGE bytes at a time: what a text of another merge has is found where anchors meet.
     """
-    several = np.flatnonzero(in_several(keys, docs[runs[0]]))
-    if not len(several):
+    of, half, start, n, _ = halves(keys, *runs[1:])
+    several = in_several(half, docs[runs[0][of]])
+    if not several.any():
         return np.zeros((3, 0), np.int64), np.ones(len(keys), bool)
-    text, start, n = runs[:, several]
+    text, start, n = runs[0][of[several]], start[several], n[several]
     first, start, end = _merged([text], start, start + n)
     pieces = -(-(end - start) // SHARD)
     of = np.repeat(np.arange(len(first)), pieces)
@@ -331,7 +355,8 @@ def settle(found: list[bytes], docs: np.ndarray, keys: np.ndarray, runs: np.ndar
     where = np.flatnonzero(late)
     of = np.searchsorted(base, where, side="right") - 1
     first, a, b = _merged([of], where - base[of], where - base[of] + LENGTH)
-    total = np.concatenate([[0], np.cumsum(late)])
+    total = np.zeros(len(late) + 1, np.int32)
+    np.cumsum(late, out=total[1:])
     begin = base[runs[0]] + runs[1]
     return np.stack([of[first], a, b]), total[begin + runs[2]] - total[begin] < runs[2]
 
@@ -349,12 +374,12 @@ def _local(buckets: int):
                 marks = {k: text_mark(held[k][3]) for k in np.unique(text).tolist()}
                 bucket = (_mix((docs[text] + start).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
                 yield _batch(_LOCAL, bucket, docs[text], [marks[k] for k in text.tolist()], start + offset[text], end + offset[text], [None] * len(text))
-            keys, (text, start, n) = keys[left] & np.uint64((1 << 8 * KEY_BYTES) - 1), runs[:, left]
+            keys, (text, start, n, lead, sides) = keys[left] & np.uint64((1 << 8 * KEY_BYTES) - 1), runs[:, left]
             if not len(keys):
                 return
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            keys, bucket, own, place = keys[order], bucket[order], docs[text[order]], (start + offset[text])[order] << 5 | n[order]
+            keys, bucket, own, place = keys[order], bucket[order], docs[text[order]], ((start + offset[text]) << 26 | sides << 10 | n << 5 | lead)[order]
             at = _starts(bucket)
             none = [None] * len(at)
             yield _batch(_LOCAL, bucket[at], none, none, none, none, [pack_block(keys[a:b], own[a:b], place[a:b]) for a, b in itertools.pairwise([*at.tolist(), len(keys)])])
@@ -375,30 +400,33 @@ def _local(buckets: int):
 
 
 def _resolved(keys: np.ndarray, docs: np.ndarray, place: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
-    """The places of anchors of several documents: splits, key of the place where they meet, document, start, windows."""
+    """Runs of windows that several documents may have: width, key of the place where they meet, document, start, windows << 5 | lead."""
+    of, keys, start, n, lead = halves(keys, place >> 26, place >> 5 & 31, place & 31, place >> 10 & 0xFFFF)
+    docs, n = docs[of], n << 5 | lead
     several = in_several(keys, docs)
-    keys, docs, place = keys[several], docs[several], place[several]
-    order = np.lexsort((place, docs, keys))
-    keys, docs, place = keys[order], docs[order], place[order]
+    keys, docs, start, n = keys[several], docs[several], start[several], n[several]
+    order = np.lexsort((start, docs, keys))
+    keys, docs, start, n = keys[order], docs[order], start[order], n[order]
     at = _starts(keys)
     if not len(at):
         return
     size = _spread(at, len(keys))
-    splits = -(-size * (2 * LENGTH) // group)
-    near = _mix(docs[at].view(np.uint64) * _ODD[3] + (place[at] // (REGION << 5)).view(np.uint64)).view(np.int64)
-    near = np.where(splits > 1, keys[at].view(np.int64), near)
-    yield from _rows(np.repeat(splits, size), np.repeat(near, size), docs, place >> 5, place & 31)
+    held = size * (2 * LENGTH)
+    width = np.where(held <= group, LENGTH, np.where(held <= 16 * group, 4, 1))
+    near = _mix(docs[at].view(np.uint64) * _ODD[3] + (start[at] // REGION).view(np.uint64)).view(np.int64)
+    near = np.where(width < LENGTH, keys[at].view(np.int64), near)
+    yield from _rows(np.repeat(width, size), np.repeat(near, size), docs, start, n)
 
 
-def _rows(splits, near, docs, start, n, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+def _rows(width, near, docs, start, n, most: int = 100_000) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(docs), most):
         own = slice(k, k + most)
-        yield _batch(_FOUND, splits[own].astype(np.int32), near[own], docs[own], np.zeros_like(docs[own]), start[own], n[own])
+        yield _batch(_FOUND, width[own].astype(np.int32), near[own], docs[own], np.zeros_like(docs[own]), start[own], n[own])
 
 
 def _resolve(group: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        """Rows by bucket: covered intervals pass (splits 0, n their end); of anchors those of several documents."""
+        """Rows by bucket: covered intervals pass (width 0, n their end); of anchors those of several documents."""
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
@@ -430,19 +458,18 @@ def _contexts(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, docs, places = raw(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("places")
         row = np.repeat(np.arange(len(found)), np.diff(places.offsets.to_numpy()))
-        splits, key, start, n = (places.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("splits", "key", "start", "n"))
-        end = np.minimum(start + n, np.array([len(t) for t in found], np.int64)[row] - LENGTH + 1)
+        width, key, start, n = (places.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("width", "key", "start", "n"))
+        anchor, end = start + (n & 31), np.minimum(start + (n >> 5), np.array([len(t) for t in found], np.int64)[row] - LENGTH + 1)
         use = start < end
-        row, splits, key, start, end = row[use], splits[use], key[use], start[use], end[use]
-        one = splits == 1
-        first, a, b = _merged([key[one], row[one]], start[one], end[one])
-        out = list(zip(key[one][first].tolist(), row[one][first].tolist(), a.tolist(), b.tolist(), strict=True))
-        for r, s, k, a, b in zip(*(c[~one].tolist() for c in (row, splits, key, start, end)), strict=True):
-            text = found[r]
-            where = [xxhash.xxh3_64_intdigest(text[i : i + LENGTH], k & (1 << 64) - 1) % s for i in range(a, b)]
-            for split, own in itertools.groupby(range(a, b), lambda i: where[i - a]):
-                own = list(own)
-                out.append((xxhash.xxh3_64_intdigest(split.to_bytes(8, "little"), k & (1 << 64) - 1) - (1 << 63), r, own[0], own[-1] + 1))
+        row, width, key, start, end, anchor = (c[use] for c in (row, width, key, start, end, anchor))
+        whole = width == LENGTH
+        first, a, b = _merged([key[whole], row[whole]], start[whole], end[whole])
+        out = list(zip(key[whole][first].tolist(), row[whole][first].tolist(), a.tolist(), b.tolist(), strict=True))
+        for r, w, k, a, b, p in zip(*(c[~whole].tolist() for c in (row, width, key, start, end, anchor)), strict=True):
+            for c in range((p - b + 1) // w, (p - a) // w + 1):
+                # windows that begin c * w to c * w + w - 1 places before the anchor all hold these bytes
+                core = found[r][p - c * w : p - c * w + LENGTH - w + 1]
+                out.append((xxhash.xxh3_64_intdigest(core, k & (1 << 64) - 1) - (1 << 63), r, max(a, p - c * w - w + 1), min(b, p - c * w + 1)))
         marks = {r: text_mark(found[r]) for _, r, *_ in out}
         for k in range(0, len(out), 8192):
             own = out[k : k + 8192]
@@ -513,11 +540,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = df.where("doc_id is not null")
     buckets = 16 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     local = own.mapInArrow(_local(buckets), "bucket int, doc_id long, mark long, start long, end long, block binary")
-    found = stored(local.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(group_bytes), "splits int, key long, doc_id long, mark long, start long, n long"), "anchors")
-    places = found.where("splits > 0").groupBy("doc_id").agg(F.collect_list(F.struct("splits", "key", "start", "n")).alias("places"))
+    found = stored(local.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(group_bytes), "width int, key long, doc_id long, mark long, start long, n long"), "anchors")
+    places = found.where("width > 0").groupBy("doc_id").agg(F.collect_list(F.struct("width", "key", "start", "n")).alias("places"))
     parts = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts, "key long, doc_id long, mark long, start long, part binary")
     compared = parts.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_compare(merge_bytes), "doc_id long, mark long, start long, end long")
-    covered = found.where("splits = 0").select("doc_id", "mark", "start", F.col("n").alias("end")).unionAll(compared)
+    covered = found.where("width = 0").select("doc_id", "mark", "start", F.col("n").alias("end")).unionAll(compared)
     spans = covered.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "start", "end")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     # both joins deal the texts out alike: their shuffle is written once
