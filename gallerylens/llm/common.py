@@ -5,9 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The bytes 0x20 and 0x09-0x0D, which ``bytes.split()`` takes as white space too.
@@ -15,10 +16,13 @@ WHITE = b" \t\n\x0b\x0c\r"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset and all run on this machine."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -31,9 +35,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns (doc_id long, text string) alone, null texts as empty; other columns cannot clash. A row whose id is null or no number stays, with a null doc_id."""
-    return docs.select(F.expr(f"try_cast(`{id_col}` AS bigint)").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+#: Columns that name a row of a file.
+ROW = ["__file", "__row"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with the columns ROW, which name each row for good, whatever its other columns hold: its file and its place there.
+
+    What is not read from Parquet files as it is gets written to the shared folder first.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = [F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1])]
+    try:
+        return docs.select(*columns, *row)
+    except AnalysisException:
+        return stored(docs, "rows").select(*columns, *row)
+
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """The columns (doc_id long, text string), and those of carry, alone, null texts as empty; other columns cannot clash. A row whose id is null or no number stays, with a null doc_id."""
+    return docs.select(F.expr(f"try_cast(`{id_col}` AS bigint)").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
 
 
 def raw(column: pa.Array) -> list[bytes]:

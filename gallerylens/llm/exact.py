@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
@@ -105,46 +105,49 @@ def _spilled(file) -> Iterator[tuple[bytes, tuple]]:
             yield content, member
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the columns of carry (longs), which may name the row.
 
-    Of equal texts the row with the most code points in the original text stays, then the smallest doc_id.
-    A null text counts as empty; all texts of white space only are equal.  Repeated rows with one doc_id are
-    separate rows of the result, of which one at most is kept.  An empty table gives an empty result.
+    Of equal texts the row with the most code points in the original text stays, then the smallest doc_id; a null
+    doc_id is larger than all others, and null as keep_id.  A null text counts as empty; all texts of white space
+    only are equal.  Repeated rows with one doc_id are separate rows of the result, of which one at most is kept.
+    An empty table gives an empty result.
     """
-    local = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("rep", pa.int64()), ("chars", pa.int64()), ("best_id", pa.int64()), ("best_uid", pa.int64()), ("n", pa.int64()), ("content", pa.binary())])
+    more = [(c, pa.int64()) for c in carry]
+    local = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("rep", pa.int64()), ("chars", pa.int64()), ("best_id", pa.int64()), ("best_uid", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), *more])
     merged = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_uid", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
+    order = lambda chars, doc: (-chars, doc is None, doc or 0)
 
     def normalised(batches, first: int) -> Iterator[tuple[bytes, tuple]]:
         uid = first
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), strict=True):
-                # code points: bytes that do not continue one
-                yield text.translate(None, WHITE), (-len(text.decode("utf-8", "replace")), doc, uid)
+            for doc, text, *own in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), *(batch.column(c).to_pylist() for c in carry), strict=True):
+                yield text.translate(None, WHITE), (*order(len(text.decode("utf-8", "replace")), doc), uid, doc, *own)
                 uid += 1
 
     def in_partition(batches):
         def rows():
             for content, own in grace_classes(normalised(batches, TaskContext.get().partitionId() << 36), budget):
-                chars, best, best_uid = min(own)
-                rep = own[0][2]
-                for _, doc, uid in own:
-                    yield (doc, uid, rep, -chars, best, best_uid, len(own), content) if uid == rep else (doc, uid, rep, None, None, None, None, None)
+                chars, _, _, best_uid, best, *_ = min(own)
+                rep = own[0][3]
+                for _, _, _, uid, doc, *rest in own:
+                    yield (doc, uid, rep, -chars, best, best_uid, len(own), content, *rest) if uid == rep else (doc, uid, rep, None, None, None, None, None, *rest)
 
         return batched(rows(), local, 1024)
 
     def across(batches):
         def rows():
             found = rows_of(batches, "content", "chars", "best_id", "best_uid", "rep", "n")
-            for content, own in grace_classes(((c, (-chars, best, uid, rep, n)) for c, chars, best, uid, rep, n in found), budget):
-                _, keep, keep_uid, _, _ = min(own)
-                total, sha = sum(x[4] for x in own), hashlib.sha256(content).hexdigest()
+            for content, own in grace_classes(((c, (*order(chars, best), uid, best, rep, n)) for c, chars, best, uid, rep, n in found), budget):
+                _, _, _, keep_uid, keep, _, _ = min(own)
+                total, sha = sum(x[6] for x in own), hashlib.sha256(content).hexdigest()
                 for x in own:
-                    yield x[3], keep, keep_uid, total, sha
+                    yield x[5], keep, keep_uid, total, sha
 
         return batched(rows(), merged)
 
-    seen = stored(texts(docs, id_col, text_col).mapInArrow(in_partition, "doc_id long, uid long, rep long, chars long, best_id long, best_uid long, n long, content binary"), "exact")
+    schema = "doc_id long, uid long, rep long, chars long, best_id long, best_uid long, n long, content binary" + "".join(f", {c} long" for c in carry)
+    seen = stored(texts(docs, id_col, text_col, carry).mapInArrow(in_partition, schema), "exact")
     reps = seen.where("content is not null").select("content", "chars", "best_id", "best_uid", "rep", "n").repartition(F.xxhash64("content"))
     classes = reps.mapInArrow(across, "rep long, keep_id long, keep_uid long, group_size long, text_sha256 string")
-    return seen.select("doc_id", "uid", "rep").join(classes, "rep").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
+    return seen.select("doc_id", "uid", "rep", *carry).join(classes, "rep").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", *carry)

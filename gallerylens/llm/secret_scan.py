@@ -8,11 +8,13 @@ widened by half a scope at either side, covers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Sequence
 
-from .common import stored
+from pyspark.sql import Column, DataFrame, functions as F
 
-SCOPE = 300
+from .common import ROW, keyed, stored, texts
+
+SCOPE, BLOCK = 300, 128
 #: Fixed patterns, in the order that breaks ties of the start; (kind, pattern, group with a least length, that length).
 BASE = [
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=\-]+)""", 2, 6),
@@ -29,22 +31,40 @@ IDENTIFIERS, SECRETS = ["access", "login"], ["assign", "hex", "key"]
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, zero: Column, both) -> Column:
+    """For each element what both(a, b) makes of zero and all elements before it, by blocks: time grows as a power of 3/2 at most, with a factor under one in a hundred."""
+    over = lambda a: F.aggregate(a, zero, both)
+    size = F.size(values)
+    blocks = F.when(size > 0, F.transform(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, BLOCK)))
+
+    def each(cut: Column) -> Column:
+        first = _bound(F.transform(cut, over), lambda sums: F.transform(cut, lambda _, k: over(F.slice(sums, 1, k))))
+        return F.flatten(F.zip_with(cut, first, lambda x, start: F.transform(x, lambda _, i: both(start, over(F.slice(x, 1, i))))))
+
+    return F.when(size > 0, _bound(blocks, each)).otherwise(F.filter(values, lambda x: F.lit(False)))
+
+
 def find_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """The leftmost non-overlapping matches whose group has at least `least` characters, as (start, rank, end, kind).
 
     Positions are code points: a match starts after the gaps and matches before it.
     """
     gaps, found, held = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    placed = F.aggregate(
-        F.filter(sizes, lambda s: s["m"].isNotNull()), empty,
-        lambda a, s: F.struct((a["at"] + s["g"] + s["m"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + s["g"]).alias("start"), (a["at"] + s["g"] + s["m"]).alias("end")))).alias("out")),
-    )["out"]
+    sizes = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), lambda s: s["m"].isNotNull())
     rank = KINDS.index(kind)
-    spans = F.zip_with(placed, held, lambda p, h: F.when(F.length(h) >= least, F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), p["end"].alias("end"), F.lit(kind).alias("kind"))))
+
+    def placed(s: Column) -> Column:
+        before = running(F.transform(s, lambda x: x["g"] + x["m"]), F.lit(0), lambda a, b: a + b)
+        ends = F.zip_with(before, s, lambda at, x: F.struct((at + x["g"]).alias("start"), F.lit(rank).alias("rank"), (at + x["g"] + x["m"]).alias("end"), F.lit(kind).alias("kind")))
+        return F.filter(F.zip_with(ends, held, lambda p, h: F.when(F.length(h) >= least, p)), lambda p: p.isNotNull())
+
     none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(spans, lambda s: s.isNotNull())).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(pattern)), _bound(sizes, placed)).otherwise(none)
 
 
 def spans_digest(spans: Column) -> Column:
@@ -62,7 +82,6 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = placed.where(F.col("kind").isin(KINDS[len(BASE) :]))
 
     def near(left: DataFrame, kinds: list[str]) -> DataFrame:
-        # of the parts of one bucket, the bounds of those that reach furthest decide for all
         right = placed.where(F.col("kind").isin(kinds)).select("uid", "bucket", F.col("start").alias("s"), F.col("end").alias("e")).distinct()
         met = left.alias("l").join(right.alias("r"), (F.col("l.uid") == F.col("r.uid")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("s") <= F.col("l.end") + scope) & (F.col("e") >= F.col("l.start") - scope), "left_semi")
         return met.select("uid", "start", "rank", "end", "kind").distinct()
@@ -72,36 +91,57 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return near(key, IDENTIFIERS).unionAll(near(login, SECRETS)).unionAll(both)
 
 
-def scan_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored: uid, doc_id, base and weak spans of each text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
+def scan_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Stored: uid, doc_id, base and weak spans of each text, and carry."""
+    df = texts(docs, id_col, text_col, carry)
     sorted_of = lambda rules: F.sort_array(F.concat(*(find_spans(F.col("text"), *r) for r in rules)))
-    return stored(df.select(F.monotonically_increasing_id().alias("uid"), "doc_id", sorted_of(BASE).alias("base"), sorted_of(WEAK).alias("weak")), "parts")
+    return stored(df.select(F.monotonically_increasing_id().alias("uid"), "doc_id", sorted_of(BASE).alias("base"), sorted_of(WEAK).alias("weak"), *carry), "parts")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """One row per document: doc_id, base and found (arrays of spans start, rank, end, kind by start, then kind).
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, base and found (arrays of spans start, rank, end, kind by start, then kind), and carry, columns that may name the row.
 
     Ends are exclusive and positions are code points.  A null or empty text has no spans; repeated rows are
-    repeated, each scanned for itself; an empty table gives an empty result.
+    repeated, each scanned for itself, also without an id; an empty table gives an empty result.
     """
-    held = scan_parts(docs, id_col, text_col)
+    held = scan_parts(docs, id_col, text_col, carry)
     parts = held.where("size(weak) > 0").select("uid", F.explode(F.concat("base", "weak")).alias("x")).select("uid", "x.*")
     linked = link_parts(parts, scope).groupBy("uid").agg(F.collect_list(F.struct("start", "rank", "end", "kind")).alias("linked"))
-    return held.join(linked, "uid", "left").select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("linked", F.array().cast(f"array<{SPAN}>")))).alias("found"))
+    return held.join(linked, "uid", "left").select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("linked", F.array().cast(f"array<{SPAN}>")))).alias("found"), *carry)
+
+
+def _cut(text: Column, spans: Column, mark: str) -> Column:
+    """text with what the spans (by start) cover replaced by mark, overlapping spans by one."""
+    step = 4096  # characters of a block, so that a piece is sought in few
+
+    def whole(blocks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            own = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * step, F.lit(0)) + 1, F.least(b, (k + 1) * step) - F.greatest(a, k * step))
+            return F.when(a < b, F.array_join(F.transform(F.sequence(F.floor(a / step).cast("int"), F.floor((b - 1) / step).cast("int")), own), "")).otherwise("")
+
+        def pieces(reach: Column) -> Column:
+            # reach: the largest end of the spans before each; a span that begins behind it leaves a piece of text
+            kept = F.filter(F.zip_with(spans, reach, lambda s, r: F.when(s["start"] >= r, piece(r, s["start"]))), lambda x: x.isNotNull())
+            return F.array_join(F.concat(kept, F.array(piece(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))), mark)
+
+        return _bound(running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b)), pieces)
+
+    return _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), whole)
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", broadcast_rows: int = 200_000, scope: int = SCOPE) -> DataFrame:
-    """docs (doc_id, text, n_chars, ...) with every span found replaced by mark, overlapping spans by one; n_chars follows.
+def redact(docs: DataFrame, mark: str = "[secret]", broadcast_spans: int = 500_000, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with every span found in text_col replaced by mark, overlapping spans by one; chars_col follows where docs has it.
 
-    Documents without spans are unchanged; of rows that repeat a doc_id all lose what was found in the first.
+    Each row is scanned and cut for itself, also rows that share an id or have none.  Rows without spans are
+    unchanged: a null text stays null.  Other columns may have any names.  An empty table gives an empty result.
     """
-    found = scan_secrets(docs, scope=scope).where("size(found) > 0").select("doc_id", "found")
-    found = stored(found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.size("found").desc()))).where("n = 1").drop("n"), "found")
-    few = found.limit(broadcast_rows + 1).count() <= broadcast_rows and (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= 5 * broadcast_rows
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    piece = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"))
-    cut = F.aggregate("found", start, piece, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    joined = docs.join(F.broadcast(found) if few else found, "doc_id", "left").withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(cut))
-    return joined.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    whole = keyed(docs)
+    found = scan_secrets(whole, id_col, text_col, scope, ROW).where("size(found) > 0")
+    found = stored(found.select(*ROW, F.col("found").alias("__found")), "found")
+    size = found.agg(F.count("*"), F.coalesce(F.sum(F.size("__found")), F.lit(0))).first()
+    few = size[0] + size[1] <= broadcast_spans  # of 40 bytes each
+    cut = _cut(F.col(f"`{text_col}`"), F.col("__found"), mark)
+    joined = whole.join(F.broadcast(found) if few else found, ROW, "left")
+    joined = joined.withColumn("__text", F.when(F.col("__found").isNull(), F.col(f"`{text_col}`")).otherwise(cut))
+    out = {text_col: F.col("__text"), chars_col: F.when(F.col("__found").isNull(), F.col(f"`{chars_col}`")).otherwise(F.length("__text")) if chars_col in docs.columns else None}
+    return joined.select(*(out[f.name].cast(f.dataType).alias(f.name) if f.name in out else F.col(f"`{f.name}`") for f in docs.schema))

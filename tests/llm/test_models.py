@@ -1,7 +1,10 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -45,20 +48,20 @@ def test_held_out_accuracy(spark, corpus):
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
     truth = {i: x for i, _, x in texts(400)}
     held = [r for i, r in got.items() if r.held_out and i in truth]
-    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None) and not got[None].held_out
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) >= 0.95
     assert got[3001].score == got[3002].score  # null as empty
     # the text alone decides
-    moved = docs.selectExpr("doc_id + 1000000 as doc_id", "text", "'xx' as lang", "'z' as source")
-    assert {r.doc_id - 1000000: r.score for r in toxicity.score_toxicity(moved, model).collect()} == {i: r.score for i, r in got.items()}
+    moved = docs.where('doc_id is not null').selectExpr("doc_id + 1000000 as doc_id", "text", "'xx' as lang", "'z' as source")
+    assert {r.doc_id - 1000000: r.score for r in toxicity.score_toxicity(moved, model).collect()} == {i: r.score for i, r in got.items() if i is not None}
 
 
 def test_held_out_labels_are_not_read(spark, corpus):
     docs, labels = spark.read.parquet(f"{corpus}/documents.parquet"), spark.read.parquet(f"{corpus}/labels.parquet")
     other = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 5 = 0 then 1 - toxic else toxic end as toxic")
     a, b = toxicity.train(docs, labels), toxicity.train(docs, other)
-    assert np.array_equal(a.unigram, b.unigram) and np.allclose(a.weights, b.weights)
+    assert np.array_equal(a.table.keys, b.table.keys) and np.allclose(a.table.ratio, b.table.ratio) and np.allclose([a.intercept, a.slope], [b.intercept, b.slope])
 
 
 def test_few_labels(spark, corpus):
@@ -70,47 +73,102 @@ def test_few_labels(spark, corpus):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
-def test_shares_add_up(spark, corpus):
-    model = toxicity.train(spark.read.parquet(f"{corpus}/documents.parquet"), spark.read.parquet(f"{corpus}/labels.parquet"))
-    assert np.allclose(model.unigram.sum(axis=1), 1, atol=1e-6) and (model.unigram > 0).all()
-
-
-def counted(spark, monkeypatch, rows, words=None):
-    if words is not None:
-        monkeypatch.setattr(toxicity, "BROADCAST_WORDS", words)
-    df = spark.createDataFrame(rows, "text string, toxic int")
-    return toxicity.fit(df, df)
-
-
-def test_words_do_not_share_counts(spark, monkeypatch):
+def brute_expressions(rows):
+    """The log-likelihood ratios of words, and of pairs that toxic texts hold, by sets of contexts."""
+    contexts: dict[tuple, list[set]] = {}
+    for text, toxic in rows:
+        w = [None, *re.sub("[A-Z]", lambda m: m[0].lower(), re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", " ", text)).split()]
+        for k in range(1, len(w)):
+            contexts.setdefault((w[k],), [set(), set()])[toxic].add(w[k - 1])
+            if k > 1:
+                contexts.setdefault((w[k - 1], w[k]), [set(), set()])[toxic].add(w[k - 2])
+    counts = {x: (len(c[0]), len(c[1]), len(c[0] | c[1])) for x, c in contexts.items() if len(x) == 1 or c[1]}
+
+    def level(size, discount):
+        own = [n for x, n in counts.items() if len(x) == size]
+        total = [max(sum(n[c] for n in own), 1) for c in range(3)]
+        freed = [sum(min(n[c], discount) for n in own) / total[c] for c in range(3)]
+        shared = min(max(freed[:2]), 1)
+        scale = [(1 - shared) / (1 - f) if f < 1 else 0 for f in freed[:2]] + [1]
+        return lambda n, c: max(n[c] - discount, 0) / total[c] * scale[c], shared, freed[2]
+
+    seen, shared, free = level(1, 0.75)
+    types = sum(len(x) == 1 for x in counts)
+    p = {x: seen(n, 2) + free / (types + 1) for x, n in counts.items() if len(x) == 1}
+    own = {x: [seen(counts[x], c) + shared * p[x] for c in (0, 1)] for x in p}
+    out = {x: math.log(q[1] / q[0]) for x, q in own.items()}
+    assert all(math.isclose(sum(q[c] for q in own.values()) + shared * free / (types + 1), 1) for c in (0, 1))
+    seen, shared, free = level(2, 1)
+    for (v, w), n in [(x, n) for x, n in counts.items() if len(x) == 2]:
+        q = [seen(n, c) + shared * (seen(n, 2) + free * p[v,] * own[w,][c]) for c in (0, 1)]
+        out[v, w] = math.log(q[1] / q[0])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ratios_brute_force(spark, seed):
+    """Every word's and pair's ratio, and each text's strongest expression."""
+    rows = [(t, x) for _, t, x in texts(60, seed)] + [(f"{a} total waste of ka A1-b", 1) for a in PLAIN[:9]] + [(f"{a} total of {a} waste", 0) for a in PLAIN[:30]] + [("", 0), ("idiot", 1)]
+    want = brute_expressions(rows)
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    words, pairs = toxicity.expressions(df)
+    hashes = lambda x: [toxicity.word_hash(w.encode()) for w in x]
+    got = {(r.w,): r.ratio for r in words.collect()} | {(r.v, r.w): r.ratio for r in pairs.collect()}
+    assert got.keys() == {tuple(hashes(x)) for x in want}
+    assert all(abs(got[tuple(hashes(x))] - r) < 1e-9 for x, r in want.items())
+    assert want["total", "waste"] > max(want["total",], want["waste",], 0)  # a pair that says more than its words
+    model = toxicity.fit(df, df)
+    scored = {r.text: r.x for r in model.measured(df.select("text"), "text", lambda b, x: pa.RecordBatch.from_arrays([b.column("text"), pa.array(x)], ["text", "x"]), "text string, x double").collect()}
+    for text, _ in rows:
+        w = text.replace("A1-b", "a1 b").split()
+        assert abs(scored[text] - max([0, *(want[x,] for x in w), *(want.get(x, 0) for x in zip(w, w[1:], strict=False))])) < 1e-9
+
+
+def test_words_do_not_share_counts(spark):
     """More types than any fixed number of bins of 2^18 keeps apart: each has its own counts."""
     rows = [(" ".join(f"w{k}" for k in range(a, a + 5000)), a // 5000 % 2) for a in range(0, 300_000, 5000)]
-    model = counted(spark, monkeypatch, rows)
-    assert len(model.words.keys) == 300_000 and model.unigram.shape == (2, 300_001)
+    words, _ = toxicity.expressions(spark.createDataFrame(rows, "text string, toxic int"))
+    assert words.count() == 300_000
+
 
+def test_copies_add_nothing(spark):
+    rows = [(t, x) for _, t, x in texts(40)]
+    once, often = (toxicity.expressions(spark.createDataFrame(r, "text string, toxic int"))[0].collect() for r in (rows, rows + 50 * rows[:5]))
+    assert np.allclose(sorted(map(tuple, once)), sorted(map(tuple, often)), rtol=1e-12)
 
-def test_rare_words_have_counts_and_contexts(spark, monkeypatch):
-    rows = [("ka lo rotter", 1), ("mi lo", 0), ("nu lo", 0), ("ka mi nu", 0)]
-    model = counted(spark, monkeypatch, rows)
-    at = {w: int(np.flatnonzero(model.words.keys == toxicity.word_hash(w.encode()))[0]) for w in ("rotter", "lo", "mi", "ka")}
-    assert model.words.ratio[at["rotter"]] > model.words.ratio[at["lo"]] > model.words.ratio[at["mi"]]
-    # by hand: 5 types, contexts lo 3, rotter 1, mi 1, nu 1; toxic: 3 words and 3 * 0.75 freed
-    shared = lambda n: (n + 1) / (6 + 5 + 1)
-    assert np.isclose(model.unigram[1][at["rotter"]], (0.25 + 3.25 * shared(1)) / 4) and np.isclose(model.unigram[1][at["lo"]], (0.25 + 3.25 * shared(3)) / 4)
 
+def test_logistic():
+    x, y = np.array([0.0, 0.1, 2.0, 2.1]), np.array([0, 0, 1, 1])
+    a, b = toxicity.logistic(x, y)
+    assert b > 0 and a + b * 0.1 < 0 < a + b * 2
+    assert toxicity.logistic(x, 1 - y)[1] == 0  # never the other way round
+    assert toxicity.logistic(x[:0], y[:0]) == (0, 0) and toxicity.logistic(np.zeros(4), y)[0] == 0
 
-def test_words_that_are_not_broadcast(spark, corpus, monkeypatch):
+
+def test_expressions_that_are_not_broadcast(spark, corpus, monkeypatch):
     docs, labels = spark.read.parquet(f"{corpus}/documents.parquet"), spark.read.parquet(f"{corpus}/labels.parquet")
     whole = toxicity.train(docs, labels)
     want = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, whole).collect()}
-    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", 20)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 1)
     model = toxicity.train(docs, labels)
-    assert len(model.words.keys) == 20 and model.rest.count() == len(whole.words.keys) - 20
+    assert len(model.table.keys) == 1 and model.rest.count() >= len(whole.table.keys) - 1 > 2
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
     assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
     assert {r.doc_id for r in toxicity.keep_ordinary(docs, model).collect()} == {r.doc_id for r in toxicity.keep_ordinary(docs, whole).collect()}
 
 
+def test_clashing_columns_and_repeated_rows(spark, corpus):
+    """Columns named as the operator's own; rows that repeat an id, or have none, are scored each for itself."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{corpus}/labels.parquet"))
+    odd = spark.createDataFrame([(1, "idiot scum", "a", 1.0, 2), (1, "ka ra", "b", None, None), (None, "idiot scum", None, None, None), (None, None, None, None, None)], "doc_id long, text string, score string, ratio double, toxic int")
+    got = sorted((r.doc_id is None, r.held_out, r.predicted) for r in toxicity.score_toxicity(odd, model).collect())
+    held = zlib.crc32(b"1") % 5 == 0
+    assert got == sorted([(False, held, 1), (False, held, 0), (True, False, 1), (True, False, 0)])
+    left = toxicity.keep_ordinary(odd, model)
+    assert left.dtypes == odd.dtypes and sorted(map(str, left.collect())) == sorted(map(str, odd.where("text is null or text = 'ka ra'").collect()))
+
+
 def test_cascade_is_exact():
     rng = random.Random(1)
     universe = {f"h{rng.random()}" for _ in range(3000)}
@@ -151,7 +209,7 @@ def test_pipeline(spark, corpus):
     ids = {n: [r.doc_id for r in d.collect()] for n, d in kept.items()}
     truth = {i: x for i, _, x in texts(400)}
     tox = set(ids["toxicity"])
-    assert np.mean([(i in tox) == (not x) for i, x in truth.items()]) > 0.95 and None not in tox and 3001 in tox
+    assert np.mean([(i in tox) == (not x) for i, x in truth.items()]) > 0.95 and {None, 3001} <= tox
     copies = {1000 + i for i in range(30)}
     assert not (set(ids["exact dedup"]) & {c - 1000 for c in copies if c in tox})  # the longer original stays
     near = set(ids["simhash near-dedup"])
