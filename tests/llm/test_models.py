@@ -142,7 +142,7 @@ def test_logistic():
     a, b = toxicity.logistic(x, y)
     assert b > 0 and a + b * 0.1 < 0 < a + b * 2
     assert toxicity.logistic(x, 1 - y)[1] == 0  # never the other way round
-    assert toxicity.logistic(x[:0], y[:0]) == (0, 0) and toxicity.logistic(np.zeros(4), y)[0] == 0
+    assert toxicity.logistic(x[:0], y[:0])[0] < -6 and toxicity.logistic(np.zeros(4), y)[0] == 0
 
 
 def test_expressions_that_are_not_broadcast(spark, corpus, monkeypatch):
