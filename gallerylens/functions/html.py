@@ -7,8 +7,8 @@ from pyspark.sql import Column, functions as F
 from . import text as X
 
 ANCHOR = r'<a href="([^"]+)">(.*?)</a>'
-#: The variants of an image's address that are tried, in order; {stem} has no extension.
-VARIANTS = ["{url}", "{stem}.jpg", "{stem}.jpeg", "{stem}.png", "{stem}.JPG", "{stem}.JPEG", "{stem}.PNG"]
+#: The sizes of an image that are tried, in order.
+SIZES = ["HD", "HalfHD", "Large", "Blog", "Portrait", "PinterestLarge", "PinterestSmall"]
 
 
 def links(html: Column) -> Column:
@@ -42,14 +42,15 @@ def curid(url: Column) -> Column:
 
 
 def strip_modifier(url: Column) -> Column:
-    return F.regexp_replace(url, r"!.*$", "")
+    """The address up to the first mark of a size; other exclamation marks stay."""
+    return F.regexp_replace(url, rf"(?s)!(?:{'|'.join(SIZES)}).*$", "")
 
 
 def candidates(url: Column) -> Column:
-    """The addresses to try for an image, in order."""
+    """The addresses to try for an image, in order: each size, with what follows the last dot as extension."""
     clean = strip_modifier(url)
-    stem = F.regexp_replace(clean, r"\.[^./]*$", "")
-    return F.array(*(clean if v == "{url}" else F.concat(stem, F.lit(v.removeprefix("{stem}"))) for v in VARIANTS))
+    extension = F.element_at(F.split(clean, r"\."), -1)
+    return F.transform(F.array(*map(F.lit, SIZES)), lambda size: F.concat(clean, F.lit("!"), size, F.lit("."), extension))
 
 
 def jpg_name(url: Column) -> Column:

@@ -12,10 +12,12 @@ ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&
 #: Letters that compatibility decomposition leaves alone, and their ASCII spelling.
 SPECIAL = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ı": "i"}
 #: Numbers in words.
-NUMBERS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90"}
+NUMBERS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90", "hundred": "100", "thousand": "1000"}
 #: Contractions written without their apostrophe.
-CONTRACTIONS = {"aint": "ain't", "arent": "aren't", "cant": "can't", "couldnt": "couldn't", "didnt": "didn't", "doesnt": "doesn't", "dont": "don't", "hadnt": "hadn't", "hasnt": "hasn't", "havent": "haven't", "isnt": "isn't", "shouldnt": "shouldn't", "thats": "that's", "theyre": "they're", "wasnt": "wasn't", "werent": "weren't", "wont": "won't", "wouldnt": "wouldn't", "youre": "you're", "ive": "i've", "im": "i'm"}
+CONTRACTIONS = {"dont": "don't", "cant": "can't", "wont": "won't", "im": "i'm", "ive": "i've", "id": "i'd", "youre": "you're", "youve": "you've", "hes": "he's", "shes": "she's", "isnt": "isn't", "arent": "aren't", "wasnt": "wasn't", "werent": "weren't", "didnt": "didn't", "hasnt": "hasn't", "havent": "haven't", "wouldnt": "wouldn't", "couldnt": "couldn't", "shouldnt": "shouldn't", "lets": "let's"}
+#: Articles, and ASCII punctuation.
 ARTICLES = ["a", "an", "the"]
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _accents() -> tuple[str, str]:
@@ -100,17 +102,27 @@ def verdict(c: Column, marker: str) -> Column:
 def robust_answer(c: Column) -> Column:
     """An answer in the form in which answers are compared.
 
-    Lower case; periods outside numbers go; number words become digits, articles go and contractions get their
-    apostrophe; commas between digits go; other punctuation but ' : , becomes a space; single spaces.
+    Lower case; a period goes unless a digit stands on either side; of whole words, runs of letters, digits and
+    underscores, numbers become digits, articles go and contractions get their apostrophe; commas between digits
+    go; other punctuation but ' : , becomes a space; single spaces.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"(?<!\d)\.|\.(?!\d)", ""), r"\s+", " ")
-    table = F.create_map(*(F.lit(x) for kv in (NUMBERS | CONTRACTIONS).items() for x in kv))
-    words = F.filter(F.split(F.trim(bare), " "), lambda w: ~w.isin(*ARTICLES))
-    mapped = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
-    joined = F.regexp_replace(mapped, r"(?<=\d),(?=\d{3})", "")
+    bare = F.regexp_replace(F.lower(c), r"(?<![0-9])\.(?![0-9])", "")
+    table = F.create_map(*(F.lit(x) for kv in (NUMBERS | dict.fromkeys(ARTICLES, "") | CONTRACTIONS).items() for x in kv))
+    runs = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    mapped = F.array_join(F.transform(runs, lambda w: F.coalesce(F.try_element_at(table, w), w)), "")
+    joined = F.regexp_replace(mapped, r"(?<=[0-9]),(?=[0-9])", "")
     return squeeze(F.regexp_replace(joined, r"[!\"#$%&()*+\-./;<=>?@\[\\\]^_`{|}~]", " "))
 
 
+def without_punctuation(c: Column) -> Column:
+    return F.translate(c, PUNCTUATION, "")
+
+
+def words(c: Column) -> Column:
+    """Words at white space, as they are, without empty ones."""
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased words at white space, without empty ones."""
     return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")

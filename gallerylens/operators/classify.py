@@ -38,12 +38,39 @@ def weighted(classes: DataFrame) -> DataFrame:
 
 def multilabel_sweep(scores: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """(threshold, accuracy, precision, recall, f1), macro over labels, of rows (id, label, score, truth 0/1); ids without a true label are left out."""
-    live = scores.join(scores.groupBy("id").agg(F.max("truth").alias("any")).where("any > 0").select("id"), "id", "left_semi")
+    live = scores.withColumn("any", F.max("truth").over(Window.partitionBy("id"))).where("any > 0").drop("any")
     grid = live.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("p", (F.col("score") > F.col("threshold")).cast("int"))
     cell = lambda p, t: F.sum(((F.col("p") == p) & (F.col("truth") == t)).cast("int"))
     sums = grid.groupBy("threshold", "label").agg(cell(1, 1).alias("tp"), cell(1, 0).alias("fp"), cell(0, 1).alias("fn"), cell(0, 0).alias("tn"))
     m = sums.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("f1", f1(F.col("precision"), F.col("recall"))).withColumn("accuracy", ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
-    return m.groupBy("threshold").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")))
+    # over labels that each may be true or not, the accuracy of the best two is the accuracy
+    return m.groupBy("threshold").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("accuracy", "precision", "recall", "f1"))).withColumn("accuracy_top_2", F.col("accuracy"))
+
+
+def best(scored: DataFrame) -> DataFrame:
+    """(id, truth, pred) of rows (id, truth, cid, s): the label of the largest score, the smallest of ties."""
+    return scored.groupBy("id", "truth").agg(F.max_by("cid", F.struct("s", (-F.col("cid")).alias("t"))).alias("pred"))
+
+
+def top_accuracy(scored: DataFrame, k: int) -> DataFrame:
+    """One row: how often the truth is among the k labels of the largest scores, of rows (id, truth, cid, s)."""
+    ranks = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("s").desc(), "cid")))
+    return ranks.where("truth = cid").agg(F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"accuracy_top_{k}"))
+
+
+def subset_accuracy(scores: DataFrame, threshold: float) -> DataFrame:
+    """One row: n, how often all labels of an id are told right, of rows (id, label, score, truth); ids without a true label are left out."""
+    right = ((F.col("score") > threshold).cast("int") == F.col("truth")).cast("int")
+    each = scores.groupBy("id").agg(F.min(right).alias("same"), F.max("truth").alias("any")).where("any > 0")
+    return each.agg(F.count("*").alias("n"), F.round(F.avg("same"), 6).alias("subset_accuracy"))
+
+
+def card(scores: DataFrame, tasks: list[str], threshold: float) -> DataFrame:
+    """(id, card): under a heading each task with its labels over threshold and their percentage, cut to whole numbers, of rows (id, task, label, score)."""
+    text = F.concat(F.col("label").cast("string"), F.lit(" ("), F.floor(100 * F.col("score")).cast("string"), F.lit("%)"))
+    shown = F.when(F.col("score") > threshold, F.struct((-F.col("score")).alias("s"), "label", text.alias("t")))
+    lists = scores.groupBy("id").pivot("task", tasks).agg(F.array_join(F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["t"]), ", "))
+    return lists.select("id", F.concat(F.lit("\n# Artwork card"), *(x for t in tasks for x in (F.lit(f"\n{t}: "), F.coalesce(F.col(f"`{t}`"), F.lit(""))))).alias("card"))
 
 
 def topn_hits(scores: DataFrame) -> DataFrame:

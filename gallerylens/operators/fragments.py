@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as X
+from ..functions import html as H, text as X
 from .ranks import ranked
 
 BLOCKED = ("BULLET::::", "Section::::", "<templatestyles")
@@ -27,6 +29,56 @@ def sections(pages: DataFrame) -> DataFrame:
     return cut.select("page_id", "section", F.posexplode(F.split("part", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
+def wiki_fragments(pages: DataFrame, images: DataFrame, key: str = "page_id", least: int = 100) -> DataFrame:
+    """Pages (key, title, url, text) to fragments (id, key, paragraph_id, title, url, wiki_id, text, images).
+
+    A text is cut into sections at anchors of files, and into lines; blank and blocked lines go, the first line
+    left is the page's heading and no fragment, and the first infobox of the line after it is taken out.  Lines of
+    at least so many characters, white space squeezed, are fragments, numbered from 0 in their page and, as id,
+    over all pages in order of key.
+
+    images has the column file: names of the pictures at hand.  A page's pictures, (caption, type, url, file), are
+    its anchors of files and infoboxes whose file is at hand.  The first, if an infobox, belongs to the first
+    section, and each other one to the section after those before it; it goes to the first fragment of that
+    section or, if it has none, of the next section that has and still has a picture of its own.  Others are
+    dropped.  A page without a line, or null, has no fragments.
+    """
+    anchor = r'<a href="File[^"]+">(?:.*?)</a>'
+    infobox = r'<a href="InfoboxHeader[^"]+">(?:.*?)</a>'
+    found = pages.select(key, F.posexplode(H.links(F.col("text"))).alias("pos", "x")).select(key, "pos", F.trim("x.caption").alias("caption"), H.link_kind(F.col("x.url")).alias("type"), F.col("x.url").alias("url"))
+    found = found.where("type is not null").withColumn("file", H.link_file(F.col("url"))).join(images.select("file").distinct(), "file", "left_semi")
+    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "caption", "type", "url", "file"))).alias("xs"))
+    picture = "struct<caption:string,type:string,url:string,file:string>"
+    own = F.transform(F.coalesce("xs", F.array().cast("array<struct<pos:int,caption:string,type:string,url:string,file:string>>")), lambda x: F.struct(x["caption"].alias("caption"), x["type"].alias("type"), x["url"].alias("url"), x["file"].alias("file")))
+    # without an infobox in front, the first section has no picture
+    placed = F.when((F.size("own") > 0) & (F.get("own", F.lit(0))["type"] != "infobox"), F.concat(F.array(F.lit(None).cast(picture)), "own")).otherwise(F.col("own"))
+
+    bad = lambda x: reduce(lambda a, b: a | b, [x.startswith(p) for p in BLOCKED])
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.transform(F.split("text", anchor), lambda part: F.filter(F.transform(F.split(part, "\n"), strip), lambda x: (x != "") & ~bad(x)))
+    box = F.regexp_extract(F.get("head", F.lit(1)), infobox, 0)
+    line = F.when(box == "", F.get("head", F.lit(1))).otherwise(strip(F.replace(F.get("head", F.lit(1)), box, F.lit(""))))
+    first = F.concat(F.filter(F.array(line), lambda x: x != ""), F.slice("head", 3, F.greatest(F.size("head") - 2, F.lit(0))))
+    long = lambda part: F.filter(F.transform(part, lambda x: F.regexp_replace(x, r"\s+", " ")), lambda x: F.length(x) >= least)
+
+    df = pages.join(listed, key, "left").withColumn("own", own).withColumn("placed", placed).withColumn("lines", lines).withColumn("head", F.get("lines", F.lit(0))).where("size(head) > 0")
+    df = df.withColumn("first", first).withColumn("parts", F.transform(F.concat(F.array("first"), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(1)))), long))
+    full = F.filter(F.transform("parts", lambda p, j: F.when((F.size(p) > 0) & (j < F.size("placed")), j)), lambda j: j.isNotNull())
+    df = df.withColumn("full", full)
+    before = lambda j: F.coalesce(F.array_max(F.filter("full", lambda f: f < j)), F.lit(-1))
+    given = lambda j: F.when(F.array_contains("full", j), F.filter(F.slice("placed", before(j) + 2, j - before(j)), lambda x: x.isNotNull())).otherwise(F.array().cast(f"array<{picture}>"))
+    sectioned = F.flatten(F.transform("parts", lambda p, j: F.transform(p, lambda x, k: F.struct(x.alias("text"), F.when(k == 0, given(j)).otherwise(F.array().cast(f"array<{picture}>")).alias("images")))))
+    out = df.select(key, "title", "url", H.curid(F.col("url")).alias("wiki_id"), F.posexplode(sectioned).alias("paragraph_id", "f")).select(key, F.col("paragraph_id").cast("long").alias("paragraph_id"), "title", "url", "wiki_id", "f.text", "f.images")
+    return ranked(out, [key, "paragraph_id"], name="id")
+
+
+def containing(rows: DataFrame, text: str, needle: str) -> DataFrame:
+    """The rows whose text contains needle; all rows if none does."""
+    marked = rows.withColumn("_found", F.coalesce(F.col(text).contains(needle), F.lit(False)))
+    some = marked.agg(F.coalesce(F.bool_or("_found"), F.lit(False)).alias("_any"))  # one row
+    return marked.crossJoin(F.broadcast(some)).where("_found or not _any").drop("_found", "_any")
+
+
 def title(text: Column) -> Column:
     """The first line that is not blank."""
     return F.get(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), F.lit(0))

@@ -6,6 +6,8 @@ that what is shuffled is k rows a query and task however large the corpus is.
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -86,27 +88,66 @@ def maxsim(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return best.groupBy("qid", "id").agg(F.sum("s").alias("score"))
 
 
-def maxsim_arrow(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """maxsim with one matrix product a batch; a document's tokens are gathered first, so each is scored by one task."""
-    spark, out = corpus.sparkSession, None
-    rows = queries.orderBy("qid", "qtok").toPandas()  # queries are a bounded set
-    if rows.empty:
-        return spark.createDataFrame([], "qid long, id long, score double")
-    shared = spark.sparkContext.broadcast((rows["qid"].to_numpy(), np.array(rows["q"].tolist(), np.float64)))
-
-    def score(batches):
-        qids, q = shared.value
-        first = np.flatnonzero(np.concatenate([[True], qids[1:] != qids[:-1]]))
-        for batch in batches:
-            done = []
-            for doc, vectors in zip(batch.column("id").to_pylist(), batch.column("vs").to_pylist(), strict=True):
-                per_token = (q @ np.array(vectors, np.float64).T).max(axis=1)
-                done += [(int(qids[a]), doc, float(s)) for a, s in zip(first, np.add.reduceat(per_token, first), strict=True)]
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["qid", "id", "score"])
-
-    out = corpus.groupBy("id").agg(F.collect_list("v").alias("vs")).mapInArrow(score, "qid long, id long, score double")
-    return out
+def _query_blocks(queries: DataFrame):
+    """(queries, tokens of these as one matrix, each query's first row), each block of whole queries and about BLOCK_VALUES values."""
+    ids, first, rows, size = [], [], [], 0
+    for r in queries.orderBy("qid", "qtok").select("qid", "q").toLocalIterator():
+        if not ids or r[0] != ids[-1]:
+            if size >= BLOCK_VALUES:
+                yield np.array(ids), np.array(rows, np.float64), np.array(first)
+                ids, first, rows, size = [], [], [], 0
+            ids.append(r[0])
+            first.append(len(rows))
+        rows.append(r[1])
+        size += len(r[1])
+    if ids:
+        yield np.array(ids), np.array(rows, np.float64), np.array(first)
+
+
+def maxsim_topk(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): for each query (qid, qtok, q) the k documents (id, vs: their vectors) of the largest MaxSim.
+
+    Queries, a bounded set, are shipped in blocks; each task scores its documents with one matrix product a
+    document and keeps its best k a query, so that k rows a query and task are shuffled, not a row a pair.
+    """
+    spark, out = documents.sparkSession, None
+    for block in _query_blocks(queries):
+        shared = spark.sparkContext.broadcast(block)
+
+        def score(batches, shared=shared):
+            qids, q, first = shared.value
+            best = [np.zeros((2, 0))] * len(qids)  # scores, positions in docs
+            docs: list[int] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                lengths = np.diff(batch.column("vs").offsets.to_numpy())
+                some = np.flatnonzero(lengths)
+                if not len(some):
+                    continue
+                product = q @ _matrix(batch.column("vs").flatten()).T
+                at = (np.cumsum(lengths) - lengths)[some]
+                per_query = np.add.reduceat(np.maximum.reduceat(product, at, axis=1), first, axis=0)
+                ids, base = batch.column("id").to_numpy(zero_copy_only=False)[some], len(docs)
+                docs += ids.tolist()
+                for i, row in enumerate(per_query):
+                    both = np.concatenate([best[i], np.stack([row, np.arange(base, base + len(row))])], axis=1)
+                    order = np.lexsort((np.array([docs[int(x)] for x in both[1]]), -both[0]))[:k]
+                    best[i] = both[:, order]
+            rows = [(int(qids[i]), docs[int(x)], float(s)) for i, found in enumerate(best) for s, x in found.T]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["qid", "id", "score"])
+
+        found = documents.select("id", "vs").mapInArrow(score, "qid long, id long, score double")
+        out = found if out is None else out.unionAll(found)
+    if out is None:
+        return spark.createDataFrame([], "qid long, id long, score double, rank int")
+    return rank(out, "qid", "score", "id", k)
+
+
+def by_document(tokens: DataFrame) -> DataFrame:
+    """(id, vs): a document's vectors, of rows (id, tok, v), in order."""
+    return tokens.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("tok", "v"))), lambda x: x["v"]).alias("vs"))
 
 
 def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -116,28 +157,69 @@ def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def binary_topk(queries: DataFrame, corpus: DataFrame, k: int, oversample: float = 2.0) -> DataFrame:
-    """Candidates by agreement of signs, oversampled, then rescored by cosine: (qid, id, score, rank)."""
-    few = small(queries.withColumn("qb", V.sign_bits(F.col("q"))))
-    coarse = corpus.withColumn("b", V.sign_bits(F.col("v"))).join(few, F.col("id") != F.col("qid")).select("qid", "id", "q", "v", V.bit_score(F.col("qb"), F.col("b")).alias("bits"))
-    chosen = rank(coarse, "qid", "bits", "id", int(np.ceil(k * oversample))).drop("rank")
-    return rank(chosen.select("qid", "id", V.cosine(F.col("q"), F.col("v")).alias("score")), "qid", "score", "id", k)
+    """Candidates by agreement of signs, oversampled, then rescored by cosine: (qid, id, score, rank).
+
+    Only ids and signs, 8 bytes a row, are ranked; the vectors of the candidates are joined to them.
+    """
+    few = small(queries.select("qid", V.sign_bits(F.col("q")).alias("qb")))
+    coarse = corpus.select("id", V.sign_bits(F.col("v")).alias("b")).join(few, F.col("id") != F.col("qid")).select("qid", "id", V.bit_score(F.col("qb"), F.col("b")).alias("bits"))
+    chosen = rank(coarse, "qid", "bits", "id", int(np.ceil(k * oversample))).select("qid", "id")
+    scored = corpus.join(chosen, "id").join(queries, "qid").select("qid", "id", V.cosine(F.col("q"), F.col("v")).alias("score"))
+    return rank(scored, "qid", "score", "id", k)
 
 
-def two_stage(queries: DataFrame, tokens: DataFrame, prefetch: int, k: int) -> DataFrame:
-    """Candidates by signs of mean vectors, then MaxSim among them: (qid, id, score, rank).
+def pooled(documents: DataFrame, first: int = 4, last: int = 7, k: int = 8) -> DataFrame:
+    """(id, vs): documents (id, vs) as the mean of their first and last vectors, which hold no content, and the means of k clusters of the others.
 
-    queries (qid, qtok, q) and tokens (id, v).  Only the tokens of candidates are scored: prefetch documents a
-    query, whatever the corpus holds.
+    Clusters are Ward's, in order of their first vector.  A document of fewer vectors has as many clusters as it has
+    others, or the mean of all alone.
     """
-    means = centroids(tokens, "id", "v").select("id", V.sign_bits(F.col("v")).alias("b"))
-    asked = centroids(queries, "qid", "q").select("qid", V.sign_bits(F.col("q")).alias("qb"))
-    coarse = means.crossJoin(small(asked)).select("qid", "id", V.bit_score(F.col("qb"), F.col("b")).alias("bits"))
-    chosen = rank(coarse, "qid", "bits", "id", prefetch).select("qid", "id")
-    pairs = tokens.join(chosen, "id").join(queries, "qid").select("qid", "id", "qtok", V.dot(F.col("q"), F.col("v")).alias("s"))
+
+    def pool(batches):
+        for batch in batches:
+            out = []
+            for vs in batch.column("vs").to_pylist():
+                m = np.array(vs, np.float64)
+                content = m[first : max(len(m) - last, first)]
+                special = np.concatenate([m[:first], m[max(len(m) - last, min(first, len(m))) :]])
+                rows = [special.mean(axis=0)] if len(special) else []
+                if len(content):
+                    own = ward(content, min(k, len(content)))
+                    rows += [content[own == c].mean(axis=0) for c in range(own.max() + 1)]
+                out.append([r.tolist() for r in rows])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.list_(pa.float64())))], ["id", "vs"])
+
+    return documents.select("id", "vs").mapInArrow(pool, "id long, vs array<array<double>>")
+
+
+def two_stage(queries: DataFrame, documents: DataFrame, pools: DataFrame, prefetch: int = 100, k: int = 10) -> DataFrame:
+    """Candidates by MaxSim with pooled vectors, then MaxSim among them: (qid, id, score, rank).
+
+    queries (qid, qtok, q); documents and pools (id, vs), the latter of `pooled`, made once for a corpus.  A scan of
+    the pools gives prefetch documents a query; only these documents' own vectors are scored.
+    """
+    chosen = maxsim_topk(queries, pools, prefetch).select("qid", "id")
+    tokens = documents.join(chosen.select("id").distinct(), "id", "left_semi").select("id", F.explode("vs").alias("v"))
+    pairs = chosen.join(tokens, "id").join(queries, "qid").select("qid", "id", "qtok", V.dot(F.col("q"), F.col("v")).alias("s"))
     scored = pairs.groupBy("qid", "id", "qtok").agg(F.max("s").alias("s")).groupBy("qid", "id").agg(F.sum("s").alias("score"))
     return rank(scored, "qid", "score", "id", k)
 
 
+def recall(hits: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact hits (qid, id) that are among hits."""
+    found, total = exact.join(hits.select("qid", "id"), ["qid", "id"], "left_semi").count(), exact.count()
+    return found / max(total, 1)
+
+
+def query_times(queries: list, run) -> tuple[float, float]:
+    """Seconds that run(query), which collects its result, takes for all queries and for each on the average."""
+    began = time.perf_counter()
+    for q in queries:
+        run(q)
+    total = time.perf_counter() - began
+    return total, total / max(len(queries), 1)
+
+
 def ranking_metrics(hits: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """One row: n, mean nDCG@k and recall@1 with one relevant document each (qid, gold); not among the hits: 0."""
     found = gold.join(hits.where(F.col("rank") <= k), "qid", "left").groupBy("qid").agg(F.min(F.when(F.col("id") == F.col("gold"), F.col("rank"))).alias("r"))
@@ -194,14 +276,28 @@ def ward(vectors: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def cluster_pool(df: DataFrame, key: str, order: str, vec: str, k: int = 8) -> DataFrame:
-    """(key, cluster, n, v): each key's vectors in k clusters by Ward's criterion, as their means. A key is one document's tokens."""
+def context(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """(qid, context): under a heading each hit (qid, id, score, rank) with its document's (id, title, text, captions) title, score, captions of pictures and text, in order of rank."""
+    pictures = F.array_join(F.transform("captions", lambda c, i: F.concat(F.lit("### Image "), (i + 1).cast("string"), F.lit("\nCaption: "), c, F.lit("\n\n"))), "")
+    head = F.concat(F.lit("\n\n## Document "), F.col("rank").cast("string"), F.lit(": "), "title", F.lit("\nScore: "), F.format_string("%.2f", F.col("score")), F.lit(".\n\n"))
+    part = hits.join(documents, "id").select("qid", "rank", F.concat(head, pictures, F.lit("### Document Text\n"), "text").alias("part"))
+    return part.groupBy("qid").agg(F.concat(F.lit("# Context"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "part"))), lambda s: s["part"]), "")).alias("context"))
+
+
+def retrieve_context(queries: DataFrame, embedder, documents: DataFrame, vectors: DataFrame, pools: DataFrame, prefetch: int = 100, k: int = 10) -> DataFrame:
+    """(qid, context, ids): what an agent's search tool answers to queries (qid, text): two-stage hits as a prompt, and the documents' ids by rank.
 
-    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        m = np.array(pdf[vec].tolist(), np.float64)
-        own = ward(m, k)
-        return pd.DataFrame([(pdf[key].iloc[0], int(c), int((own == c).sum()), m[own == c].mean(axis=0).tolist()) for c in np.unique(own)], columns=[key, "cluster", "n", "v"])
+    embedder.tokens(texts) gives each text's vectors; vectors and pools are (id, vs) of the documents (id, title, text, captions).
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = embedder.tokens([t or "" for t in batch.column("text").to_pylist()])
+            rows = [(q, i, list(map(float, v))) for q, vs in zip(batch.column("qid").to_pylist(), found, strict=True) for i, v in enumerate(vs)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["qid", "qtok", "q"])
 
-    kind = dict(df.dtypes)[key]
-    return df.groupBy(key).applyInPandas(pool, f"{key} {kind}, cluster long, n long, v array<double>")
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), "text").mapInArrow(run, "qid long, qtok long, q array<double>")
+    hits = two_stage(asked, vectors, pools, prefetch, k)
+    ids = hits.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("ids"))
+    return context(hits, documents).join(ids, "qid")

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir, or a temporary folder only where that is unset, and read again."""
+    """df written as Parquet below spark.checkpoint.dir, or a temporary folder only where that is unset and all run on this machine, and read again."""
     spark = df.sparkSession
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     path = f"{held.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
@@ -15,34 +17,37 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _counts(df: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
-    grams = df.select(*keys, F.explode(ngrams(X.tokens(F.col(text)), n)).alias("g"))
-    return grams.groupBy(*keys, "g").agg(F.count("*").alias("c"))
+def _counts(df: DataFrame, keys: list[str], text: str, sizes: Iterable[int]) -> DataFrame:
+    """(keys, n, g, c): how often each n-gram of the sizes occurs; texts are cut into words once."""
+    sized = lambda n: F.transform(ngrams(F.col("_t"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    grams = df.select(*keys, X.tokens(F.col(text)).alias("_t")).select(*keys, F.explode(F.flatten(F.array(*map(sized, sizes)))).alias("x")).select(*keys, "x.n", "x.g")
+    return grams.groupBy(*keys, "n", "g").agg(F.count("*").alias("c"))
 
 
 def bleu(hyps: DataFrame, refs: DataFrame, order: int = 4) -> DataFrame:
     """One row: corpus BLEU-1 to BLEU-4 with counts clipped by the largest of any reference and the closest reference length."""
+    sizes = range(1, order + 1)
     h_len = hyps.select("id", F.size(X.tokens(F.col("hyp"))).alias("h"))
     r_len = refs.select("id", F.size(X.tokens(F.col("ref"))).alias("r"))
     closest = h_len.join(r_len, "id").groupBy("id", "h").agg(F.min_by("r", F.struct(F.abs(F.col("r") - F.col("h")), "r")).alias("r"))
     lengths = closest.agg(F.sum("h").alias("H"), F.sum("r").alias("R"))
-    out = lengths
-    for n in range(1, order + 1):
-        most = _counts(refs, ["id", "ref_no"], "ref", n).groupBy("id", "g").agg(F.max("c").alias("m"))
-        clip = _counts(hyps.join(refs.select("id").distinct(), "id", "left_semi"), ["id"], "hyp", n).join(most, ["id", "g"], "left").agg(F.sum(F.least("c", F.coalesce("m", F.lit(0)))).alias(f"m{n}"), F.sum("c").alias(f"t{n}"))
-        out = out.crossJoin(clip)  # one row each
+    most = _counts(refs, ["id", "ref_no"], "ref", sizes).groupBy("id", "n", "g").agg(F.max("c").alias("m"))
+    own = _counts(hyps.join(refs.select("id").distinct(), "id", "left_semi"), ["id"], "hyp", sizes).join(most, ["id", "n", "g"], "left")
+    of = lambda c, n: F.sum(F.when(F.col("n") == n, c))
+    clipped = own.agg(*(x for n in sizes for x in (of(F.least("c", F.coalesce("m", F.lit(0))), n).alias(f"m{n}"), of(F.col("c"), n).alias(f"t{n}"))))
     short = F.when(F.col("H") < F.col("R"), F.exp(1 - F.col("R") / F.col("H"))).otherwise(1.0)
-    logs = [F.log(F.greatest(F.coalesce(F.try_divide(F.col(f"m{n}"), F.col(f"t{n}")), F.lit(0.0)), F.lit(1e-12))) for n in range(1, order + 1)]
-    return out.select(*(F.round(short * F.exp(reduce(lambda a, b: a + b, logs[:n]) / n), 6).alias(f"bleu{n}") for n in range(1, order + 1)))
+    logs = [F.log(F.greatest(F.coalesce(F.try_divide(F.col(f"m{n}"), F.col(f"t{n}")), F.lit(0.0)), F.lit(1e-12))) for n in sizes]
+    return lengths.crossJoin(clipped).select(*(F.round(short * F.exp(reduce(lambda a, b: a + b, logs[:n]) / n), 6).alias(f"bleu{n}") for n in sizes))  # one row each
 
 
-def rouge_n(hyps: DataFrame, refs: DataFrame, n: int) -> DataFrame:
-    """(id, n, rouge): the largest F1 of shared n-grams over the references."""
-    hc, rc = _counts(hyps, ["id"], "hyp", n), _counts(refs, ["id", "ref_no"], "ref", n)
-    shared = rc.join(hc.withColumnRenamed("c", "hc"), ["id", "g"]).groupBy("id", "ref_no").agg(F.sum(F.least("c", "hc")).alias("s"))
-    pairs = refs.select("id", "ref_no").join(hc.groupBy("id").agg(F.sum("c").alias("h")), "id", "left").join(rc.groupBy("id", "ref_no").agg(F.sum("c").alias("r")), ["id", "ref_no"], "left").join(shared, ["id", "ref_no"], "left")
+def rouge_n(hyps: DataFrame, refs: DataFrame, sizes: Iterable[int]) -> DataFrame:
+    """(id, n, rouge): the largest F1 of shared n-grams over the references, for each n of sizes."""
+    hc, rc = _counts(hyps, ["id"], "hyp", sizes), _counts(refs, ["id", "ref_no"], "ref", sizes)
+    shared = rc.join(hc.withColumnRenamed("c", "hc"), ["id", "n", "g"], "left").groupBy("id", "ref_no", "n").agg(F.sum(F.least("c", F.coalesce("hc", F.lit(0)))).alias("s"), F.sum("c").alias("r"))
+    grid = refs.select("id", "ref_no", F.explode(F.array(*map(F.lit, sizes))).alias("n"))
+    pairs = grid.join(hc.groupBy("id", "n").agg(F.sum("c").alias("h")), ["id", "n"], "left").join(shared, ["id", "ref_no", "n"], "left")
     f1 = F.coalesce(F.try_divide(2.0 * F.coalesce("s", F.lit(0)), F.coalesce("h", F.lit(0)) + F.coalesce("r", F.lit(0))), F.lit(0.0))
-    return pairs.groupBy("id").agg(F.round(F.max(f1), 6).alias("rouge")).withColumn("n", F.lit(n))
+    return pairs.groupBy("id", "n").agg(F.round(F.max(f1), 6).alias("rouge"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -71,22 +76,68 @@ def rouge_l(hyps: DataFrame, refs: DataFrame, beta: float = 1.2) -> DataFrame:
     return pr.select("id", F.round(F.coalesce(F.try_divide((1 + b2) * F.col("p") * F.col("r"), F.col("r") + b2 * F.col("p")), F.lit(0.0)), 6).alias("rouge_l"))
 
 
+def rouge_lsum(hyps: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, rouge_lsum): the largest F1 over the references of the words that a sentence of the reference shares, in order, with any sentence of the hypothesis.
+
+    Sentences are lines.  Of a reference's sentence the words of its longest common subsequences with each of the
+    hypothesis's are taken together; a word counts at most as often as in either text.
+    """
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_lsum(a, b) for a, b in zip(x, y, strict=True)])
+
+    scored = hyps.join(refs, "id").select("id", score("hyp", "ref").alias("s"))
+    return scored.groupBy("id").agg(F.round(F.max("s"), 6).alias("rouge_lsum"))
+
+
+def _common(a: list[str], b: list[str]) -> set[int]:
+    """The places in a of one longest common subsequence with b."""
+    rows = [[0] * (len(b) + 1)]
+    for w in a:
+        last, row = rows[-1], [0]
+        for k, v in enumerate(b):
+            row.append(last[k] + 1 if w == v else max(last[k + 1], row[-1]))
+        rows.append(row)
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif rows[i][j - 1] > rows[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def _lsum(hyp: str | None, ref: str | None) -> float:
+    cut = lambda text: [w for line in (text or "").lower().split("\n") if (w := line.split())]
+    h, r = cut(hyp), cut(ref)
+    left, free = Counter(w for x in h for w in x), Counter(w for x in r for w in x)
+    hits = 0
+    for sentence in r:
+        for k in sorted(set().union(*(_common(sentence, x) for x in h)) if h else ()):
+            w = sentence[k]
+            if left[w] > 0 and free[w] > 0:
+                hits, left[w], free[w] = hits + 1, left[w] - 1, free[w] - 1
+    n, m = sum(map(len, h)), sum(map(len, r))
+    return 2 * hits / (n + m) if n + m else 0.0
+
+
 def cider(hyps: DataFrame, refs: DataFrame, order: int = 4) -> DataFrame:
     """(id, cider): ten times the mean over n of the mean over references of the tf-idf cosine of n-grams."""
-    total = refs.select("id").distinct().agg(F.log(F.count("*").cast("double")).alias("logn"))
-    out = None
-    for n in range(1, order + 1):
-        rc, hc = _counts(refs, ["id", "ref_no"], "ref", n), _counts(hyps, ["id"], "hyp", n)
-        df = rc.select("id", "g").distinct().groupBy("g").agg(F.count("*").alias("df"))
-        weigh = lambda x, df=df: x.join(df, "g", "left").crossJoin(total).withColumn("w", F.col("c") * (F.col("logn") - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))))
-        rw, hw = weigh(rc).select("id", "ref_no", "g", F.col("w").alias("rw")), weigh(hc).select("id", "g", F.col("w").alias("hw"))
-        r_norm = rw.groupBy("id", "ref_no").agg(F.sqrt(F.sum(F.col("rw") * F.col("rw"))).alias("rn"))
-        h_norm = hw.groupBy("id").agg(F.sqrt(F.sum(F.col("hw") * F.col("hw"))).alias("hn"))
-        dots = rw.join(hw, ["id", "g"]).groupBy("id", "ref_no").agg(F.sum(F.col("rw") * F.col("hw")).alias("d"))
-        sims = refs.select("id", "ref_no").join(r_norm, ["id", "ref_no"], "left").join(h_norm, "id", "left").join(dots, ["id", "ref_no"], "left").select("id", F.coalesce(F.try_divide(F.col("d"), F.col("rn") * F.col("hn")), F.lit(0.0)).alias("s"))
-        each = sims.groupBy("id").agg(F.avg("s").alias("s"))
-        out = each if out is None else out.unionAll(each)
-    return out.groupBy("id").agg(F.round(10 * F.sum("s") / order, 5).alias("cider"))
+    sizes = range(1, order + 1)
+    total = refs.select("id").distinct().agg(F.log(F.count("*").cast("double")).alias("logn"))  # one row
+    rc, hc = _counts(refs, ["id", "ref_no"], "ref", sizes), _counts(hyps, ["id"], "hyp", sizes)
+    df = rc.select("id", "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
+    weigh = lambda x: x.join(df, ["n", "g"], "left").crossJoin(F.broadcast(total)).withColumn("w", F.col("c") * (F.col("logn") - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))))
+    rw, hw = weigh(rc).select("id", "ref_no", "n", "g", F.col("w").alias("rw")), weigh(hc).select("id", "n", "g", F.col("w").alias("hw"))
+    h_norm = hw.groupBy("id", "n").agg(F.sqrt(F.sum(F.col("hw") * F.col("hw"))).alias("hn"))
+    dots = rw.join(hw, ["id", "n", "g"], "left").groupBy("id", "ref_no", "n").agg(F.sqrt(F.sum(F.col("rw") * F.col("rw"))).alias("rn"), F.sum(F.col("rw") * F.coalesce("hw", F.lit(0.0))).alias("d"))
+    grid = refs.select("id", "ref_no", F.explode(F.array(*map(F.lit, sizes))).alias("n"))
+    sims = grid.join(h_norm, ["id", "n"], "left").join(dots, ["id", "ref_no", "n"], "left").select("id", "n", F.coalesce(F.try_divide(F.col("d"), F.col("rn") * F.col("hn")), F.lit(0.0)).alias("s"))
+    return sims.groupBy("id", "n").agg(F.avg("s").alias("s")).groupBy("id").agg(F.round(10 * F.sum("s") / order, 5).alias("cider"))
 
 
 def meteor_exact(hyps: DataFrame, refs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
@@ -126,3 +177,16 @@ def pairs(hyps: DataFrame, refs: DataFrame) -> DataFrame:
 def last_turns(conv: DataFrame, key: str, turn: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.col(turn).desc()))
     return conv.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def vocabulary(refs: DataFrame, text: str) -> DataFrame:
+    """(token): the distinct words of the references, without punctuation."""
+    return refs.select(F.explode(X.words(X.without_punctuation(F.col(text)))).alias("token")).distinct()
+
+
+def in_vocabulary(rows: DataFrame, keys: list[str], text: str, vocab: DataFrame, most: int) -> DataFrame:
+    """(keys, text): the words that without punctuation are tokens of vocab, as they stand, the first `most` of them; a cut text keeps its final period."""
+    said = rows.select(*keys, F.posexplode(X.words(F.col(text))).alias("_pos", "_word")).withColumn("token", X.without_punctuation(F.col("_word")))
+    kept = said.join(vocab, "token", "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "_word"))).alias("_xs"))
+    whole = F.array_join(F.transform("_xs", lambda x: x["_word"]), " ")
+    return kept.select(*keys, X.truncate_words(whole, most).alias(text))

@@ -28,14 +28,47 @@ def frag_semi_filter(t: Tables) -> DataFrame:
     return fragments.paragraphs(t.paras()).join(good, "doc_id", "left_semi").select("doc_id", "paragraph_id")
 
 
-_PAGE_TEXT = 'Title line\nFirst <a href="File%3AA.jpg">cap one</a> rest\n\nNext<a href="InfoboxHeader%3AB.png">box</a>\nLast <a href="/wiki/x">x</a> line'
-_PAGE = "(SELECT 1 AS page_id, '" + _PAGE_TEXT + "' AS text)"
-
-
-@query(f"SELECT page_id, section, line_no, line FROM (SELECT page_id, section, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT page_id, unnest(range(len(ps))) AS section, string_split(unnest(ps), chr(10)) AS ls FROM (SELECT page_id, string_split_regex(text, '<a href=\"(?:File|InfoboxHeader)[^\"]*\">.*?</a>') AS ps FROM {_PAGE}))) WHERE trim(line) <> ''")
+@query("SELECT doc_id, (pos + 1) // 2 AS section, (pos + 1) % 2 AS line_no, line FROM paras WHERE trim(line) <> ''", "paras")
 def frag_sections(t: Tables) -> DataFrame:
-    cut = fragments.sections(t.rows("page_id int, text string", (1, _PAGE_TEXT)))
-    return cut.withColumn("section", F.col("section").cast("long")).withColumn("line_no", F.col("line_no").cast("long"))
+    """Every other line of a document begins with a file's anchor."""
+    doc, pos = F.col("doc_id"), F.col("pos")
+    line = F.concat(F.when(pos % 2 == 1, F.concat(F.lit('<a href="File%3A'), doc, F.lit('.jpg">cap</a>'))).otherwise(""), "line")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n")
+    cut = fragments.sections(t.paras().groupBy(doc.alias("page_id")).agg(text.alias("text")))
+    return cut.select(F.col("page_id").alias("doc_id"), F.col("section").cast("long").alias("section"), F.when(F.col("section") == 0, F.col("line_no") + 1).otherwise(F.col("line_no")).cast("long").alias("line_no"), "line")
+
+
+#: Pages made of documents: an infobox in some, a file's anchor before every other line in some, and which pictures are at hand.
+_BOX = "'<a href=\"InfoboxHeader%3Abox%20' || doc_id || '.png\">info</a> ' || CASE WHEN doc_id % 8 = 1 THEN repeat('words about this page ', 6) ELSE '' END"
+_WIKI_SQL = (
+    "WITH kept AS (SELECT doc_id, CASE WHEN doc_id % 4 >= 2 THEN pos // 2 + 1 ELSE 0 END AS section, pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM paras UNION ALL SELECT doc_id, 0, -1, trim(repeat('words about this page ', 6)) FROM documents WHERE doc_id % 8 = 1), "
+    "frags AS (SELECT doc_id, section, pos, text, row_number() OVER (PARTITION BY doc_id ORDER BY section, pos) - 1 AS paragraph_id, row_number() OVER (ORDER BY doc_id, section, pos) - 1 AS id, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS place FROM kept WHERE length(text) >= 100 AND NOT (starts_with(text, 'BULLET::::') OR starts_with(text, 'Section::::') OR starts_with(text, '<templatestyles'))), "
+    "pics AS (SELECT doc_id, -1 AS pos, 'infobox' AS type, 'box_' || doc_id || '.png' AS file FROM documents WHERE doc_id % 2 = 1 AND doc_id % 8 <> 5 UNION ALL SELECT doc_id, pos, 'thumb', 'pic_' || doc_id || '_' || pos || '.jpg' FROM paras WHERE doc_id % 4 >= 2 AND pos % 2 = 0 AND (doc_id + pos) % 3 <> 1), "
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - (min(pos) OVER (PARTITION BY doc_id) = -1)::INT AS k, count(*) OVER (PARTITION BY doc_id) + (min(pos) OVER (PARTITION BY doc_id) <> -1)::INT AS n FROM pics), "
+    "goes AS (SELECT p.doc_id, p.k, p.type || ':' || p.file AS pic, min(f.section) AS section FROM placed p JOIN frags f ON f.doc_id = p.doc_id AND f.section >= p.k AND f.section < p.n GROUP BY ALL) "
+    "SELECT id, f.doc_id, paragraph_id, f.doc_id::INT AS wiki_id, text, coalesce(string_agg(pic, ',' ORDER BY k), '') AS images FROM frags f LEFT JOIN goes g ON g.doc_id = f.doc_id AND g.section = f.section AND f.place = 1 GROUP BY id, f.doc_id, paragraph_id, text"
+)
+
+
+def _wiki(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Pages with their heading, infobox and anchors as text, and the pictures at hand."""
+    doc, pos = F.col("doc_id"), F.col("pos")
+    lines = t.paras()
+    anchor = F.concat(F.lit('<a href="File%3Apic%20'), doc, F.lit("_"), pos, F.lit('.jpg"> shows '), pos, F.lit(" </a>\n"))
+    marked = lines.select("doc_id", "pos", F.concat(F.when((doc % 4 >= 2) & (pos % 2 == 0), anchor).otherwise(""), "line").alias("line"))
+    body = marked.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    box = F.when(doc % 2 == 1, F.concat(F.expr(_BOX), F.lit("\n"))).otherwise("")
+    pages = body.select("doc_id", F.concat(F.lit("page "), doc).alias("title"), F.concat(F.lit("https://e.example.org/?curid="), doc).alias("url"), F.concat(F.lit("Page "), doc, F.lit(" \n\n"), box, "body").alias("text"))
+    boxes = t.documents.where("doc_id % 8 != 5").select(F.concat(F.lit("box_"), doc, F.lit(".png")).alias("file"))
+    files = lines.where("(doc_id + pos) % 3 != 1").select(F.concat(F.lit("pic_"), doc, F.lit("_"), pos, F.lit(".jpg")))
+    return pages, boxes.unionAll(files)
+
+
+@query(_WIKI_SQL, "paras")
+def wiki_fragments(t: Tables) -> DataFrame:
+    found = fragments.wiki_fragments(*_wiki(t), "doc_id")
+    named = F.array_join(F.transform("images", lambda x: F.concat(x["type"], F.lit(":"), x["file"])), ",")
+    return found.select("id", "doc_id", "paragraph_id", "wiki_id", "text", named.alias("images"))
 
 
 @query("SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1] AS title FROM documents")
@@ -63,12 +96,13 @@ def frag_link_histogram(t: Tables) -> DataFrame:
     return t.pages.select(F.size(H.links(F.col("html"))).cast("long").alias("n")).groupBy("n").agg(F.count("*").alias("pages"))
 
 
-_FILES = [("File%3AMona%20Lisa.jpg",), ("InfoboxHeader%3ABox%20One.png",), ("/wiki/Other",), ("File%3AA.svg",)]
+_PREFIXED = "CASE pos % 3 WHEN 0 THEN 'File%3A' WHEN 1 THEN 'InfoboxHeader%3A' ELSE '' END || replace(url, '/', '%20')"
 
 
-@query("SELECT url, CASE WHEN starts_with(url, 'InfoboxHeader') THEN 'infobox' WHEN starts_with(url, 'File') THEN 'thumb' END AS kind, replace(CASE WHEN starts_with(url, 'InfoboxHeader') THEN substr(url, 17) WHEN starts_with(url, 'File') THEN substr(url, 8) END, '%20', '_') AS file FROM (VALUES ('File%3AMona%20Lisa.jpg'), ('InfoboxHeader%3ABox%20One.png'), ('/wiki/Other'), ('File%3AA.svg')) x(url)")
+@query(f"SELECT page_id, pos, CASE pos % 3 WHEN 0 THEN 'thumb' WHEN 1 THEN 'infobox' END AS kind, CASE WHEN pos % 3 < 2 THEN replace(url, '/', '_') END AS file FROM ({_LINKS}) WHERE NOT contains(url, '%20')")
 def html_link_classify(t: Tables) -> DataFrame:
-    return t.rows("url string", *_FILES).select("url", H.link_kind(F.col("url")).alias("kind"), H.link_file(F.col("url")).alias("file"))
+    named = html_links(t).where("not contains(url, '%20')").select("page_id", "pos", F.expr(_PREFIXED).alias("url"))
+    return named.select("page_id", "pos", H.link_kind(F.col("url")).alias("kind"), H.link_file(F.col("url")).alias("file"))
 
 
 _UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&')"
@@ -102,18 +136,19 @@ def url_last_segment(t: Tables) -> DataFrame:
     return t.pages.select("page_id", H.last_segment(F.col("url")).alias("segment"))
 
 
-_IMAGES = [(1, "https://img.example.com/a/pic.one.JPG!Large.jpg"), (2, "https://img.example.com/b/plain.png"), (3, "https://img.example.com/c/noext")]
+_IMAGE = "url || '/a!b/pic.' || page_id || CASE page_id % 3 WHEN 0 THEN '.JPG!Large.jpg' WHEN 1 THEN '.png' ELSE '.JPG!HalfHD.jpg!HD.x' END"
 
 
-@query("SELECT id, pos, url, name FROM (SELECT id, unnest(range(7)) AS pos, unnest([u, s || '.jpg', s || '.jpeg', s || '.png', s || '.JPG', s || '.JPEG', s || '.PNG']) AS url, split_part(string_split(u, '/')[-1], '.', 1) || '.jpg' AS name FROM (SELECT id, u, regexp_replace(u, '\\.[^./]*$', '') AS s FROM (SELECT id, regexp_replace(url, '!.*$', '') AS u FROM (VALUES (1, 'https://img.example.com/a/pic.one.JPG!Large.jpg'), (2, 'https://img.example.com/b/plain.png'), (3, 'https://img.example.com/c/noext')) x(id, url))))")
+@query("SELECT page_id, name, unnest(range(7)) AS pos, u || '!' || unnest(['HD', 'HalfHD', 'Large', 'Blog', 'Portrait', 'PinterestLarge', 'PinterestSmall']) || CASE page_id % 3 WHEN 1 THEN '.png' ELSE '.JPG' END AS url FROM (SELECT page_id, 'pic.jpg' AS name, url || '/a!b/pic.' || page_id || CASE page_id % 3 WHEN 1 THEN '.png' ELSE '.JPG' END AS u FROM pages)")
 def url_candidates(t: Tables) -> DataFrame:
-    rows = t.rows("id int, u string", *_IMAGES)
-    return rows.select("id", H.jpg_name(F.col("u")).alias("name"), F.posexplode(H.candidates(F.col("u"))).alias("pos", "url")).withColumn("pos", F.col("pos").cast("long"))
+    rows = t.pages.select("page_id", F.expr(_IMAGE).alias("u"))
+    return rows.select("page_id", H.jpg_name(F.col("u")).alias("name"), F.posexplode(H.candidates(F.col("u"))).alias("pos", "url")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("SELECT url, TRY_CAST(nullif(regexp_extract(url, '.*curid=(\\d+)$', 1), '') AS INT) AS curid FROM (VALUES ('https://x.example.com/?curid=12&curid=34'), ('https://x.example.com/page')) x(url)")
+@query("SELECT page_id, CASE WHEN page_id % 3 < 2 THEN page_id::INT END AS curid FROM pages")
 def url_curid(t: Tables) -> DataFrame:
-    return t.rows("url string", ("https://x.example.com/?curid=12&curid=34",), ("https://x.example.com/page",)).select("url", H.curid(F.col("url")).alias("curid"))
+    end = F.expr("CASE page_id % 3 WHEN 0 THEN '?curid=12&curid=' || page_id WHEN 1 THEN '?curid=' || page_id ELSE '?curid=' || page_id || 'x' END")
+    return t.pages.select("page_id", H.curid(F.concat("url", end)).alias("curid"))
 
 
 @query(f"SELECT doc_id, regexp_replace(lower(replace(strip_accents(text), 'ß', 'ss')), '[^a-z0-9_]+', '', 'g') AS title_key FROM documents")
@@ -136,12 +171,12 @@ def txt_strip_accents(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.strip_accents(F.col("text")).alias("text"))
 
 
-_STYLES = ["realism (art movement)", "Symbolism (arts)", "abstract EXPRESSIONISM", "pop art (1950s) (uk)"]
+_STYLE = "CASE p_partkey % 5 WHEN 0 THEN 'realism (' || p_brand || ')' WHEN 1 THEN 'SYMBOLISM (a) b (c)' ELSE p_name || ' (' || p_type || ') ' END"
 
 
-@query("SELECT raw, CASE WHEN q IN ('Realism', 'Symbolism') THEN q || ' (arts)' ELSE q END AS query FROM (SELECT raw, trim(array_to_string(list_transform(string_split(regexp_replace(raw, '\\(.*\\)', ''), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')) AS q FROM (VALUES ('realism (art movement)'), ('Symbolism (arts)'), ('abstract EXPRESSIONISM'), ('pop art (1950s) (uk)')) x(raw))")
+@query(f"SELECT p_partkey, CASE WHEN q IN ('Realism', 'Symbolism') THEN q || ' (arts)' ELSE q END AS query FROM (SELECT p_partkey, trim(array_to_string(list_transform(string_split(regexp_replace(raw, '\\(.*\\)', ''), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')) AS q FROM (SELECT p_partkey, {_STYLE} AS raw FROM part))")
 def txt_style_query(t: Tables) -> DataFrame:
-    return t.rows("raw string", *((s,) for s in _STYLES)).select("raw", X.style_query(F.col("raw")).alias("query"))
+    return t.part.select("p_partkey", X.style_query(F.expr(_STYLE)).alias("query"))
 
 
 @query("SELECT p_partkey, 'a painting by ' || array_to_string(list_transform(string_split(replace(lower(p_name), '-', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS prompt FROM part")
@@ -169,17 +204,20 @@ def txt_sentences(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", X.sentences(F.col("text")).alias("s")).select("item_id", F.size("s").cast("long").alias("n"), F.col("s")[0].alias("first"))
 
 
-_THINK = [("<think>a</think>b</think> answer",), ("no mark",), ("x</think>",)]
+_THOUGHT = "CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '<think>' || role || '</think>' || text ELSE '<think>a</think>b</think>' || text END"
 
 
-@query("SELECT raw, string_split(raw, '</think>')[-1] AS answer FROM (VALUES ('<think>a</think>b</think> answer'), ('no mark'), ('x</think>')) x(raw)")
+@query(f"SELECT conv_id, turn, string_split(raw, '</think>')[-1] AS answer FROM (SELECT conv_id, turn, {_THOUGHT} AS raw FROM conversations)")
 def txt_after_think(t: Tables) -> DataFrame:
-    return t.rows("raw string", *_THINK).select("raw", X.after_last(F.col("raw"), "</think>").alias("answer"))
+    return t.conversations.select("conv_id", "turn", X.after_last(F.expr(_THOUGHT), "</think>").alias("answer"))
+
+
+_VERDICT = "text || CASE turn % 4 WHEN 0 THEN ' assistant: Yes, it does' WHEN 1 THEN ' assistant: yes assistant: no' WHEN 2 THEN ' assistant:' || chr(10) || '  YES' ELSE '' END"
 
 
-@query("SELECT raw, starts_with(lower(trim(string_split(raw, 'assistant:')[-1])), 'yes') AS verdict FROM (VALUES ('user: x assistant:  Yes, it does'), ('assistant: no'), ('yes')) x(raw)")
+@query(f"SELECT conv_id, turn, regexp_matches(string_split(raw, 'assistant:')[-1], '(?i)^\\s*yes') AS verdict FROM (SELECT conv_id, turn, {_VERDICT} AS raw FROM conversations)")
 def verdict_parse(t: Tables) -> DataFrame:
-    return t.rows("raw string", ("user: x assistant:  Yes, it does",), ("assistant: no",), ("yes",)).select("raw", X.verdict(F.col("raw"), "assistant:").alias("verdict"))
+    return t.conversations.select("conv_id", "turn", X.verdict(F.expr(_VERDICT), "assistant:").alias("verdict"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE NOT (contains(p_name, 'part 1') OR contains(p_name, 'ee'))")
@@ -187,11 +225,11 @@ def title_blacklist(t: Tables) -> DataFrame:
     return t.part.where(~X.contains_any(F.col("p_name"), ["part 1", "ee"])).select("p_partkey", "p_name")
 
 
-@query("SELECT doc_id, false AS found FROM documents WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, 'zzz no such text')) UNION ALL SELECT doc_id, true FROM documents WHERE contains(text, 'zzz no such text')")
+@query("SELECT n.needle, doc_id FROM (VALUES ('license'), ('zzz no such text')) n(needle) JOIN documents d ON contains(d.text, n.needle) OR NOT EXISTS (SELECT 1 FROM documents e WHERE contains(e.text, n.needle))")
 def contains_or_all(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", F.col("text").contains("zzz no such text").alias("found"))
-    any_hit = docs.agg(F.coalesce(F.bool_or("found"), F.lit(False)).alias("any"))  # one row
-    return docs.crossJoin(F.broadcast(any_hit)).where("found or not any").select("doc_id", "found")
+    """One search with hits, and one without any."""
+    found = [fragments.containing(t.documents.select("doc_id", "text"), "text", n).select(F.lit(n).alias("needle"), "doc_id") for n in ("license", "zzz no such text")]
+    return found[0].unionAll(found[1])
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents")

@@ -20,6 +20,11 @@ def seeded_shuffle(t: Tables) -> DataFrame:
     return sampling.shuffle(t.orders.select("o_orderkey"), "o_orderkey").withColumn("place", F.col("place").cast("long"))
 
 
+@query(f"SELECT o_orderkey, o_orderstatus, CASE WHEN r / n <= 0.85 THEN 'train' ELSE 'test' END AS split FROM (SELECT o_orderkey, o_orderstatus, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_SEED}) AS DOUBLE) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)")
+def stratified_split_two(t: Tables) -> DataFrame:
+    return sampling.stratified_split(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", [("train", 0.85), ("test", 0.15)])
+
+
 @query(f"SELECT o_orderkey, o_orderpriority, CASE WHEN r / n <= 0.7 THEN 'train' WHEN r / n <= 0.85 THEN 'val' ELSE 'test' END AS split FROM (SELECT o_orderkey, o_orderpriority, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_SEED}) AS DOUBLE) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)")
 def stratified_split(t: Tables) -> DataFrame:
     return sampling.stratified_split(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", [("train", 0.7), ("val", 0.15), ("test", 0.15)])
@@ -79,18 +84,21 @@ def metric_sum_mean(t: Tables) -> DataFrame:
 
 
 _TOK = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
+#: DuckDB: without ASCII punctuation, and the words of a text.
+_BARE = "regexp_replace({}, '[!-/:-@\\[-`{{-~]', '', 'g')"
+_WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda w: w <> '')"
+_VOCAB = f"SELECT DISTINCT unnest({_WORDS.format(_BARE.format('text'))}) AS token FROM conversations WHERE role = 'user'"
 
 
-@query(f"SELECT DISTINCT unnest({_TOK}) AS token FROM conversations WHERE role = 'user'")
+@query(_VOCAB)
 def vocab_build(t: Tables) -> DataFrame:
-    return t.conversations.where("role = 'user'").select(F.explode(X.tokens(F.col("text"))).alias("token")).distinct()
+    return M.vocabulary(t.conversations.where("role = 'user'"), "text")
 
 
-@query(f"WITH v AS (SELECT DISTINCT unnest({_TOK}) AS token FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, unnest(range(len(k))) AS pos, unnest(k) AS token FROM (SELECT conv_id, turn, {_TOK} AS k FROM conversations WHERE role = 'assistant')) SELECT conv_id, turn, string_agg(token, ' ' ORDER BY pos) AS kept FROM a SEMI JOIN v USING (token) GROUP BY conv_id, turn")
+@query(f"WITH v AS ({_VOCAB}), a AS (SELECT conv_id, turn, unnest(range(len(k))) AS pos, unnest(k) AS token FROM (SELECT conv_id, turn, {_WORDS.format('text')} AS k FROM conversations WHERE role = 'assistant')), f AS (SELECT conv_id, turn, list(a.token ORDER BY pos) AS k FROM a JOIN v ON {_BARE.format('a.token')} = v.token GROUP BY conv_id, turn), c AS (SELECT *, array_to_string(k[1:30], ' ') AS cut FROM f) SELECT conv_id, turn, cut || CASE WHEN len(k) > 30 AND ends_with(k[-1], '.') AND NOT ends_with(cut, '.') THEN '.' ELSE '' END AS kept FROM c")
 def vocab_filter(t: Tables) -> DataFrame:
-    said = t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(X.tokens(F.col("text"))).alias("pos", "token"))
-    kept = said.join(vocab_build(t), "token", "left_semi")
-    return kept.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ").alias("kept"))
+    said = t.conversations.where("role = 'assistant'").select("conv_id", "turn", "text")
+    return M.in_vocabulary(said, ["conv_id", "turn"], "text", vocab_build(t), 30).withColumnRenamed("text", "kept")
 
 
 @query("SELECT conv_id, max(turn) AS turn, max_by(role, turn) AS role, max_by(text, turn) AS text FROM conversations GROUP BY conv_id")
@@ -104,56 +112,87 @@ def chat_after_last_user(t: Tables) -> DataFrame:
     return t.conversations.withColumn("last", last).where("turn > coalesce(last, -1)").select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) || '<think>' AS prompt FROM conversations GROUP BY conv_id")
+_SYSTEM = "'<|im_start|>system' || chr(10) || coalesce(max(text) FILTER (turn = first AND role = 'system'), 'You are a helpful assistant.')"
+_TURNS = "string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (NOT (turn = first AND role = 'system'))"
+_MARKED = "(SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations)"
+
+
+@query(f"SELECT conv_id, {_SYSTEM} || '<|im_end|>' || chr(10) || coalesce({_TURNS}, '') || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) AS prompt FROM {_MARKED} GROUP BY conv_id")
 def chat_render(t: Tables) -> DataFrame:
-    return render(t.conversations)
+    return C.render(t.conversations)
 
 
-def render(conv: DataFrame) -> DataFrame:
-    """(conv_id, prompt): each turn between marks; tool replies one after another share one user turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    near = conv.withColumn("before", F.lag("role").over(w)).withColumn("after", F.lead("role").over(w))
-    tool = F.col("role") == "tool"
-    opens = F.when(tool & (F.coalesce("before", F.lit("")) == "tool"), "\n").when(tool, "<|im_start|>user\n").otherwise(F.concat(F.lit("<|im_start|>"), F.coalesce(C.role(F.col("role")), F.col("role")), F.lit("\n")))
-    body = F.when(tool, F.concat(F.lit("<tool_response>\n"), "text", F.lit("\n</tool_response>"))).otherwise(F.col("text"))
-    closes = F.when(tool & (F.coalesce("after", F.lit("")) == "tool"), "").otherwise("<|im_end|>\n")
-    part = near.select("conv_id", "turn", F.concat(opens, body, closes).alias("part"))
-    return part.groupBy("conv_id").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "part"))), lambda s: s["part"]), ""), F.lit("<|im_start|>assistant\n<think>")).alias("prompt"))
+_TOOL = '{"type": "function", "function": {"name": "find"}}'
+_BLOCK = "chr(10) || chr(10) || '# Tools' || chr(10) || chr(10) || 'You may call one or more functions to assist with the user query.' || chr(10) || chr(10) || 'You are provided with function signatures within <tools></tools> XML tags:' || chr(10) || '<tools>' || chr(10) || '" + _TOOL + "' || chr(10) || '</tools>' || chr(10) || chr(10) || 'For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:' || chr(10) || '<tool_call>' || chr(10) || '{\"name\": <function-name>, \"arguments\": <args-json-object>}' || chr(10) || '</tool_call>'"
+_CALLED = "chr(10) || '<tool_call>' || chr(10) || '{\"name\": \"find\", \"arguments\": {\"turn\": ' || turn || '}}' || chr(10) || '</tool_call>'"
+_TOOLED = f"CASE WHEN role = 'assistant' AND turn % 4 <> 0 THEN '<|im_start|>assistant' || chr(10) || text || {_CALLED} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || '<tool_response>' || chr(10) || 'found ' || turn || chr(10) || '</tool_response>' || chr(10) || '<tool_response>' || chr(10) || 'found more' || chr(10) || '</tool_response>' || '<|im_end|>' || chr(10) ELSE '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) END"
 
 
-_ANSWERS = ["The TWO  cats, running!", "dont know.", "it was 1,000 people", "An apple a day", "version 3.5 is out", "Twenty-one; red & blue"]
-_NORMAL = ["2 cats, running", "don't know", "it was 1000 people", "apple day", "version 3 5 is out", "twenty 1 red blue"]
+@query(f"SELECT conv_id, {_SYSTEM} || {_BLOCK} || '<|im_end|>' || chr(10) || coalesce(string_agg({_TOOLED}, '' ORDER BY turn) FILTER (NOT (turn = first AND role = 'system')), '') || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) AS prompt FROM {_MARKED} GROUP BY conv_id")
+def chat_render_tools(t: Tables) -> DataFrame:
+    """Some of the assistant's turns call a tool, which replies twice."""
+    asks = (F.col("role") == "assistant") & (F.col("turn") % 4 != 0)
+    call = F.array(F.struct(F.lit("find").alias("name"), F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}")).alias("arguments")))
+    none = F.array().cast("array<struct<name:string,arguments:string>>")
+    turns = t.conversations.select("conv_id", (F.col("turn") * 3).alias("turn"), "role", "text", F.when(asks, call).otherwise(none).alias("tool_calls"), asks.alias("asks"))
+    reply = lambda k, text: turns.where("asks").select("conv_id", (F.col("turn") + k).alias("turn"), F.lit("tool").alias("role"), text.alias("text"), none.alias("tool_calls"))
+    plain = turns.drop("asks").unionAll(reply(1, F.concat(F.lit("found "), F.expr("string(turn div 3)")))).unionAll(reply(2, F.lit("found more")))
+    return C.render(plain, [_TOOL])
 
 
-@query("SELECT raw, want AS answer FROM (VALUES ('The TWO  cats, running!', '2 cats, running'), ('dont know.', 'don''t know'), ('it was 1,000 people', 'it was 1000 people'), ('An apple a day', 'apple day'), ('version 3.5 is out', 'version 3 5 is out'), ('Twenty-one; red & blue', 'twenty one red blue')) x(raw, want)")
+#: DuckDB: an answer in the form in which answers are compared; {} is a column.
+_RUNS = r"regexp_extract_all(replace(replace(regexp_replace(regexp_replace(lower({}), '([0-9])\.', '\1' || chr(1), 'g'), '\.([0-9])', chr(1) || '\1', 'g'), '.', ''), chr(1), '.'), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
+_ONE = (
+    "CASE w WHEN 'zero' THEN '0' WHEN 'one' THEN '1' WHEN 'two' THEN '2' WHEN 'three' THEN '3' WHEN 'four' THEN '4' WHEN 'five' THEN '5' WHEN 'six' THEN '6' WHEN 'seven' THEN '7' WHEN 'eight' THEN '8' WHEN 'nine' THEN '9' WHEN 'ten' THEN '10' WHEN 'eleven' THEN '11' WHEN 'twelve' THEN '12' WHEN 'thirteen' THEN '13' WHEN 'fourteen' THEN '14' WHEN 'fifteen' THEN '15' WHEN 'sixteen' THEN '16' WHEN 'seventeen' THEN '17' WHEN 'eighteen' THEN '18' WHEN 'nineteen' THEN '19' "
+    "WHEN 'twenty' THEN '20' WHEN 'thirty' THEN '30' WHEN 'forty' THEN '40' WHEN 'fifty' THEN '50' WHEN 'sixty' THEN '60' WHEN 'seventy' THEN '70' WHEN 'eighty' THEN '80' WHEN 'ninety' THEN '90' WHEN 'hundred' THEN '100' WHEN 'thousand' THEN '1000' WHEN 'a' THEN '' WHEN 'an' THEN '' WHEN 'the' THEN '' WHEN 'im' THEN 'i''m' WHEN 'ive' THEN 'i''ve' WHEN 'id' THEN 'i''d' WHEN 'lets' THEN 'let''s' "
+    "ELSE CASE WHEN w IN ('dont', 'cant', 'wont', 'isnt', 'arent', 'wasnt', 'werent', 'didnt', 'hasnt', 'havent', 'wouldnt', 'couldnt', 'shouldnt') THEN w[1:-2] || '''t' WHEN w IN ('youre', 'youve') THEN w[1:3] || '''' || w[4:5] WHEN w IN ('hes', 'shes') THEN w[1:-2] || '''s' ELSE w END END"
+)
+_COMMAS = r"regexp_replace(regexp_replace(array_to_string(list_transform(" + _RUNS + f", lambda w: {_ONE}), ''), '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g')"
+_NORMAL = r"trim(regexp_replace(regexp_replace(" + _COMMAS + r", '[!\"#$%&()*+./;<=>?@\[\\\]^_`{{|}}~-]', ' ', 'g'), '\s+', ' ', 'g'))"
+#: Texts with what the form changes: numbers, contractions, articles, commas and periods.
+_ANSWERS = "text || ' Twenty-one of the ' || turn || ',' || conv_id || ' dont cost 3.5. No.5 is the LETS, an ID; youve 1,2,3..'"
+
+
+@query(f"SELECT conv_id, turn, {_NORMAL.format('raw')} AS answer FROM (SELECT conv_id, turn, {_ANSWERS} AS raw FROM conversations)")
 def vqa_normalize(t: Tables) -> DataFrame:
-    return t.rows("raw string", *((a,) for a in _ANSWERS)).select("raw", X.robust_answer(F.col("raw")).alias("answer"))
+    return t.conversations.select("conv_id", "turn", X.robust_answer(F.expr(_ANSWERS)).alias("answer"))
+
+
+_REFS = "CASE conv_id % 4 WHEN 0 THEN [replace(text, 'e', 'E'), 'The ' || text || '!', text || '..'] WHEN 1 THEN [text || ';', 'no'] WHEN 2 THEN ['no', text || ' x'] ELSE ['an ' || text] END"
 
 
-@query("SELECT * FROM (VALUES (1, 1.0::DOUBLE), (2, round(1 / 3.0::DOUBLE, 6)), (3, 0.0::DOUBLE), (4, 1.0::DOUBLE)) x(id, score)")
+@query(f"SELECT conv_id AS id, turn, round(least(coalesce(len(list_filter(refs, lambda r: {_NORMAL.format('r')} = {_NORMAL.format('text')})) / least(len(refs), 3)::DOUBLE, 0), 1), 6) AS score FROM (SELECT *, {_REFS} AS refs FROM conversations)")
 def vqa_robust_accuracy(t: Tables) -> DataFrame:
-    rows = t.rows("id int, pred string, refs array<string>", (1, "Two", ["2", "two.", "the two"]), (2, "red", ["Red!", "blue", "green"]), (3, "x", ["y"]), (4, "a cat", ["cat"]))
-    return M.robust_accuracy(rows).withColumn("score", F.round("score", 6))
+    refs = F.expr(_REFS.replace("[", "array(").replace("]", ")"))
+    rows = t.conversations.select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("pred"), refs.alias("refs"))
+    return M.robust_accuracy(rows).select(F.col("id.conv_id").alias("id"), "id.turn", F.round("score", 6).alias("score"))
 
 
-_JSON = ['say {"a": 1, "b": {"c": "x"}} done {"z": 2}', 'none', 'open {"a": [1, 2', '{"a": "one", "b": 3.5, "c": true, "d" oops}', '{"k": 1} trailing']
+_OBJECT = """'{"turn": ' || turn || ', "of": {"role": "' || role || '"}}'"""
+_SAID = f"CASE turn % 3 WHEN 0 THEN 'say ' || {_OBJECT} || ' done {{\"z\": 2}}' WHEN 1 THEN 'no object' ELSE 'open {{\"turn\": [' || turn END"
 
 
+@query(f"SELECT conv_id, turn, nullif(regexp_extract(raw, '\\{{[^{{}}]*(?:\\{{[^{{}}]*\\}}[^{{}}]*\\}}|$)'), '') AS object FROM (SELECT conv_id, turn, {_SAID} AS raw FROM conversations)")
 def json_first_object(t: Tables) -> DataFrame:
-    return t.rows("raw string", *((j,) for j in _JSON)).select("raw", C.json_first_object(F.col("raw")).alias("object"))
+    return t.conversations.select("conv_id", "turn", C.json_first_object(F.expr(_SAID)).alias("object"))
 
 
+_BROKEN = f"CASE turn % 3 WHEN 0 THEN 'so: ' || {_OBJECT} WHEN 1 THEN {_OBJECT} || ' and {{more' ELSE '{{\"role\": \"' || role || '\", \"turn\": ' || turn || ', \"last\": true, \"oops' END"
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN '{\"of\": {\"role\": \"' || role || '\"}, \"turn\": ' || turn || '}' ELSE '{\"last\": true, \"role\": \"' || role || '\", \"turn\": \"' || turn || '\"}' END AS json FROM conversations")
 def json_repair(t: Tables) -> DataFrame:
-    return t.rows("raw string", *((j,) for j in _JSON)).select("raw", C.json_repair(F.col("raw")).alias("json"))
+    return t.conversations.select("conv_id", "turn", C.json_repair(F.expr(_BROKEN)).alias("json"))
 
 
-def chat_tool_calls(t: Tables) -> DataFrame:
-    raw = ['I look.\n<tool_call>\n{"name": "find", "arguments": {"q": "blue"}}\n</tool_call><|im_end|>', '<tool_call>\n{"name": "find", "arguments": "{\\"q\\": 1}"}\n</tool_call>', "plain<|im_end|>"]
-    return t.rows("raw string", *((r,) for r in raw)).select("raw", C.tool_calls(F.col("raw")).alias("parsed"))
+#: The question mark stands for a backslash, which the two dialects write differently.
+_CALLS = """replace('I look.' || chr(10) || '<tool_call>' || chr(10) || CASE turn % 4 WHEN 0 THEN '{"name": "find", "arguments": {"q": ' || turn || '}}' WHEN 1 THEN '{"name": "find", "arguments": "{?"q?": ' || turn || '}"}' WHEN 2 THEN '[1, 2]' ELSE '{"name": "find", "arguments": "no JSON"}' END || chr(10) || '</tool_call><|im_end|>', '?', chr(92))"""
 
 
-for f in (json_first_object, json_repair, chat_tool_calls):
-    query()(f)
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN '[{"args":{"q":' || turn || '},"name":"find"}]' ELSE '[]' END AS calls, CASE WHEN turn % 4 < 2 THEN 'I look.' ELSE 'I look.' || chr(10) || '<tool_call>' || chr(10) || CASE turn % 4 WHEN 2 THEN '[1, 2]' ELSE '{"name": "find", "arguments": "no JSON"}' END || chr(10) || '</tool_call>' END AS content FROM conversations""")
+def chat_tool_calls(t: Tables) -> DataFrame:
+    parsed = t.conversations.select("conv_id", "turn", C.tool_calls(F.expr(_CALLS)).alias("parsed"))
+    return parsed.select("conv_id", "turn", F.get_json_object("parsed", "$.calls").alias("calls"), F.get_json_object("parsed", "$.content").alias("content"))
 
 
 def _texts(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -189,19 +228,22 @@ def bleu_corpus(t: Tables) -> DataFrame:
 
 @query(f"{_T}, {_grams(1)}, {_grams(2)}, " + ", ".join(f"s{n} AS (SELECT r.id, r.ref_no, sum(CASE WHEN h.c IS NULL THEN 0 ELSE least(r.c, h.c) END) AS s, sum(r.c) AS r FROM r{n} r LEFT JOIN h{n} h USING (id, g) GROUP BY ALL)" for n in (1, 2)) + " " + " UNION ALL ".join(f"SELECT id, {n} AS n, round(max(coalesce(2 * coalesce(s, 0) / nullif(coalesce(r, 0) + coalesce(t, 0), 0), 0)), 6) AS rouge FROM refs LEFT JOIN s{n} USING (id, ref_no) LEFT JOIN (SELECT id, sum(c) AS t FROM h{n} GROUP BY id) USING (id) GROUP BY id" for n in (1, 2)))
 def rouge_n(t: Tables) -> DataFrame:
-    h, r = _texts(t)
-    return M.rouge_n(h, r, 1).unionByName(M.rouge_n(h, r, 2)).select("id", "n", "rouge")
+    return M.rouge_n(*_texts(t), (1, 2)).select("id", "n", "rouge")
 
 
 def rouge_l(t: Tables) -> DataFrame:
     return M.rouge_l(*_texts(t))
 
 
+def rouge_lsum(t: Tables) -> DataFrame:
+    return M.rouge_lsum(*_texts(t))
+
+
 def meteor_exact(t: Tables) -> DataFrame:
     return M.meteor_exact(*_texts(t))
 
 
-for f in (rouge_l, meteor_exact):
+for f in (rouge_l, rouge_lsum, meteor_exact):
     query()(f)
 
 

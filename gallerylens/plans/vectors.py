@@ -5,7 +5,7 @@ Searches ask for every row whose id is divisible by 20, against all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vector as V
 from ..operators import classify, graph, retrieval, sampling
@@ -31,52 +31,56 @@ def knn_cosine_topk(t: Tables) -> DataFrame:
 
 
 _PAIRS = "SELECT q.doc_id AS qid, q.tok AS qtok, d.doc_id AS id, max(list_inner_product(q.v, d.v)) AS s FROM mv q CROSS JOIN mv d WHERE q.doc_id % 20 = 0 GROUP BY ALL"
-_SIGNS = "SELECT doc_id, list(m ORDER BY i) AS m FROM (SELECT doc_id, i, avg(x) AS m FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM mv) GROUP BY ALL) GROUP BY doc_id"
+#: Documents of five vectors: the first and last are special, the three between are pooled to three.
+SPECIAL, CLUSTERS, PREFETCH, OVERSAMPLE = 1, 3, 100, 40.0
 
 
 def _mv(t: Tables, least_tok: int = 0) -> tuple[DataFrame, DataFrame]:
     mv = t.mv()
     asked = mv.where((F.col("doc_id") % 20 == 0) & (F.col("tok") >= least_tok))
-    return asked.select(F.col("doc_id").alias("qid"), F.col("tok").alias("qtok"), F.col("v").alias("q")), mv.select(F.col("doc_id").alias("id"), "v")
+    return asked.select(F.col("doc_id").alias("qid"), F.col("tok").alias("qtok"), F.col("v").alias("q")), retrieval.by_document(mv.withColumnRenamed("doc_id", "id"))
 
 
 @query(f"SELECT qid, id, round(sum(s), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY sum(s) DESC, id) AS rank FROM ({_PAIRS}) GROUP BY qid, id QUALIFY rank <= 5", "mv")
 def maxsim_full(t: Tables) -> DataFrame:
-    queries, corpus = _mv(t)
-    return retrieval.rank(retrieval.maxsim_arrow(queries, corpus), "qid", "score", "id", 5).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.maxsim_topk(*_mv(t), 5).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _hamming(a: str, b: str) -> str:
     return f"len(list_filter(list_zip({a}, {b}), lambda z: (z[1] > 0) <> (z[2] > 0)))"
 
 
-@query(f"WITH c AS (SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM vec q JOIN vec d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_hamming('q.v', 'd.v')}, id) <= 10) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 5", "vec")
+@query(f"WITH c AS (SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM vec q JOIN vec d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_hamming('q.v', 'd.v')}, id) <= 200) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 5", "vec")
 def binary_quant_topk(t: Tables) -> DataFrame:
     queries = _ids(t).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return retrieval.binary_topk(queries, _ids(t).select("id", "v"), 5).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.binary_topk(queries, _ids(t).select("id", "v"), 5, OVERSAMPLE).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _two_stage_sql(least_tok: int) -> str:
     return (
-        f"WITH asked AS (SELECT * FROM mv WHERE doc_id % 20 = 0 AND tok >= {least_tok}), means AS ({_SIGNS}), qmeans AS ({_SIGNS.replace('FROM mv', 'FROM asked')}), "
-        f"chosen AS (SELECT q.doc_id AS qid, d.doc_id AS id FROM qmeans q CROSS JOIN means d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_hamming('q.m', 'd.m')}, id) <= 20), "
+        f"WITH asked AS (SELECT * FROM mv WHERE doc_id % 20 = 0 AND tok >= {least_tok}), pools AS (SELECT doc_id, v FROM mv WHERE tok BETWEEN 1 AND 3 UNION ALL SELECT doc_id, list(m ORDER BY i) FROM (SELECT doc_id, i, avg(x) AS m FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM mv WHERE tok IN (0, 4)) GROUP BY ALL) GROUP BY doc_id), "
+        "coarse AS (SELECT qid, id, sum(s) AS s FROM (SELECT q.doc_id AS qid, q.tok, d.doc_id AS id, max(list_inner_product(q.v, d.v)) AS s FROM asked q CROSS JOIN pools d GROUP BY ALL) GROUP BY ALL), "
+        "chosen AS (SELECT qid, id FROM coarse QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 100), "
         "s AS (SELECT qid, q.tok, id, max(list_inner_product(q.v, d.v)) AS s FROM chosen JOIN asked q ON q.doc_id = qid JOIN mv d ON d.doc_id = id GROUP BY ALL), "
         "hits AS (SELECT qid, id, sum(s) AS score, row_number() OVER (PARTITION BY qid ORDER BY sum(s) DESC, id) AS rank FROM s GROUP BY qid, id QUALIFY rank <= 5)"
     )
 
 
+def _two_stage(t: Tables, least_tok: int = 0) -> DataFrame:
+    queries, documents = _mv(t, least_tok)
+    return retrieval.two_stage(queries, documents, retrieval.pooled(documents, SPECIAL, SPECIAL, CLUSTERS), PREFETCH, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"{_two_stage_sql(0)} SELECT qid, id, round(score, 6) AS score, rank FROM hits", "mv")
 def two_stage_retrieval(t: Tables) -> DataFrame:
-    queries, corpus = _mv(t)
-    return retrieval.two_stage(queries, corpus, 20, 5).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+    return _two_stage(t).withColumn("score", F.round("score", 6))
 
 
 def _metrics(t: Tables, half: bool) -> DataFrame:
-    queries, corpus = _mv(t, 1)
-    gold = queries.select("qid").distinct().withColumn("gold", F.col("qid"))
+    gold = _mv(t, 1)[0].select("qid").distinct().withColumn("gold", F.col("qid"))
     if half:
         gold = ranked(gold, ["qid"], name="n").where(F.col("n") < gold.count() / 2).drop("n")
-    return retrieval.ranking_metrics(retrieval.two_stage(queries, corpus, 20, 5), gold)
+    return retrieval.ranking_metrics(_two_stage(t, 1), gold)
 
 
 _METRICS = "SELECT count(*) AS n, round(avg(coalesce(1 / log2(1 + r), 0)), 6) AS ndcg, round(avg((coalesce(r, 0) = 1)::INT), 6) AS recall1 FROM (SELECT a.doc_id, min(rank) FILTER (id = qid) AS r FROM (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM asked){}) a LEFT JOIN hits ON qid = a.doc_id GROUP BY a.doc_id)"
@@ -92,26 +96,21 @@ def retrieval_metrics_half(t: Tables) -> DataFrame:
     return _metrics(t, True)
 
 
-_TEXT = "'## Document ' || rank || ': ' || string_split(text, chr(10))[1] || chr(10) || 'Score: ' || printf('%.2f', round(score, 2)) || chr(10) || text"
-
-
 @query(f"{_two_stage_sql(0)} SELECT qid, rank, id, n_chars FROM hits JOIN documents ON doc_id = id", "mv")
 def rag_fetch_hits(t: Tables) -> DataFrame:
-    hits = two_stage_retrieval_hits(t)
-    return hits.join(t.documents.select(F.col("doc_id").alias("id"), "n_chars"), "id").select("qid", "rank", "id", "n_chars")
+    return _two_stage(t).join(t.documents.select(F.col("doc_id").alias("id"), "n_chars"), "id").select("qid", "rank", "id", "n_chars")
 
 
-def two_stage_retrieval_hits(t: Tables) -> DataFrame:
-    queries, corpus = _mv(t)
-    return retrieval.two_stage(queries, corpus, 20, 5).withColumn("rank", F.col("rank").cast("long"))
+_CAPTIONS = "CASE WHEN id % 2 = 0 THEN '### Image 1' || chr(10) || 'Caption: ' || lang || chr(10) || chr(10) || '### Image 2' || chr(10) || 'Caption: ' || source || chr(10) || chr(10) ELSE '' END"
+_TEXT = f"chr(10) || chr(10) || '## Document ' || rank || ': ' || string_split(text, chr(10))[1] || chr(10) || 'Score: ' || printf('%.2f', score) || '.' || chr(10) || chr(10) || {_CAPTIONS} || '### Document Text' || chr(10) || text"
 
 
-@query(f"{_two_stage_sql(0)} SELECT qid, string_agg({_TEXT}, chr(10) ORDER BY rank) AS context FROM hits JOIN documents ON doc_id = id GROUP BY qid", "mv")
+@query(f"{_two_stage_sql(0)} SELECT qid, '# Context' || string_agg({_TEXT}, '' ORDER BY rank) AS context FROM (SELECT hits.*, text, lang, source FROM hits JOIN documents ON doc_id = id) GROUP BY qid", "mv")
 def rag_context(t: Tables) -> DataFrame:
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    part = F.concat(F.lit("## Document "), F.col("rank").cast("string"), F.lit(": "), F.split("text", "\n")[0], F.lit("\nScore: "), F.format_string("%.2f", F.round("score", 2)), F.lit("\n"), F.col("text"))
-    joined = two_stage_retrieval_hits(t).join(docs, "id").select("qid", "rank", part.alias("part"))
-    return joined.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "part"))), lambda s: s["part"]), "\n").alias("context"))
+    """Documents with an even id have two pictures."""
+    captions = F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), "text", captions.alias("captions"))
+    return retrieval.context(_two_stage(t), docs)
 
 
 @query("WITH s AS (SELECT a.doc_id AS pair, a.tok AS i, b.tok AS j, list_cosine_similarity(a.v, b.v) AS s FROM mv a JOIN mv b ON b.doc_id = a.doc_id + 1), p AS (SELECT pair, avg(s) AS p FROM (SELECT pair, i, max(s) AS s FROM s GROUP BY ALL) GROUP BY pair), r AS (SELECT pair, avg(s) AS r FROM (SELECT pair, j, max(s) AS s FROM s GROUP BY ALL) GROUP BY pair) SELECT pair, round(p, 6) AS p, round(r, 6) AS r, round(2 * p * r / (p + r), 6) AS f1 FROM p JOIN r USING (pair)", "mv")
@@ -122,9 +121,10 @@ def greedy_match_f1(t: Tables) -> DataFrame:
     return retrieval.greedy_f1(a, b).select("pair", *(F.round(c, 6).alias(c) for c in ("p", "r", "f1")))
 
 
-@query("SELECT vec_id, round(v[1] / greatest(sqrt(list_inner_product(v, v)), 1e-12), 6) AS x0, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM vec", "vec")
+@query("SELECT vec_id, i, round(x / greatest(norm, 1e-12), 6) AS x, round(norm, 6) AS norm FROM (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i, sqrt(list_inner_product(v, v)) AS norm FROM vec)", "vec")
 def emb_l2_normalize(t: Tables) -> DataFrame:
-    return t.vec().select("vec_id", F.round(V.l2_normalize(F.col("v"))[0], 6).alias("x0"), F.round(V.norm(F.col("v")), 6).alias("norm"))
+    unit = t.vec().select("vec_id", V.norm(F.col("v")).alias("norm"), F.posexplode(V.l2_normalize(F.col("v"))).alias("i", "x"))
+    return unit.select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"), F.round("norm", 6).alias("norm"))
 
 
 @query("SELECT label, i, round(avg(x), 6) AS mean FROM elems GROUP BY label, i", "elems")
@@ -132,34 +132,42 @@ def emb_centroids(t: Tables) -> DataFrame:
     return retrieval.centroids(t.vec(), "label", "v").select("label", F.posexplode("v").alias("i", "m")).select("label", F.col("i").cast("long").alias("i"), F.round("m", 6).alias("mean"))
 
 
-def _by_label(t: Tables) -> DataFrame:
-    return t.vec().groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "v"))), lambda s: s["v"]).alias("toks"))
+_DOC = "SELECT vec_id // 25 AS doc, vec_id, i, x FROM elems"
 
 
-@query("SELECT label, i, round(avg(x), 6) AS mean FROM (SELECT label, i, x, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS a, dense_rank() OVER (PARTITION BY label ORDER BY vec_id DESC) AS b FROM elems) WHERE a <= 4 OR b <= 7 GROUP BY label, i", "elems")
+def _by_doc(t: Tables) -> DataFrame:
+    """Documents of 25 vectors."""
+    return retrieval.by_document(t.vec().select(F.expr("vec_id div 25").alias("id"), F.col("vec_id").alias("tok"), "v")).withColumnRenamed("id", "doc")
+
+
+@query(f"SELECT doc, i, round(avg(x), 6) AS mean FROM (SELECT doc, i, x, dense_rank() OVER (PARTITION BY doc ORDER BY vec_id) AS a, dense_rank() OVER (PARTITION BY doc ORDER BY vec_id DESC) AS b FROM ({_DOC})) WHERE a <= 4 OR b <= 7 GROUP BY doc, i", "elems")
 def emb_special_pool(t: Tables) -> DataFrame:
-    pooled = _by_label(t).select("label", F.posexplode(retrieval.special_pool(F.col("toks"))).alias("i", "m"))
-    return pooled.select("label", F.col("i").cast("long").alias("i"), F.round("m", 6).alias("mean"))
+    means = _by_doc(t).select("doc", F.posexplode(retrieval.special_pool(F.col("vs"))).alias("i", "m"))
+    return means.select("doc", F.col("i").cast("long").alias("i"), F.round("m", 6).alias("mean"))
 
 
-@query("SELECT label, vec_id, round(x, 6) AS x0 FROM elems WHERE i = 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 3 + label", "elems")
+@query(f"SELECT doc, vec_id, i, round(x, 6) AS x FROM ({_DOC}) QUALIFY dense_rank() OVER (PARTITION BY doc ORDER BY vec_id DESC) <= 3 + doc % 20", "elems")
 def emb_unpad(t: Tables) -> DataFrame:
-    kept = t.vec().groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("xs"))
-    some = kept.select("label", F.explode(retrieval.unpad(F.col("xs"), 3 + F.col("label"))).alias("x"))
-    return some.select("label", F.col("x.vec_id").alias("vec_id"), F.round(F.col("x.v")[0], 6).alias("x0"))
+    """Each document's attention mask has its last 3 to 22 tokens."""
+    kept = _by_doc(t).select("doc", F.posexplode(retrieval.unpad(F.col("vs"), (3 + F.col("doc") % 20).cast("int"))).alias("at", "v"), F.size("vs").alias("n"))
+    some = kept.select("doc", (F.col("doc") * 25 + F.col("n") - F.least("n", (3 + F.col("doc") % 20).cast("int")) + F.col("at")).alias("vec_id"), F.posexplode("v").alias("i", "x"))
+    return some.select("doc", "vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query("SELECT label, repeat('1', n::INT) || repeat('0', (max(n) OVER () - n)::INT) AS mask, max(n) OVER () AS length FROM (SELECT label, count(*) AS n FROM vec GROUP BY label)", "vec")
+@query("SELECT doc, repeat('1', n::INT) || repeat('0', (max(n) OVER () - n)::INT) AS mask, max(n) OVER () AS length FROM (SELECT vec_id // 25 AS doc, count(*) FILTER (vec_id % 25 < 5 + vec_id // 25 % 21) AS n FROM vec GROUP BY doc)", "vec")
 def emb_pad_mask(t: Tables) -> DataFrame:
-    lists = _by_label(t).withColumn("length", F.max(F.size("toks")).over(Window.partitionBy(F.lit(0))))
-    padded, mask = retrieval.pad(F.col("toks"), F.col("length"), F.array_repeat(F.lit(0.0), 64))
-    return lists.select("label", F.array_join(mask, "").alias("mask"), F.size(padded).cast("long").alias("length"))
+    """Documents of 5 to 25 vectors, filled up to the longest."""
+    some = retrieval.by_document(t.vec().where("vec_id % 25 < 5 + vec_id div 25 % 21").select(F.expr("vec_id div 25").alias("id"), F.col("vec_id").alias("tok"), "v"))
+    longest = some.agg(F.max(F.size("vs")).alias("length"))  # one row
+    lists = some.crossJoin(F.broadcast(longest))
+    padded, mask = retrieval.pad(F.col("vs"), F.col("length"), F.array_repeat(F.lit(0.0), 64))
+    return lists.select(F.col("id").alias("doc"), F.array_join(mask, "").alias("mask"), F.size(padded).cast("long").alias("length"))
 
 
 def emb_cluster_pool(t: Tables) -> DataFrame:
-    """Each label's vectors stand for a document's tokens."""
-    pooled = retrieval.cluster_pool(t.vec().select("label", "vec_id", "v"), "label", "vec_id", "v", 8)
-    return pooled.select("label", "cluster", "n", F.round(F.col("v")[0], 6).alias("x0"))
+    """Documents of 25 vectors as nine: the special ones' mean, and eight clusters of the others."""
+    pools = retrieval.pooled(_by_doc(t).withColumnRenamed("doc", "id")).select(F.col("id").alias("doc"), F.posexplode("vs").alias("row", "v"))
+    return pools.select("doc", "row", F.posexplode("v").alias("i", "x")).select("doc", "row", "i", F.round("x", 6).alias("x"))
 
 
 query()(emb_cluster_pool)
@@ -205,11 +213,15 @@ def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
     return v.where("b < 8").drop("b"), v.where("b >= 8").drop("b")
 
 
-def _predicted(t: Tables) -> DataFrame:
+def _scored(t: Tables) -> DataFrame:
+    """(id, truth, cid, s): the cosine of each vector held out and each label's centroid."""
     train, test = _split(t)
     cents = retrieval.centroids(train, "label", "v").select(F.col("label").alias("cid"), F.col("v").alias("c"))
-    scored = test.crossJoin(cents).select(F.col("vec_id").alias("id"), F.col("label").alias("truth"), "cid", V.cosine(F.col("v"), F.col("c")).alias("s"))
-    return scored.groupBy("id", "truth").agg(F.max_by("cid", F.struct("s", (-F.col("cid")).alias("t"))).alias("pred"))
+    return test.crossJoin(cents).select(F.col("vec_id").alias("id"), F.col("label").alias("truth"), "cid", V.cosine(F.col("v"), F.col("c")).alias("s"))
+
+
+def _predicted(t: Tables) -> DataFrame:
+    return classify.best(_scored(t))
 
 
 @query(f"{_CENT} SELECT id, truth, pred FROM p", "vec")
@@ -233,9 +245,10 @@ def one_nn_acc(t: Tables) -> DataFrame:
 _CONF = f"{_CENT}, k AS (SELECT c, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT truth AS c, (truth = pred)::INT AS tp, 0 AS fp, (truth <> pred)::INT AS fn FROM p UNION ALL SELECT pred, 0, 1, 0 FROM p WHERE truth <> pred) GROUP BY c), m AS (SELECT *, tp + fn AS support, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM k), z AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM m)"
 
 
-@query(f"{_CONF} SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f), 6) AS f1 FROM z", "vec")
+@query(f"{_CONF}, t2 AS (SELECT round(avg((rank <= 2)::INT), 6) AS accuracy_top_2 FROM (SELECT label, cid, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(v, c) DESC, cid) AS rank FROM te CROSS JOIN c) WHERE label = cid) SELECT round(sum(tp) / sum(support), 6) AS accuracy, any_value(accuracy_top_2) AS accuracy_top_2, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f), 6) AS f1 FROM z CROSS JOIN t2", "vec")
 def cls_multiclass_metrics(t: Tables) -> DataFrame:
-    return classify.macro(classify.per_class(_predicted(t)))
+    scored = _scored(t)
+    return classify.macro(classify.per_class(classify.best(scored))).crossJoin(classify.top_accuracy(scored, 2))
 
 
 @query(f"{_CONF} SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum(p * support) / sum(support), 6) AS precision, round(sum(r * support) / sum(support), 6) AS recall, round(sum(f * support) / sum(support), 6) AS f1 FROM z", "vec")
@@ -257,11 +270,14 @@ def cls_sigmoid_scores(t: Tables) -> DataFrame:
     return _logits(t).select("vec_id", "cid", F.round(V.sigmoid(F.col("x")), 6).alias("score"))
 
 
-@query(f"SELECT vec_id, string_agg(cid || ' (' || CAST(round(100 * s) AS INT) || '%)', ', ' ORDER BY s DESC, cid) AS card FROM (SELECT vec_id, cid, 1 / (1 + exp(-x)) AS s FROM ({_LOGIT})) WHERE s > 0.4 GROUP BY vec_id", "vec", "elems", "centroids")
+_CARD = "coalesce(string_agg(cid || ' (' || floor(100 * s)::INT || '%)', ', ' ORDER BY s DESC, cid) FILTER (s > 0.4 AND cid % 2 = {}), '')"
+
+
+@query(f"SELECT vec_id, chr(10) || '# Artwork card' || chr(10) || 'even: ' || {_CARD.format(0)} || chr(10) || 'odd: ' || {_CARD.format(1)} AS card FROM (SELECT vec_id, cid, 1 / (1 + exp(-x)) AS s FROM ({_LOGIT})) GROUP BY vec_id", "vec", "elems", "centroids")
 def cls_card(t: Tables) -> DataFrame:
-    s = _logits(t).select("vec_id", "cid", V.sigmoid(F.col("x")).alias("s")).where("s > 0.4")
-    text = F.concat(F.col("cid").cast("string"), F.lit(" ("), F.round(100 * F.col("s")).cast("int").cast("string"), F.lit("%)"))
-    return s.groupBy("vec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "cid", text.alias("t")))), lambda x: x["t"]), ", ").alias("card"))
+    """Labels of two tasks, the even and the odd ones."""
+    scores = _logits(t).select(F.col("vec_id").alias("id"), F.when(F.col("cid") % 2 == 0, "even").otherwise("odd").alias("task"), F.col("cid").alias("label"), V.sigmoid(F.col("x")).alias("score"))
+    return classify.card(scores, ["even", "odd"], 0.4).withColumnRenamed("id", "vec_id")
 
 
 _BCE = "greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))"
@@ -296,11 +312,16 @@ def _label_scores(t: Tables) -> DataFrame:
     return pairs.select(F.col("head").alias("id"), "label", (F.col("n") / F.col("k")).alias("score"), F.coalesce("truth", F.lit(0)).alias("truth"))
 
 
-@query(f"{_TAGS}, live AS (SELECT * FROM scores WHERE id IN (SELECT id FROM scores GROUP BY id HAVING max(truth) > 0)), g AS (SELECT label, threshold, (score > threshold)::INT AS p, truth AS t FROM live CROSS JOIN (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS threshold)), k AS (SELECT threshold, label, sum(p * t) AS tp, sum(p * (1 - t)) AS fp, sum((1 - p) * t) AS fn, sum((1 - p) * (1 - t)) AS tn FROM g GROUP BY ALL), m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re, (tp + tn) / (tp + fp + fn + tn) AS ac FROM k) SELECT threshold, round(avg(ac), 6) AS accuracy, round(avg(pr), 6) AS precision, round(avg(re), 6) AS recall, round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 6) AS f1 FROM m GROUP BY threshold", "kg_edges")
+@query(f"{_TAGS}, live AS (SELECT * FROM scores WHERE id IN (SELECT id FROM scores GROUP BY id HAVING max(truth) > 0)), g AS (SELECT label, threshold, (score > threshold)::INT AS p, truth AS t FROM live CROSS JOIN (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS threshold)), k AS (SELECT threshold, label, sum(p * t) AS tp, sum(p * (1 - t)) AS fp, sum((1 - p) * t) AS fn, sum((1 - p) * (1 - t)) AS tn FROM g GROUP BY ALL), m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re, (tp + tn) / (tp + fp + fn + tn) AS ac FROM k) SELECT threshold, round(avg(ac), 6) AS accuracy, round(avg(ac), 6) AS accuracy_top_2, round(avg(pr), 6) AS precision, round(avg(re), 6) AS recall, round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 6) AS f1 FROM m GROUP BY threshold", "kg_edges")
 def cls_multilabel_sweep(t: Tables) -> DataFrame:
     return classify.multilabel_sweep(_label_scores(t))
 
 
+@query(f"{_TAGS} SELECT count(*) AS n, round(avg(same), 6) AS subset_accuracy FROM (SELECT id, min(((score > 0.4)::INT = truth)::INT) AS same FROM scores GROUP BY id HAVING max(truth) > 0)", "kg_edges")
+def cls_subset_accuracy(t: Tables) -> DataFrame:
+    return classify.subset_accuracy(_label_scores(t), 0.4)
+
+
 @query(f"{_TAGS}, r AS (SELECT *, sum(truth) OVER (PARTITION BY id) AS n_true, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rank FROM scores) SELECT id, CAST(n_true AS BIGINT) AS n_true, CAST(sum(truth) AS BIGINT) AS hits FROM r WHERE rank <= n_true GROUP BY id, n_true", "kg_edges")
 def cls_topn_multilabel(t: Tables) -> DataFrame:
     return classify.topn_hits(_label_scores(t))

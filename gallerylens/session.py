@@ -9,6 +9,7 @@ from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,7 +17,8 @@ def session(app: str = "gallerylens", cpus: int | None = None, partitions: int |
     """A local session; on a cluster the submitted configuration decides and this only sets what the operators rely on."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     builder = SparkSession.builder.appName(app)
-    if "SPARK_REMOTE" not in os.environ and "spark.master" not in conf:
+    submitted = "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "") or {"SPARK_REMOTE", "PYSPARK_GATEWAY_PORT"} & os.environ.keys() or SparkContext._active_spark_context
+    if not submitted and "spark.master" not in conf:
         builder = builder.master(f"local[{cpus}]")
     own = {
         "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -50,6 +50,14 @@ def images(spark: SparkSession, folder: str, suffix: str = "*.jpg") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(folder)
 
 
+def latest_checkpoint(spark: SparkSession, folder: str, prefix: str = "checkpoint-") -> str | None:
+    """The path below folder, on any file system that Spark reads, whose name is prefix and the largest number; None without one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    numbers = [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and n.removeprefix(prefix).isdigit()]
+    return f"{folder}/{prefix}{max(numbers)}" if numbers else None
+
+
 def fetch(urls: DataFrame, get: Callable[[str], bytes | None], url_col: str = "url") -> DataFrame:
     """urls with their content by get, which runs on the executors; a failure gives null content and its message."""
 

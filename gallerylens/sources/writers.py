@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
@@ -30,8 +31,8 @@ def bucketed(df: DataFrame, table: str, buckets: int, key: str = "doc_id") -> No
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def upload(df: DataFrame, send: Callable[[list[tuple]], None], batch: int = 512, attempts: int = 5) -> None:
-    """Rows in batches to send, which must be idempotent by id: a batch is tried again up to attempts times, a task by Spark."""
+def upload(df: DataFrame, send: Callable[[list[tuple]], None], batch: int = 512, attempts: int = 5, delay: float = 0.5) -> None:
+    """Rows in batches to send, which must be idempotent by id: a batch is tried again up to attempts times, each after twice the delay, a task by Spark."""
 
     def run(rows) -> None:
         held: list[tuple] = []
@@ -43,6 +44,7 @@ def upload(df: DataFrame, send: Callable[[list[tuple]], None], batch: int = 512,
                 except Exception:
                     if n == attempts - 1:
                         raise
+                    time.sleep(delay * 2**n)
 
         for row in rows:
             held.append(tuple(row))

@@ -20,9 +20,12 @@ def files(spark: SparkSession, folder: str, name: str, like: DataFrame) -> DataF
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, or a temporary one only where that is unset and all run on this machine."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = held.get() if not held.isEmpty() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    root = held.get() if not held.isEmpty() else spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="stream-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

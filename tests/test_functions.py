@@ -23,7 +23,7 @@ def test_style_query(spark):
     assert apply(spark, X.style_query, "realism (x) y (z)", "Symbolism", "high renaissance (it)") == ["Realism (arts)", "Symbolism (arts)", "High Renaissance"]
 
 
-@pytest.mark.parametrize(("raw", "want"), [("The TWO  cats, running!", "2 cats, running"), ("dont know.", "don't know"), ("1,000,000 a", "1000000"), ("it's 3.5", "it's 3 5"), ("", ""), ("the", ""), ("a-b:c", "a b:c")])
+@pytest.mark.parametrize(("raw", "want"), [("The TWO  cats, running!", "2 cats, running"), ("dont know.", "don't know"), ("1,000,000 a", "1000000"), ("it's 3.5", "it's 3 5"), ("", ""), ("the", ""), ("a-b:c", "b:c"), ("x-b:c", "x b:c"), ("no.5 ok", "no 5 ok"), ("Twenty-one", "20 1"), ("1,2", "12"), ("none of a hundred", "none of 100"), ("lets id", "let's i'd"), ("5. x. 2..3", "5 x 2 3"), ("one_two Éa", "one two éa")])
 def test_robust_answer(spark, raw, want):
     assert apply(spark, X.robust_answer, raw) == [want]
 
@@ -56,12 +56,50 @@ def test_tool_calls():
     assert json.loads(chat.calls(None)) == {"content": "", "calls": []}
 
 
-def test_chat_render_joins_tool_replies(spark):
-    from gallerylens.plans.sets import render
+def test_tool_calls_that_are_left_out():
+    raw = "".join(f"<tool_call>\n{c}\n</tool_call>" for c in ("[1, 2]", "no", '{"name": "f", "arguments": "no JSON"}', '"x"', '{"name": "g"}'))
+    assert json.loads(chat.calls(raw))["calls"] == [{"name": "g", "args": {}}]
+
+
+def test_judged():
+    assert chat.judged('so {"a": 1}') == {"a": 1}
+    assert chat.judged('{"a": 1} and') == {"raw_output": '{"a": 1} and'} and chat.judged("none") == {"raw_output": "none"} and chat.judged(None) == {"raw_output": None}
+
+
+def test_tool_schema():
+    def find(query: str, most: int, state: dict, deep: bool = False):
+        """Finds documents.
+        Use it often.
+
+        Args:
+            query: What to find.
+            most: How many.
+            state: The graph state.
+
+        Returns:
+            list: Documents.
+        """
+
+    got = chat.tool_schema(find)["function"]
+    assert got["name"] == "find" and got["description"] == "Finds documents.\nUse it often."
+    assert got["parameters"] == {"type": "object", "properties": {"query": {"type": "string", "description": "What to find."}, "most": {"type": "integer", "description": "How many."}, "deep": {"type": "boolean"}}, "required": ["query", "most"]}
+
 
+SYSTEM = "<|im_start|>system\nYou are a helpful assistant."
+
+
+def test_chat_render_joins_tool_replies(spark):
     rows = [(1, 0, "human", "q"), (1, 1, "ai", "call"), (1, 2, "tool", "r1"), (1, 3, "tool", "r2"), (1, 4, "ai", "end")]
-    got = render(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).first().prompt
-    assert got == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\ncall<|im_end|>\n<|im_start|>user\n<tool_response>\nr1\n</tool_response>\n<tool_response>\nr2\n</tool_response><|im_end|>\n<|im_start|>assistant\nend<|im_end|>\n<|im_start|>assistant\n<think>"
+    got = chat.render(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).first().prompt
+    assert got == SYSTEM + "<|im_end|>\n<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\ncall<|im_end|>\n<|im_start|>user\n<tool_response>\nr1\n</tool_response>\n<tool_response>\nr2\n</tool_response><|im_end|>\n<|im_start|>assistant\nend<|im_end|>\n<|im_start|>assistant\n<think>\n"
+
+
+def test_chat_render_with_calls_and_a_system_turn(spark):
+    rows = [(1, 0, "system", "Be brief.", []), (1, 1, "human", "q", []), (1, 2, "ai", "", [("f", "{}"), ("g", '{"k": 1}')]), (1, 3, "system", "again", [])]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, tool_calls array<struct<name:string,arguments:string>>")
+    got = chat.render(df, ['{"t": 1}']).first().prompt
+    assert got.startswith("<|im_start|>system\nBe brief.\n\n# Tools\n\nYou may call") and '\n<tools>\n{"t": 1}\n</tools>\n' in got
+    assert got.endswith('<|im_start|>assistant\n<tool_call>\n{"name": "f", "arguments": {}}\n</tool_call>\n<tool_call>\n{"name": "g", "arguments": {"k": 1}}\n</tool_call><|im_end|>\n<|im_start|>system\nagain<|im_end|>\n<|im_start|>assistant\n<think>\n')
 
 
 def test_links(spark):
@@ -89,3 +127,13 @@ def test_longest_common_subsequence(a, b):
         for j, y in enumerate(b):
             table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
     assert textmetrics._lcs(a, b) == table[-1, -1]
+
+
+def test_image_addresses(spark):
+    got = apply(spark, html.candidates, "https://x/a.b/p!q.JPG!Large.jpg!HD.x")[0]
+    assert got[0] == "https://x/a.b/p!q.JPG!HD.JPG" and got[-1] == "https://x/a.b/p!q.JPG!PinterestSmall.JPG" and len(got) == 7
+
+
+@pytest.mark.parametrize(("hyp", "ref", "want"), [("a b\nc d", "c d\na b", 1.0), ("a b c", "a x c", 2 / 3), ("", "a", 0.0), ("a a", "a", 2 / 3), ("the cat\nsat", "the cat sat", 1.0)])
+def test_rouge_lsum(hyp, ref, want):
+    assert abs(textmetrics._lsum(hyp, ref) - want) < 1e-9

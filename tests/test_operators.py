@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -26,13 +28,16 @@ def test_both_kernels_agree(vectors, monkeypatch):
     assert retrieval.knn(queries.limit(0), vectors, 5).count() == 0
 
 
-def test_maxsim_kernels_and_stages_agree(vectors):
+def test_maxsim_kernels_and_stages_agree(vectors, monkeypatch):
     tokens = vectors.where("id < 120").select((F.col("id") % 30).alias("id"), "v", (F.col("id") / 30).cast("int").alias("tok"))
     queries = tokens.where("id < 4").select(F.col("id").alias("qid"), F.col("tok").alias("qtok"), F.col("v").alias("q"))
     a = retrieval.rank(retrieval.maxsim(queries, tokens.drop("tok")), "qid", "score", "id", 5)
-    b = retrieval.rank(retrieval.maxsim_arrow(queries, tokens.drop("tok")), "qid", "score", "id", 5)
-    assert hits(a) == hits(b)
-    assert hits(a) == hits(retrieval.two_stage(queries, tokens.drop("tok"), 30, 5))  # all documents as candidates
+    documents = retrieval.by_document(tokens)
+    assert hits(a) == hits(retrieval.maxsim_topk(queries, documents, 5))
+    monkeypatch.setattr(retrieval, "BLOCK_VALUES", 40)  # several blocks of queries
+    assert hits(a) == hits(retrieval.maxsim_topk(queries, documents, 5))
+    assert retrieval.maxsim_topk(queries.limit(0), documents, 5).count() == 0
+    assert hits(a) == hits(retrieval.two_stage(queries, documents, retrieval.pooled(documents, 1, 1, 2), 30, 5))  # all documents as candidates
     assert all(r[0] == r[2] for r in hits(a) if r[1] == 1)  # a document is nearest to itself
 
 
@@ -43,6 +48,78 @@ def test_ward():
     assert retrieval.ward(v[:2], 8).tolist() == [0, 1]
 
 
+def test_pooled(spark):
+    rng = np.random.default_rng(3)
+    docs = {1: rng.normal(size=(30, 4)), 2: rng.normal(size=(13, 4)), 3: rng.normal(size=(5, 4))}
+    df = spark.createDataFrame([(i, m.tolist()) for i, m in docs.items()], "id long, vs array<array<double>>")
+    got = {r.id: np.array(r.vs) for r in retrieval.pooled(df).collect()}
+    for i, m in docs.items():
+        content, special = m[4:-7] if len(m) > 11 else m[:0], np.concatenate([m[:4], m[-7:]]) if len(m) > 11 else m
+        want = [special.mean(axis=0)]
+        if len(content):
+            own = brute_ward(content, 8)
+            want += [content[c].mean(axis=0) for c in own]
+        assert np.allclose(got[i], want)
+    assert got[1].shape == (9, 4) and got[2].shape == (3, 4) and got[3].shape == (1, 4)
+
+
+def brute_ward(v, k):
+    """Clusters as lists of rows: the union that adds least to the squared distances from the means, again and again."""
+    spread = lambda c: ((v[c] - v[c].mean(axis=0)) ** 2).sum()
+    own = [[i] for i in range(len(v))]
+    while len(own) > min(k, len(v)):
+        i, j = min(((i, j) for i in range(len(own)) for j in range(i + 1, len(own))), key=lambda p: spread(own[p[0]] + own[p[1]]) - spread(own[p[0]]) - spread(own[p[1]]))
+        own[i] += own.pop(j)
+    return sorted(own, key=min)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_of_two_stages(spark):
+    """Against the exact search over the same table, with the settings of the registered queries."""
+    from gallerylens.plans import vectors as plans
+    from gallerylens.plans.views import Tables
+
+    for sf in ("sf0.01", "sf0.1"):
+        t = Tables(spark, f"/root/testdata/{sf}")
+        assert retrieval.recall(plans.two_stage_retrieval(t), plans.maxsim_full(t)) >= 0.9
+        assert retrieval.recall(plans.binary_quant_topk(t), plans.knn_cosine_topk(t)) >= 0.7
+
+
+def test_retrieve_context(spark):
+    class Letters:
+        def tokens(self, texts):
+            return [[[float(w == x) for x in "abc"] for w in t.split()] or [[0.0] * 3] for t in texts]
+
+    docs = spark.createDataFrame([(1, "A", "a a", ["one"]), (2, "B", "b", []), (3, "C", "c c", [])], "id long, title string, text string, captions array<string>")
+    vectors = spark.createDataFrame([(i, v) for i, v in zip((1, 2, 3), Letters().tokens(["a a", "b", "c c"]), strict=True)], "id long, vs array<array<double>>")
+    asked = spark.createDataFrame([(9, "c b"), (8, None)], "qid int, text string")
+    got = {r.qid: r for r in retrieval.retrieve_context(asked, Letters(), docs, vectors, vectors, k=2).collect()}
+    assert got[9].ids == [2, 3] and got[9].context.startswith("# Context\n\n## Document 1: B\nScore: 1.00.\n\n### Document Text\nb\n\n## Document 2: C")
+    assert "### Image 1\nCaption: one\n\n### Document Text\na a" in got[8].context
+
+
+def test_query_times():
+    total, each = retrieval.query_times([1, 2], lambda q: sum(range(1000 * q)))
+    assert total > 0 and abs(each - total / 2) < 1e-12
+
+
+def test_wiki_fragments(spark):
+    long = lambda w: " ".join([w] * 40)
+    pages = [
+        (1, f'Title\n\n<a href="InfoboxHeader%3Abox%20a.png"> box </a>\n{long("intro")}\nshort\n<a href="File%3Aone.jpg">first</a>{long("after")}\nBULLET:::: {long("x")}\n<a href="File%3Atwo.jpg">second</a>tiny\n<a href="File%3Athree.jpg">third</a>\n{long("last")}  {long("line")}'),
+        (2, f"Only heading\n{long('plain')}"), (3, f'Head\n<a href="File%3Aone.jpg">early</a>\n{long("text")}'), (4, ""), (5, None), (6, f'Box\n<a href="InfoboxHeader%3Abox%20a.png">b</a>'),
+        (7, f'Gone\n<a href="File%3Amissing.jpg">no</a>\n{long("some")}'),
+    ]
+    df = spark.createDataFrame([(i, "t", f"u?curid={i}", x) for i, x in pages], "page_id int, title string, url string, text string")
+    files = spark.createDataFrame([(f,) for f in ("box_a.png", "one.jpg", "two.jpg", "three.jpg")], "file string")
+    got = fragments.wiki_fragments(df, files).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(6)) and all(r.wiki_id == r.page_id for r in got)
+    assert [(r.page_id, r.paragraph_id, r.text.split()[0], [x.caption for x in r.images]) for r in got] == [
+        (1, 0, "intro", ["box"]), (1, 1, "after", ["first"]), (1, 2, "last", ["second", "third"]), (2, 0, "plain", []), (3, 0, "text", ["early"]), (7, 0, "some", []),
+    ]
+    assert got[0].images[0].type == "infobox" and got[0].images[0].file == "box_a.png" and "  " not in got[2].text
+
+
 def test_ranking_metrics(spark):
     found = spark.createDataFrame([(1, 1, 1), (2, 9, 1), (2, 2, 3), (3, 8, 1)], "qid int, id int, rank int")
     gold = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4)], "qid int, gold int")
@@ -129,7 +206,7 @@ def test_text_metrics_of_equal_texts(spark):
     h = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "blue sky over green hills")], "id int, hyp string")
     r = h.select("id", F.lit(0).alias("ref_no"), F.col("hyp").alias("ref"))
     assert textmetrics.bleu(h, r).first()[:] == (1.0,) * 4
-    assert {x.rouge for x in textmetrics.rouge_n(h, r, 2).collect()} == {1.0} == {x.rouge_l for x in textmetrics.rouge_l(h, r).collect()}
+    assert {x.rouge for x in textmetrics.rouge_n(h, r, [2]).collect()} == {1.0} == {x.rouge_l for x in textmetrics.rouge_l(h, r).collect()}
     assert all(x.cider == 10.0 for x in textmetrics.cider(h, r).collect()) and all(x.meteor > 0.99 for x in textmetrics.meteor_exact(h, r).collect())
     assert textmetrics.robust_accuracy(spark.createDataFrame([(1, "Two", ["2", "two", "TWO.", "x"])], "id int, pred string, refs array<string>")).first().score == 1.0
 

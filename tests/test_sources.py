@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from gallerylens import config, models
 from gallerylens.sources import readers, writers
 from gallerylens.streaming import stream
 
@@ -82,3 +83,42 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     grown = stream.latest(stream.accumulate(live(), "k", "t"), "update", "b").groupBy("k").agg(F.max("n"), F.max("chars"))
     assert key(grown) == key(like.groupBy("k").agg(F.count("*"), F.sum(F.length("t"))))
     assert key(stream.latest(stream.new_ids(live(), "k"), "append", "c")) == [(0,), (1,), (2,)]
+
+
+def test_latest_checkpoint(spark, tmp_path):
+    for n in ("checkpoint-9", "checkpoint-100", "checkpoint-x", "other-500"):
+        (tmp_path / n).mkdir()
+    assert readers.latest_checkpoint(spark, str(tmp_path)) == f"{tmp_path}/checkpoint-100"
+    assert readers.latest_checkpoint(spark, f"{tmp_path}/other-500") is None
+
+
+def test_upload_waits_between_attempts(spark, tmp_path):
+    out = str(tmp_path / "tries")
+
+    def send(rows):
+        with open(out, "a") as file:
+            file.write("x")
+        if len(open(out).read()) < 3:
+            raise OSError("busy")
+
+    writers.upload(spark.range(1), send, delay=0.001)
+    assert open(out).read() == "xxx"
+
+
+def test_run_config(tmp_path):
+    (tmp_path / "run.json").write_text(json.dumps({"sf_dir": "/x", "queries": ["a"], "models": {"judge": {"_target_": "gallerylens.models.LengthJudge", "least": 2}, "list": [{"_target_": "gallerylens.models.HashEmbedder"}]}}))
+    run = config.RunConfig.load(str(tmp_path / "run.json"))
+    assert run.models["judge"].accept(["a b", "c"]) == [True, False] and run.models["list"][0].dim == 64 and run.queries == ["a"]
+
+
+def test_judged_aspects_and_questions(spark):
+    class Echo:
+        def generate(self, prompts):
+            return ['ok {"Specificity": 4, "Fluency and Grammar": 9, "explanation": "e"}' if "good" in p else '{"question": "q?", "answer": "a."}' if "Document:" in p else "no idea" for p in prompts]
+
+    pairs = spark.createDataFrame([(1, "good", ["r1", "r2"]), (2, "x", [])], "id int, hyp string, refs array<string>")
+    got = {r.id: r for r in models.judge_aspects(pairs, Echo()).collect()}
+    assert got[1]["Specificity"] == 4 and got[1]["Fluency and Grammar"] is None and got[1].explanation == "e" and got[1].raw_output is None
+    assert got[2].raw_output == "no idea" and got[2]["Specificity"] is None
+    asked = models.ask_questions(spark.createDataFrame([(1, "t"), (2, "good")], "id int, text string"), Echo()).orderBy("id").collect()
+    assert [(r.question, r.answer) for r in asked] == [("q?", "a."), ("", "")]
