@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import kept, texts
+from .common import kept, strings, texts
 from .pieces import Remembered, in_groups
 
 
@@ -247,15 +247,15 @@ class Codec:
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256[, ids].
 
-    A null or empty text has no ids, and the digests of no bytes.  Repeated rows are repeated.  An empty table
-    gives an empty result.
+    A null or empty text has no ids, and the digests of no bytes; bytes that are not UTF-8 count as U+FFFD.
+    Repeated rows, and rows without a doc_id, are kept.  An empty table gives an empty result.
     """
 
     def run(batches):
         codec = Codec.of(ranks, pattern)
         for batch in batches:
             done: list[tuple] = []
-            for group in in_groups(batch.column("text").to_pylist()):
+            for group in in_groups(strings(batch.column("text"))):
                 for ids in codec.encode(group):
                     done.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), *([array("I", ids).tolist()] if with_ids else [])))
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]

@@ -62,6 +62,14 @@ def raw(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def strings(column: pa.Array) -> list[str]:
+    """A string column as text; bytes that are not UTF-8 count as U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [t.decode("utf-8", "replace") for t in raw(column)]
+
+
 _KEPT: dict[tuple, object] = {}
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import batched, kept, stored, texts
+from .common import batched, kept, stored, strings, texts
 from .pieces import Remembered, in_groups
 
 SIZE, END = 2048, 0
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = F
     def run(batches):
         def rows():
             for batch in batches:
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text").to_pylist(), tokenizer), strict=True):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(strings(batch.column("text")), tokenizer), strict=True):
                     n = len(ids) // 4
                     edges = [0, *range((n - 1) % size + 1, n + 1, size)]
                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -179,7 +179,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
-    A null or empty text is one piece of the end id alone.  Repeated rows are packed each for itself.  An
-    empty table gives an empty result.
+    A null or empty text is one piece of the end id alone; bytes that are not UTF-8 count as U+FFFD.  Rows that
+    repeat, share a doc_id or have none are packed each for itself.  An empty table gives an empty result.
     """
     return pack(stored(pieces(docs, tokenizer, size, with_ids, id_col, text_col), "pieces"), size)

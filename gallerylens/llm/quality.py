@@ -2,7 +2,8 @@
 
 A document's histogram over character classes, and over the commonest words of its language and all others,
 are compared with the same histograms summed over all documents of that language, by Jensen-Shannon distance.
-Short texts have noisy histograms and are not judged by them.
+A histogram of few characters or words is noisy: under GUARD_CHARS characters or GUARD_WORDS words it is not
+compared, and each histogram has a guard of its own.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ from .common import stored
 
 WHITE_RE = r"[\x20\x09-\x0D]+"
 SYMBOLS_RE = r"[#*$%&|<>]"
-#: The commonest words of each language.
+#: Thirty of the commonest words of each language.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "with"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "que"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las"],
+    "en": "the of and to in is that for it with as was on be at by this had not are but from or have an they which one you were".split(),
+    "fr": "de la le et les des en un une que est pour qui dans par plus pas au sur se ne ce il sont avec son du elle ou mais".split(),
+    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird".split(),
+    "es": "de la que el en y los se del las un por con no una su para es al lo como más o pero sus le ha me si sin".split(),
 }
-N_COMMON = 10
+N_COMMON = 30
 #: Character classes counted by pattern; white space and all other characters are two more.
 CLASSES = {"upper": "[A-Z]", "lower": "[a-z]", "digit": "[0-9]", "mark": r"[.,;:!?'\"()\-]", "symbol": SYMBOLS_RE}
-MIN_WORDS, MIN_REFERENCE, MAX_CHARS, MAX_WORDS = 50, 20, 0.35, 0.5
+MIN_WORDS, GUARD_WORDS, GUARD_CHARS, MAX_CHARS, MAX_WORDS = 50, 100, 400, 0.35, 0.5
 
 
 def _bound(value: Column, use) -> Column:
@@ -58,7 +59,7 @@ def repeated_words(words: Column) -> Column:
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per document the base counts, and the histograms chars and words (arrays of doubles)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang")).where("doc_id is not null")
+    df = docs.select(F.expr(f"try_cast(`{id_col}` AS bigint)").alias("doc_id"), text.alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"))
     df = df.withColumn("w", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     common = F.array().cast("array<string>")
@@ -76,7 +77,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counted = [F.col(f"n_{c}") for c in CLASSES] + [F.col("n_chars") - F.col("word_chars")]
     rest = F.col("n_chars") - reduce(lambda a, b: a + b, counted)
     other = F.greatest(F.col("n_words").cast("double") - F.aggregate("hits", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
-    return df.select("doc_id", "lang", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", F.array(*(c.cast("double") for c in [*counted, rest])).alias("chars"), F.when(F.col("hits").isNotNull(), F.concat("hits", F.array(other))).alias("words"))
+    return df.select("doc_id", "lang", "n_chars", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", F.array(*(c.cast("double") for c in [*counted, rest])).alias("chars"), F.when(F.col("hits").isNotNull(), F.concat("hits", F.array(other))).alias("words"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -94,19 +95,20 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(half(share(p), share(q)), F.lit(0.0), lambda s, v: s + v) / 2, F.lit(0.0)))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS, min_reference: int = MIN_REFERENCE) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS, guard_chars: int = GUARD_CHARS, guard_words: int = GUARD_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, words_distance.
 
     Fails at the base: under 50 words, or over half of them in repeated 3-word windows.  Of the others those
     stay whose distances from the language's histograms, summed over all documents of it that pass the base,
-    are at most max_chars and max_words.  A language of fewer than min_reference such documents is no
-    reference: its documents stay.  A null text is empty; a null language is one of its own, without common
-    words.  Repeated rows are repeated; an empty table gives an empty result.
+    are at most max_chars and max_words; of fewer than guard_chars characters, or guard_words words, the one or the
+    other is not compared.  A null text is empty; a null language is one of its own, without common words.
+    Repeated rows, and rows without an id, are each judged; an empty table gives an empty result.
     """
     features = stored(text_features(docs, id_col, text_col, lang_col), "features")
     features = features.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     sums = lambda name, n: F.array(*(F.sum(F.get(F.col(name), F.lit(i))) for i in range(n)))
-    reference = features.where("not base_failed").groupBy("lang").agg(sums("chars", len(CLASSES) + 2).alias("ref_chars"), F.when(F.count("words") > 0, sums("words", N_COMMON + 1)).alias("ref_words"), F.count("*").alias("n")).where(F.col("n") >= min_reference)
+    reference = features.where("not base_failed").groupBy("lang").agg(sums("chars", len(CLASSES) + 2).alias("ref_chars"), F.when(F.count("words") > 0, sums("words", N_COMMON + 1)).alias("ref_words"))
     judged = features.join(reference, "lang", "left").withColumn("chars_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn("words_distance", js_distance(F.col("words"), F.col("ref_words")))
+    judged = judged.withColumns({"chars_distance": F.when(F.col("n_chars") >= guard_chars, F.col("chars_distance")), "words_distance": F.when(F.col("n_words") >= guard_words, F.col("words_distance"))})
     near = (F.coalesce("chars_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("words_distance", F.lit(0.0)) <= max_words)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "chars_distance", "words_distance")

@@ -3,6 +3,8 @@
 Two fingerprints of 64 bits that differ in at most two bits agree in two of four blocks of 16 bits.  For each
 choice of two blocks these go first; the 32 bits in front name a node of a binary trie with no error spent,
 and below it pairs of nodes descend together, adding up differing bits and dropped once the budget is spent.
+A descent from one root alone could not be dealt out: a pair may spend its two errors on the first bits, so that
+every task would need the nodes two errors away from its own, 1 + n + n (n - 1) / 2 of them at n levels.
 Nodes of one choice are dealt out by their 32 bits.  A node with very many fingerprints is split at a further
 eight levels: each fingerprint goes to its own child and, for children further on, to those within the budget.
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import raw, stored, texts
 from .components import connected_components
 
-SHINGLE, SEED, BUDGET, SPLIT_BITS, SPLIT_AT = 3, 42, 2, 8, 20_000
+SHINGLE, SEED, BUDGET, SPLIT_BITS, SPLIT_AT, SALTS = 3, 42, 2, 8, 20_000, 8
 
 
 def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -129,15 +131,23 @@ def fingerprint_links(prints: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     return dealt.repartition("choice", "front", "bucket").sortWithinPartitions("choice", "front", "bucket", "rest").mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Texts are lower-cased in A-Z and cut to words at the bytes 0x20 and 0x09-0x0D; documents whose
     fingerprints differ in at most two bits are linked.  A null or empty text has fingerprint zero and is
-    linked like any other; repeated rows are repeated in the result; an empty table gives an empty result.
+    linked like any other; repeated rows are repeated in the result, as are rows without a doc_id, whose
+    component has the smallest doc_id of those that have one, or null; an empty table gives an empty result.
+
+    Links and components are of distinct fingerprints.  A fingerprint's component is sent to `salts` places, over
+    which the documents that have it are dealt: the copies of one text are no single task's.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints")
-    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    found = connected_components(fingerprint_links(reps))
-    classes = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "reps")
+    found = connected_components(fingerprint_links(reps.select("fp", F.col("fp").alias("rep"))))
+    classes = reps.join(found, reps["fp"] == found["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = classes.groupBy("component").agg(F.min("id").alias("component_id"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    dealt = classes.join(least, "component").select("fp", "component_id", salt)
+    own = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    return own.join(dealt, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

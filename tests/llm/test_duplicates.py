@@ -13,6 +13,12 @@ from gallerylens.llm import components, exact, shingles, simhash
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def with_ids(found, n=1):
+    """The rows that have a doc_id, after a look at how many have none: all operators keep them."""
+    assert sum(r.doc_id is None for r in found) == n
+    return [r for r in found if r.doc_id is not None]
+
+
 def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
@@ -45,7 +51,10 @@ def test_near_duplicates_brute_force(docs, rows):
     ids = sorted(prints)
     links = [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
     want = roots(links, ids)
-    got = simhash.near_duplicates(docs).collect()
+    found = simhash.near_duplicates(docs).collect()
+    lone = next(r for r in found if r.doc_id is None)
+    assert int(lone.fingerprint, 16) == brute_print("no id") and lone.component_id is None
+    got = with_ids(found)
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
     assert all(int(r.fingerprint, 16) == prints[r.doc_id] and len(r.fingerprint) == 16 and r.component_id == want[r.doc_id] for r in got)
 
@@ -105,8 +114,10 @@ def similar_roots(rows):
 def test_similar_documents_brute_force(spark, docs, rows, edited, monkeypatch, common):
     """Every pair of a Jaccard similarity of 0.8 or more is linked and no other, in whichever order shingles are."""
     monkeypatch.setattr(shingles, "COMMON", common)
-    for df, of in ((docs, rows), (spark.createDataFrame(edited, "doc_id long, text string"), edited)):
-        got = [(r.doc_id, r.component_id) for r in shingles.similar_documents(df).collect()]
+    for df, of, n in ((docs, rows, 1), (spark.createDataFrame(edited, "doc_id long, text string"), edited, 0)):
+        found = with_ids(shingles.similar_documents(df).collect(), n)
+        got = [(r.doc_id, r.component_id) for r in found]
+        assert all(r.kept == (r.doc_id == r.component_id) for r in found)
         want = similar_roots(of)
         assert sorted(got) == sorted((i, want[i]) for i, _ in of)
 
@@ -135,12 +146,38 @@ def test_exact_dedup_brute_force(docs, rows, budget):
     for i, t in rows:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
     want = sorted((i, min(g)[1], len(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, i in g)
-    got = exact.exact_dedup(docs, budget=budget).collect()
+    found = exact.exact_dedup(docs, budget=budget).collect()
+    lone = next(r for r in found if r.doc_id is None)
+    assert (lone.keep_id, lone.group_size, lone.kept) == (None, 1, True)
+    got = with_ids(found)
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
     kept = [r.doc_id for r in got if r.kept]
     assert len(kept) == len(groups) and all(r.keep_id == r.doc_id for r in got if r.kept)
 
 
+def test_exact_dedup_of_rows_without_ids(spark):
+    rows = [(None, "a b"), (None, "ab"), (7, "a b"), (None, "x  "), (3, "x")]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 7, 3, False), (None, 7, 3, False), (7, 7, 3, True), (None, None, 2, True), (3, None, 2, False)], key=str)
+
+
+def test_near_duplicates_of_rows_without_ids(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (9, "A B c d"), (None, None), (4, "  "), (None, "other words that are on their own")]
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 9), (None, 9), (9, 9), (None, 4), (4, 4), (None, None)], key=str)
+
+
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 20, 400, 3000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for k in (0, 1, n // 10, n // 5):
+            b = np.unique(np.concatenate([a[k:], rng.integers(0, 1 << 64, k, np.uint64)]))
+            bits = (int.from_bytes(shingles.sketch(a)) ^ int.from_bytes(shingles.sketch(b))).bit_count()
+            assert bits <= len(np.setxor1d(a, b))
+    assert len(shingles.sketch(a)) * 8 == shingles.SKETCH
+
+
 def test_grace_recursion_of_one_content():
     rows = [(b"x" * 1000, (i,)) for i in range(50)] + [(bytes([i]) * 900, (100 + i,)) for i in range(40)]
     got = dict(exact.grace_classes(rows, 1500))

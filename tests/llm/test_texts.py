@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gallerylens.llm import bpe, licenses, packing, pieces, quality, queries, secret_scan
 
+
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " ", "  a  b \n\n c\t d ", "don't we'll I'VE 12345 日本語 😀😀 \x1c x\x85y\xa0 z　end ", "a" * 60 + " bbbb", "==== ----____ ", "<|endoftext|> a<|endoftext|>b", " lead", "trail ", "a \n b", "\n\n\n", "x  \x1c y", "\x00 \x00  \x00\nfoo"]
@@ -32,7 +33,7 @@ def test_packing(docs, rows):
     own = Tokenizer.from_file(JSON)
     got = packing.pack_documents(docs, JSON).collect()
     want = Counter()
-    for i, t in rows:
+    for i, t in [*rows, (None, "no id")]:
         ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
         first = (len(ids) - 1) % 2048 + 1
         edges = [0, *range(first, len(ids) + 1, 2048)]
@@ -90,13 +91,26 @@ def test_encoders_equal_the_libraries():
 def test_bpe_round_trip(docs, rows):
     lib = tiktoken_encoding()
     got = {r.doc_id: r for r in bpe.encode_documents(docs, RANKS, P.PATTERN).collect()}
-    for i, t in rows:
+    for i, t in [*rows, (None, "no id")]:
         ids = lib.encode_ordinary(t or "")
         assert got[i].ids == ids and got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     back = {r.doc_id: r.text for r in bpe.decode_documents(bpe.encode_documents(docs, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()}
-    assert back == {i: t or "" for i, t in rows}
+    assert back == {i: t or "" for i, t in [*rows, (None, "no id")]}
+
+
+def test_ill_formed_texts(spark):
+    """Bytes that are not UTF-8 count as U+FFFD."""
+    from tokenizers import Tokenizer
+
+    df = spark.sql("SELECT 1L AS doc_id, CAST(unhex('61FF20C3') AS string) AS text UNION ALL SELECT 2L, 'b'")
+    text = b"a\xff \xc3".decode("utf-8", "replace")
+    want = tiktoken_encoding().encode_ordinary(text)
+    got = {r.doc_id: r for r in bpe.encode_documents(df, RANKS, P.PATTERN).collect()}
+    assert got[1].ids == want and got[1].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    ids = [*Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids, 0]
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack_documents(df, JSON).collect()}[1] == zlib.crc32(array("I", ids).tobytes())
 
 
 def test_stream_decoding_of_broken_bytes():
@@ -117,7 +131,7 @@ def brute_quality(t):
 
 def test_quality(docs, rows):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
-    for i, t in rows:
+    for i, t in [*rows, (None, "no id")]:
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t or "")
         assert not (r.base_failed and r.kept)
@@ -126,9 +140,13 @@ def test_quality(docs, rows):
 def test_quality_distance(spark):
     rng = np.random.default_rng(6)
     own = [w for w in quality.COMMON_WORDS["en"]] + [f"{a}{b}ing," for a in "abcdefgh" for b in "mnopqrst"]
-    rows = [(i, " ".join(rng.choice(own, 150)), "en") for i in range(40)] + [(99, " ".join(f"#{i}$%%&" for i in range(200)), "en")]
+    rows = [(i, " ".join(rng.choice(own, 150)), "en") for i in range(40)] + [(99, " ".join(f"#{i}$%%&" for i in range(200)), "en"), (98, " ".join(f"#{i}$%%&" for i in range(60)), "en"), (97, " ".join(f"#{i}$" for i in range(90)), "xx")]
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not got[99].base_failed and not got[99].kept and got[99].chars_distance > 0.35
+    # enough characters but too few words; and a language of one document, which is its own reference
+    assert got[98].words_distance is None and got[98].chars_distance > 0.35 and not got[98].kept and got[97].kept and got[97].chars_distance == 0
+    short = [(i, t, "en") for i, t, _ in rows[:40]] + [(99, " ".join("#" for _ in range(60)) + " a b c d e f", "en")]
+    assert {r.doc_id: r.chars_distance for r in quality.quality_rules(spark.createDataFrame(short, "doc_id long, text string, lang string")).collect()}[99] is None
     p, q = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0))
     assert spark.range(1).select(quality.js_distance(p, q), quality.js_distance(p, p)).first()[:] == (1.0, 0.0)
 
@@ -136,7 +154,7 @@ def test_quality_distance(spark):
 def test_secrets(docs, rows):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     got = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
-    for i, t in rows:
+    for i, t in [*rows, (None, "no id")]:
         t = t or ""
         s = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]
         s += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
@@ -158,7 +176,7 @@ def test_secret_linking(spark):
 
 def test_licenses(docs, rows):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
-    for i, t in rows:
+    for i, t in [*rows, (None, "no id")]:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         f = [(k, label) for p, label in licenses.PHRASES for k in range(len(w)) if tuple(x.encode() for x in w[k : k + len(p)]) == p]
         r = got[i]
