@@ -35,6 +35,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 #: Columns that name a row of a file.
 ROW = ["__file", "__row"]
 
@@ -52,8 +53,15 @@ def keyed(docs: DataFrame) -> DataFrame:
         return stored(docs, "rows").select(*columns, *row)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows where the session has the usual 10,000, which are sized for short values: a worker and its JVM hold several copies of a batch of texts."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """The columns (doc_id long, text string), and those of carry, alone, null texts as empty; other columns cannot clash. A row whose id is null or no number stays, with a null doc_id."""
+    _small_batches(docs.sparkSession)
     return docs.select(F.expr(f"try_cast(`{id_col}` AS bigint)").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import stored
+
 #: Fixed rules, (action, host, path prefix); a host without a dot is a top-level domain.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Listed domains; a host is listed when it or a parent domain is.
@@ -27,22 +29,32 @@ LISTED = ["casino-bonus.example.com", "cheap-pills.example.com", "spam-farm.exam
 SHARD_KEYS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
+def hashed(keys: list[str]) -> np.ndarray:
+    """Two numbers of 64 bits for each key."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64).reshape(-1, 2)
+
+
 class Bloom:
-    """A set of keys that may seem to hold a few others."""
+    """A set of hashed keys that may seem to hold a few others."""
 
-    def __init__(self, keys: list[str], seed: int, rate: float) -> None:
+    def __init__(self, keys: np.ndarray, seed: int, rate: float) -> None:
         self.seed, self.probes = seed, max(1, round(-math.log2(rate)))
         self.bits = np.zeros(max(64, int(len(keys) * self.probes / math.log(2)) + 1), bool)
-        for key in keys:
-            self.bits[self._at(key)] = True
-
-    def _at(self, key: str) -> np.ndarray:
-        h = xxhash.xxh3_128_intdigest(key.encode(), self.seed)
-        a, b = h >> 64, h & (1 << 64) - 1 | 1
-        return np.array([(a + i * b) % len(self.bits) for i in range(self.probes)])
-
-    def __contains__(self, key: str) -> bool:
-        return bool(self.bits[self._at(key)].all())
+        for at in self._at(keys):
+            self.bits[at] = True
+
+    def _at(self, keys: np.ndarray):
+        """The places of all keys, a probe at a time; a level's seed makes them others."""
+        a = (keys[:, 0] ^ np.uint64((self.seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+        a, b = a ^ (a >> np.uint64(32)), keys[:, 1] | np.uint64(1)
+        for i in range(self.probes):
+            yield (a + np.uint64(i) * b) % np.uint64(len(self.bits))
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for at in self._at(keys):
+            out &= self.bits[at]
+        return out
 
     def packed(self) -> tuple:
         return self.seed, self.probes, len(self.bits), np.packbits(self.bits).tobytes()
@@ -60,21 +72,22 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: set[str], universe: set[str], first: float = 0.1, later: float = 0.5) -> Cascade:
-        """Exact for every key of universe and every listed key."""
-        holds, errs, levels = sorted(listed), sorted(universe - listed), []
-        while holds:
-            level = Bloom(holds, len(levels), first if not levels else later)
-            levels.append(level)
-            holds, errs = [k for k in errs if k in level], holds
+    def build(cls, listed: np.ndarray, others: np.ndarray, first: float = 0.1, later: float = 0.5) -> Cascade:
+        """Exact for every hashed key of listed and of others, which have none in common."""
+        holds, errs, levels = listed, others, []
+        while len(holds):
+            levels.append(Bloom(holds, len(levels), first if not levels else later))
+            holds, errs = errs[levels[-1].holds(errs)], holds
         return cls(levels)
 
-    def __contains__(self, key: str) -> bool:
-        """The last level that holds the key one after another tells: an even one, listed."""
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """The last level that holds a key one after another tells: an even one, listed."""
+        out, at = np.full(len(keys), len(self.levels) % 2 == 1), np.arange(len(keys))
         for n, level in enumerate(self.levels):
-            if key not in level:
-                return n % 2 == 1
-        return len(self.levels) % 2 == 1
+            own = level.holds(keys[at])
+            out[at[~own]] = n % 2 == 1
+            at = at[own]
+        return out
 
     def dump(self) -> bytes:
         return pickle.dumps([x.packed() for x in self.levels], 5)
@@ -102,55 +115,66 @@ def _domains(host: Column) -> Column:
 
 
 def build_cascades(universe: DataFrame, listed: DataFrame) -> tuple[DataFrame, int]:
-    """(shard, listed, cascade) of columns key, and the number of shards; both columns are made distinct first."""
+    """(shard, cascade) of columns key, stored, and the number of shards, which follows from the keys of both; each key counts once."""
     both = universe.select("key", F.lit(0).alias("l")).unionAll(listed.select("key", F.lit(1))).where("key is not null").groupBy("key").agg(F.max("l").alias("l"))
-    shards = max(1, -(-universe.where("key is not null").distinct().count() // SHARD_KEYS))
+    both = stored(both, "keys")
+    shards = max(1, -(-both.count() // SHARD_KEYS))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        cascade = Cascade.build(set(pdf.key[pdf.l == 1]), set(pdf.key))
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "cascade": [cascade.dump()]})
+        on = (pdf.l == 1).to_numpy()
+        keys = hashed(pdf.key.tolist())
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "cascade": [Cascade.build(keys[on], keys[~on]).dump()]})
 
     dealt = both.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(build, "shard int, cascade binary"), shards
+    return stored(dealt.groupBy("shard").applyInPandas(build, "shard int, cascade binary"), "cascades"), shards
 
 
 def listed_hosts(hosts: DataFrame, listed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """hosts (column host, any others) with a boolean column listed: the host or a parent domain is a key of listed.
 
-    The universe of the cascade is every host of hosts and every parent domain, each once.
+    The universe of the cascades is every host of hosts and every parent domain, each once.  If the cascades are
+    larger than may be broadcast, each key of the universe is looked up once, in its shard, and hosts are joined
+    with the keys that are listed.
     """
     universe = hosts.select("host").distinct().select(F.explode(_domains(F.col("host"))).alias("key")).distinct()
     cascades, shards = build_cascades(universe, listed)
-    from .common import stored
-
-    cascades = stored(cascades, "cascades")
-    size = cascades.agg(F.sum(F.length("cascade"))).first()[0] or 0
-    if size <= broadcast_bytes:
+    shard = lambda k: F.pmod(F.xxhash64(k), F.lit(shards)).cast("int")
+    if (cascades.agg(F.sum(F.length("cascade"))).first()[0] or 0) <= broadcast_bytes:
         shared = hosts.sparkSession.sparkContext.broadcast({r.shard: r.cascade for r in cascades.collect()})  # its size was checked
-        shard = F.transform(F.col("keys"), lambda k: F.pmod(F.xxhash64(k), F.lit(shards)).cast("int"))
 
         def look(batches):
             made = {k: Cascade.load(v) for k, v in shared.value.items()}
             for batch in batches:
-                own = [any(s in made and k in made[s] for k, s in zip(keys, at, strict=True)) for keys, at in zip(batch.column("keys").to_pylist(), batch.column("shards").to_pylist(), strict=True)]
+                column = batch.column("keys")
+                own, at = hashed(column.flatten().to_pylist()), batch.column("shards").flatten().to_numpy(zero_copy_only=False)
+                hit = np.zeros(len(own), bool)
+                for s in np.unique(at).tolist():
+                    if s in made:
+                        hit[at == s] = made[s].holds(own[at == s])
+                row = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+                found = np.bincount(row, weights=hit, minlength=batch.num_rows) > 0
                 names = [n for n in batch.schema.names if n not in ("keys", "shards")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(own, pa.bool_())], [*names, "listed"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found)], [*names, "listed"])
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hosts.schema) + ", listed boolean"
-        return hosts.withColumn("keys", _domains(F.col("host"))).withColumn("shards", shard).mapInArrow(look, schema)
+        return hosts.withColumn("keys", _domains(F.col("host"))).withColumn("shards", F.transform("keys", shard)).mapInArrow(look, schema)
 
     def look_up(keys: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        cascade = Cascade.load(own["cascade"].iloc[0]) if len(own) else Cascade([])
-        return keys.assign(hit=[k in cascade for k in keys.key])[["host", "hit"]]
+        if not len(keys) or not len(own):
+            return keys[["key"]].iloc[:0]
+        return keys[["key"]][Cascade.load(own["cascade"].iloc[0]).holds(hashed(keys.key.tolist()))]
 
-    each = hosts.select("host").distinct().select("host", F.explode(_domains(F.col("host"))).alias("key")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    found = each.groupBy("shard").cogroup(cascades.groupBy("shard")).applyInPandas(look_up, "host string, hit boolean").groupBy("host").agg(F.max("hit").alias("listed"))
-    return hosts.join(found, "host")
+    hits = universe.withColumn("shard", shard("key")).groupBy("shard").cogroup(cascades.groupBy("shard")).applyInPandas(look_up, "key string")
+    each = hosts.select("host").distinct().select("host", F.explode(_domains(F.col("host"))).alias("key"))
+    found = each.join(hits, "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
+    return hosts.join(found, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
 def judge_urls(pages: DataFrame, listed: list[str] | DataFrame = LISTED, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict (allow or block).
 
+    listed: domains, or a table of any size with them in column key.
+
     A rule fits its host and all subdomains when the path starts with the rule's; the rule with the longest
     host and path decides, else whether the host is listed.  A null url or one without :// has an empty host
     and path, which no rule fits.  Repeated rows are repeated; an empty table gives an empty result.

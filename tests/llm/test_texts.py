@@ -186,8 +186,10 @@ def test_licenses(docs, rows):
 
 
 @pytest.mark.parametrize(("text", "labels"), [
-    ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"), ("Released under the MIT License", "mit"), ("licensed under CC BY-NC 4.0", "cc-by-nc-4.0"), ("GNU General Public License, version 3.", "gpl"),
+    ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"), ("Released under the MIT License", "mit"), ("licensed under CC BY-NC 4.0", "cc-by-nc-4.0"), ("GNU General Public License, version 3.", "gpl,gpl-3.0"),
     ("licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("summit licenses", ""), ("Mozilla Public License 2.0 licence", "mpl-2.0"),
+    ("licensed under the GPLv3", "gpl-3.0"), ("GNU GPL version 2 or later", "gpl-2.0"), ("Apache License v2.0", "apache,apache-2.0"), ("LGPL-2.1", "lgpl-2.1"), ("AGPL v3", "agpl-3.0"), ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa-4.0"), ("GNU Lesser General Public License version 2.1", "gpl,lgpl-2.1"),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "cc-by-nc-sa-4.0"), ("All rights reserved. Redistributions of the BSD license", "bsd,proprietary"), ("MPL 2.0 and MPL 1.1", "mpl-1.1,mpl-2.0"),
 ])
 def test_license_rules(spark, text, labels):
     assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
@@ -196,6 +198,33 @@ def test_license_rules(spark, text, labels):
 def test_rule_table():
     found = licenses.rules()
     assert 200 < len(found) < 500 and [r.priority for r in found] == sorted((r.priority for r in found), reverse=True)
+    assert len({r.pattern.pattern for r in found}) == len(found) and len({r.label for r in found}) > 60
+
+
+def brute_finds(text):
+    """All rules on the whole text, without keywords, and every find against every kept one."""
+    found = [(-r.priority, m.start() - m.end(), m.start(), n, m.end(), r.label) for n, r in enumerate(licenses.rules()) for m in r.pattern.finditer(text)]
+    kept = []
+    for _, _, a, _, b, label in sorted(found):
+        if not any(x <= a and b <= y or a <= x and y <= b for x, y, _ in kept):
+            kept.append((a, b, label))
+    return sorted(kept)
+
+
+def test_license_finds_brute_force():
+    """Texts put together from pieces of signatures, so that finds overlap and contain each other."""
+    rng = np.random.default_rng(11)
+    literal = [re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", r.pattern.pattern.decode()[4:-5]) for r in licenses.rules()]
+    pieces = sorted({w for p in literal for w in re.sub(r"[^a-z0-9 ]+", " ", p).split()}) + [re.sub(r"[^a-z0-9 ]+", " ", p) for p in literal]
+    scanner, several = licenses.Scanner(), 0
+    for _ in range(120):
+        text = (" " + " ".join(" ".join(str(x) for x in rng.choice(pieces, 25)).split()) + " ").encode()
+        got = [(a, b, r.label) for a, b, r in scanner.finds(text)]
+        assert got == brute_finds(text)
+        several += len(got) > 3
+    assert several > 40
+    many = (" " + "mit license bsd license " * 20_000).encode()
+    assert len(scanner.finds(many)) == 40_000
 
 
 def test_empty(empty):
