@@ -70,10 +70,11 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 _OP8 = r"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-rules(action, h, pre) AS (VALUES {rules}),
+rules(action, h, pre) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+listed(d) AS (VALUES ('casino-bonus.example.com'), ('cheap-pills.example.com'), ('spam-farm.example.org'), ('free-prizes.example.net')),
 fits AS (SELECT page_id, max_by(h || pre, length(h || pre)) AS rule, max_by(action, length(h || pre)) AS action
   FROM (SELECT DISTINCT page_id, host, path FROM p) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN {listed} THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN fits USING (page_id)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN EXISTS (SELECT 1 FROM listed WHERE host = d OR ends_with(host, '.' || d)) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN fits USING (page_id)
 """
 
 
@@ -82,52 +83,62 @@ def _quoted(values) -> str:
 
 
 def _op3() -> str:
-    """Histograms in long form: one row for each document, kind of histogram and class."""
-    classes = [f"len(regexp_extract_all(t, {_quoted([p])}))" for p in quality.CLASSES.values()]
+    """Histograms in long form: one row for each document, kind of histogram and class. The common words are the operator's; all patterns and limits are written out."""
+    classes = ", ".join(f"len(regexp_extract_all(t, {_quoted([p])}))" for p in ("[A-Z]", "[a-z]", "[0-9]", r"[.,;:!?'\"()\-]", "[#*$%&|<>]"))
     common = " ".join(f"WHEN '{lang}' THEN [{_quoted(words)}]" for lang, words in quality.COMMON_WORDS.items())
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents WHERE doc_id IS NOT NULL),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
 w AS (SELECT doc_id, t, lang, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
-f AS (SELECT doc_id, lang, t, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars, len(regexp_extract_all(t, '{quality.SYMBOLS_RE}')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-  CASE lang {common} END AS common, regexp_extract_all(lower(t), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS runs, [{", ".join(classes)}] AS cs FROM w LEFT JOIN cov USING (doc_id)),
-b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+f AS (SELECT doc_id, lang, t, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  CASE lang {common} END AS common, regexp_extract_all(lower(t), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS runs, [{classes}] AS cs FROM w LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 hits AS (SELECT *, list_transform(common, lambda c: len(list_filter(runs, lambda r: r = c))) AS hs, list_append(cs, length(t) - word_chars) AS ds FROM b),
-hist AS (SELECT doc_id, lang, base_failed, 'c' AS kind, unnest(range({len(quality.CLASSES) + 2})) AS i, unnest(list_append(ds, length(t) - list_sum(ds))) AS v FROM hits
-  UNION ALL SELECT doc_id, lang, base_failed, 'w', unnest(range({quality.N_COMMON + 1})), unnest(list_append(hs, greatest(n_words - list_sum(hs), 0))) FROM hits WHERE common IS NOT NULL),
-ref AS (SELECT lang, kind, i, sum(v) AS q FROM hist WHERE NOT base_failed GROUP BY ALL HAVING count(*) >= {quality.MIN_REFERENCE}),
+hist AS (SELECT doc_id, lang, base_failed, 'c' AS kind, unnest(range(7)) AS i, unnest(list_append(ds, length(t) - list_sum(ds))) AS v FROM hits
+  UNION ALL SELECT doc_id, lang, base_failed, 'w', unnest(range(31)), unnest(list_append(hs, greatest(n_words - list_sum(hs), 0))) FROM hits WHERE common IS NOT NULL),
+ref AS (SELECT lang, kind, i, sum(v) AS q FROM hist WHERE NOT base_failed GROUP BY ALL),
 sh AS (SELECT doc_id, kind, v / nullif(sum(v) OVER (PARTITION BY doc_id, kind), 0) AS p, q / nullif(sum(q) OVER (PARTITION BY doc_id, kind), 0) AS q FROM hist JOIN ref USING (lang, kind, i)),
 js AS (SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS far FROM sh GROUP BY doc_id, kind),
-bad AS (SELECT DISTINCT doc_id FROM js WHERE far > CASE kind WHEN 'c' THEN {quality.MAX_CHARS} ELSE {quality.MAX_WORDS} END)
+bad AS (SELECT DISTINCT doc_id FROM js JOIN b USING (doc_id) WHERE CASE kind WHEN 'c' THEN far > 0.35 AND length(t) >= 400 ELSE far > 0.5 AND n_words >= 100 END)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (FROM bad) AS kept FROM b
 """
 
 
+#: (kind, pattern, group with a least length, that length), in the order that breaks ties; runs of 24 and more are the runs of any length that have 24.
+_SECRETS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"(AKIA[A-Z0-9]+)", 1, 20),
+    ("hex", r"([0-9a-f]{24,})", 1, 24),
+    ("key", r"([A-Za-z0-9/+=]+)", 1, 40),
+    ("login", r"""((?i:user_?name|user|login|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)""", 2, 3),
+    ("endpoint", r"""([A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+)""", 1, 8),
+]
+
+
 def _op9() -> str:
     """Positions from the gaps between matches; a key is a run of its characters and '=' that is 40 long and without '='."""
 
-    def found(kind: str, pattern: str, group: int, least: int) -> str:
+    def found(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
         text = _quoted([pattern])
         return (
-            f"SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[i]) AS n, {secret_scan.KINDS.index(kind)} AS rank, '{kind}' AS kind "
+            f"SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[i]) AS n, {rank} AS rank, '{kind}' AS kind "
             f"FROM (SELECT doc_id, g, m, h, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, {text}) AS g, regexp_extract_all(t, {text}, 0) AS m, regexp_extract_all(t, {text}, {group}) AS h FROM d WHERE regexp_matches(t, {text}))) WHERE length(h[i]) >= {least}"
         )
 
-    rules = [r if r[0] != "key" else ("key", "([A-Za-z0-9/+=]+)", 1, 40) for r in secret_scan.BASE + secret_scan.WEAK]
-    parts = " UNION ALL ".join(found(*r) if r[0] != "key" else f"SELECT k.* FROM ({found(*r)}) k JOIN d USING (doc_id) WHERE n = 40 AND NOT contains(substr(t, s + 1, 40), '=')" for r in rules)
-    near = lambda kinds: f"EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND o.kind IN ({_quoted(kinds)}) AND o.s <= p.e + {secret_scan.SCOPE} AND o.e >= p.s - {secret_scan.SCOPE})"
-    ids, secrets = near(secret_scan.IDENTIFIERS), near(secret_scan.SECRETS)
+    finds = [(r[0], found(n, *r)) for n, r in enumerate(_SECRETS)]
+    parts = " UNION ALL ".join(q if kind != "key" else f"SELECT k.* FROM ({q}) k JOIN d USING (doc_id) WHERE n = 40 AND NOT contains(substr(t, s + 1, 40), '=')" for kind, q in finds)
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND o.kind IN ({kinds}) AND o.s <= p.e + 300 AND o.e >= p.s - 300)"
+    ids, secrets = near("'access', 'login'"), near("'assign', 'hex', 'key'")
     spans = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank){}, '')"
     count = lambda kind: f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL), p AS (SELECT doc_id, s, s + n AS e, rank, kind FROM ({parts})),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, s, s + n AS e, rank, kind FROM ({parts})),
 l AS (SELECT * FROM p WHERE rank < 3 OR (kind = 'key' AND {ids}) OR (kind = 'login' AND {secrets}) OR (kind = 'endpoint' AND {ids} AND {secrets}))
 SELECT doc_id, {count("assign")}, {count("access")}, {count("hex")}, sha256({spans.format(" FILTER (rank < 3)")}) AS base_sha256, {spans.format("")} AS spans FROM d LEFT JOIN l USING (doc_id) GROUP BY doc_id
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    listed = " OR ".join(f"host = '{k}' OR ends_with(host, '.{k}')" for k in urls.LISTED)
-    return {"op3_quality": _op3(), "op4_exact": _OP4, "op8_urls": _OP8.format(rules=", ".join(f"({_quoted(r)})" for r in urls.RULES), listed=listed), "op9_secrets": _op9()}
+    return {"op3_quality": _op3(), "op4_exact": _OP4, "op8_urls": _OP8, "op9_secrets": _op9()}
