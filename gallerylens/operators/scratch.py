@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir, or a temporary folder only where that is unset and all run on this machine, and read again."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, or below a temporary folder only where that is unset and all run on this machine."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local["):
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoint-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = f"{held.get()}/{name}-{uuid.uuid4().hex}"
+    return f"{held.get()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new folder and read again."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

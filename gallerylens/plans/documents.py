@@ -38,6 +38,21 @@ def frag_sections(t: Tables) -> DataFrame:
     return cut.select(F.col("page_id").alias("doc_id"), F.col("section").cast("long").alias("section"), F.when(F.col("section") == 0, F.col("line_no") + 1).otherwise(F.col("line_no")).cast("long").alias("line_no"), "line")
 
 
+_PARTED = "text || ' (it cannot, \"won''t\": ' || item_id || '; they''re gonna--ok? I''ll go...) We''d 1,000.'"
+
+
+def _parted() -> str:
+    sql = _PARTED
+    for pattern, put in X.TREEBANK:
+        sql = f"regexp_replace({sql}, '" + pattern.replace("'", "''") + "', '" + put.replace("'", "''").replace("$1", "\\1").replace("$2", "\\2").replace("$3", "\\3") + "', 'g')"
+    return sql
+
+
+@query(f"SELECT item_id, array_to_string(list_filter(string_split_regex({_parted()}, '\\s+'), lambda w: w <> ''), '|') AS tokens FROM benchmark")
+def txt_treebank(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id", F.array_join(X.treebank(F.expr(_PARTED.replace("''", "\\'"))), "|").alias("tokens"))
+
+
 #: Pages made of documents: an infobox in some, a file's anchor before every other line in some, and which pictures are at hand.
 _BOX = "'<a href=\"InfoboxHeader%3Abox%20' || doc_id || '.png\">info</a> ' || CASE WHEN doc_id % 8 = 1 THEN repeat('words about this page ', 6) ELSE '' END"
 _WIKI_SQL = (

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vector as V
-from ..operators import classify, graph, retrieval, sampling
+from ..operators import classify, graph, index, retrieval, sampling
 from ..operators.ranks import ranked
+from ..operators.scratch import folder
 from .registry import Registry
 from .views import Tables
 
@@ -56,6 +57,16 @@ def binary_quant_topk(t: Tables) -> DataFrame:
     return retrieval.binary_topk(queries, _ids(t).select("id", "v"), 5, OVERSAMPLE).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
+def knn_index(t: Tables) -> DataFrame:
+    """The five nearest vectors by an index of lists, built over the whole table."""
+    made = index.build(_ids(t).select("id", "v"), folder(t.spark, "index"), k=5)
+    queries = _ids(t).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return index.search(made, queries, 5).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
+query()(knn_index)
+
+
 def _two_stage_sql(least_tok: int) -> str:
     return (
         f"WITH asked AS (SELECT * FROM mv WHERE doc_id % 20 = 0 AND tok >= {least_tok}), pools AS (SELECT doc_id, v FROM mv WHERE tok BETWEEN 1 AND 3 UNION ALL SELECT doc_id, list(m ORDER BY i) FROM (SELECT doc_id, i, avg(x) AS m FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM mv WHERE tok IN (0, 4)) GROUP BY ALL) GROUP BY doc_id), "

@@ -5,28 +5,18 @@ A checkpoint folder makes a run resumable: a second run over the same folder rea
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.scratch import folder
 
-def files(spark: SparkSession, folder: str, name: str, like: DataFrame) -> DataFrame:
-    """The Parquet file or folder `name` below folder as a stream with the schema of like."""
-    return spark.readStream.schema(like.schema).parquet(f"{folder}/{name}*")
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one only where that is unset and all run on this machine."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = held.get() if not held.isEmpty() else spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = root or tempfile.mkdtemp(prefix="stream-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+def files(spark: SparkSession, root: str, name: str, like: DataFrame) -> DataFrame:
+    """The Parquet file or folder `name` below root as a stream with the schema of like."""
+    return spark.readStream.schema(like.schema).parquet(f"{root}/{name}*")
 
 
 def run(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -38,14 +28,14 @@ def run(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], ch
 def latest(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """What a stream holds at its end: the last complete batch, or all batches appended. Batches are written by number, so a repeated one replaces itself."""
     spark = stream.sparkSession
-    out = scratch(spark, name)
+    out = folder(spark, name)
     seen: list[int] = []
 
     def write(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={n}")
         seen.append(n)
 
-    run(stream, mode, write, scratch(spark, f"{name}-checkpoint"))
+    run(stream, mode, write, folder(spark, f"{name}-checkpoint"))
     read = [max(seen)] if mode == "complete" and seen else seen
     if not read:
         return spark.createDataFrame([], stream.schema)

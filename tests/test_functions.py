@@ -137,3 +137,18 @@ def test_image_addresses(spark):
 @pytest.mark.parametrize(("hyp", "ref", "want"), [("a b\nc d", "c d\na b", 1.0), ("a b c", "a x c", 2 / 3), ("", "a", 0.0), ("a a", "a", 2 / 3), ("the cat\nsat", "the cat sat", 1.0)])
 def test_rouge_lsum(hyp, ref, want):
     assert abs(textmetrics._lsum(hyp, ref) - want) < 1e-9
+
+
+@pytest.mark.parametrize(("raw", "want"), [
+    ("They'll save and invest more.", ["They", "'ll", "save", "and", "invest", "more", "."]), ('He said, "I cannot (really) go."', ["He", "said", ",", "``", "I", "can", "not", "(", "really", ")", "go", ".", "''"]),
+    ("Good muffins cost $3.88 in New York.", ["Good", "muffins", "cost", "$", "3.88", "in", "New", "York", "."]), ("It's 1,000: don't!", ["It", "'s", "1,000", ":", "do", "n't", "!"]), ("", []),
+])
+def test_treebank(spark, raw, want):
+    assert apply(spark, X.treebank, raw) == [want]
+
+
+def test_entities(spark):
+    import html as library
+
+    raw = "&eacute;&amp;lt; &#233;&#x20AC;&#8364; &Omega; &nosuch; a & b &#0; R&D; &lt;p&gt;"
+    assert apply(spark, X.html_unescape, raw, None, "plain") == [library.unescape(raw.replace("&#0;", "@")).replace("@", "&#0;"), None, "plain"]

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gallerylens import models
-from gallerylens.operators import align, classify, fragments, graph, merge, retrieval, sampling, textmetrics
+from gallerylens.operators import align, classify, fragments, graph, index, merge, retrieval, sampling, textmetrics
 
 
 @pytest.fixture(scope="module")
@@ -82,7 +82,22 @@ def test_recall_of_two_stages(spark):
     for sf in ("sf0.01", "sf0.1"):
         t = Tables(spark, f"/root/testdata/{sf}")
         assert retrieval.recall(plans.two_stage_retrieval(t), plans.maxsim_full(t)) >= 0.9
-        assert retrieval.recall(plans.binary_quant_topk(t), plans.knn_cosine_topk(t)) >= 0.7
+        exact = plans.knn_cosine_topk(t)
+        assert retrieval.recall(plans.binary_quant_topk(t), exact) >= 0.7
+        assert retrieval.recall(plans.knn_index(t), exact) >= 0.9
+
+
+def test_index_holds_every_row(vectors, tmp_path):
+    made = index.build(vectors, f"{tmp_path}/index", lists=7)
+    rows = made.rows(vectors.sparkSession)
+    assert sorted(r.id for r in rows.collect()) == sorted(r.id for r in vectors.collect()) and 1 <= made.probes <= 7
+    queries = vectors.where("id < 9").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    made.probes = 7  # all lists: the exact search
+    assert hits(index.search(made, queries, 5)) == hits(retrieval.knn(queries, vectors, 5))
+    made.probes = 1
+    plan = index.search(made, queries.limit(1), 5)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [list" in plan or "PartitionFilters: [isnotnull(list" in plan
+    assert index.search(index.build(vectors.limit(0), f"{tmp_path}/none"), queries.limit(0), 5).count() == 0
 
 
 def test_retrieve_context(spark):
