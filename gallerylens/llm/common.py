@@ -32,9 +32,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What `stored` has written and nothing has deleted, in order.
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """A mark for `discard`."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Deletes what was stored since the mark but for the last: what a result that is stored itself was made from."""
+    for path in _WRITTEN[since:-1]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    del _WRITTEN[since:-1]
+
+
 _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 #: Columns that name a row of a file.
 ROW = ["__file", "__row"]
