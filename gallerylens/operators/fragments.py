@@ -5,11 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import html as H, text as X
 from .ranks import ranked
 
+#: Needles that are shipped at once.
+NEEDLES = 200_000
 BLOCKED = ("BULLET::::", "Section::::", "<templatestyles")
 
 
@@ -79,6 +82,51 @@ def containing(rows: DataFrame, text: str, needle: str) -> DataFrame:
     return marked.crossJoin(F.broadcast(some)).where("_found or not _any").drop("_found", "_any")
 
 
+def first_containing(documents: DataFrame, needles: DataFrame, most: int = NEEDLES) -> DataFrame:
+    """(item_id, doc_id): for each needle (item_id, q) the smallest doc_id of documents (doc_id, text) that contain it, null if none does.
+
+    Needles, a bounded set, are shipped `most` at a time as one automaton, by which a task reads each text once
+    for all of them; it passes on one document a needle.  An empty needle is in every text, a null one in none.
+    """
+    spark, out, block = documents.sparkSession, None, []
+
+    def scan(block: list[tuple[int, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            import ahocorasick
+
+            by_needle: dict[str, list[int]] = {}
+            for item, q in shared.value:
+                by_needle.setdefault(q, []).append(item)
+            machine = ahocorasick.Automaton()
+            for q in by_needle:
+                if q:
+                    machine.add_word(q, q)
+            if len(machine):
+                machine.make_automaton()
+            first: dict[str, int] = {}
+            for batch in batches:
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    if doc is None or text is None:
+                        continue
+                    for q in {q for _, q in machine.iter(text)} | ({""} & by_needle.keys()) if len(machine) else {""} & by_needle.keys():
+                        first[q] = min(first.get(q, doc), doc)
+            rows = [(item, doc) for q, doc in first.items() for item in by_needle[q]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["item_id", "doc_id"])
+
+        return documents.select("doc_id", "text").mapInArrow(run, "item_id long, doc_id long")
+
+    for row in needles.select(F.col("item_id").cast("long"), "q").where("q is not null").toLocalIterator():
+        block.append(tuple(row))
+        if len(block) >= most:
+            out, block = scan(block) if out is None else out.unionAll(scan(block)), []
+    if block or out is None:
+        out = scan(block) if out is None else out.unionAll(scan(block))
+    return needles.select("item_id").join(out.groupBy("item_id").agg(F.min("doc_id").alias("doc_id")), "item_id", "left")
+
+
 def title(text: Column) -> Column:
     """The first line that is not blank."""
     return F.get(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H, text as X
 from ..operators import fragments, merge
-from ..operators.ranks import ranked, small
+from ..operators.ranks import ranked
 from .registry import Registry
 from .views import Tables
 
@@ -260,8 +260,7 @@ def first_match(t: Tables) -> DataFrame:
 @query("WITH b AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS q FROM benchmark) SELECT item_id, min(doc_id) AS doc_id FROM b LEFT JOIN documents d ON contains(d.text, q) GROUP BY item_id")
 def doc_lookup_top1(t: Tables) -> DataFrame:
     asked = t.benchmark.select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("q"))
-    found = t.documents.select("doc_id", "text").join(small(asked), F.col("text").contains(F.col("q"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    return asked.select("item_id").join(found, "item_id", "left")
+    return fragments.first_containing(t.documents, asked)
 
 
 @query("SELECT event_id, user_id, attached FROM (SELECT event_id, user_id, event_type, first_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS attached FROM events) WHERE event_type = 'signup' AND attached IS NOT NULL")

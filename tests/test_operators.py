@@ -237,3 +237,13 @@ def test_models(spark):
             return ["call"] if "seen" not in prompts[0] else ["done"]
 
     assert models.answer(Echo(), "q", {"f": lambda x: f"seen {x}"}, lambda t: [("f", {"x": 1})] if t == "call" else []) == ["q", "call", "seen 1", "done"]
+
+
+def test_first_containing(spark):
+    docs = spark.createDataFrame([(5, "abcab"), (3, "xbcx"), (9, ""), (None, "abc"), (7, None)], "doc_id long, text string").repartition(3)
+    needles = spark.createDataFrame([(1, "bc"), (2, "abc"), (3, "zz"), (4, ""), (5, None), (6, "bc"), (7, "ab")], "item_id long, q string")
+    want = {1: 3, 2: 5, 3: None, 4: 3, 5: None, 6: 3, 7: 5}
+    for most in (2, 1000):
+        assert {r.item_id: r.doc_id for r in fragments.first_containing(docs, needles, most).collect()} == want
+    assert fragments.first_containing(docs, needles.limit(0)).count() == 0
+    assert {r.doc_id for r in fragments.first_containing(docs.limit(0), needles).collect()} == {None}
