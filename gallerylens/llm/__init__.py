@@ -1,5 +1,5 @@
 """Operators for preparing training text: near and exact duplicates, packing, quality, tokens, filters.
 
 Every operator takes DataFrames and returns DataFrames.  Nothing outside this folder imports it.
-Rows whose ``doc_id`` is null have no identity that a result could carry; each operator leaves them out.
+Rows whose ``doc_id`` is null, or repeated, stay: each row is judged for itself.
 """
