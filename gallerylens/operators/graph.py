@@ -128,3 +128,41 @@ def predict_link(heads: DataFrame, candidates: DataFrame, relation: Column | Non
 def constrain(vectors: DataFrame, pinned: DataFrame) -> DataFrame:
     """vectors (id, v) brought to unit length, but for those of pinned (id, p), which keep their fixed vector."""
     return vectors.join(pinned, "id", "left").select("id", F.coalesce("p", V.l2_normalize(F.col("v"))).alias("v"), F.col("p").isNotNull().alias("pinned"))
+
+
+def train_links(triples: DataFrame, dim: int = 32, rounds: int = 10, rate: float = 0.3, margin: float = 1.0, pinned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entity vectors (id, v) and relation vectors (rel, v) by which h + r lies nearer to t than to another entity, of triples (head, rel, tail).
+
+    Each round compares every triple with one whose tail is drawn anew among all tails, by a hash of the triple and the round; where
+    the margin is not kept, head, relation and both tails move along the mean of their gradients.  Entities have unit
+    length, but for those of pinned (id, p), which keep their vectors.  Gradients are summed an element at a time by
+    the aggregation, before the shuffle too; a round's vectors are written to the shared folder.
+    """
+    hashed = lambda *c: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.pmod(F.xxhash64(*c, i), F.lit(2_000_003)) / 1_000_001.5 - 1)
+    unit = lambda df: constrain(df, pinned).select("id", "v") if pinned is not None else df.select("id", V.l2_normalize(F.col("v")).alias("v"))
+    triples = stored(triples.select("head", "rel", "tail").distinct(), "triples")
+    names = triples.select(F.col("head").alias("id")).unionAll(triples.select("tail")).distinct()
+    order = stored(ranked(triples.select(F.col("tail").alias("id")).distinct(), ["id"], name="place"), "places")
+    n = order.count()
+    entities = stored(unit(names.select("id", hashed("id").alias("v"))), "entities")
+    relations = stored(triples.select("rel").distinct().select("rel", V.l2_normalize(hashed("rel")).alias("v")), "relations")
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
+    mean = F.array(*(F.avg(F.get("g", F.lit(i))) for i in range(dim)))
+    step = lambda v, g: F.when(F.col(g).isNull(), F.col(v)).otherwise(F.zip_with(v, g, lambda x, y: x - rate * y))
+    for k in range(rounds if n else 0):
+        drawn = triples.withColumn("place", F.pmod(F.xxhash64("head", "rel", "tail", F.lit(k)), F.lit(n))).join(order.withColumnRenamed("id", "other"), "place").drop("place")
+        for end in ("head", "tail", "other"):
+            drawn = drawn.join(entities.select(F.col("id").alias(end), F.col("v").alias(f"v_{end}")), end)
+        drawn = drawn.join(relations.select("rel", F.col("v").alias("v_rel")), "rel")
+        moved = F.zip_with("v_head", "v_rel", lambda x, y: x + y)
+        apart = drawn.withColumn("a", minus(moved, F.col("v_tail"))).withColumn("b", minus(moved, F.col("v_other")))
+        wrong = apart.where((F.col("other") != F.col("tail")) & (square(F.col("a")) + margin > square(F.col("b")))).withColumn("c", minus(F.col("a"), F.col("b")))
+        wrong = stored(wrong.select("head", "rel", "tail", "other", "a", "b", "c"), "gradients")
+        minus_a = F.transform("a", lambda x: -x)
+        ends = wrong.select(F.col("head").alias("id"), F.col("c").alias("g")).unionAll(wrong.select("tail", minus_a)).unionAll(wrong.select("other", "b"))
+        moves = ends.groupBy("id").agg(mean.alias("g"))
+        entities = stored(unit(entities.join(moves, "id", "left").select("id", step("v", "g").alias("v"))), "entities")
+        turns = wrong.select("rel", F.col("c").alias("g")).groupBy("rel").agg(mean.alias("g"))
+        relations = stored(relations.join(turns, "rel", "left").select("rel", step("v", "g").alias("v")), "relations")
+    return entities, relations

@@ -141,6 +141,15 @@ def kge_constrain(t: Tables) -> DataFrame:
     return graph.constrain(v, pinned).select("id", "pinned", F.round(F.col("v")[0], 6).alias("x0"), F.round(F.col("v")[63], 6).alias("x63"))
 
 
+def kge_train(t: Tables) -> DataFrame:
+    """Vectors of works, styles, genres and artists, of eight elements after two rounds."""
+    entities, relations = graph.train_links(t.kg_edges().where(F.col("rel").isin("hasStyle", "hasGenre", "createdBy")), dim=8, rounds=2)
+    return entities.unionAll(relations.select(F.col("rel").alias("id"), "v"))
+
+
+query()(kge_train)
+
+
 _CLOSURE = "WITH RECURSIVE walk(node, depth) AS (SELECT 'r1', 0 UNION ALL SELECT child, depth + 1 FROM walk JOIN tree ON parent = node WHERE depth <= 1), closed AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"
 
 

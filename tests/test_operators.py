@@ -247,3 +247,21 @@ def test_first_containing(spark):
         assert {r.item_id: r.doc_id for r in fragments.first_containing(docs, needles, most).collect()} == want
     assert fragments.first_containing(docs, needles.limit(0)).count() == 0
     assert {r.doc_id for r in fragments.first_containing(docs.limit(0), needles).collect()} == {None}
+
+
+def test_train_links(spark):
+    """After training, a work's style is the nearest of all styles for most works; pinned entities stay."""
+    triples = [(f"w{i}", "style", f"s{i % 3}") for i in range(30)] + [(f"w{i}", "by", f"a{i % 3}") for i in range(30)]
+    df = spark.createDataFrame([*triples, triples[0]], "head string, rel string, tail string")
+    pinned = spark.createDataFrame([("a0", [2.0] * 8)], "id string, p array<double>")
+
+    def right(rounds):
+        entities, relations = graph.train_links(df, dim=8, rounds=rounds, pinned=pinned)
+        v = {r.id: np.array(r.v) for r in entities.collect()}
+        style = {r.rel: np.array(r.v) for r in relations.collect()}["style"]
+        assert len(v) == 36 and v["a0"].tolist() == [2.0] * 8 and all(abs(np.linalg.norm(x) - 1) < 1e-9 for i, x in v.items() if i != "a0")
+        best = [min(range(3), key=lambda s: np.linalg.norm(v[f"w{i}"] + style - v[f"s{s}"])) for i in range(30)]
+        return sum(b == i % 3 for i, b in enumerate(best))
+
+    assert right(12) >= 27 > right(0)
+    assert graph.train_links(df.limit(0))[0].count() == 0
