@@ -32,7 +32,7 @@ def sections(pages: DataFrame) -> DataFrame:
     return cut.select("page_id", "section", F.posexplode(F.split("part", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
-def wiki_fragments(pages: DataFrame, images: DataFrame, key: str = "page_id", least: int = 100) -> DataFrame:
+def page_fragments(pages: DataFrame, images: DataFrame, key: str = "page_id", least: int = 100) -> DataFrame:
     """Pages (key, title, url, text) to fragments (id, key, paragraph_id, title, url, wiki_id, text, images).
 
     A text is cut into sections at anchors of files, and into lines; blank and blocked lines go, the first line

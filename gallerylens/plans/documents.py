@@ -55,7 +55,7 @@ def txt_treebank(t: Tables) -> DataFrame:
 
 #: Pages made of documents: an infobox in some, a file's anchor before every other line in some, and which pictures are at hand.
 _BOX = "'<a href=\"InfoboxHeader%3Abox%20' || doc_id || '.png\">info</a> ' || CASE WHEN doc_id % 8 = 1 THEN repeat('words about this page ', 6) ELSE '' END"
-_WIKI_SQL = (
+_PAGES_SQL = (
     "WITH kept AS (SELECT doc_id, CASE WHEN doc_id % 4 >= 2 THEN pos // 2 + 1 ELSE 0 END AS section, pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM paras UNION ALL SELECT doc_id, 0, -1, trim(repeat('words about this page ', 6)) FROM documents WHERE doc_id % 8 = 1), "
     "frags AS (SELECT doc_id, section, pos, text, row_number() OVER (PARTITION BY doc_id ORDER BY section, pos) - 1 AS paragraph_id, row_number() OVER (ORDER BY doc_id, section, pos) - 1 AS id, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS place FROM kept WHERE length(text) >= 100 AND NOT (starts_with(text, 'BULLET::::') OR starts_with(text, 'Section::::') OR starts_with(text, '<templatestyles'))), "
     "pics AS (SELECT doc_id, -1 AS pos, 'infobox' AS type, 'box_' || doc_id || '.png' AS file FROM documents WHERE doc_id % 2 = 1 AND doc_id % 8 <> 5 UNION ALL SELECT doc_id, pos, 'thumb', 'pic_' || doc_id || '_' || pos || '.jpg' FROM paras WHERE doc_id % 4 >= 2 AND pos % 2 = 0 AND (doc_id + pos) % 3 <> 1), "
@@ -79,9 +79,9 @@ def _wiki(t: Tables) -> tuple[DataFrame, DataFrame]:
     return pages, boxes.unionAll(files)
 
 
-@query(_WIKI_SQL, "paras")
-def wiki_fragments(t: Tables) -> DataFrame:
-    found = fragments.wiki_fragments(*_wiki(t), "doc_id")
+@query(_PAGES_SQL, "paras")
+def page_fragments(t: Tables) -> DataFrame:
+    found = fragments.page_fragments(*_wiki(t), "doc_id")
     named = F.array_join(F.transform("images", lambda x: F.concat(x["type"], F.lit(":"), x["file"])), ",")
     return found.select("id", "doc_id", "paragraph_id", "wiki_id", "text", named.alias("images"))
 

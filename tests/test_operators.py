@@ -118,7 +118,7 @@ def test_query_times():
     assert total > 0 and abs(each - total / 2) < 1e-12
 
 
-def test_wiki_fragments(spark):
+def test_page_fragments(spark):
     long = lambda w: " ".join([w] * 40)
     pages = [
         (1, f'Title\n\n<a href="InfoboxHeader%3Abox%20a.png"> box </a>\n{long("intro")}\nshort\n<a href="File%3Aone.jpg">first</a>{long("after")}\nBULLET:::: {long("x")}\n<a href="File%3Atwo.jpg">second</a>tiny\n<a href="File%3Athree.jpg">third</a>\n{long("last")}  {long("line")}'),
@@ -127,7 +127,7 @@ def test_wiki_fragments(spark):
     ]
     df = spark.createDataFrame([(i, "t", f"u?curid={i}", x) for i, x in pages], "page_id int, title string, url string, text string")
     files = spark.createDataFrame([(f,) for f in ("box_a.png", "one.jpg", "two.jpg", "three.jpg")], "file string")
-    got = fragments.wiki_fragments(df, files).orderBy("id").collect()
+    got = fragments.page_fragments(df, files).orderBy("id").collect()
     assert [r.id for r in got] == list(range(6)) and all(r.wiki_id == r.page_id for r in got)
     assert [(r.page_id, r.paragraph_id, r.text.split()[0], [x.caption for x in r.images]) for r in got] == [
         (1, 0, "intro", ["box"]), (1, 1, "after", ["first"]), (1, 2, "last", ["second", "third"]), (2, 0, "plain", []), (3, 0, "text", ["early"]), (7, 0, "some", []),
