@@ -47,6 +47,20 @@ def probes_for(sample: np.ndarray, found: np.ndarray, recall: float, k: int) ->
     return int(np.quantile(place, recall, method="higher")) + 1 if place.size else 1
 
 
+def sign_share(corpus: DataFrame, recall: float, k: int) -> float:
+    """The share of a corpus (id, v) that has to be taken by agreement of signs to hold so much of the k nearest rows, measured on a bounded sample."""
+    rows = corpus.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS // 4).select("v").toPandas()["v"]  # bounded
+    if len(rows) < 2:
+        return 1.0
+    unit = _unit(np.array(rows.tolist(), np.float64))
+    asked, signs, own = unit[:ASKED], np.where(unit > 0, 1.0, -1.0), np.arange(min(ASKED, len(unit)))
+    scores, agree = asked @ unit.T, signs[:ASKED] @ signs.T
+    scores[own, own] = agree[own, own] = -np.inf
+    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(unit) - 1)]
+    place = np.stack([(agree >= np.take_along_axis(agree, near[:, [i]], axis=1)).sum(axis=1) for i in range(near.shape[1])])  # rows that agree as well or better
+    return float(np.quantile(place, recall, method="higher")) / len(unit)
+
+
 @dataclass
 class Index:
     path: str

@@ -85,6 +85,10 @@ def test_recall_of_two_stages(spark):
         exact = plans.knn_cosine_topk(t)
         assert retrieval.recall(plans.binary_quant_topk(t), exact) >= 0.7
         assert retrieval.recall(plans.knn_index(t), exact) >= 0.9
+        corpus = t.vec().select(F.col("vec_id").alias("id"), "v")
+        oversample = index.sign_share(corpus, 0.95, 5) * corpus.count() / 5
+        asked = corpus.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+        assert retrieval.recall(retrieval.binary_topk(asked, corpus, 5, oversample), exact) >= 0.9
 
 
 def test_index_holds_every_row(vectors, tmp_path):
