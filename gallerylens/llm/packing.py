@@ -159,7 +159,8 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
         starts.append(rest[0])
         rows.append(tuple(rest))
     shared = cut.sparkSession.sparkContext.broadcast(table)  # its size depends on the number of lengths alone
-    ranked = cut.join(first.drop("n"), ["length", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")) - 1).drop("bucket", "before")
+    # a merge join deals both sides out as the window needs them; the counts, 2048 rows a bucket, are not for broadcasting
+    ranked = cut.join(first.drop("n").hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")) - 1).drop("bucket", "before")
 
     def place(batches):
         for batch in batches:
