@@ -68,11 +68,14 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = F.lit(None).cast("array<string>")
     for lang, listed in COMMON_WORDS.items():
         places = F.when(F.col("lang") == lang, F.array(*map(F.lit, listed))).otherwise(places)
+    # each common word between spaces of its own: how much shorter the string is without a word tells how often it occurs
+    spaced = F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))
+    counted_in = lambda c, p: ((F.octet_length(c) - F.octet_length(F.replace(c, F.concat(F.lit(" "), p, F.lit(" ")), F.lit("")))) / (F.octet_length(p) + 2)).cast("double")
     df = df.select(
         "doc_id", "lang", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length("text").cast("long").alias("n_chars"), *(F.regexp_count("text", F.lit(p)).cast("long").alias(f"n_{c}") for c, p in CLASSES.items()),
         _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), repeated_words(F.col("w")).alias("n_repeat_words"),
-        _bound(common, lambda c: F.transform(places, lambda p: F.size(F.filter(c, lambda x: x == p)).cast("double"))).alias("hits"),
+        _bound(spaced, lambda c: F.transform(places, lambda p: counted_in(c, p))).alias("hits"),
     )
     counted = [F.col(f"n_{c}") for c in CLASSES] + [F.col("n_chars") - F.col("word_chars")]
     rest = F.col("n_chars") - reduce(lambda a, b: a + b, counted)
