@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -104,6 +106,9 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     if key not in _KEPT:
         _KEPT.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what is free
+            ctypes.CDLL(None).malloc_trim(0)
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WHITE, batched, raw, rows_of, stored, texts
+from .common import WHITE, batched, kept, raw, rows_of, stored, texts
 
 FANOUT_BITS = 4
 LEVELS = 64 // FANOUT_BITS
@@ -126,6 +126,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 uid += 1
 
     def in_partition(batches):
+        kept(("exact",), lambda: None)  # another operator's tables go
+
         def rows():
             for content, own in grace_classes(normalised(batches, TaskContext.get().partitionId() << 36), budget):
                 chars, _, _, best_uid, best, *_ = min(own)
