@@ -27,7 +27,7 @@ class Remembered:
     old one, and what is met again comes back, so that frequent parts stay while memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000) -> None:
         self.encode, self.limit = encode, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -65,7 +65,7 @@ class Remembered:
         return [b"".join(map(known, own)) for own in cut]
 
 
-def in_groups(texts: list[str], most: int = 4 << 20):
+def in_groups(texts: list[str], most: int = 1 << 20):
     """Runs of texts of at most so many characters, or a single text."""
     held, size = [], 0
     for t in texts:
