@@ -76,3 +76,28 @@ def in_groups(texts: list[str], most: int = 1 << 20):
         size += len(t)
     if held:
         yield held
+
+
+class Memo:
+    """What make(list of new keys) gives for each key, in two generations of at most limit each, as Remembered has them."""
+
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 200_000) -> None:
+        self.make, self.limit = make, limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, keys: set[str]) -> Callable[[str], object]:
+        """A lookup that knows all of these keys, until the next call."""
+        missing = keys.difference(self.young)
+        if missing and len(self.young) + len(missing) > self.limit:
+            self.old, self.young, missing = self.young, {}, keys
+        new = []
+        for k in missing:
+            if k in self.old:
+                self.young[k] = self.old[k]
+            else:
+                new.append(k)
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            self.young.update(zip(some, self.make(some), strict=True))
+        return self.young.__getitem__
