@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, licenses, packing, piece_bpe, quality, secret_scan, simhash, suffix, toxicity, urls
+from . import alignment, bpe, exact, licenses, packing, piece_bpe, quality, secret_scan, simhash, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_exact, op5_bpe, op6_suffix, op7_toxicity, op8_urls, op9_secrets, op10_licenses, op13_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_exact, op5_bpe, op6_suffix, op7_toxicity, op8_urls, op9_secrets, op10_licenses, op11_alignment, op13_sentencepiece)}
 
 
 _OP4 = r"""
