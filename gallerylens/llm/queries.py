@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, exact, licenses, packing, piece_bpe, quality, secret_scan, simhash, suffix, toxicity, urls
+from . import alignment, bpe, exact, lexical, licenses, packing, piece_bpe, quality, secret_scan, simhash, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,12 +61,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_exact, op5_bpe, op6_suffix, op7_toxicity, op8_urls, op9_secrets, op10_licenses, op11_alignment, op13_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_exact, op5_bpe, op6_suffix, op7_toxicity, op8_urls, op9_secrets, op10_licenses, op11_alignment, op12_lexical, op13_sentencepiece)}
 
 
 _OP4 = r"""
@@ -86,6 +90,20 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN EXISTS (SELECT 1 FR
 """
 
 
+_OP12 = r"""
+WITH low AS (SELECT {id} AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM {table})
+SELECT id, term, CAST(count(*) AS BIGINT) AS tf FROM low GROUP BY id, term
+"""
+_OP12 = rf"""
+WITH d AS ({_OP12.format(id="doc_id", table="documents")}), q AS ({_OP12.format(id="item_id", table="benchmark")}),
+l AS (SELECT id, CAST(sum(tf) AS BIGINT) AS n FROM d GROUP BY id), s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM l),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM d, s GROUP BY term, docs),
+m AS (SELECT id, 100 - 75 + ((75 * n * docs) // length) AS m FROM l, s),
+r AS (SELECT q.id AS item_id, d.id AS doc_id, CAST(sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m))) AS BIGINT) AS score FROM q JOIN d USING (term) JOIN w USING (term) JOIN m ON m.id = d.id GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def _quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -149,4 +167,4 @@ SELECT doc_id, {count("assign")}, {count("access")}, {count("hex")}, sha256({spa
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": _op3(), "op4_exact": _OP4, "op8_urls": _OP8, "op9_secrets": _op9()}
+    return {"op3_quality": _op3(), "op4_exact": _OP4, "op8_urls": _OP8, "op9_secrets": _op9(), "op12_lexical": _OP12}

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 @pytest.mark.parametrize("key", sorted(queries.oracle_sql()))
 def test_query(spark, key):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     found = con.sql(queries.oracle_sql()[key])
     df = queries.queries()[key](spark, DATA)
