@@ -87,8 +87,29 @@ def test_documents_without_any_pair(spark):
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("  ▁\naeithrsé日")), max_size=60))
 def test_any_text(libraries, text):
     aligner = alignment.Aligner.of(A, B)
-    (have,) = aligner.aligned([text])
-    assert ";".join(h[4] for h in have) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups_of(text, libraries))
+    made = align(aligner, [text])
+    assert made.texts(alignment.kept_names(aligner))[0] == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups_of(text, libraries))
+
+
+def align(aligner, found):
+    sizes = [np.array([len(x) for x in own]) for own in (aligner.a_bytes, aligner.b_bytes)]
+    return alignment.Alignment(*([np.array(x, np.int64) for x in own] for own in aligner.encode(found)), *sizes)
+
+
+def test_wide_groups_link_all_pairs(monkeypatch):
+    aligner = alignment.Aligner.of(A, B)
+    found = [*ODD, "日本語 " * 50, "abc" * 400, ""]
+    want = align(aligner, found).pairs()
+    monkeypatch.setattr(alignment, "WIDE", 1)
+    assert all(np.array_equal(x, y) for x, y in zip(want, align(aligner, found).pairs(), strict=True))
+
+
+def test_very_long_texts(libraries):
+    aligner = alignment.Aligner.of(A, B)
+    for text in ("a" * 300_000, "x" + " " * 200_000 + "y", "word " * 60_000):
+        made = align(aligner, [text, "b"])
+        left, right = libraries[0].encode(" " + text, add_special_tokens=False).ids, libraries[1].encode(text)
+        assert (made.n_a[0], made.n_b[0]) == (len(left), len(right)) and made.per_document(made.p * made.q)[0] == made.pairs()[2][made.pairs()[0] == 0].sum()
 
 
 def test_summed():
