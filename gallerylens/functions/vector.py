@@ -32,14 +32,14 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def sign_bits(v: Column) -> Column:
-    """Up to 64 dimensions as one long: bit i is set where element i is positive."""
-    bits = F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+    """Signs of any number of dimensions as longs of 64 each: bit i of a long is set where its element i is positive."""
+    word = lambda part: F.aggregate(F.transform(part, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / 64).cast("int") - 1, F.lit(0))), lambda w: word(F.slice(v, w * 64 + 1, F.lit(64))))
 
 
-def bit_score(a: Column, b: Column, dim: int = 64) -> Column:
+def bit_score(a: Column, b: Column, dim: Column | int = 64) -> Column:
     """dim minus twice the differing signs: rises with their agreement."""
-    return F.lit(dim) - 2 * F.bit_count(a.bitwiseXOR(b))
+    return (F.lit(dim) if isinstance(dim, int) else dim) - 2 * F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
 
 def sigmoid(x: Column) -> Column:

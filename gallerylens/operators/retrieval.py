@@ -156,18 +156,6 @@ def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
     return cells.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(vec))
 
 
-def binary_topk(queries: DataFrame, corpus: DataFrame, k: int, oversample: float = 2.0) -> DataFrame:
-    """Candidates by agreement of signs, oversampled, then rescored by cosine: (qid, id, score, rank).
-
-    Only ids and signs, 8 bytes a row, are ranked; the vectors of the candidates are joined to them.
-    """
-    few = small(queries.select("qid", V.sign_bits(F.col("q")).alias("qb")))
-    coarse = corpus.select("id", V.sign_bits(F.col("v")).alias("b")).join(few, F.col("id") != F.col("qid")).select("qid", "id", V.bit_score(F.col("qb"), F.col("b")).alias("bits"))
-    chosen = rank(coarse, "qid", "bits", "id", int(np.ceil(k * oversample))).select("qid", "id")
-    scored = corpus.join(chosen, "id").join(queries, "qid").select("qid", "id", V.cosine(F.col("q"), F.col("v")).alias("score"))
-    return rank(scored, "qid", "score", "id", k)
-
-
 def pooled(documents: DataFrame, first: int = 4, last: int = 7, k: int = 8) -> DataFrame:
     """(id, vs): documents (id, vs) as the mean of their first and last vectors, which hold no content, and the means of k clusters of the others.
 

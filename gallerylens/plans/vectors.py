@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vector as V
-from ..operators import classify, graph, index, retrieval, sampling
+from ..operators import classify, graph, index, quantised, retrieval, sampling
 from ..operators.ranks import ranked
 from ..operators.scratch import folder
 from .registry import Registry
@@ -33,7 +33,7 @@ def knn_cosine_topk(t: Tables) -> DataFrame:
 
 _PAIRS = "SELECT q.doc_id AS qid, q.tok AS qtok, d.doc_id AS id, max(list_inner_product(q.v, d.v)) AS s FROM mv q CROSS JOIN mv d WHERE q.doc_id % 20 = 0 GROUP BY ALL"
 #: Documents of five vectors: the first and last are special, the three between are pooled to three.
-SPECIAL, CLUSTERS, PREFETCH, OVERSAMPLE = 1, 3, 100, 40.0
+SPECIAL, CLUSTERS, PREFETCH = 1, 3, 100
 
 
 def _mv(t: Tables, least_tok: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -47,14 +47,50 @@ def maxsim_full(t: Tables) -> DataFrame:
     return retrieval.maxsim_topk(*_mv(t), 5).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _hamming(a: str, b: str) -> str:
-    return f"len(list_filter(list_zip({a}, {b}), lambda z: (z[1] > 0) <> (z[2] > 0)))"
+def _planes(rows: str, planes: int) -> str:
+    """rows (vec_id, v) with d, the vector that its codes of so many planes stand for."""
+    out = f"SELECT *, v AS r, list_transform(v, lambda x: 0.0::DOUBLE) AS d FROM ({rows})"
+    for _ in range(planes):
+        out = f"SELECT * REPLACE (list_transform(r, lambda x: x - CASE WHEN x > 0 THEN a ELSE -a END) AS r, list_transform(list_zip(d, r), lambda z: z[1] + CASE WHEN z[2] > 0 THEN a ELSE -a END) AS d) FROM (SELECT * EXCLUDE (a), list_avg(list_transform(r, lambda x: abs(x)))::FLOAT::DOUBLE AS a FROM (SELECT *, 0 AS a FROM ({out})))"
+        out = f"SELECT * EXCLUDE (a) FROM ({out})"
+    return out
 
 
-@query(f"WITH c AS (SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM vec q JOIN vec d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_hamming('q.v', 'd.v')}, id) <= 200) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 5", "vec")
+#: Planes of sign bits, and the share of the corpus that is taken by them: no less than so many times k.
+PLANES, SHARE, LEAST = {"single": 3, "multi": 4}, 0.04, {"single": 4, "multi": 2}
+
+
+def _taken(documents: DataFrame, k: int, kind: str) -> int:
+    return max(LEAST[kind] * k, int(SHARE * documents.count()))
+
+
+_UNIT = "SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v, v AS o FROM vec"
+
+
+@query(
+    f"WITH b AS ({_planes(_UNIT, PLANES['single'])}), c AS (SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.o, d.o) AS score FROM b q JOIN b d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(q.d, d.d) DESC, id) <= greatest(20, floor({SHARE} * (SELECT count(*) FROM vec)))) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 5",
+    "vec",
+)
 def binary_quant_topk(t: Tables) -> DataFrame:
-    queries = _ids(t).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return retrieval.binary_topk(queries, _ids(t).select("id", "v"), 5, OVERSAMPLE).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+    """The five nearest vectors among a twenty-fifth that sign bits choose."""
+    corpus = _ids(t).select("id", "v")
+    queries = corpus.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    found = quantised.binary_topk(queries, corpus, 5, _taken(corpus, 5, "single") / 5, PLANES["single"])
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    f"WITH b AS (SELECT doc_id, tok, v, d FROM ({_planes('SELECT doc_id, tok, v FROM mv', PLANES['multi'])})), asked AS (SELECT * FROM b WHERE doc_id % 20 = 0), "
+    f"coarse AS (SELECT qid, id FROM (SELECT q.doc_id AS qid, q.tok, d.doc_id AS id, max(list_inner_product(q.d, d.d)) AS s FROM asked q CROSS JOIN b d GROUP BY ALL) GROUP BY qid, id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sum(s) DESC, id) <= greatest(10, floor({SHARE} * (SELECT count(DISTINCT doc_id) FROM mv)))), "
+    "s AS (SELECT qid, q.tok, id, max(list_inner_product(q.v, d.v)) AS s FROM coarse JOIN asked q ON q.doc_id = qid JOIN b d ON d.doc_id = id GROUP BY ALL) "
+    "SELECT qid, id, round(sum(s), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY sum(s) DESC, id) AS rank FROM s GROUP BY qid, id QUALIFY rank <= 5",
+    "mv",
+)
+def two_stage_quantised(t: Tables) -> DataFrame:
+    """The five best documents by exact MaxSim among a twenty-fifth that the MaxSim of sign bits chooses."""
+    queries, documents = _mv(t)
+    found = quantised.two_stage(queries, documents, quantised.codes(documents, PLANES["multi"]), _taken(documents, 5, "multi"), 5, PLANES["multi"])
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def knn_index(t: Tables) -> DataFrame:

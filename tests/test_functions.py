@@ -116,7 +116,7 @@ def test_paragraphs_ignore_scripts(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, b array<double>")
     r = df.select(V.norm(F.col("a")).alias("n"), V.l2_normalize(F.col("a")).alias("u"), V.cosine(F.col("a"), F.col("b")).alias("z"), V.sign_bits(F.col("a")).alias("s"), V.l2_normalize(F.col("b")).alias("zero")).first()
-    assert (r.n, r.u, r.z, r.s, r.zero) == (5.0, [0.6, 0.8], 0.0, 3, [0.0, 0.0])
+    assert (r.n, r.u, r.z, r.s, r.zero) == (5.0, [0.6, 0.8], 0.0, [3], [0.0, 0.0])
 
 
 @settings(max_examples=60, deadline=None)
@@ -152,3 +152,13 @@ def test_entities(spark):
 
     raw = "&eacute;&amp;lt; &#233;&#x20AC;&#8364; &Omega; &nosuch; a & b &#0; R&D; &lt;p&gt;"
     assert apply(spark, X.html_unescape, raw, None, "plain") == [library.unescape(raw.replace("&#0;", "@")).replace("@", "&#0;"), None, "plain"]
+
+
+@pytest.mark.parametrize("dim", [0, 1, 63, 64, 65, 130])
+def test_sign_bits_of_any_dimension(spark, dim):
+    rng = np.random.default_rng(dim)
+    a, b = rng.normal(size=dim).tolist(), rng.normal(size=dim).tolist()
+    df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
+    r = df.select(V.sign_bits(F.col("a")).alias("s"), V.bit_score(V.sign_bits(F.col("a")), V.sign_bits(F.col("b")), dim).alias("n")).first()
+    assert len(r.s) == max(1, -(-dim // 64)) and r.n == sum(1 if (x > 0) == (y > 0) else -1 for x, y in zip(a, b))
+    assert [w >> i & 1 for w in r.s for i in range(64)][:dim] == [x > 0 for x in a]

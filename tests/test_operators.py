@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gallerylens import models
-from gallerylens.operators import align, classify, fragments, graph, index, merge, retrieval, sampling, textmetrics
+from gallerylens.operators import align, classify, fragments, graph, index, merge, quantised, retrieval, sampling, textmetrics
 
 
 @pytest.fixture(scope="module")
@@ -83,12 +83,12 @@ def test_recall_of_two_stages(spark):
         t = Tables(spark, f"/root/testdata/{sf}")
         assert retrieval.recall(plans.two_stage_retrieval(t), plans.maxsim_full(t)) >= 0.9
         exact = plans.knn_cosine_topk(t)
-        assert retrieval.recall(plans.binary_quant_topk(t), exact) >= 0.7
+        assert retrieval.recall(plans.binary_quant_topk(t), exact) >= 0.9
         assert retrieval.recall(plans.knn_index(t), exact) >= 0.9
         corpus = t.vec().select(F.col("vec_id").alias("id"), "v")
         oversample = index.sign_share(corpus, 0.95, 5) * corpus.count() / 5
         asked = corpus.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-        assert retrieval.recall(retrieval.binary_topk(asked, corpus, 5, oversample), exact) >= 0.9
+        assert retrieval.recall(quantised.binary_topk(asked, corpus, 5, oversample), exact) >= 0.9
 
 
 def test_index_holds_every_row(vectors, tmp_path):
