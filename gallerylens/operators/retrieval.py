@@ -245,23 +245,49 @@ def pad(tokens: Column, length: Column, empty: Column) -> tuple[Column, Column]:
 
 
 def ward(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Cluster of each vector after merging, again and again, the two clusters whose union adds least variance; ties to the first."""
-    means, sizes = [v.astype(np.float64) for v in vectors], [1] * len(vectors)
-    members = [[i] for i in range(len(vectors))]
-    while len(means) > k:
-        m, s = np.array(means), np.array(sizes, np.float64)
-        square = np.maximum((m * m).sum(1)[:, None] + (m * m).sum(1)[None] - 2 * m @ m.T, 0)
-        cost = square * (s[:, None] * s[None]) / (s[:, None] + s[None])
-        cost[np.tril_indices(len(means))] = np.inf
-        i, j = np.unravel_index(np.argmin(np.round(cost, 12)), cost.shape)
-        means[i] = (means[i] * sizes[i] + means[j] * sizes[j]) / (sizes[i] + sizes[j])
+    """Cluster of each vector after merging, again and again, the two clusters whose union adds least variance; clusters are in order of their first vector.
+
+    A chain goes from a cluster to its nearest, from that to its nearest, until two are each other's nearest: these
+    are merged, as no other merge can come between them, and the distances of the union follow from its parts'.  That
+    takes time and memory of the square of the vectors; the merges in order of their costs are the clustering.
+    """
+    n = len(vectors)
+    v = np.asarray(vectors, np.float64)
+    square = (v * v).sum(axis=1)
+    cost = np.maximum(square[:, None] + square[None] - 2 * v @ v.T, 0) / 2
+    np.fill_diagonal(cost, np.inf)
+    sizes, merges, chain = np.ones(n), [], []
+    left = np.ones(n, bool)
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(left.argmax()))
+        while True:
+            at = chain[-1]
+            near = int(cost[at].argmin())
+            if len(chain) > 1 and cost[at, chain[-2]] <= cost[at, near]:
+                near = chain[-2]
+                break
+            chain.append(near)
+        i, j = sorted((chain.pop(), chain.pop()))
+        merges.append((cost[i, j], i, j))
+        total = sizes[i] + sizes[j] + sizes
+        union = ((sizes[i] + sizes) * cost[i] + (sizes[j] + sizes) * cost[j] - sizes * cost[i, j]) / total
+        union[~left] = union[i] = union[j] = np.inf
+        cost[i], cost[:, i] = union, union
+        cost[j], cost[:, j] = np.inf, np.inf
         sizes[i] += sizes[j]
-        members[i] += members[j]
-        del means[j], sizes[j], members[j]
-    out = np.zeros(len(vectors), np.int64)
-    for c, own in enumerate(sorted(members, key=min)):
-        out[own] = c
-    return out
+        left[j] = False
+    first = list(range(n))
+
+    def top(x: int) -> int:
+        while first[x] != x:
+            first[x] = x = first[first[x]]
+        return x
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(n - k, 0)]:
+        a, b = sorted((top(i), top(j)))
+        first[b] = a
+    return np.unique([top(x) for x in range(n)], return_inverse=True)[1] if n else np.zeros(0, np.int64)
 
 
 def context(hits: DataFrame, documents: DataFrame) -> DataFrame:

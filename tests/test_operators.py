@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pytest
@@ -73,6 +74,20 @@ def brute_ward(v, k):
     return sorted(own, key=min)
 
 
+def test_ward_by_chain():
+    """The same clusters as merging over all pairs, also with copies, and a page's thousand vectors at once."""
+    rng = np.random.default_rng(8)
+    for n, k in ((1, 1), (2, 1), (5, 9), (40, 8), (60, 3), (90, 20)):
+        v = rng.normal(size=(n, 6)) + 4 * rng.integers(0, 3, (n, 1))
+        v[n // 2] = v[0]
+        own = retrieval.ward(v, k)
+        assert [np.flatnonzero(own == c).tolist() for c in range(own.max() + 1)] == [sorted(c) for c in brute_ward(v, k)]
+    assert retrieval.ward(np.zeros((50, 4)), 3).max() == 2
+    began = time.perf_counter()
+    assert retrieval.ward(rng.normal(size=(1000, 128)), 8).max() == 7
+    assert time.perf_counter() - began < 5  # well under a second on a quiet machine
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
 def test_recall_of_two_stages(spark):
     """Against the exact search over the same table, with the settings of the registered queries."""
