@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vector as V
-from ..operators import classify, graph, index, quantised, retrieval, sampling
+from ..operators import classify, graph, index, multiindex, quantised, retrieval, sampling
 from ..operators.ranks import ranked
 from ..operators.scratch import folder
 from .registry import Registry
@@ -103,6 +103,17 @@ def knn_index(t: Tables) -> DataFrame:
 query()(knn_index)
 
 
+def maxsim_index(t: Tables) -> DataFrame:
+    """The five best documents by an index of token vectors, built over the whole table."""
+    queries, documents = _mv(t)
+    made = multiindex.build(documents, folder(t.spark, "multi-index"), k=5, prefetch=_taken(documents, 5, "multi"))
+    found = multiindex.search(made, queries, documents, 5, _taken(documents, 5, "multi"))
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
+query()(maxsim_index)
+
+
 def _two_stage_sql(least_tok: int) -> str:
     return (
         f"WITH asked AS (SELECT * FROM mv WHERE doc_id % 20 = 0 AND tok >= {least_tok}), pools AS (SELECT doc_id, v FROM mv WHERE tok BETWEEN 1 AND 3 UNION ALL SELECT doc_id, list(m ORDER BY i) FROM (SELECT doc_id, i, avg(x) AS m FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM mv WHERE tok IN (0, 4)) GROUP BY ALL) GROUP BY doc_id), "
