@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import ROW, checkpoint_root, keyed, raw, stored, texts
+from .common import ROW, checkpoint_root, keyed, raw, release, stored, texts
 
 SAMPLE, SAMPLE_TERMS, LEVELS = 1_024, 1_000, 5
-BLOCK_POSTINGS, BLOCK_DOCS, CLUSTER, ROUNDS = 1_000_000, 16_384, 64, 4
+BLOCK_POSTINGS, BLOCK_DOCS, CLUSTER, ROUNDS = 400_000, 16_384, 64, 4
 #: Items that are sought at once, and blocks that are visited for each before there is a threshold.
 ITEMS, FIRST = 256, 2
 _TERM = bytes(c if chr(c).isalnum() and not 65 <= c <= 90 else c + 32 if 65 <= c <= 90 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -232,6 +232,7 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                     out.append((router.shard(own, salt), salt, doc, sum(own.values()), b" ".join(own), np.fromiter(own.values(), np.uint32, len(own)).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()] * 2, strict=True)], ["shard", "salt", "doc_id", "n", "terms", "tfs"])
+        release()
 
     def index(batches):
         task, count = TaskContext.get().partitionId(), 0
@@ -241,10 +242,13 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 if held and (size + len(tfs) // 4 > BLOCK_POSTINGS or len(held) == BLOCK_DOCS):
                     yield from _block(task << 32 | count, held, n_docs, length)
                     held, size, count = [], 0, count + 1
+                    release()
                 held.append((doc, n, own.split(b" "), tfs))
                 size += len(tfs) // 4
         if held:
             yield from _block(task << 32 | count, held, n_docs, length)
+        held.clear()
+        release()
 
     n_docs = n
     dealt = salted.mapInArrow(route, "shard long, salt long, doc_id long, n long, terms binary, tfs binary").repartition(int(router.shards.sum()), "shard")
