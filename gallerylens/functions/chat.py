@@ -40,10 +40,10 @@ def first_object(text: str | None) -> str | None:
 
 
 def repair(text: str | None) -> str:
-    """JSON of what an answer's object says: read strictly, then its first whole value, then pairs found one by one; else an error object."""
+    """JSON of what an answer's object says: read strictly, then its first whole value with control characters allowed in strings, then pairs found one by one; else an error object."""
     own = first_object(text)
     if own is not None:
-        for read in (json.loads, lambda s: json.JSONDecoder().raw_decode(s)[0]):
+        for read in (json.loads, lambda s: json.JSONDecoder(strict=False).raw_decode(s)[0]):
             try:
                 return json.dumps(read(own), sort_keys=True)
             except ValueError:

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "gallerylens", cpus: int | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
-    """A local session; on a cluster the submitted configuration decides and this only sets what the operators rely on."""
+    """A local session; on a cluster the submitted configuration decides and this only sets what the operators rely on.
+
+    The session's Python workers get this package; to a session made otherwise give it by `ship`.
+    """
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     builder = SparkSession.builder.appName(app)
     submitted = "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "") or {"SPARK_REMOTE", "PYSPARK_GATEWAY_PORT"} & os.environ.keys() or SparkContext._active_spark_context
@@ -24,7 +27,9 @@ def session(app: str = "gallerylens", cpus: int | None = None, partitions: int |
         "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(partitions or cpus), "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
     }
-    return builder.config(map=own | conf).getOrCreate()
+    spark = builder.config(map=own | conf).getOrCreate()
+    ship(spark)
+    return spark
 
 
 _SHIPPED: set[str] = set()

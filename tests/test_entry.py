@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -26,6 +27,29 @@ def test_the_rest_needs_neither_subpackage_nor_pipeline(tmp_path):
     assert done.stdout.strip().endswith("fine"), done.stderr
 
 
+def test_a_missing_library_takes_only_its_queries_away(tmp_path):
+    """Without the vocabularies the other queries stand."""
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('hidden')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 120 and 'op1_simhash' not in q and 'pipeline' not in q; print('fine')"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, env={"PATH": "/usr/bin:/bin", "HOME": "/tmp", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.stdout.strip().endswith("fine"), done.stderr
+
+
+def test_operators_run_from_another_folder(tmp_path):
+    """Workers that start elsewhere get the package from the session."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from gallerylens.session import session
+from gallerylens.operators import quantised
+spark = session(cpus=1)
+docs = spark.createDataFrame([(1, [[1.0, 2.0]]), (2, [[-1.0, 0.5]])], "id long, vs array<array<double>>")
+print("found", quantised.codes(docs, 2).count())
+"""
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+    assert "found 2" in done.stdout, done.stderr[-2000:]
+
+
 def test_nothing_else_imports_the_subpackage():
     for p in (ROOT / "gallerylens").rglob("*.py"):
         if "llm" not in p.parts:

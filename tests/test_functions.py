@@ -162,3 +162,9 @@ def test_sign_bits_of_any_dimension(spark, dim):
     r = df.select(V.sign_bits(F.col("a")).alias("s"), V.bit_score(V.sign_bits(F.col("a")), V.sign_bits(F.col("b")), dim).alias("n")).first()
     assert len(r.s) == max(1, -(-dim // 64)) and r.n == sum(1 if (x > 0) == (y > 0) else -1 for x, y in zip(a, b))
     assert [w >> i & 1 for w in r.s for i in range(64)][:dim] == [x > 0 for x in a]
+
+
+def test_json_with_raw_control_characters():
+    """The second attempt takes line feeds inside strings, and what follows the value."""
+    assert json.loads(chat.repair('{"a": "x\ny", "b": [1, 2]} tail')) == {"a": "x\ny", "b": [1, 2]}
+    assert json.loads(chat.repair('so: {"a": "tab\there", "b": {"c": null}}')) == {"a": "tab\there", "b": {"c": None}}
