@@ -139,7 +139,7 @@ _SECRETS = [
     ("hex", r"([0-9a-f]{24,})", 1, 24),
     ("key", r"([A-Za-z0-9/+=]+)", 1, 40),
     ("login", r"""((?i:user_?name|user|login|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)""", 2, 3),
-    ("endpoint", r"""([A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+)""", 1, 8),
+    ("endpoint", r"""([A-Za-z][A-Za-z0-9+.-]{0,31}://[^\x00-\x20"'<>]+)""", 1, 8),
 ]
 
 

@@ -24,8 +24,11 @@ BASE = [
 WEAK = [
     ("key", r"(?<![A-Za-z0-9/+=])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])", 1, 40),
     ("login", r"""([Uu][Ss][Ee][Rr]_?[Nn][Aa][Mm][Ee]|[Uu][Ss][Ee][Rr]|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@\-]+)""", 2, 3),
-    ("endpoint", r"""([A-Za-z][A-Za-z0-9+.\-]*://[^\x00-\x20"'<>]+)""", 1, 8),
+    # a scheme has 32 characters at most: without an end a run of letters would be read again from each of its places
+    ("endpoint", r"""([A-Za-z][A-Za-z0-9+.\-]{0,31}://[^\x00-\x20"'<>]+)""", 1, 8),
 ]
+#: What a text must hold for a match, where that is sooner told.
+NEEDS = {"access": "AKIA", "endpoint": "://"}
 KINDS = [k for k, *_ in BASE + WEAK]
 IDENTIFIERS, SECRETS = ["access", "login"], ["assign", "hex", "key"]
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
@@ -54,17 +57,23 @@ def find_spans(text: Column, kind: str, pattern: str, group: int, least: int) ->
 
     Positions are code points: a match starts after the gaps and matches before it.
     """
-    gaps, found, held = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), lambda s: s["m"].isNotNull())
+    match = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     rank = KINDS.index(kind)
+    # where the group is the whole match it is not sought a second time
+    held = match(group) if group > 1 else None
+    pairs = F.zip_with(F.split(text, pattern, -1), match(0), lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), F.length(m).alias("h")))
+    if held is not None:
+        pairs = F.zip_with(pairs, held, lambda s, h: F.struct(s["g"].alias("g"), s["m"].alias("m"), F.length(h).alias("h")))
+    sizes = F.filter(pairs, lambda s: s["m"].isNotNull())
 
     def placed(s: Column) -> Column:
         before = running(F.transform(s, lambda x: x["g"] + x["m"]), F.lit(0), lambda a, b: a + b)
-        ends = F.zip_with(before, s, lambda at, x: F.struct((at + x["g"]).alias("start"), F.lit(rank).alias("rank"), (at + x["g"] + x["m"]).alias("end"), F.lit(kind).alias("kind")))
-        return F.filter(F.zip_with(ends, held, lambda p, h: F.when(F.length(h) >= least, p)), lambda p: p.isNotNull())
+        spans = F.zip_with(before, s, lambda at, x: F.when(x["h"] >= least, F.struct((at + x["g"]).alias("start"), F.lit(rank).alias("rank"), (at + x["g"] + x["m"]).alias("end"), F.lit(kind).alias("kind"))))
+        return F.filter(spans, lambda p: p.isNotNull())
 
     none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), _bound(sizes, placed)).otherwise(none)
+    likely = F.regexp_like(text, F.lit(pattern))
+    return F.when(F.contains(text, F.lit(NEEDS[kind])) & likely if kind in NEEDS else likely, _bound(sizes, placed)).otherwise(none)
 
 
 def spans_digest(spans: Column) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import kept, stored
 
 #: Fixed rules, (action, host, path prefix); a host without a dot is a top-level domain.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -39,31 +40,34 @@ class Bloom:
 
     def __init__(self, keys: np.ndarray, seed: int, rate: float) -> None:
         self.seed, self.probes = seed, max(1, round(-math.log2(rate)))
-        self.bits = np.zeros(max(64, int(len(keys) * self.probes / math.log(2)) + 1), bool)
+        self.size = max(64, int(len(keys) * self.probes / math.log(2)) + 1)
+        on = np.zeros(self.size, bool)
         for at in self._at(keys):
-            self.bits[at] = True
+            on[at] = True
+        self.bits = np.packbits(on, bitorder="little")
 
     def _at(self, keys: np.ndarray):
         """The places of all keys, a probe at a time; a level's seed makes them others."""
         a = (keys[:, 0] ^ np.uint64((self.seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
         a, b = a ^ (a >> np.uint64(32)), keys[:, 1] | np.uint64(1)
         for i in range(self.probes):
-            yield (a + np.uint64(i) * b) % np.uint64(len(self.bits))
+            yield (a + np.uint64(i) * b) % np.uint64(self.size)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
         for at in self._at(keys):
-            out &= self.bits[at]
+            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
     def packed(self) -> tuple:
-        return self.seed, self.probes, len(self.bits), np.packbits(self.bits).tobytes()
+        return self.seed, self.probes, self.size, self.bits.tobytes()
 
     @classmethod
     def unpacked(cls, state: tuple) -> Bloom:
+        """The bits stay packed."""
         own = cls.__new__(cls)
-        own.seed, own.probes, n, bits = state
-        own.bits = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        own.seed, own.probes, own.size, bits = state
+        own.bits = np.frombuffer(bits, np.uint8)
         return own
 
 
@@ -108,10 +112,12 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _domains(host: Column) -> Column:
-    """The host and its parent domains."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _domains(host: Column, longest: int) -> Column:
+    """Of the host and its parent domains those of at most longest characters; of a longer host only its end is looked at."""
+    labels = F.split(F.right(host, F.lit(longest + 1)), r"\.")
+    first = F.when(F.length(host) > longest, 2).otherwise(1)  # a label that is cut off begins no domain
+    whole = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.slice(whole, first, F.size(labels))
 
 
 def build_cascades(universe: DataFrame, listed: DataFrame) -> tuple[DataFrame, int]:
@@ -132,18 +138,21 @@ def build_cascades(universe: DataFrame, listed: DataFrame) -> tuple[DataFrame, i
 def listed_hosts(hosts: DataFrame, listed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """hosts (column host, any others) with a boolean column listed: the host or a parent domain is a key of listed.
 
-    The universe of the cascades is every host of hosts and every parent domain, each once.  If the cascades are
+    The universe of the cascades is every host of hosts and every parent domain, each once, that is no longer than the
+    longest key of listed: what is longer is never looked up, so that a host of very many labels has few domains.  If the cascades are
     larger than may be broadcast, each key of the universe is looked up once, in its shard, and hosts are joined
     with the keys that are listed.
     """
-    universe = hosts.select("host").distinct().select(F.explode(_domains(F.col("host"))).alias("key")).distinct()
+    longest = listed.agg(F.max(F.length("key"))).first()[0] or 0
+    universe = hosts.select("host").distinct().select(F.explode(_domains(F.col("host"), longest)).alias("key")).distinct()
     cascades, shards = build_cascades(universe, listed)
     shard = lambda k: F.pmod(F.xxhash64(k), F.lit(shards)).cast("int")
     if (cascades.agg(F.sum(F.length("cascade"))).first()[0] or 0) <= broadcast_bytes:
         shared = hosts.sparkSession.sparkContext.broadcast({r.shard: r.cascade for r in cascades.collect()})  # its size was checked
+        name = ("cascades", uuid.uuid4().hex)
 
         def look(batches):
-            made = {k: Cascade.load(v) for k, v in shared.value.items()}
+            made = kept(name, lambda: {k: Cascade.load(v) for k, v in shared.value.items()})
             for batch in batches:
                 column = batch.column("keys")
                 own, at = hashed(column.flatten().to_pylist()), batch.column("shards").flatten().to_numpy(zero_copy_only=False)
@@ -157,7 +166,7 @@ def listed_hosts(hosts: DataFrame, listed: DataFrame, broadcast_bytes: int = BRO
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found)], [*names, "listed"])
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hosts.schema) + ", listed boolean"
-        return hosts.withColumn("keys", _domains(F.col("host"))).withColumn("shards", F.transform("keys", shard)).mapInArrow(look, schema)
+        return hosts.withColumn("keys", _domains(F.col("host"), longest)).withColumn("shards", F.transform("keys", shard)).mapInArrow(look, schema)
 
     def look_up(keys: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(keys) or not len(own):
@@ -165,7 +174,7 @@ def listed_hosts(hosts: DataFrame, listed: DataFrame, broadcast_bytes: int = BRO
         return keys[["key"]][Cascade.load(own["cascade"].iloc[0]).holds(hashed(keys.key.tolist()))]
 
     hits = universe.withColumn("shard", shard("key")).groupBy("shard").cogroup(cascades.groupBy("shard")).applyInPandas(look_up, "key string")
-    each = hosts.select("host").distinct().select("host", F.explode(_domains(F.col("host"))).alias("key"))
+    each = hosts.select("host").distinct().select("host", F.explode(_domains(F.col("host"), longest)).alias("key"))
     found = each.join(hits, "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
     return hosts.join(found, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
@@ -184,6 +193,6 @@ def judge_urls(pages: DataFrame, listed: list[str] | DataFrame = LISTED, rules:
     keys = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(k,) for k in listed], "key string")
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = lambda h, p: ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
-    rule = F.coalesce(*(F.when(fits(h, p), F.lit(h + p)) for _, h, p in ordered))
+    rule = F.coalesce(*(F.when(fits(h, p), F.lit(h + p)) for _, h, p in ordered), F.lit(None).cast("string"))
     action = F.coalesce(*(F.when(fits(h, p), F.lit(a)) for a, h, p in ordered), F.when(F.col("listed"), F.lit("block")).otherwise("allow"))
     return listed_hosts(df, keys).select("page_id", "host", "path", rule.alias("rule"), action.alias("verdict"))

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import re
 import zlib
 
@@ -206,6 +207,21 @@ def test_urls(spark, monkeypatch, shipped):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shipped", [32 << 20, 0])
+def test_hosts_of_very_many_labels(spark, monkeypatch, shipped):
+    """100,000 labels cost their length, not its square; the end of a long host is judged like a short one."""
+    monkeypatch.setattr(urls.listed_hosts, "__defaults__", (shipped,))
+    long = "a." * 100_000
+    pages = [(1, f"http://{long}spam-farm.example.org/x"), (2, f"http://{long}other.example.org/x"), (3, "http://" + "x" * 300_000 + "spam-farm.example.org"), (4, "http://" + "." * 50_000), (5, f"http://{'b' * 400}.free-prizes.example.net")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    began = time.perf_counter()
+    got = {r.page_id: r.verdict for r in urls.judge_urls(df, rules=[]).select("page_id", "verdict").collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block"} and time.perf_counter() - began < 40
+    longer = spark.createDataFrame([("c." * 300 + "d",), ("d",)], "key string")  # longer than any domain, and still exact
+    hosts = spark.createDataFrame([("c." * 300 + "d", True), ("c." * 300 + "e", False), ("x." + "c." * 300 + "d", True), ("c.d", True), ("cd", False)], "host string, want boolean")
+    assert urls.listed_hosts(hosts, longer, shipped).where("listed != want").count() == 0
+
+
 def test_pipeline(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     kept = {}

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -162,6 +163,17 @@ def test_secrets(docs, rows):
         assert [tuple(x) for x in got[i].base] == sorted(s)
 
 
+def test_secrets_in_very_long_runs(spark):
+    """Five million characters without an end are read in time of their length, whatever they consist of."""
+    runs = ["a" * 5_000_000, "A+/9" * 1_250_000, "a" * 1_000_000 + "://host/path " + "b" * 1_000_000, "password" * 300_000, "token=" * 2_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "doc_id long, text string").repartition(5)
+    began = time.perf_counter()
+    got = {r.doc_id: [(x["kind"], x["start"], x["end"]) for x in r.found] for r in secret_scan.scan_secrets(df).collect()}
+    assert time.perf_counter() - began < 60  # 10 on a quiet machine
+    assert got[0] == [("hex", 0, 5_000_000)] and got[1] == [] and got[3] == []
+    assert got[2] == [("hex", 0, 1_000_000), ("hex", 1_000_013, 2_000_013)] and got[4] == [("assign", 0, 12_000)]
+
+
 def test_secret_linking(spark):
     key = "aB3" * 13 + "z"
     rows = [
