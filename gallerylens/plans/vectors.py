@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vector as V
-from ..operators import classify, graph, index, multiindex, quantised, retrieval, sampling
+from ..operators import classify, graph, index, multiindex, quantised, retrieval, sampling, simjoin
 from ..operators.ranks import ranked
 from ..operators.scratch import folder
 from .registry import Registry
@@ -114,6 +114,16 @@ def maxsim_index(t: Tables) -> DataFrame:
 query()(maxsim_index)
 
 
+def sim_join_best(t: Tables) -> DataFrame:
+    """The nearest paragraph (odd ids) of each image (even ids), both sides being half of the table."""
+    own = _ids(t).select("id", "v")
+    found = simjoin.nearest_partners(own.where("id % 2 = 0"), own.where("id % 2 = 1"))
+    return found.select(F.col("id").alias("image"), F.col("partner").alias("paragraph"), F.round("score", 6).alias("score"))
+
+
+query()(sim_join_best)
+
+
 def _two_stage_sql(least_tok: int) -> str:
     return (
         f"WITH asked AS (SELECT * FROM mv WHERE doc_id % 20 = 0 AND tok >= {least_tok}), pools AS (SELECT doc_id, v FROM mv WHERE tok BETWEEN 1 AND 3 UNION ALL SELECT doc_id, list(m ORDER BY i) FROM (SELECT doc_id, i, avg(x) AS m FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM mv WHERE tok IN (0, 4)) GROUP BY ALL) GROUP BY doc_id), "
