@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vector as V
-from ..operators import classify, graph, index, multiindex, quantised, retrieval, sampling, simjoin
+from ..operators import classify, encoder, graph, index, multiindex, quantised, retrieval, sampling, simjoin
 from ..operators.ranks import ranked
 from ..operators.scratch import folder
 from .registry import Registry
@@ -114,6 +114,18 @@ def maxsim_index(t: Tables) -> DataFrame:
 query()(maxsim_index)
 
 
+def cls_forward(t: Tables) -> DataFrame:
+    """The three best labels of each document for each of three tasks, by an untrained network; a label's text is its centroid."""
+    net = encoder.random_network(64, 3)
+    mean = retrieval.centroids(t.vec(), "label", "v").select(F.col("label").cast("string").alias("label"), F.array("v").alias("vs"))
+    labels = mean.withColumn("task", F.explode(F.array(*map(F.lit, range(3)))))
+    found = encoder.label_scores(encoder.embed_images(_mv(t)[1], net), encoder.embed_labels(labels, net), k=3)
+    return found.withColumn("score", F.round("score", 6))
+
+
+query()(cls_forward)
+
+
 def sim_join_best(t: Tables) -> DataFrame:
     """The nearest paragraph (odd ids) of each image (even ids), both sides being half of the table."""
     own = _ids(t).select("id", "v")
