@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vector as V
 from .ranks import ranked
+from .retrieval import _blocks, _matrix
 from .scratch import stored
 
 
@@ -114,15 +117,44 @@ def closure(children: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     return visited
 
 
-def predict_link(heads: DataFrame, candidates: DataFrame, relation: Column | None = None) -> DataFrame:
-    """(id, best, score): for each head (id, v) the candidate (cid, c) with the largest -|v + relation - c|; ties to the smallest cid.
+def predict_link(heads: DataFrame, candidates: DataFrame, relation: np.ndarray | None = None, projection: np.ndarray | None = None) -> DataFrame:
+    """(id, best, score): for each head (id, v) the candidate (cid, c) with the largest -|Pv + relation - Pc|; ties to the smallest cid.
 
-    Candidates are one node type's, a set that does not grow with the heads; the planner decides how to ship it.
+    Candidates are shipped in blocks, whatever their number, and a batch of heads is scored by one product a block: a
+    row for each head and block, not for each pair, leaves a task.  Without a projection P both are taken as they are.
     """
-    moved = F.col("v") if relation is None else F.zip_with("v", relation, lambda x, r: x + r)
-    scored = heads.crossJoin(candidates).select("id", "cid", (-V.l2_distance(moved, F.col("c"))).alias("score"))
-    best = F.max_by(F.struct("cid", "score"), F.struct("score", (-F.col("cid")).alias("t")))
-    return scored.groupBy("id").agg(best.alias("b")).select("id", F.col("b.cid").alias("best"), F.col("b.score").alias("score"))
+    spark, out = heads.sparkSession, None
+    kind = candidates.schema["cid"].dataType.simpleString()
+    seen = (lambda m: m) if projection is None else (lambda m: m @ projection.T)
+    for ids, matrix in _blocks(candidates, "cid", "c"):
+        order = np.array(sorted(range(len(ids)), key=lambda i: ids[i]))
+        shared = spark.sparkContext.broadcast(([ids[i] for i in order], seen(matrix[order])))
+
+        def score(batches, shared=shared):
+            names, c = shared.value
+            square = (c * c).sum(axis=1)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                moved = seen(_matrix(batch.column("v"))) + (0 if relation is None else relation)
+                best, far = np.zeros(len(moved), np.int64), np.zeros(len(moved))
+                for at in range(0, len(moved), 512):
+                    x = moved[at : at + 512]
+                    near = (x * x).sum(axis=1)[:, None] + square - 2 * x @ c.T
+                    least = near.min(axis=1, keepdims=True)
+                    # products lose the last digits: what is as near is measured by itself, and the first of equal ones taken
+                    for i, j in enumerate(near <= least + 1e-9 * (1 + np.abs(least))):
+                        some = np.flatnonzero(j)
+                        own = np.sqrt(((x[i] - c[some]) ** 2).sum(axis=1))
+                        best[at + i], far[at + i] = some[own.argmin()], own.min()
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([names[i] for i in best.tolist()]), pa.array(-far)], ["id", "cid", "score"])
+
+        found = heads.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(score, f"id {heads.schema['id'].dataType.simpleString()}, cid {kind}, score double")
+        out = found if out is None else out.unionAll(found)
+    if out is None:
+        return heads.limit(0).select("id", F.lit(None).cast(kind).alias("best"), F.lit(None).cast("double").alias("score"))
+    best = out.groupBy("id").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cid")))[0].alias("b"))  # a row a block
+    return best.select("id", F.col("b.cid").alias("best"), "score")
 
 
 def constrain(vectors: DataFrame, pinned: DataFrame) -> DataFrame:
