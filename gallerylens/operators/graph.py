@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vector as V
 from .ranks import ranked
@@ -124,7 +125,7 @@ def predict_link(heads: DataFrame, candidates: DataFrame, relation: np.ndarray |
     row for each head and block, not for each pair, leaves a task.  Without a projection P both are taken as they are.
     """
     spark, out = heads.sparkSession, None
-    kind = candidates.schema["cid"].dataType.simpleString()
+    kind, arrow = candidates.schema["cid"].dataType.simpleString(), to_arrow_type(candidates.schema["cid"].dataType)
     seen = (lambda m: m) if projection is None else (lambda m: m @ projection.T)
     for ids, matrix in _blocks(candidates, "cid", "c"):
         order = np.array(sorted(range(len(ids)), key=lambda i: ids[i]))
@@ -147,7 +148,7 @@ def predict_link(heads: DataFrame, candidates: DataFrame, relation: np.ndarray |
                         some = np.flatnonzero(j)
                         own = np.sqrt(((x[i] - c[some]) ** 2).sum(axis=1))
                         best[at + i], far[at + i] = some[own.argmin()], own.min()
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([names[i] for i in best.tolist()]), pa.array(-far)], ["id", "cid", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([names[i] for i in best.tolist()], arrow), pa.array(-far)], ["id", "cid", "score"])
 
         found = heads.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(score, f"id {heads.schema['id'].dataType.simpleString()}, cid {kind}, score double")
         out = found if out is None else out.unionAll(found)

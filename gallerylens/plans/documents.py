@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H, text as X
-from ..operators import fragments, merge
+from ..operators import fragments, merge, sentences
 from ..operators.ranks import ranked
 from .registry import Registry
 from .views import Tables
@@ -219,6 +219,29 @@ def txt_sentences(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", X.sentences(F.col("text")).alias("s")).select("item_id", F.size("s").cast("long").alias("n"), F.col("s")[0].alias("first"))
 
 
+_ABBREVIATIONS = r"""
+WITH w AS (SELECT regexp_replace(unnest(regexp_split_to_array(lower(coalesce(text, '')), '\s+')), '^["''(\[{«“‘„]+|["'')\]}»”’,;:!?]+$', '', 'g') AS w FROM documents),
+c AS (SELECT CASE WHEN ends_with(w, '.') THEN w[:-2] ELSE w END AS word, sum(ends_with(w, '.')::INT) AS a, sum((NOT ends_with(w, '.'))::INT) AS b FROM w WHERE regexp_matches(w, '\p{L}') GROUP BY ALL),
+p AS (SELECT sum(a) / sum(a + b) AS p FROM c),
+s AS (SELECT word, a, b, length(replace(word, '.', '')) AS n, -2 * (a * ln(greatest(p, 1e-300)) + b * ln(greatest(1 - p, 1e-300)) - a * ln(0.99) - b * ln(0.01)) AS ratio FROM c, p WHERE a > 0 AND word <> '')
+SELECT word, round(ratio * exp(-n) * (length(word) - n + 1) * pow(n, -b), 6) AS score FROM s WHERE ratio * exp(-n) * (length(word) - n + 1) * pow(n, -b) >= 0.3
+"""
+
+
+@query(_ABBREVIATIONS)
+def txt_abbreviations(t: Tables) -> DataFrame:
+    return sentences.abbreviations(t.documents).withColumn("score", F.round("score", 6))
+
+
+def txt_sentences_learnt(t: Tables) -> DataFrame:
+    """How many sentences each document has by the abbreviations of all, and how long the longest is."""
+    found = sentences.sentences(t.documents, sentences.abbreviations(t.documents))
+    return found.select("doc_id", F.size("sentences").alias("n"), F.coalesce(F.array_max(F.transform("sentences", lambda x: F.length(x))), F.lit(0)).alias("longest"))
+
+
+query()(txt_sentences_learnt)
+
+
 _THOUGHT = "CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '<think>' || role || '</think>' || text ELSE '<think>a</think>b</think>' || text END"
 
 
