@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -19,26 +19,59 @@ ARTICLES = ["a", "an", "the"]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Cyrillic and Greek letters in ASCII, small; capital ones have the first letter capital.
+LETTERS = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia io".split(), strict=True)) | dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+
+
+@cache
+def _spellings() -> tuple[dict[str, str], dict[str, str]]:
+    """Of all characters beyond ASCII whose compatibility decomposition holds ASCII characters these: of those with one, and of those with several."""
+    chars = (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    found = {c: d for c in chars if (d := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode())}
+    return {c: d for c, d in found.items() if len(d) == 1}, {c: d for c, d in found.items() if len(d) > 1}
+
+
+@cache
 def _accents() -> tuple[str, str]:
-    """Letters of one character whose decomposition starts with an ASCII letter, and these."""
-    pairs = [(c, d[0]) for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c)) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
+    """Letters whose decomposition is an ASCII letter and marks, and these."""
+    marked = lambda c: (d := unicodedata.normalize("NFKD", c))[0].isalpha() and all(unicodedata.combining(x) for x in d[1:]) and len(d) > 1
+    pairs = [(c, d) for c, d in _spellings()[0].items() if marked(c)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def _spelled(c: Column, table: dict[str, str]) -> Column:
+    """c with each character of table spelled out, all in one pass; a text without any is left alone."""
+    own = "".join(table)
+    map_of = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    runs = F.regexp_extract_all(c, F.lit(f"[{own}]|[^{own}]+"), F.lit(0))
+    return F.when(F.regexp_like(c, F.lit(f"[{own}]")), F.array_join(F.transform(runs, lambda r: F.coalesce(F.try_element_at(map_of, r), r)), "")).otherwise(c)
+
+
+def _ascii(c: Column, table: dict[str, str], more: dict[str, str]) -> Column:
+    """c in ASCII; a text of ASCII alone is not looked at again."""
+    spelled = F.regexp_replace(F.translate(_spelled(c, more), "".join(table), "".join(table.values())), r"[^\x00-\x7F]+", "")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(spelled)
+
+
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their marks; other characters beyond ASCII are dropped."""
-    return F.regexp_replace(F.translate(c, *_accents()), r"[^\x00-\x7F]+", "")
+    """What compatibility decomposition leaves in ASCII: letters without their marks, ligatures and full-width forms spelled out; all else is dropped."""
+    return _ascii(c, *_spellings())
 
 
 def fold_accents(c: Column) -> Column:
     """Latin letters without their marks; all else stays."""
-    return F.translate(c, *_accents())
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, *_accents()))
 
 
 def transliterate(c: Column) -> Column:
-    """ASCII spelling of Latin letters; characters without one are dropped."""
-    spelled = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), SPECIAL.items(), c)
-    return strip_accents(spelled)
+    """ASCII spelling of Latin, Cyrillic and Greek letters and of what decomposes to such; characters without one are dropped."""
+    one, many = _spellings()
+    letters = SPECIAL | LETTERS | {k.upper(): v.capitalize() for k, v in LETTERS.items() if len(k.upper()) == 1}
+    for x in map(chr, range(0x370, 0x530)):  # marked Greek and Cyrillic letters are those without their marks
+        if x not in letters and (base := unicodedata.normalize("NFKD", x)[0]) in letters:
+            letters[x] = letters[base]
+    short = {k: v for k, v in letters.items() if len(v) == 1}
+    return _ascii(c, {k: v for k, v in one.items() if k not in letters} | short, many | {k: v for k, v in letters.items() if len(v) > 1})
 
 
 def html_unescape(c: Column) -> Column:

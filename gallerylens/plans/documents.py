@@ -166,14 +166,18 @@ def url_curid(t: Tables) -> DataFrame:
     return t.pages.select("page_id", H.curid(F.concat("url", end)).alias("curid"))
 
 
-@query(f"SELECT doc_id, regexp_replace(lower(replace(strip_accents(text), 'ß', 'ss')), '[^a-z0-9_]+', '', 'g') AS title_key FROM documents")
+#: Entities, Vietnamese letters, ligatures and full-width letters are put in; the SQL has what they stand for.
+_SPELLED = "replace(replace(replace(text, ' a', ' {}'), ' o', ' {}'), ' t', ' {}')"
+
+
+@query(f"SELECT doc_id, regexp_replace(lower(replace(strip_accents({_SPELLED.format('&a', 'o', 'fit')}), 'ß', 'ss')), '[^a-z0-9_]+', '', 'g') AS title_key FROM documents")
 def txt_clear_title(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.clear_title(F.col("text")).alias("title_key"))
+    return t.documents.select("doc_id", X.clear_title(F.expr(_SPELLED.format("&amp;&#225;", "ộ", "ﬁｔ"))).alias("title_key"))
 
 
-@query("SELECT s_suppkey, replace(lower(strip_accents(s_name)), ' ', '-') AS artist_key FROM supplier")
+@query("SELECT s_suppkey, replace(lower(strip_accents(s_name)), ' ', '-') || '-nguyen-zhostov' AS artist_key FROM supplier")
 def txt_clear_artist(t: Tables) -> DataFrame:
-    return t.supplier.select("s_suppkey", X.clear_artist(F.col("s_name")).alias("artist_key"))
+    return t.supplier.select("s_suppkey", X.clear_artist(F.concat("s_name", F.lit(" Nguyễn Жостов"))).alias("artist_key"))
 
 
 @query(f"SELECT doc_id, {_SQUEEZE.format('text')} AS text FROM documents")
@@ -181,9 +185,9 @@ def txt_squeeze(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.squeeze(F.col("text")).alias("text"))
 
 
-@query(f"SELECT doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]+', '', 'g') AS text FROM documents")
+@query(f"SELECT doc_id, regexp_replace(strip_accents({_SPELLED.format('a', 'o', 'fit')}), '[^\\x00-\\x7F]+', '', 'g') AS text FROM documents")
 def txt_strip_accents(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.strip_accents(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", X.strip_accents(F.expr(_SPELLED.format("á", "ộ", "ﬁｔ"))).alias("text"))
 
 
 _STYLE = "CASE p_partkey % 5 WHEN 0 THEN 'realism (' || p_brand || ')' WHEN 1 THEN 'SYMBOLISM (a) b (c)' ELSE p_name || ' (' || p_type || ') ' END"

@@ -168,3 +168,23 @@ def test_json_with_raw_control_characters():
     """The second attempt takes line feeds inside strings, and what follows the value."""
     assert json.loads(chat.repair('{"a": "x\ny", "b": [1, 2]} tail')) == {"a": "x\ny", "b": [1, 2]}
     assert json.loads(chat.repair('so: {"a": "tab\there", "b": {"c": null}}')) == {"a": "tab\there", "b": {"c": None}}
+
+
+def test_every_character_is_spelled_as_its_decomposition(spark):
+    """All of Unicode but surrogates, one row a character, against Python's tables."""
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(chars[k : k + 256]) for k in range(0, len(chars), 256)] + ["Tiếng Việt", "ﬁre ﬂag ½ ㎏ ｆｕｌｌ", "plain", "", None]
+    want = [None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in rows]
+    assert apply(spark, X.strip_accents, *rows) == want
+    odd = [t for c in chars if len(t := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) and ord(c) > 127]
+    assert len(odd) > 2000
+    every = [c for c in chars if ord(c) > 127 and unicodedata.normalize("NFKD", c).encode("ascii", "ignore")]
+    assert apply(spark, X.strip_accents, *every) == odd
+
+
+def test_transliteration(spark):
+    assert apply(spark, X.transliterate, "Жостов Щукин", "Ёлка й", "Θεόδωρος Ψ", "Đỗ Łódź Ærø", "漢x") == ["Zhostov Shchukin", "Iolka i", "Theodoros Ps", "Do Lodz AEro", "x"]
+    assert apply(spark, X.fold_accents, "Việt ﬁ Ж é", "plain") == ["Viet ﬁ Ж e", "plain"]
+    assert apply(spark, X.clear_title, "Nguy&#7877;n &amp; H&#224;") == ["nguyenha"]
