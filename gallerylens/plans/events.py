@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..streaming import stream as S
+from ..streaming import messages, stream as S
 from .registry import Registry
 from .views import Tables
 
@@ -25,6 +25,16 @@ def stream_accumulate(t: Tables) -> DataFrame:
     return found.groupBy("conv_id").agg(F.max("n").alias("n"), F.max("chars").alias("chars"))  # later batches hold more
 
 
+@query("SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said FROM conversations GROUP BY conv_id")
+def stream_messages(t: Tables) -> DataFrame:
+    """Each conversation as the stream's list state holds it."""
+    rows = S.files(t.spark, t.sf_dir, "conversations.parquet", t.conversations).select("conv_id", F.col("turn").alias("id"), F.col("turn").alias("place"), "role", "text")
+    with messages.list_state(t.spark):
+        found = S.latest(messages.accumulated(rows), "update", "messages")
+    last = found.groupBy("conv_id").agg(F.max_by(F.struct("n", "messages"), "n").alias("x"))  # later batches hold more
+    return last.select("conv_id", "x.n", F.array_join(F.transform("x.messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("said"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_tumbling(t: Tables) -> DataFrame:
     return S.tumbling(t.events)
