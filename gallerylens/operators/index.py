@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .retrieval import _blocks, _matrix, rank
 
-SAMPLE_ROWS, ASKED, LISTS, SPREAD = 20_000, 500, 4_096, 8
+SAMPLE_ROWS, ASKED, SPREAD = 20_000, 500, 8
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -73,14 +73,24 @@ class Index:
 
 
 def build(corpus: DataFrame, path: str, recall: float = 0.97, k: int = 10, lists: int | None = None) -> Index:
-    """The index of corpus (id, v), at path: about the square root of its rows as lists, LISTS at most."""
+    """The index of corpus (id, v), at path: about the square root of its rows as lists.
+
+    Up to SAMPLE_ROWS / 8 lists are fitted at once; more than these, for corpora of over six million rows, by cells, each
+    on rows of its own (see `multiindex.fit`), so that lists stay short however large the corpus is.
+    """
     sample = corpus.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]  # bounded
     if not len(sample):
         corpus.select("id", "v", F.lit(0).alias("list")).write.mode("overwrite").parquet(path)
         return Index(path, np.zeros((0, 0)), 0)
     matrix = np.array(sample.tolist(), np.float64)
-    found = centres(matrix, lists or min(LISTS, max(1, round(corpus.count() ** 0.5))))
-    shared = corpus.sparkSession.sparkContext.broadcast(found)  # LISTS vectors at most
+    wanted = lists or max(1, round(corpus.count() ** 0.5))
+    if wanted > SAMPLE_ROWS // SPREAD:
+        from .multiindex import fit
+
+        found = fit(corpus.select("id", F.array("v").alias("vs")), wanted)[0]
+    else:
+        found = centres(matrix, wanted)
+    shared = corpus.sparkSession.sparkContext.broadcast(found)  # the square root of the rows
 
     def assign(batches):
         for batch in batches:
@@ -105,18 +115,25 @@ def search(index: Index, queries: DataFrame, k: int, exclude_self: bool = True)
 
         def look(batches, shared=shared):
             qids, unit, asks = shared.value
-            best: dict[int, list[tuple[float, int]]] = {}
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
                 own, v, of = (batch.column(c) for c in ("id", "v", "list"))
                 own, v, of = own.to_numpy(zero_copy_only=False), _unit(_matrix(v)) if batch.num_rows else np.zeros((0, 1)), of.to_numpy(zero_copy_only=False)
                 for n in np.unique(of).tolist():
                     at, some = np.flatnonzero(of == n), np.flatnonzero(asks[n])
                     for i, row in zip(some.tolist(), unit[some] @ v[at].T, strict=True):
-                        pairs = [(float(s), int(d)) for s, d in zip(row, own[at], strict=True) if not (exclude_self and d == qids[i])]
-                        best[i] = sorted(best.get(i, []) + pairs, key=lambda x: (-x[0], x[1]))[:k]
-            rows = [(int(qids[i]), d, s) for i, kept in best.items() for s, d in kept]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["qid", "id", "score"])
+                        mine = own[at] != qids[i] if exclude_self else slice(None)
+                        s, d = row[mine], own[at][mine]
+                        if i in best:
+                            s, d = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], d])
+                        if len(s) > 2 * k:  # all that tie with the k-th go on
+                            near = s >= np.partition(s, -k)[-k]
+                            s, d = s[near], d[near]
+                        by = np.lexsort((d, -s))[:k]
+                        best[i] = s[by], d[by]
+            for i, (s, d) in best.items():
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), qids[i])), pa.array(d), pa.array(s)], ["qid", "id", "score"])
 
         wanted = sorted(set(near.ravel().tolist()))
         found = index.rows(spark).where(F.col("list").isin(wanted)).select("id", "v", "list").mapInArrow(look, "qid long, id long, score double")

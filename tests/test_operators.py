@@ -113,6 +113,9 @@ def test_index_holds_every_row(vectors, tmp_path):
     queries = vectors.where("id < 9").select(F.col("id").alias("qid"), F.col("v").alias("q"))
     made.probes = 7  # all lists: the exact search
     assert hits(index.search(made, queries, 5)) == hits(retrieval.knn(queries, vectors, 5))
+    many = index.build(vectors, f"{tmp_path}/many", lists=2_600)  # more lists than are fitted at once: by cells
+    many.probes = len(many.found)
+    assert hits(index.search(many, queries, 5)) == hits(retrieval.knn(queries, vectors, 5))
     made.probes = 1
     plan = index.search(made, queries.limit(1), 5)._jdf.queryExecution().toString()
     assert "PartitionFilters: [list" in plan or "PartitionFilters: [isnotnull(list" in plan
