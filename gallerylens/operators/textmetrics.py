@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..functions.stems import stem
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -162,6 +163,76 @@ def meteor_exact(hyps: DataFrame, refs: DataFrame, alpha: float = 0.9, beta: flo
     return pairs.groupBy("id").agg(F.round(F.max("m"), 6).alias("meteor"))
 
 
+#: Partial matchings that are kept from word to word, all of them for texts of at most SHORT words each; longer ones keep as many as the metric's own search does.
+SHORT, MATCHINGS, WAYS = 12, 40, 5
+
+
+def _places(free: int, last: int, every: bool) -> list[int]:
+    """The places whose bits are set: all, or the first ones and the one that goes on from the last."""
+    out = [last + 1] if last >= -1 and free >> last + 1 & 1 else []
+    while free and (every or len(out) < WAYS):
+        j = (free & -free).bit_length() - 1
+        free &= free - 1
+        if j not in out:
+            out.append(j)
+    return out
+
+
+def aligned(hyp: list[str], ref: list[str], given: dict[int, int]) -> dict[int, int]:
+    """given, places of hyp with places of ref, and as many more of equal words as there are, with fewest crossings, of these with fewest chunks.
+
+    Words are matched from the left: what counts of a partial matching is which words of ref it has taken, and the last
+    one, so that of matchings alike in that only the best goes on.
+    """
+    free: dict[str, int] = {}
+    for j, w in enumerate(ref):
+        if j not in given.values():
+            free[w] = free.get(w, 0) | 1 << j
+    after, short = Counter(w for i, w in enumerate(hyp) if i not in given), max(len(hyp), len(ref)) <= SHORT
+    need = {w: min(after[w], own.bit_count()) for w, own in free.items()}
+    states: dict[tuple[int, int], tuple[int, int, tuple]] = {(0, -2): (0, 0, ())}
+    for i, w in enumerate(hyp):
+        own = free.get(w, 0) if i not in given else 0
+        after[w] -= i not in given
+        new: dict[tuple[int, int], tuple[int, int, tuple]] = {}
+        for (taken, last), (crossings, chunks, pairs) in states.items():
+            ways = [given[i]] if i in given else _places(own & ~taken, last, short)
+            if i not in given and (taken & own).bit_count() + after[w] >= need.get(w, 0):
+                ways.append(-2)
+            for j in ways:
+                to = (taken, -2) if j < 0 else (taken | 1 << j, j)
+                cost = (crossings, chunks, pairs) if j < 0 else (crossings + (taken >> j + 1).bit_count(), chunks + (j != last + 1), (*pairs, (i, j)))
+                if to not in new or cost < new[to]:
+                    new[to] = cost
+        states = dict(sorted(new.items(), key=lambda x: x[1])[: None if short else MATCHINGS])
+    return dict(min(states.values())[2]) if states else {}
+
+
+def meteor(hyps: DataFrame, refs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, stems: float = 0.6) -> DataFrame:
+    """(id, meteor): the best over the references, words matched as they are, then by their stems, which count for less; no synonyms.
+
+    An empty text scores 0.
+    """
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(h: list[str], r: list[str]) -> float:
+            same = aligned(h, r, {})
+            found = aligned([*map(stem, h)], [*map(stem, r)], same)
+            if not found:
+                return 0.0
+            weight = len(same) + stems * (len(found) - len(same))
+            p, q = weight / len(h), weight / len(r)
+            pairs = sorted(found.items())
+            chunks = 1 + sum(a[0] + 1 != b[0] or a[1] + 1 != b[1] for a, b in zip(pairs, pairs[1:], strict=False))
+            return p * q / (alpha * p + (1 - alpha) * q) * (1 - gamma * (chunks / len(found)) ** beta)
+
+        return pd.Series([one(list(a), list(b)) for a, b in zip(x, y, strict=True)])
+
+    pairs = hyps.join(refs, "id").select("id", score(X.tokens(F.col("hyp")), X.tokens(F.col("ref"))).alias("m"))
+    return pairs.groupBy("id").agg(F.round(F.max("m"), 6).alias("meteor"))
+
+
 def robust_accuracy(rows: DataFrame) -> DataFrame:
     """(id, score) of rows (id, pred, refs array): matches over min(references, 3), at most 1, after normalising both."""
     p = F.transform(F.array(X.robust_answer(F.col("pred"))), lambda p: F.size(F.filter(F.transform("refs", lambda r: X.robust_answer(r)), lambda r: r == p)))[0]

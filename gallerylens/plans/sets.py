@@ -243,7 +243,12 @@ def meteor_exact(t: Tables) -> DataFrame:
     return M.meteor_exact(*_texts(t))
 
 
-for f in (rouge_l, rouge_lsum, meteor_exact):
+def meteor(t: Tables) -> DataFrame:
+    """With stems, and the matching of fewest crossings."""
+    return M.meteor(*_texts(t))
+
+
+for f in (rouge_l, rouge_lsum, meteor_exact, meteor):
     query()(f)
 
 
