@@ -23,7 +23,8 @@ that have one hash by chance bring together bytes that the transforms then find
 Merging refines the interleaving of the shards: a stable pass by the symbols before the suffixes moves each
 suffix to its place among those that share one symbol more, and splits the blocks of suffixes that agree so far.
 After 50 symbols a block is an interval of common prefix 50 or more, and the smallest document in it decides for
-all others.  No suffix of the merged text is sorted anew.
+all others.  Refinement starts from the first eight symbols, by which the suffixes of all shards are put in order once;
+the other 42 symbols are never compared.
 """
 
 from __future__ import annotations
