@@ -182,6 +182,34 @@ def wrap(c: Column, width: int) -> Column:
     return run(c)
 
 
+def wrap_pixels(c: Column, width: float, glyphs: dict[str, float], other: float) -> Column:
+    """The text in lines of at most width, filled greedily word by word; glyphs has the widths of a font's characters, other that of all that it lacks.
+
+    A line's width counts the space after its last word, as page rendering does.  Words are what single spaces part, so
+    that two spaces leave an empty word, and a word wider than a line stands alone, behind an empty line if it is the
+    first.  A null text is one empty line.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        space = glyphs.get(" ", other)
+
+        def lines(text: str | None) -> list[str]:
+            out, held, filled = [], [], 0.0
+            for word in (text or "").split(" "):
+                own = sum(glyphs.get(x, other) for x in word) + space
+                if filled + own > width:
+                    out.append(" ".join(held))
+                    held, filled = [], 0.0
+                held.append(word)
+                filled += own
+            return [*out, " ".join(held)]
+
+        return s.map(lines)
+
+    return run(c)
+
+
 def resize(width: Column, height: Column, target: float, least: int = 28) -> tuple[Column, Column]:
     """Whole width and height of about target pixels in the same ratio, each at least so long."""
     ratio = width / height

@@ -333,6 +333,18 @@ def wrap_lines(t: Tables) -> DataFrame:
 
 query()(wrap_lines)
 
+#: Widths in pixels of a proportional font, by rule.
+_GLYPHS = {chr(c): 4.0 if chr(c) in "iljtfr.,;:'!|()[] " else 13.0 if chr(c) in "mwMW@" else 10.0 if chr(c).isupper() else 8.0 for c in range(32, 127)}
+
+
+def wrap_glyphs(t: Tables) -> DataFrame:
+    """Documents in lines of 600 pixels, and how many each has."""
+    lines = t.documents.select("doc_id", fragments.wrap_pixels(F.col("text"), 600, _GLYPHS, 8.0).alias("x"))
+    return lines.select("doc_id", F.size("x").alias("n"), F.element_at("x", 1).alias("first"), F.element_at("x", -1).alias("last"))
+
+
+query()(wrap_glyphs)
+
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def dedup_keep_first(t: Tables) -> DataFrame:

@@ -233,6 +233,20 @@ def test_wrapping_loses_no_word(spark):
     assert " ".join(lines[0].x).split() == text.split() and all(len(x) <= 20 or " " not in x for x in lines[0].x) and lines[1].x == []
 
 
+def test_wrapping_by_glyphs(spark):
+    """No line is wider than the page but those of one word, none could take the next word, and nothing is lost."""
+    glyphs, other = {"i": 2.0, "w": 9.0, " ": 3.0}, 5.0
+    wide = lambda s: sum(glyphs.get(x, other) for x in s)
+    texts = ["will ww iii wiw  wi i " * 9, "wwwwwwwwwwwwww i", "", None, "éé éé ii"]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(fragments.wrap_pixels(F.col("t"), 40.0, glyphs, other).alias("x")).collect()]
+    for t, lines in zip(texts, got, strict=True):
+        assert " ".join(lines).split(" ") == (t or "").split(" ") or lines[0] == ""
+        for a, b in zip(lines, [*lines[1:], None], strict=True):
+            assert wide(a + " ") <= 40 or " " not in a
+            assert b is None or wide(a + " " + b.split(" ")[0] + " ") > 40 or a == ""
+    assert got[1] == ["", "wwwwwwwwwwwwww", "i"] and got[2] == [""] and got[3] == [""]
+
+
 def test_classification(spark):
     pred = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 1), (None, 1)], "truth int, pred int")
     m, w = classify.macro(classify.per_class(pred)).first(), classify.weighted(classify.per_class(pred)).first()
