@@ -248,4 +248,4 @@ def test_empty(empty):
 
 
 def test_names():
-    assert len(queries.queries()) == 10
+    assert len(queries.queries()) == 13
