@@ -56,40 +56,36 @@ def _planes(rows: str, planes: int) -> str:
     return out
 
 
-#: Planes of sign bits, and the share of the corpus that is taken by them: no less than so many times k.
-PLANES, SHARE, LEAST = {"single": 3, "multi": 4}, 0.04, {"single": 4, "multi": 2}
-
-
-def _taken(documents: DataFrame, k: int, kind: str) -> int:
-    return max(LEAST[kind] * k, int(SHARE * documents.count()))
+#: Planes of sign bits, and how many candidates they choose for a query, however large the table is.
+PLANES, TAKEN = 4, {"single": 50, "multi": 20}
 
 
 _UNIT = "SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v, v AS o FROM vec"
 
 
 @query(
-    f"WITH b AS ({_planes(_UNIT, PLANES['single'])}), c AS (SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.o, d.o) AS score FROM b q JOIN b d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(q.d, d.d) DESC, id) <= greatest(20, floor({SHARE} * (SELECT count(*) FROM vec)))) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 5",
+    f"WITH b AS ({_planes(_UNIT, PLANES)}), c AS (SELECT q.vec_id AS qid, d.vec_id AS id, list_cosine_similarity(q.o, d.o) AS score FROM b q JOIN b d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(q.d, d.d) DESC, id) <= {TAKEN['single']}) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 5",
     "vec",
 )
 def binary_quant_topk(t: Tables) -> DataFrame:
-    """The five nearest vectors among a twenty-fifth that sign bits choose."""
+    """The five nearest vectors among fifty that sign bits choose."""
     corpus = _ids(t).select("id", "v")
     queries = corpus.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    found = quantised.binary_topk(queries, corpus, 5, _taken(corpus, 5, "single") / 5, PLANES["single"])
+    found = quantised.binary_topk(queries, corpus, 5, TAKEN["single"] / 5, PLANES)
     return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
-    f"WITH b AS (SELECT doc_id, tok, v, d FROM ({_planes('SELECT doc_id, tok, v FROM mv', PLANES['multi'])})), asked AS (SELECT * FROM b WHERE doc_id % 20 = 0), "
-    f"coarse AS (SELECT qid, id FROM (SELECT q.doc_id AS qid, q.tok, d.doc_id AS id, max(list_inner_product(q.d, d.d)) AS s FROM asked q CROSS JOIN b d GROUP BY ALL) GROUP BY qid, id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sum(s) DESC, id) <= greatest(10, floor({SHARE} * (SELECT count(DISTINCT doc_id) FROM mv)))), "
+    f"WITH b AS (SELECT doc_id, tok, v, d FROM ({_planes('SELECT doc_id, tok, v FROM mv', PLANES)})), asked AS (SELECT * FROM b WHERE doc_id % 20 = 0), "
+    f"coarse AS (SELECT qid, id FROM (SELECT q.doc_id AS qid, q.tok, d.doc_id AS id, max(list_inner_product(q.d, d.d)) AS s FROM asked q CROSS JOIN b d GROUP BY ALL) GROUP BY qid, id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sum(s) DESC, id) <= {TAKEN['multi']}), "
     "s AS (SELECT qid, q.tok, id, max(list_inner_product(q.v, d.v)) AS s FROM coarse JOIN asked q ON q.doc_id = qid JOIN b d ON d.doc_id = id GROUP BY ALL) "
     "SELECT qid, id, round(sum(s), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY sum(s) DESC, id) AS rank FROM s GROUP BY qid, id QUALIFY rank <= 5",
     "mv",
 )
 def two_stage_quantised(t: Tables) -> DataFrame:
-    """The five best documents by exact MaxSim among a twenty-fifth that the MaxSim of sign bits chooses."""
+    """The five best documents by exact MaxSim among twenty that the MaxSim of sign bits chooses."""
     queries, documents = _mv(t)
-    found = quantised.two_stage(queries, documents, quantised.codes(documents, PLANES["multi"]), _taken(documents, 5, "multi"), 5, PLANES["multi"])
+    found = quantised.two_stage(queries, documents, quantised.codes(documents, PLANES), TAKEN["multi"], 5, PLANES)
     return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -106,8 +102,8 @@ query()(knn_index)
 def maxsim_index(t: Tables) -> DataFrame:
     """The five best documents by an index of token vectors, built over the whole table."""
     queries, documents = _mv(t)
-    made = multiindex.build(documents, folder(t.spark, "multi-index"), k=5, prefetch=_taken(documents, 5, "multi"))
-    found = multiindex.search(made, queries, documents, 5, _taken(documents, 5, "multi"))
+    made = multiindex.build(documents, folder(t.spark, "multi-index"), k=5, prefetch=TAKEN["multi"])
+    found = multiindex.search(made, queries, documents, 5, TAKEN["multi"])
     return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
