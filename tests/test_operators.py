@@ -301,3 +301,10 @@ def test_train_links(spark):
 
     assert right(12) >= 27 > right(0)
     assert graph.train_links(df.limit(0))[0].count() == 0
+
+
+def test_documents_shorter_than_their_mask(spark):
+    """A document of fewer vectors than asked for has all of them, and each counts once in a mean."""
+    df = spark.createDataFrame([([[1.0], [3.0], [8.0]],)], "vs array<array<double>>")
+    got = df.select(retrieval.unpad(F.col("vs"), F.lit(5)).alias("a"), retrieval.unpad(F.col("vs"), F.lit(2)).alias("b"), retrieval.special_pool(F.col("vs")).alias("c")).first()
+    assert (got.a, got.b, got.c) == ([[1.0], [3.0], [8.0]], [[3.0], [8.0]], [4.0])
