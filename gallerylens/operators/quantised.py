@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .retrieval import _matrix, _query_blocks, rank
+from .retrieval import TILE, Best, _matrix, _query_blocks, query_tiles, rank
+from .scratch import stored
 
 #: Query tokens times vectors that are scored at once; documents and values of a sample; queries among these.
 CELLS, SAMPLE_DOCUMENTS, SAMPLE_VALUES, SAMPLE_QUERIES = 1 << 20, 2_000, 8 << 20, 100
@@ -107,23 +108,19 @@ def candidates(queries: DataFrame, coded: DataFrame, k: int, planes: int = 4, ex
 
         def score(batches, shared=shared):
             qids, asked, first = shared.value
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(qids)
+            tiles, best = list(query_tiles(first, len(asked[0]), TILE)), Best(len(qids), k)
             for batch in batches:
-                some, *own = _coded(batch, planes)
+                some, edges, bits, scales, dim = _coded(batch, planes)
                 if not len(some):
                     continue
                 ids = batch.column("id").to_numpy(zero_copy_only=False)[some]
-                for i, row in enumerate(_maxsim(asked, first, *own)):
-                    mine = ids != qids[i] if exclude_self else slice(None)
-                    s, d = np.concatenate([best[i][0], row[mine]]), np.concatenate([best[i][1], ids[mine]])
-                    if len(s) > 4 * k:  # all that tie with the k-th go on
-                        near = s >= np.partition(s, -k)[-k]
-                        s, d = s[near], d[near]
-                    by = np.lexsort((d, -s))[:k]
-                    best[i] = s[by], d[by]
-            for i, (s, d) in enumerate(best):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), qids[i])), pa.array(d), pa.array(s)], ["qid", "id", "score"])
+                for (d, e), (x, y) in query_tiles(edges[:-1], len(bits), TILE):
+                    for (a, b), (r, t) in tiles:
+                        tile = _maxsim((asked[0][r:t], asked[1][r:t]), first[a:b] - r, edges[d : e + 1] - x, bits[x:y], scales[x:y], dim)
+                        if exclude_self:
+                            tile[qids[a:b, None] == ids[None, d:e]] = -np.inf
+                        best.add(a, tile, ids[d:e])
+            yield from best.batches(qids)
 
         found = coded.mapInArrow(score, "qid long, id long, score double")
         out = found if out is None else out.unionAll(found)
@@ -148,7 +145,8 @@ def _pairs_scored(queries: DataFrame, pairs: DataFrame, score) -> DataFrame:
                         rows = np.flatnonzero(asked == one)
                         yield pa.RecordBatch.from_arrays([pa.array(asked[rows]), pa.array(ids[rows]), pa.array(score(batch.take(pa.array(rows)), tokens[one]))], ["qid", "id", "score"])
 
-        found = pairs.mapInArrow(run, "qid long, id long, score double")
+        # blocks are in order of qid: each has its own pairs
+        found = pairs.where(F.col("qid").between(int(qids[0]), int(qids[-1]))).mapInArrow(run, "qid long, id long, score double")
         out = found if out is None else out.unionAll(found)
     return spark.createDataFrame([], "qid long, id long, score double") if out is None else out
 
@@ -186,7 +184,7 @@ def two_stage(queries: DataFrame, documents: DataFrame, pools: DataFrame, prefet
     pools are the `codes` of pooled vectors, or of all; only the candidates' vectors are read.  full, the codes of all
     vectors, cuts the candidates to ceil(k * oversample) before any vector is.
     """
-    chosen = candidates(queries, pools, prefetch, planes)
+    chosen = stored(candidates(queries, pools, prefetch, planes), "candidates")  # read by each block of queries
     if full is not None:
         chosen = narrowed(chosen, queries, full, math.ceil(k * oversample), planes)
     return rank(rescored(chosen, queries, documents), "qid", "score", "id", k)
@@ -197,7 +195,7 @@ def binary_topk(queries: DataFrame, corpus: DataFrame, k: int, oversample: float
     unit = lambda c: F.transform(c, lambda x: x / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-300)))
     asked = queries.select("qid", F.lit(0).alias("qtok"), unit(F.col("q").cast("array<double>")).alias("q"))
     own = corpus.select("id", F.array(unit(F.col("v").cast("array<double>"))).alias("vs"))
-    chosen = candidates(asked, codes(own, planes), math.ceil(k * oversample), planes, exclude_self=True)
+    chosen = stored(candidates(asked, codes(own, planes), math.ceil(k * oversample), planes, exclude_self=True), "candidates")  # read by each block of queries
     return rank(rescored(chosen, asked, own), "qid", "score", "id", k)
 
 
