@@ -308,3 +308,21 @@ def test_documents_shorter_than_their_mask(spark):
     df = spark.createDataFrame([([[1.0], [3.0], [8.0]],)], "vs array<array<double>>")
     got = df.select(retrieval.unpad(F.col("vs"), F.lit(5)).alias("a"), retrieval.unpad(F.col("vs"), F.lit(2)).alias("b"), retrieval.special_pool(F.col("vs")).alias("c")).first()
     assert (got.a, got.b, got.c) == ([[1.0], [3.0], [8.0]], [[3.0], [8.0]], [4.0])
+
+
+def test_matches_need_no_pairs(spark):
+    """Keys of many rows on both sides: a row a pair would be 40 thousand millions."""
+    rows = spark.range(200_000).select(F.col("id").alias("lid"), F.lit("a").alias("title_key"), (F.col("id") % 2).alias("artist_key"))
+    got = align.matches(rows, rows.where("artist_key = 1").withColumnRenamed("lid", "rid"), ["title_key", "artist_key"]).collect()
+    assert [tuple(r) for r in got] == [("a", 1, 10_000_000_000)]
+
+
+def test_shared_order_gives_the_hits_of_scores(spark):
+    rng = np.random.default_rng(3)
+    true = sorted({(int(i), int(i) % 4, f"l{rng.integers(6)}") for i in rng.integers(0, 40, 120)})
+    made = spark.createDataFrame(true, "id long, by long, label string")
+    ids = made.select("id", "by").distinct()
+    share = made.groupBy("by", "label").agg(F.count("*").alias("n")).join(ids.groupBy("by").agg(F.count("*").alias("k")), "by").select("by", "label", (F.col("n") / F.col("k")).alias("score"))
+    scores = ids.join(share, "by").join(made.withColumn("truth", F.lit(1)).drop("by"), ["id", "label"], "left").fillna(0, ["truth"])
+    of = lambda df: sorted(tuple(r) for r in df.select("id", "n_true", "hits").collect())
+    assert of(classify.shared_topn_hits(made)) == of(classify.topn_hits(scores))
