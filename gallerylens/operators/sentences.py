@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 NEARLY, LEAST = 0.99, 0.3
 #: So many abbreviations may be shipped; they are short, so that a language has few.
 MOST = 200_000
+#: Texts that a task splits at a time.
+ROWS = 256
 _STRIP = r"""^["'(\[{«“‘„]+|["')\]}»”’,;:!?]+$"""
 _END = re.compile(r"""([.!?…]+)(["')\]»”’]*)(\s+)""")
 _WORD = re.compile(r"""["'(\[{«“‘„]*(\S*)$""")
@@ -74,6 +76,12 @@ def split(text: str, known: frozenset[str]) -> list[str]:
     return out + [rest] if rest else out
 
 
+def _split_all(batches, known: frozenset[str], id_col: str):
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        found = [split(t.strip(), known) if t else [] for t in batch.column("t").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(found, pa.list_(pa.string()))], [id_col, "sentences"])
+
+
 def sentences(docs: DataFrame, known: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, sentences) of every row: known are `abbreviations`, learnt on these or other texts.
 
@@ -84,9 +92,4 @@ def sentences(docs: DataFrame, known: DataFrame, text: str = "text", id_col: str
         raise ValueError(f"more than {MOST} abbreviations")
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(held))
 
-    def run(batches):
-        for batch in batches:
-            found = [split(t.strip(), shared.value) if t else [] for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(found, pa.list_(pa.string()))], [id_col, "sentences"])
-
-    return docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sentences array<string>")
+    return docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).mapInArrow(lambda it: _split_all(it, shared.value, id_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sentences array<string>")

@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from gallerylens.operators import sentences
 
 TEXTS = [
@@ -55,3 +57,11 @@ def test_sentences(spark):
     assert [got[i] for i in range(16, 21)] == [[], [], [], ["No mark at all"], ["One.", "Two.", "Three"]]
     for i, own in got.items():  # nothing but white space is lost
         assert "".join("".join(own).split()) == "".join((TEXTS[i] or "").split())
+
+
+def test_few_texts_are_split_at_a_time():
+    """A whole batch of texts and all their sentences were held at once."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["One here. Two here."] * 1000)], ["i", "t"])
+    got = list(sentences._split_all([batch], frozenset(), "doc_id"))
+    assert max(b.num_rows for b in got) <= sentences.ROWS < 1000
+    assert pa.Table.from_batches(got).to_pydict() == {"doc_id": list(range(1000)), "sentences": [["One here.", "Two here."]] * 1000}
