@@ -11,7 +11,8 @@ Before whole sets are compared, sketches are: of SKETCH bits, each the parity of
 many bits as two sketches differ in, so many shingles at least are in one set alone, so that most pairs that share a
 passage and no more are told apart by 128 bytes each, and no similar pair is.
 
-Equal sets are one node.  Under a shingle, nodes first meet their neighbours by size alone: under the
+Equal sets are one node.  Nodes whose SimHash fingerprints of 64 bits differ in two at most meet first, by the trie of
+`simhash`, and their pairs are held against the whole sets.  What fingerprints cannot promise follows: under a shingle, nodes first meet their neighbours by size alone: under the
 first shingle in each of ORDERS, most of which similar sets share, so that most of a large group is connected by a few
 pairs a node, and then under all shingles of prefixes, where they belong to different components.  What that connects is not compared again, and then all that still belong to
 different components meet, those of like size first.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import kept, raw, stored, texts
 from .components import connected_components
+from .simhash import bits_of, candidate_pairs
 
 SHINGLE, SIMILARITY, SEED, PAIRS, SKETCH = 5, 0.8, 42, 1 << 18, 1024
 #: Odd numbers, each of which puts the shingles in an order of its own.
@@ -101,17 +103,18 @@ def _ordered(found: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndar
 def _prefixes(batches, words: int, least: Fraction, common, carry):
     kept(("shingles",), lambda: None)  # another operator's tables go
     for batch in batches:
-        sigs, sizes, ahead, sketches, meets = [], [], [], [], []
+        sigs, sizes, ahead, sketches, meets, prints = [], [], [], [], [], []
         for text in raw(batch.column("text")):
             found = shingle_set(text, words)
             n = len(found)
             sigs.append(_signature(found))
             sizes.append(n)
             sketches.append(sketch(found))
+            prints.append(bits_of(found))
             meets.append(firsts(found).view(np.int64))
             ahead.append(_ordered(found, *common.value)[: n + 1 + -n * least.numerator // least.denominator].view(np.int64))
         lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), lists(ahead), pa.array(sketches, pa.binary()), lists(meets), *(batch.column(c) for c in carry)], ["doc_id", "sig", "n", "prefix", "sketch", "firsts", *carry])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), lists(ahead), pa.array(sketches, pa.binary()), lists(meets), pa.array(np.array(prints, np.uint64).view(np.int64)), *(batch.column(c) for c in carry)], ["doc_id", "sig", "n", "prefix", "sketch", "firsts", "fp", *carry])
 
 
 def _whole_groups(batches, *names: str):
@@ -142,7 +145,7 @@ def _out(kind: int, rows: np.ndarray):
 
 
 def _neighbours(batches, least: Fraction):
-    """Kind 0: pairs (a, b) of neighbours by size of different components; kind 1: the rows (key, a, size, pos) of groups of three or more in several components."""
+    """Kind 0: pairs (a, b) of neighbours by size of different components; kind 1: a row for each key of three or more in several components."""
     for rows in _whole_groups(batches, "key", "sig", "n", "pos", "component"):
         i = np.flatnonzero((rows[0, 1:] == rows[0, :-1]) & (rows[4, 1:] != rows[4, :-1]))
         i = i[_meet(rows, i, i + 1, least)]
@@ -150,7 +153,7 @@ def _neighbours(batches, least: Fraction):
         at = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         size = np.diff(np.append(at, rows.shape[1]))
         several = np.minimum.reduceat(rows[4], at) != np.maximum.reduceat(rows[4], at)
-        yield from _out(1, rows[:4, np.repeat((size > 2) & several, size)])
+        yield from _out(1, rows[:4, at[(size > 2) & several]])
 
 
 def _others(batches, least: Fraction, low: int, high: int | None):
@@ -223,7 +226,7 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE, similarity: float =
     least = Fraction(similarity).limit_denominator(1000)
     rows = texts(docs, id_col, text_col, carry)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))  # its size is bounded
-    prints = stored(rows.mapInArrow(lambda it: _prefixes(it, words, least, common, carry), "doc_id long, sig long, n long, prefix array<long>, sketch binary, firsts array<long>" + "".join(f", {c} long" for c in carry)), "prefixes")
+    prints = stored(rows.mapInArrow(lambda it: _prefixes(it, words, least, common, carry), "doc_id long, sig long, n long, prefix array<long>, sketch binary, firsts array<long>, fp long" + "".join(f", {c} long" for c in carry)), "prefixes")
     drawn = "kind long, key long, a long, b long, pos long"
 
     def few(df: DataFrame) -> DataFrame:
@@ -261,17 +264,21 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE, similarity: float =
         """df with the component of its sig, which is the sig itself if nothing is known."""
         return df.join(few(found.withColumnRenamed("node", "sig")), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
+    # fingerprints first, by the trie; what they propose is held against the whole sets
+    near = links(candidate_pairs(prints.select("sig", "fp").distinct()))
+    found = stored(connected_components(near), "components")
     # neighbours under the first shingles of several orders connect most of a large group by few pairs
-    near = links(met(keys(prints.withColumn("component", F.col("sig")), "firsts"), _neighbours).where("kind = 0").select("a", "b"))
+    near = near.unionAll(links(met(keys(placed(prints.select("sig", "n", "firsts"), found), "firsts"), _neighbours).where("kind = 0").select("a", "b")))
     found = stored(connected_components(near), "components")
     # then neighbours under all that are not connected yet
     second = stored(met(keys(placed(prints.select("sig", "n", "prefix"), found), "prefix"), _neighbours), "neighbours")
     near = near.unionAll(links(second.where("kind = 0").select("a", "b")))
     found = stored(connected_components(near), "components")
     # and then the others of different components, nearer ones first: what connects two groups spares most of their pairs
-    others = second.where("kind = 1").select("key", F.col("a").alias("sig"), F.col("b").alias("n"), "pos")
+    several = few(stored(second.where("kind = 1").select("key").distinct(), "several"))
     for low, high in itertools.pairwise([2, *REACHES, None]):
-        rest = stored(met(placed(others, found), lambda it, least, low=low, high=high: _others(it, least, low, high)).select("a", "b"), "others")
+        own = keys(placed(prints.select("sig", "n", "prefix"), found), "prefix").join(several, "key", "left_semi")
+        rest = stored(met(own, lambda it, least, low=low, high=high: _others(it, least, low, high)).select("a", "b"), "others")
         if not rest.isEmpty():
             near = near.unionAll(links(rest))
             found = stored(connected_components(near), "components")

@@ -34,7 +34,11 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
         return 0
     shingles = zip(*(found[i:] for i in range(words)), strict=False) if len(found) >= words else [found]
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(s), seed) for s in shingles), np.uint64, max(1, len(found) - words + 1))
+    return bits_of(np.fromiter((digest(join(s), seed) for s in shingles), np.uint64, max(1, len(found) - words + 1)))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes: the bits set in over half of them."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
@@ -131,6 +135,14 @@ def fingerprint_links(prints: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     return dealt.repartition("choice", "front", "bucket").sortWithinPartitions("choice", "front", "bucket", "rest").mapInArrow(_links, "a long, b long")
 
 
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (sig, fp) that connect all whose fingerprints differ in at most two bits; a star for each fingerprint, the trie's forest between these."""
+    reps = stored(nodes.groupBy("fp").agg(F.min("sig").alias("rep")), "reps")
+    copies = nodes.join(reps, "fp").where("sig != rep").select(F.col("sig").alias("x"), F.col("rep").alias("y"))
+    found = fingerprint_links(reps).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    return copies.unionAll(found).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 

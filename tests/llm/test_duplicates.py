@@ -196,3 +196,16 @@ def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert shingles.similar_documents(empty).count() == 0
     assert exact.exact_dedup(empty).count() == 0
+
+
+def test_near_documents_meet_by_fingerprints_first(spark, monkeypatch):
+    """Near documents were found by shingles alone."""
+    from gallerylens.llm import shingles, simhash
+
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(0, text), (1, text + " more"), (2, " ".join(f"x{i}" for i in range(90)))], "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(shingles, "candidate_pairs", lambda nodes: asked.append(simhash.candidate_pairs(nodes)) or asked[0])
+    got = sorted(tuple(r) for r in shingles.similar_documents(docs).select("doc_id", "component_id", "kept").collect())
+    assert got == [(0, 0, True), (1, 0, False), (2, 2, True)]
+    assert asked[0].count() == 1
