@@ -276,9 +276,9 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE, similarity: float =
     found = stored(connected_components(near), "components")
     # and then the others of different components, nearer ones first: what connects two groups spares most of their pairs
     several = few(stored(second.where("kind = 1").select("key").distinct(), "several"))
+    others = stored(keys(prints.select("sig", "n", "prefix", F.col("sig").alias("component")), "prefix").drop("component").join(several, "key", "left_semi"), "several-rows")
     for low, high in itertools.pairwise([2, *REACHES, None]):
-        own = keys(placed(prints.select("sig", "n", "prefix"), found), "prefix").join(several, "key", "left_semi")
-        rest = stored(met(own, lambda it, least, low=low, high=high: _others(it, least, low, high)).select("a", "b"), "others")
+        rest = stored(met(placed(others, found), lambda it, least, low=low, high=high: _others(it, least, low, high)).select("a", "b"), "others")
         if not rest.isEmpty():
             near = near.unionAll(links(rest))
             found = stored(connected_components(near), "components")
