@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .index import _unit, centres
 from .quantised import SAMPLE_DOCUMENTS, SAMPLE_QUERIES, SAMPLE_VALUES, decode, encode, rescored
-from .retrieval import _matrix, _query_blocks, maxsim_topk, rank
+from .retrieval import TILE, Best, _matrix, _query_blocks, maxsim_topk, query_tiles, rank
 from .scratch import stored
 
 #: Vectors from which cells are fitted, vectors for each list of a cell and in all, values of all centres, tasks that write a cell.
 CELL_SAMPLE, LIST_SAMPLE, CELL_ROWS, CENTRE_VALUES, SPREAD = 20_000, 32, 20_000, 64 << 20, 8
+#: Vectors of documents whose lists are looked at together.
+SEEN = 4096
 #: Below so many documents a scan is as good.
 THRESHOLD = 20_000
 
@@ -196,36 +198,53 @@ def search(index: MultiIndex | None, queries: DataFrame, documents: DataFrame, k
     spark, out = documents.sparkSession, None
     probes = min(probes or index.probes, len(index.centres))
     for qids, q, first in _query_blocks(queries) if len(index.centres) else ():
-        scores = q @ index.centres.T
-        order = np.argsort(-scores, axis=1, kind="stable")
-        floor = np.take_along_axis(scores, order[:, [min(probes, len(index.centres) - 1)]], axis=1)[:, 0] if probes < len(index.centres) else np.full(len(q), -np.inf)
-        asks = np.zeros((len(index.centres), len(q)), bool)
-        asks[order[:, :probes].T, np.arange(len(q))] = True
+        asks, floor = np.zeros((len(index.centres), len(q)), bool), np.full(len(q), -np.inf)
+        for at in range(0, len(q), TILE):
+            scores = q[at : at + TILE] @ index.centres.T
+            order = np.argsort(-scores, axis=1, kind="stable")
+            asks[order[:, :probes].T, np.arange(at, at + len(scores))] = True
+            if probes < len(index.centres):
+                floor[at : at + TILE] = np.take_along_axis(scores, order[:, [probes]], axis=1)[:, 0]
         wanted = np.flatnonzero(asks.any(axis=1))
-        shared = spark.sparkContext.broadcast((q, np.repeat(np.arange(len(qids)), np.diff([*first, len(q)])), {int(n): np.flatnonzero(asks[n]) for n in wanted}, {int(n): index.centres[n] for n in wanted}))
+        shared = spark.sparkContext.broadcast((qids, q, first, floor, np.packbits(asks, axis=1), {int(n): index.centres[n] for n in wanted}))
         planes = index.planes
 
         def look(batches, shared=shared):
-            q, _, asks, found = shared.value
+            qids, q, first, floor, asks, found = shared.value
+            tiles, ends, best = list(query_tiles(first, len(q), TILE)), np.append(first, len(q)), Best(len(qids), prefetch)
             words = -(-q.shape[1] // 64)
             for batch in batches:
-                of = batch.column("list").to_numpy()
-                ids = batch.column("id").to_numpy()
-                bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, planes, words)
-                scales = np.frombuffer(b"".join(batch.column("scales").to_pylist()), np.float32).reshape(-1, planes)
-                for n in np.unique(of).tolist():
-                    rows, some = np.flatnonzero(of == n), asks[n]
-                    seen = q[some] @ (found[n] + decode(bits[rows], scales[rows], q.shape[1])).T
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(rows))), pa.array(np.tile(ids[rows], len(some))), pa.array(seen.ravel())], ["t", "id", "s"])
+                ids, edges = batch.column("id").to_numpy(), batch.column("list").offsets.to_numpy()
+                for (d, e), _ in query_tiles(edges[:-1] - edges[0], int(edges[-1] - edges[0]), SEEN):
+                    own = batch.slice(d, e - d)
+                    of = own.column("list").flatten().to_numpy()
+                    bits = np.frombuffer(b"".join(own.column("bits").flatten().to_pylist()), np.uint64).reshape(-1, planes, words)
+                    scales = np.frombuffer(b"".join(own.column("scales").flatten().to_pylist()), np.float32).reshape(-1, planes)
+                    by_list, starts = np.argsort(of, kind="stable"), edges[d:e] - edges[d]
+                    cuts = np.append(np.flatnonzero(np.diff(of[by_list], prepend=-1)), len(of))
+                    lists = [(int(of[by_list[x]]), x, y) for x, y in zip(cuts, cuts[1:], strict=False)]
+                    v = np.concatenate([found[n] + decode(bits[by_list[x:y]], scales[by_list[x:y]], q.shape[1]) for n, x, y in lists])
+                    back = np.argsort(by_list, kind="stable")
+                    for (a, b), (r, t) in tiles:
+                        asked = np.unpackbits(asks[:, r // 8 : -(-t // 8)], axis=1)[:, r % 8 : r % 8 + t - r].astype(bool)
+                        seen = np.full((len(of), t - r), -np.inf)
+                        for n, x, y in lists:
+                            some = np.flatnonzero(asked[n])
+                            seen[x:y, some] = v[x:y] @ q[r:t][some].T
+                        shown = np.maximum.reduceat(seen[back], starts, axis=0)
+                        # what a document does not show counts as the floor, the same for all: only what is above it tells documents apart
+                        above = np.where(np.isinf(floor[r:t]), shown, np.maximum(shown - np.where(np.isinf(floor[r:t]), 0, floor[r:t]), 0))
+                        begin = ends[a:b] - r
+                        per_query = np.add.reduceat(above, begin, axis=1)
+                        per_query[np.maximum.reduceat(shown, begin, axis=1) == -np.inf] = -np.inf  # not seen at all
+                        best.add(a, per_query.T, ids[d:e])
+            yield from best.batches(qids)
 
         cells = np.unique(index.cell[wanted]).tolist()
         read = index.rows(spark).where(F.col("cell").isin(cells) & F.col("list").isin(wanted.tolist())).select("list", "id", "bits", "scales")
-        seen = read.mapInArrow(look, "t long, id long, s double").groupBy("t", "id").agg(F.max("s").alias("s"))
-        of = np.repeat(qids, np.diff([*first, len(q)]))
-        tokens = F.broadcast(spark.createDataFrame([(i, int(of[i]), float(floor[i])) for i in range(len(q))], "t long, qid long, floor double"))  # a block's tokens
-        # what a document does not show counts as the floor, the same for all: only what is above it tells documents apart
-        least = F.when(F.col("floor") > float("-inf"), F.greatest(F.col("s") - F.col("floor"), F.lit(0.0))).otherwise(F.col("s"))
-        summed = seen.join(tokens, "t").groupBy("qid", "id").agg(F.sum(least).alias("score"))
+        # a document's vectors meet in one task, which keeps its best documents a query: no row for a query and a document
+        gathered = read.groupBy("id").agg(F.collect_list(F.struct("list", "bits", "scales")).alias("x")).select("id", *(F.col(f"x.{c}").alias(c) for c in ("list", "bits", "scales")))
+        summed = gathered.mapInArrow(look, "qid long, id long, score double")
         chosen = stored(rank(summed, "qid", "score", "id", prefetch).select("qid", "id"), "chosen")
         found = rescored(chosen, queries, documents)
         out = found if out is None else out.unionAll(found)

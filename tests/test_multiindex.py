@@ -80,3 +80,20 @@ def test_recall_on_the_table(spark):
     t = Tables(spark, "/root/testdata/sf0.1")
     assert retrieval.recall(plans.maxsim_index(t), plans.maxsim_full(t)) >= 0.9
     assert quantised.SAMPLE_DOCUMENTS >= 400  # measured on all of this table
+
+
+def shuffled(spark):
+    """Records written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_no_row_for_a_query_and_a_document(spark, topics, tmp_path):
+    """A row for each query token and document that a list shows was shuffled: the product of both tables."""
+    made = multiindex.build(topics, f"{tmp_path}/index", k=5)
+    queries = asked(topics, 2)
+    tokens, documents = queries.count(), 1500
+    began = shuffled(spark)
+    assert multiindex.search(made, queries, topics, 5, 20, probes=len(made.centres)).count() == 5 * 600
+    assert shuffled(spark) - began < tokens * documents / 10
