@@ -79,3 +79,19 @@ def test_pinned_repeated_and_empty(spark):
     assert {k: (r.shape, m.shape) for k, (r, m) in model.relations.items()} == dict.fromkeys(["genre", "near", "style"], ((5,), (5, 8)))
     none = transr.train(train.limit(0))
     assert none.entities.count() == 0 and none.relations == {} and none.losses == []
+
+
+@pytest.mark.parametrize("kind", ["links", "projected"])
+def test_a_round_writes_entities_alone(spark, kind):
+    """A round's gradients, rows for each triple, were written with their vectors before they were summed."""
+    df = spark.createDataFrame([(f"w{i}", f"r{j}", f"t{(i + j) % 7}") for i in range(1000) for j in range(3)], "head string, rel string, tail string")
+    sc = spark.sparkContext
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).outputRecords() for i in range(stages.size()))
+
+    began = written()
+    graph.train_links(df, dim=4, rounds=1) if kind == "links" else transr.train(df, dim=4, rounds=1)
+    # triples, tails twice, the hottest, entities before and after the round, relations
+    assert written() - began < 3000 + 2 * 1007 + 100
