@@ -7,15 +7,20 @@ what that frees to a backoff that the classes share:
 
 * of a word w: P_c(w) = s_c max(n_c(w) - D, 0) / N_c + f P(w), P from the contexts in either class; words that these
   do not have get an equal part of what P frees itself.
-* of a pair vw that toxic texts hold: P_c(vw) = s_c max(n_c(vw) - 1, 0) / N_c + f (max(n(vw) - 1, 0) / N + g P(v) P_c(w)),
-  so that it falls back on what either class has of the pair, and then on the class's words.
+* of a word w after v: P_c(w | v) = s_c(v) max(n_c(vw) - 1, 0) / N_c(v) + f(v) (max(n(vw) - 1, 0) / N(v) + g(v) P_c(w)),
+  N_c(v) and N(v) the contexts of all pairs that begin with v, so that it falls back on what either class has of the
+  pair, and then on the class's words, by weights of v's own.  They sum to 1 over w, whatever v is.
 
-The freed mass f is the larger of the classes' own, for both, and s_c makes up for it: what neither class has seen
-tells nothing, and rare expressions tell little, as their shared backoff outweighs them.
+The freed mass f, of a level of words or of a v, is the larger of the classes' own, for both, and s_c makes up for it:
+what neither class has seen tells nothing, and rare expressions tell little, as their shared backoff outweighs them.
 
-A text's log-likelihoods are compared over its passages, each divided by the passage's length; the mean over a
-passage is never more than that of its strongest expression, so the largest one is an expression's.  The empty
-passage compares as 0.  The score is the logistic function of this largest length-normalised log-likelihood ratio.
+A text's log-likelihoods are compared over its passages, each with or without the word before it, divided by the
+passage's length; the mean over a passage is never more than that of its strongest word, so the largest one is a word's,
+alone or after another.  The empty passage compares as 0.  A pair that no toxic text holds never speaks more for toxic
+than its second word or the empty passage, as its backoff weights are the classes' alike; all pairs count in N_c(v), but
+only those that toxic texts hold have to be looked up.  The score is the logistic function of this largest length-normalised log-likelihood ratio.
+
+`expressions` and `pair_table` weigh pairs jointly instead, P_c(vw), with one freed mass for all pairs; `fit` takes either.
 
 Words are told apart by 64-bit hashes, in tables that grow with the corpus; every word and pair of the counted rows
 is counted, however rare.  Of these only the expressions that speak for the toxic class can be a text's strongest:
@@ -334,12 +339,49 @@ def expressions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table, stored(pair_table(pairs, table), "pair-ratios")
 
 
-def fit(rows: DataFrame, calibration: DataFrame) -> Model:
-    """A model of rows (text, toxic 0 or 1), calibrated on the rows of calibration, whose number the caller bounds.
+def first_table(pairs: DataFrame) -> DataFrame:
+    """(v, k0, k1, k2, f0, f1, f2): of each word that toxic texts have before another, the contexts of its pairs, and the part of them that is freed, in the classes and in either."""
+    sums = [F.sum(e).alias(f"{name}{c}") for c, n in enumerate(("n0", "n1", "n")) for name, e in (("k", F.col(n)), ("d", F.least(F.col(n), F.lit(PAIR_DISCOUNT))))]
+    found = pairs.where(F.col("v") != BEGIN).groupBy("v").agg(*sums).where("k1 > 0")
+    return found.select("v", "k0", "k1", "k2", *(F.when(F.col(f"k{c}") > 0, F.col(f"d{c}") / F.col(f"k{c}")).otherwise(1.0).alias(f"f{c}") for c in range(3)))
+
+
+def given_table(pairs: DataFrame, firsts: DataFrame, words: DataFrame) -> DataFrame:
+    """(v, w, p0, p1, ratio, best): of pairs (v, w, n0, n1, n) that toxic texts hold, the probability of w after v; best is the larger ratio of their words."""
+    shared = F.greatest("f0", "f1")
+
+    def seen(n: str, c: int, scale: Column) -> Column:
+        return F.when(F.col(n) > PAIR_DISCOUNT, scale * (F.col(n) - PAIR_DISCOUNT) / F.col(f"k{c}")).otherwise(0.0)
+
+    own = []
+    for c in (0, 1):
+        back = seen("n", 2, F.lit(1.0)) + F.col("f2") * F.col(f"q{c}")
+        own.append(seen(f"n{c}", c, (1 - shared) / (1 - F.col(f"f{c}"))) + shared * back)
+    first, last = words.select(F.col("w").alias("v"), F.col("ratio").alias("rv")), words.select("w", F.col("p0").alias("q0"), F.col("p1").alias("q1"), F.col("ratio").alias("rw"))
+    joined = pairs.where(F.col("v") != BEGIN).join(firsts.join(first, "v"), "v").join(last, "w")
+    return joined.select("v", "w", own[0].alias("p0"), own[1].alias("p1"), F.log(own[1] / own[0]).alias("ratio"), F.greatest("rv", "rw").alias("best"))
+
+
+def given_expressions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(w, p0, p1, p, ratio) of words and (v, w, p0, p1, ratio, best) of pairs that toxic rows hold, w given v, of rows (text, toxic 0 or 1); both stored.
+
+    One shuffle counts all: pairs by the words before them, and from these the words and what begins with each.
+    """
+    runs = rows.mapInArrow(_contexts(3), "w long, v long, u long, classes byte")
+    each = runs.repartition("w", "v").groupBy("w", "v", "u").agg(F.bit_or("classes").alias("classes"))  # stays dealt by pairs for the counts
+    pairs = stored(_counted(each, "w", "v"), "pairs")
+    classes = F.when(F.col("n0") > 0, 1).otherwise(0) + F.when(F.col("n1") > 0, 2).otherwise(0)
+    words = stored(_counted(pairs.select("w", classes.alias("classes")), "w"), "words")
+    table = stored(word_table(words, words.count())[0], "word-ratios")
+    return table, stored(given_table(pairs.where("n1 > 0"), first_table(pairs), table), "pair-ratios")
+
+
+def fit(rows: DataFrame, calibration: DataFrame, weigh=expressions) -> Model:
+    """A model of rows (text, toxic 0 or 1), calibrated on the rows of calibration, whose number the caller bounds; weigh is `expressions` or `given_expressions`.
 
     All of rows are counted, and every word of them.  The driver gets at most BROADCAST_ROWS expressions.  Without calibration rows of both classes every score is the share of toxic ones among them, 0.001 at least and if there are none.
     """
-    words, pairs = expressions(rows)
+    words, pairs = weigh(rows)
     own = words.where("ratio > 0").select(F.col("w").alias("key"), "ratio")
     found = stored(own.unionAll(pairs.where("ratio > 0 and ratio > best").mapInArrow(_keyed, "key long, ratio double")), "expressions")
     n = found.count()
@@ -389,7 +431,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts(docs, id_col, text_col)
     counted = _near(rows.where(fold() > 1), marked.where(fold() > 1), "doc_id")
     some = marked.where(fold() == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_for_calibration)  # ids and labels alone
-    return fit(counted.select("text", "toxic"), _near(rows.where(fold() == 1), some, "doc_id").select("text", "toxic"))
+    return fit(counted.select("text", "toxic"), _near(rows.where(fold() == 1), some, "doc_id").select("text", "toxic"), given_expressions)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
