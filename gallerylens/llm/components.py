@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import discard, stored, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,8 +13,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Links of a node to itself and repeated links change nothing; links with a null end are left out.  Each
     round is two aggregations and two joins on the node; it is written to the shared folder, and the rounds
     end when the links no longer change, after about log(longest path) rounds.  Only their count and a
-    checksum reach the driver.
+    checksum reach the driver.  A round's table goes once the next one is written.
     """
+    mark = written()
     links = stored(links.where(f"{a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     before = None
     while True:
@@ -24,6 +25,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         links = stored(small, "links")
+        discard(links.sparkSession, mark)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(links.select("v", "v").distinct())

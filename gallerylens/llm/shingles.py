@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import kept, raw, stored, texts
+from .common import discard, kept, raw, stored, texts, written
 from .components import connected_components
 from .simhash import bits_of, candidate_pairs
 
@@ -238,6 +238,13 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE, similarity: float =
         return pairs.join(of.select(*left), "a").join(of.select(*right), "b")
 
     def links(pairs: DataFrame) -> DataFrame:
+        """The similar ones of pairs; the tables on the way to them go."""
+        mark = written()
+        out = compared(pairs)
+        discard(out.sparkSession, mark)
+        return out
+
+    def compared(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct(), "pairs")
         ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select("b")).distinct()
         marks = stored(prints.join(ends, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
