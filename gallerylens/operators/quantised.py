@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .retrieval import TILE, Best, _matrix, _query_blocks, query_tiles, rank
+from .retrieval import TILE, Best, _matrix, _query_blocks, query_tiles, rank, rescored
 from .scratch import stored
 
 #: Query tokens times vectors that are scored at once; documents and values of a sample; queries among these.
@@ -151,21 +151,6 @@ def _pairs_scored(queries: DataFrame, pairs: DataFrame, score) -> DataFrame:
     return spark.createDataFrame([], "qid long, id long, score double") if out is None else out
 
 
-def rescored(chosen: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(qid, id, score): the exact MaxSim of chosen pairs (qid, id); a row for each pair, not for each two tokens."""
-
-    def score(batch, q):
-        lengths = np.diff(batch.column("vs").offsets.to_numpy())
-        out, some = np.zeros(len(lengths)), np.flatnonzero(lengths)
-        if len(some):
-            # not by matrix product, whose last bits depend on where a row stands: copies get one score
-            product = np.einsum("qd,vd->qv", q, _matrix(batch.column("vs").flatten()))
-            out[some] = np.maximum.reduceat(product, (np.cumsum(lengths) - lengths)[some], axis=1).sum(axis=0)
-        return out
-
-    return _pairs_scored(queries, chosen.select("qid", "id").join(documents.select("id", F.col("vs").cast("array<array<double>>").alias("vs")), "id").select("qid", "id", "vs"), score)
-
-
 def narrowed(chosen: DataFrame, queries: DataFrame, coded: DataFrame, k: int, planes: int = 4) -> DataFrame:
     """(qid, id): the k of each query's chosen pairs whose codes score best."""
 

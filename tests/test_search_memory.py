@@ -50,3 +50,26 @@ def test_tiles_are_whole_queries_and_the_best_are_exact():
     for q in range(9):
         want = sorted(zip(-scores[q], ids, strict=True))[:7]
         assert [(-s, i) for s, i in zip(best.scores[q], best.ids[q], strict=True)] == [(s, i) for s, i in want]
+
+
+def test_runs_of_documents_are_bounded_and_whole(spark):
+    """A batch of 10,000 documents became Python lists of all its values."""
+    lengths = np.random.default_rng(3).integers(0, 9, 4000)
+    values = np.arange(lengths.sum() * 64, dtype=float)
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, 64), pa.int32()), pa.array(values))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), vectors)
+    runs = list(retrieval._document_runs(pa.RecordBatch.from_arrays([pa.array(range(4000)), lists], ["id", "vs"]), "vs"))
+    assert max(flat.size for _, _, flat in runs) <= retrieval.POOLED_VALUES
+    assert np.concatenate([flat for _, _, flat in runs]).ravel().tolist() == values.tolist()
+    assert np.concatenate([n for _, n, _ in runs]).tolist() == lengths.tolist()
+    assert [i for part, _, _ in runs for i in part.column("id").to_pylist()] == list(range(4000))
+
+
+def test_copies_of_documents_rank_by_id(spark):
+    """Scores were summed in the order in which a shuffle brought a query's tokens, so that copies differed in their last bits."""
+    rng = np.random.default_rng(4)
+    own = rng.normal(size=(10, 5, 16)).tolist()
+    documents = spark.createDataFrame([(i, own[i % 10]) for i in range(500)], "id long, vs array<array<double>>").repartition(6)
+    asked = spark.createDataFrame([(i, k, v) for i in range(10) for k, v in enumerate(own[i])], "qid long, qtok long, q array<double>")
+    got = retrieval.two_stage(asked, documents, retrieval.pooled(documents, 1, 1, 3), 60, 40)
+    assert {(r.qid, r["rank"]): r.id for r in got.collect()} == {(q, n + 1): q + 10 * n for q in range(10) for n in range(40)}
