@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .retrieval import TILE, Best, _matrix, _query_blocks, query_tiles, rank, rescored
+from .retrieval import SLACK, TILE, Best, _matrix, _maxsims, _query_blocks, query_tiles, rank, rescored
 from .scratch import stored
 
 #: Query tokens times vectors that are scored at once; documents and values of a sample; queries among these.
@@ -55,6 +55,23 @@ def dots(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], dim
     return out
 
 
+def _code_dots(dim: int):
+    """dots(a, b, i, j): the products of rows i of a with rows j of b, summed as `dots` does."""
+
+    def run(a, b, i: np.ndarray, j: np.ndarray, most: int = 1 << 14) -> np.ndarray:
+        out = np.zeros(len(i))
+        for at in range(0, len(i), most):
+            x, y = i[at : at + most], j[at : at + most]
+            bits, scales, other, others = a[0][x], a[1][x].astype(np.float64), b[0][y], b[1][y]
+            for p in range(bits.shape[1]):
+                for r in range(bits.shape[1]):
+                    differ = np.bitwise_count(bits[:, p] ^ other[:, r]).sum(axis=1, dtype=np.int32)
+                    out[at : at + most] += scales[:, p] * others[:, r] * (dim - 2 * differ)
+        return out
+
+    return run
+
+
 def codes(documents: DataFrame, planes: int = 4) -> DataFrame:
     """(id, n, dim, bits, scales) of documents (id, vs: vectors of one dimension): made once for a corpus.
 
@@ -100,7 +117,8 @@ def _maxsim(asked: tuple[np.ndarray, np.ndarray], first: np.ndarray, edges: np.n
 def candidates(queries: DataFrame, coded: DataFrame, k: int, planes: int = 4, exclude_self: bool = False) -> DataFrame:
     """(qid, id, score, rank): the k documents of the largest MaxSim of codes (of `codes` with as many planes) for each query (qid, qtok, q); ties by id.
 
-    Queries, a bounded set, are shipped in blocks; a task keeps its best k a query.
+    Queries, a bounded set, are shipped in blocks; a task keeps its best k a query.  Bits are counted for those pairs
+    alone that the product of the vectors, for which the codes stand, leaves near to the best.
     """
     spark, out = coded.sparkSession, None
     for qids, q, first in _query_blocks(queries):
@@ -108,18 +126,22 @@ def candidates(queries: DataFrame, coded: DataFrame, k: int, planes: int = 4, ex
 
         def score(batches, shared=shared):
             qids, asked, first = shared.value
-            tiles, best = list(query_tiles(first, len(asked[0]), TILE)), Best(len(qids), k)
+            tiles, ends, best = list(query_tiles(first, len(asked[0]), TILE)), np.append(first, len(asked[0])), Best(len(qids), k)
             for batch in batches:
                 some, edges, bits, scales, dim = _coded(batch, planes)
                 if not len(some):
                     continue
-                ids = batch.column("id").to_numpy(zero_copy_only=False)[some]
+                ids, counted = batch.column("id").to_numpy(zero_copy_only=False)[some], _code_dots(dim)
                 for (d, e), (x, y) in query_tiles(edges[:-1], len(bits), TILE):
+                    near, own, coded_own = decode(bits[x:y], scales[x:y], dim), edges[d : e + 1] - x, (bits[x:y], scales[x:y])
                     for (a, b), (r, t) in tiles:
-                        tile = _maxsim((asked[0][r:t], asked[1][r:t]), first[a:b] - r, edges[d : e + 1] - x, bits[x:y], scales[x:y], dim)
+                        tokens, begin, coded_tokens = decode(asked[0][r:t], asked[1][r:t], dim), ends[a : b + 1] - r, (asked[0][r:t], asked[1][r:t])
+                        tile = np.add.reduceat(np.maximum.reduceat(tokens @ near.T, own[:-1], axis=1), begin[:-1], axis=0)
                         if exclude_self:
                             tile[qids[a:b, None] == ids[None, d:e]] = -np.inf
-                        best.add(a, tile, ids[d:e])
+                        # more than the sums of a product's rounding, for the longest query and vectors
+                        slack = SLACK * np.diff(begin).max() * np.sqrt((tokens**2).sum(axis=1).max() * (near**2).sum(axis=1).max())
+                        best.add(a, tile, ids[d:e], lambda i, j, q=coded_tokens, begin=begin, v=coded_own, own=own, counted=counted: _maxsims(q, begin, v, own, i, j, dots=counted), slack)
             yield from best.batches(qids)
 
         found = coded.mapInArrow(score, "qid long, id long, score double")

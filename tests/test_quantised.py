@@ -97,3 +97,17 @@ def test_recall_on_the_tables(spark):
     assert retrieval.recall(quantised.two_stage(queries, documents, quantised.codes(documents, planes), share, 10, planes), exact) >= 0.9
     assert retrieval.recall(plans.two_stage_quantised(t), plans.maxsim_full(t)) >= 0.9
     assert retrieval.recall(plans.binary_quant_topk(t), plans.knn_cosine_topk(t)) >= 0.9
+
+
+def test_candidates_are_those_of_counted_bits(spark):
+    """Only pairs near to the best are counted; scores and the order of copies are those of all pairs counted."""
+    rng = np.random.default_rng(8)
+    own = rng.normal(size=(30, 3, 70)) * 1000
+    documents = spark.createDataFrame([(i, own[i % 30].tolist()) for i in range(90)], "id long, vs array<array<double>>").repartition(3)
+    asked = spark.createDataFrame([(i, k, v.tolist()) for i in range(30) for k, v in enumerate(own[i])], "qid long, qtok long, q array<double>")
+    got = {(r.qid, r["rank"]): (r.id, r.score) for r in quantised.candidates(asked, quantised.codes(documents, 2), 7, 2).collect()}
+    coded = quantised.encode(own.reshape(-1, 70), 2)
+    each = np.add.reduceat(np.maximum.reduceat(quantised.dots(coded, coded, 70), np.arange(0, 90, 3), axis=1), np.arange(0, 90, 3), axis=0)
+    for q in range(30):
+        want = sorted((-each[q, i % 30], i) for i in range(90))[:7]
+        assert [got[q, n + 1] for n in range(7)] == [(i, -s) for s, i in want]
