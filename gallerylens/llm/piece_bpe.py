@@ -62,75 +62,114 @@ class Model:
 
 
 class Encoder:
-    """encode(text whose spaces are marks) -> ids of its tokens; at most `limit` pairs of neighbours are remembered."""
+    """encode(text whose spaces are marks) -> ids of its tokens; at most `limit` pairs of neighbours are remembered.
+
+    Inside, a token is a number: its piece's id, or that of no piece, its character's code point above all ids.
+    """
 
     def __init__(self, model: Model, limit: int = 1_000_000) -> None:
         import ahocorasick
 
         self.ids, self.scores, self.byte, self.limit = model.ids, model.scores, model.byte, limit
+        self.names, self.chars = model.names, len(model.names)
         self.finder = ahocorasick.Automaton()
-        for piece in self.scores:
-            self.finder.add_word(piece, len(piece))
+        for piece, i in self.ids.items():
+            self.finder.add_word(piece, i)
         self.finder.make_automaton()
-        #: The longest shorter piece that begins a piece; at last its first character, piece or not.
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.scores or k == 1), "") for p in self.scores}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.sizes = [len(p) for p in model.names]
+        #: The longest shorter piece that begins a piece; at last its first character, piece or not; of a character -1.
+        self.shorter = [-1] * self.chars
+        for piece, i in self.ids.items():
+            self.shorter[i] = next((self.number(piece[:k]) for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.scores or k == 1), -1)
+        self.apart: dict[int, bool] = {}
         #: No piece has a space after another character, so that tokens never cross such a place.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
+        #: A character of no piece: no match crosses it.
+        self.between = next(c for c in map(chr, range(0x110000)) if not any(c in p for p in self.scores))
+
+    def number(self, token: str) -> int:
+        return self.ids[token] if token in self.ids else self.chars + ord(token)
+
+    def name(self, token: int) -> str:
+        return self.names[token] if token < self.chars else chr(token - self.chars)
 
     def merged(self, text: str) -> list[str]:
         """text by merging: the definition, for short texts."""
-        own, scores = list(text), self.scores
-        while len(own) > 1:
-            best, at = max(((scores.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(own, own[1:], strict=False))))
+        own, score = list(text), self.scores.get
+        pairs = [score(a + b, -np.inf) for a, b in zip(own, own[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
             if best == -np.inf:
                 break
-            own[-at : 2 - at] = [own[-at] + own[1 - at]]
+            at = pairs.index(best)
+            own[at : at + 2] = [own[at] + own[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(own[at - 1] + own[at], -np.inf)
+            if at < len(pairs):
+                pairs[at] = score(own[at] + own[at + 1], -np.inf)
         return own
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether both, merged anew, stay apart; left may be empty."""
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) >= self.limit:
-                self.apart.clear()
-            known = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether both, merged anew, stay apart; left may be -1, none."""
+        if len(self.apart) >= self.limit:
+            self.apart.clear()
+        own = [self.name(t) for t in (left, right) if t >= 0]
+        known = self.apart[left << 21 | right] = self.merged("".join(own)) == own
         return known
 
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """Each text's tokens. One pass of the automaton goes through all texts, none of whose matches cross."""
+        text = self.between.join(texts)
+        longest = array("i", [-1]) * (len(text) + 1)  # a character that is no piece is a token of its own
+        sizes, shorter, chars, apart, compatible = self.sizes, self.shorter, self.chars, self.apart, self.compatible
+        for end, i in self.finder.iter(text):
+            longest[end - sizes[i] + 1] = i  # matches come by where they end: the last is the longest
+        failed, fails = bytearray(len(text) // 8 + 1), False
+        found, begin = [], 0
+        for own in texts:
+            at, stop, last = begin, begin + len(own), -1
+            out: list[int] = []
+            token = -1 if not own else longest[at] if longest[at] >= 0 else chars + ord(text[at])
+            while at < stop:
+                while token >= 0:
+                    end = at + (sizes[token] if token < chars else 1)
+                    if not (fails and failed[end >> 3] >> (end & 7) & 1):
+                        known = apart.get(last << 21 | token)
+                        if compatible(last, token) if known is None else known:
+                            break
+                    token = shorter[token] if token < chars else -1
+                if token >= 0:
+                    out.append(token)
+                    at, last = end, token
+                    if at < stop:
+                        token = longest[at]
+                        if token < 0:
+                            token = chars + ord(text[at])
+                else:
+                    failed[at >> 3] |= 1 << (at & 7)
+                    fails = True
+                    token = out.pop()
+                    at, last = at - (sizes[token] if token < chars else 1), out[-1] if out else -1
+                    token = shorter[token] if token < chars else -1
+            found.append(out)
+            begin = stop + 1
+        return found
+
     def tokens(self, text: str) -> list[str]:
-        n, shorter, compatible = len(text), self.shorter, self.compatible
-        longest = array("i", [1]) * n  # a character that is no piece is a token of its own
-        for end, size in self.finder.iter(text):
-            longest[end - size + 1] = size  # matches come by where they end: the last is the longest
-        failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        at, token, last = 0, text[: longest[0]] if n else "", ""
-        while at < n:
-            while token:
-                end = at + len(token)
-                if not failed[end >> 3] >> (end & 7) & 1 and compatible(last, token):
-                    break
-                token = shorter.get(token, "")
-            if token:
-                out.append(token)
-                at, last = end, token
-                token = text[at : at + longest[at]] if at < n else ""
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                token = out.pop()
-                at, last = at - len(token), out[-1] if out else ""
-                token = shorter.get(token, "")
+        return [self.name(t) for t in self.numbers([text])[0]]
+
+    def encoded(self, texts: list[str]) -> list[array]:
+        """The ids of each text."""
+        out, chars = [], self.chars
+        for own in self.numbers(texts):
+            if own and max(own) >= chars:
+                own = [i for t in own for i in ((t,) if t < chars else [self.byte[b] for b in chr(t - chars).encode("utf-8", "replace")])]
+            out.append(array("I", own))
         return out
 
     def encode(self, text: str) -> array:
-        out = array("I")
-        for t in self.tokens(text):
-            i = self.ids.get(t)
-            if i is None:
-                out.extend([self.byte[b] for b in t.encode("utf-8", "replace")])
-            else:
-                out.append(i)
-        return out
+        return self.encoded([text])[0]
 
 
 class Decoder:
@@ -172,7 +211,7 @@ class Codec:
         model = Model(path)
         self.encoder, self.decoder = Encoder(model), Decoder(model)
         self.names = [str(i) for i in range(len(model.names))]
-        self.memo = Memo(lambda keys: [self.encoder.encode(SPACE + k).tobytes() for k in keys])
+        self.memo = Memo(lambda keys: [ids.tobytes() for ids in self.encoder.encoded([SPACE + k for k in keys])])
 
     @classmethod
     def of(cls, path: str) -> Codec:

@@ -90,3 +90,18 @@ def test_documents(spark, docs, rows, empty, library):
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((i, t or "") for i, t in [*rows, (None, "no id")])
     assert piece_bpe.encode_documents(empty, PATH, with_ids=False).collect() == []
     assert piece_bpe.decode_documents(spark.createDataFrame([(1, None)], "doc_id long, ids array<long>"), PATH).collect()[0].text == ""
+
+
+def test_texts_at_once_are_encoded_as_alone(codec):
+    """One pass of the automaton goes through many texts; before, each text had a pass and an array of its own."""
+    rng = random.Random(6)
+    texts = ["", codec.encoder.between, *("".join(rng.choice("aeinrst▁é日\x00" + codec.encoder.between) for _ in range(rng.randint(0, 14))) for _ in range(2000)), ""]
+    got = codec.encoder.encoded(texts)
+    assert got == [codec.encoder.encode(t) for t in texts]
+    assert all(codec.encoder.tokens(t) == codec.encoder.merged(t) for t in texts)
+
+
+def test_few_pairs_are_remembered(library):
+    encoder = piece_bpe.Encoder(piece_bpe.Model(PATH), limit=10)
+    text = piece_bpe.SPACE + "remembering nothing, again".replace(" ", piece_bpe.SPACE)
+    assert encoder.encode(text).tolist() == library.encode(text[1:]) and len(encoder.apart) <= 10
